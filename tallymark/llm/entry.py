@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tallymark.llm import decontam, packing, shards, simhash, tokens
+from tallymark.llm import decontam, packing, shards, simhash, substring, tokens
 from tallymark.llm.common import table
 
 
@@ -17,6 +17,10 @@ def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring.deduplicate(table(spark, sf_dir, "documents"), batches=2)
+
+
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), limit=1024)
 
@@ -29,6 +33,6 @@ def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shards.shard(table(spark, sf_dir, "documents"), shards=24)
 
 
-QUERIES = {f.__name__: f for f in (op2_simhash_groups, op3_decontamination, op5_token_counts, op8_packing, op9_sharding)}
+QUERIES = {f.__name__: f for f in (op2_simhash_groups, op3_decontamination, op4_substring_dedup, op5_token_counts, op8_packing, op9_sharding)}
 
 ORACLES: dict[str, str] = {}
