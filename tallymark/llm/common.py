@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 from collections.abc import Iterator
 from pathlib import PurePosixPath
 
@@ -31,13 +32,22 @@ def pick(df: DataFrame, **columns: str) -> DataFrame:
     return unique.select(*out)
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that all executors share, as the session names it."""
+    return spark.sparkContext.getConf().get("spark.checkpoint.dir") or LOCAL_CHECKPOINTS
+
+
 def cut(df: DataFrame) -> DataFrame:
-    """A reliable checkpoint: written once to the shared folder, so a lost executor costs no recomputation.
-    Spark deletes the files when nothing refers to them any more."""
+    """A reliable checkpoint: written once to the shared folder, so a lost executor costs no recomputation. What led to
+    it can go: the driver's garbage is collected, which lets Spark remove shuffle files and older checkpoints that
+    nothing refers to any more."""
     context = df.sparkSession.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or LOCAL_CHECKPOINTS)
-    return df.checkpoint(eager=True)
+        context.setCheckpointDir(shared_folder(df.sparkSession))
+    done = df.checkpoint(eager=True)
+    gc.collect()
+    context._jvm.System.gc()
+    return done
 
 
 def slices(batches: Iterator[pa.RecordBatch], column: str, max_bytes: int) -> Iterator[pa.RecordBatch]:

@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tallymark.llm import decontam, packing, shards, simhash, substring, tokens
+from tallymark.llm import decontam, packing, pu, rules, shards, simhash, substring, tokens
 from tallymark.llm.common import table
 
 
@@ -25,6 +25,11 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), limit=1024)
 
 
+def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    return rules.judge(docs, rules.fit(docs, labels))
+
+
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), end_id=2, most=4096)
 
@@ -33,6 +38,11 @@ def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shards.shard(table(spark, sf_dir, "documents"), shards=24)
 
 
-QUERIES = {f.__name__: f for f in (op2_simhash_groups, op3_decontamination, op4_substring_dedup, op5_token_counts, op8_packing, op9_sharding)}
+def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    return pu.score(docs, pu.fit(docs, labels))
+
+
+QUERIES = {f.__name__: f for f in (op2_simhash_groups, op3_decontamination, op4_substring_dedup, op5_token_counts, op6_quality_rules, op8_packing, op9_sharding, op10_quality_classifier)}
 
 ORACLES: dict[str, str] = {}
