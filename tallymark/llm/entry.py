@@ -5,10 +5,14 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tallymark.llm import decontam, packing, pu, rules, shards, simhash, substring, tokens
+from tallymark.llm import chat, decontam, packing, pu, rules, shards, simhash, substring, tokens, toxicity
 from tallymark.llm.common import table
 
 
+def op1_preference_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.format_preferences(chat.answer_swaps(table(spark, sf_dir, "conversations")))
+
+
 def op2_simhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.groups(table(spark, sf_dir, "documents"))
 
@@ -30,6 +34,11 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.judge(docs, rules.fit(docs, labels))
 
 
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    return toxicity.score(docs, toxicity.fit(docs, labels))
+
+
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), end_id=2, most=4096)
 
@@ -43,6 +52,73 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pu.score(docs, pu.fit(docs, labels))
 
 
-QUERIES = {f.__name__: f for f in (op2_simhash_groups, op3_decontamination, op4_substring_dedup, op5_token_counts, op6_quality_rules, op8_packing, op9_sharding, op10_quality_classifier)}
-
-ORACLES: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (op1_preference_format, op2_simhash_groups, op3_decontamination, op4_substring_dedup, op5_token_counts, op6_quality_rules, op7_toxicity, op8_packing, op9_sharding, op10_quality_classifier)}
+
+OP1_SQL = r"""
+WITH own AS (
+  SELECT conv_id, coalesce(CAST(turn AS BIGINT), -1) AS turn, coalesce(role, 'unknown') AS role, coalesce(text, '') AS text,
+         row_number() OVER (PARTITION BY conv_id, coalesce(CAST(turn AS BIGINT), -1) ORDER BY coalesce(role, 'unknown'), coalesce(text, '')) AS nth
+  FROM conversations WHERE conv_id IS NOT NULL
+), ends AS (
+  SELECT conv_id, turn AS end_turn, nth AS end_nth, text AS answer FROM own WHERE role = 'assistant'
+  QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC, nth DESC) = 1
+), known AS (
+  SELECT o.*, e.end_turn, e.end_nth,
+         CASE WHEN o.turn = e.end_turn AND o.nth = e.end_nth THEN coalesce(x.answer, '') ELSE o.text END AS other
+  FROM own o LEFT JOIN ends e USING (conv_id) LEFT JOIN ends x ON x.conv_id = xor(o.conv_id, 1)
+  WHERE e.end_turn IS NULL OR o.turn < e.end_turn OR (o.turn = e.end_turn AND o.nth <= e.end_nth)
+), parts AS (
+  SELECT conv_id AS pair_id, unnest(CASE WHEN text = other THEN ['prompt'] ELSE ['chosen', 'rejected'] END) AS part, turn, nth, role, text, other FROM known
+), said AS (
+  SELECT pair_id, part, turn, CAST(nth AS INTEGER) AS nth, role,
+         '<|im_start|>' || role || chr(10) AS head, CASE part WHEN 'rejected' THEN other ELSE text END || '<|im_end|>' || chr(10) AS body FROM parts
+)
+SELECT pair_id, part, turn, nth, role, head || body AS rendered,
+       CAST(CASE WHEN part <> 'prompt' AND role = 'assistant' THEN length(head) ELSE 0 END AS INTEGER) AS loss_start,
+       CAST(CASE WHEN part <> 'prompt' AND role = 'assistant' THEN length(head || body) ELSE 0 END AS INTEGER) AS loss_end
+FROM said
+"""
+
+OP3_SQL = r"""
+WITH d AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents
+), b AS (
+  SELECT CAST(item_id AS VARCHAR) AS item, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark WHERE text IS NOT NULL
+), spans AS (
+  SELECT item, w, least(10, len(w)) AS n FROM b WHERE len(w) > 0
+), windows AS (
+  SELECT DISTINCT item, n, array_to_string(w[i:i + n - 1], ' ') AS line FROM (SELECT item, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM spans)
+), places AS (
+  SELECT doc_id, n, i, array_to_string(w[i:i + n - 1], ' ') AS line
+  FROM (SELECT doc_id, w, n, unnest(range(1, greatest(len(w) - n + 2, 1))) AS i FROM d, (SELECT DISTINCT n FROM windows))
+), met AS (
+  SELECT doc_id, p.n, i, item FROM places p JOIN windows k ON k.n = p.n AND k.line = p.line
+), hit AS (
+  SELECT doc_id, count(DISTINCT j) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + n)) AS j FROM met) GROUP BY doc_id
+), items AS (
+  SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS names FROM (SELECT DISTINCT doc_id, item FROM met WHERE item IS NOT NULL) GROUP BY doc_id
+)
+SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+       sha256(coalesce(names, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN hit USING (doc_id) LEFT JOIN items USING (doc_id)
+"""
+
+OP4_SQL = r"""
+WITH d AS (
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents
+), windows AS (
+  SELECT doc_id, i, array_to_string(w[i:i + 12], ' ') AS line FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 11, 1))) AS i FROM d)
+), later AS (
+  SELECT doc_id, i FROM windows QUALIFY doc_id > min(doc_id) OVER (PARTITION BY line)
+), gone AS (
+  SELECT DISTINCT doc_id, unnest(range(i, i + 13)) AS j FROM later
+), lost AS (
+  SELECT doc_id, list(j) AS js FROM gone GROUP BY doc_id
+)
+SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(len(js), 0) AS BIGINT) AS n_removed,
+       sha256(array_to_string(CASE WHEN js IS NULL THEN w ELSE list_filter(w, lambda x, i: NOT list_contains(js, i)) END, ' ')) AS kept_sha256
+FROM d LEFT JOIN lost USING (doc_id)
+"""
+
+#: The others need XXH64, a tokenizer, a trained model or a sample; they are tested against brute force.
+ORACLES: dict[str, str] = {"op1_preference_format": OP1_SQL, "op3_decontamination": OP3_SQL, "op4_substring_dedup": OP4_SQL}
