@@ -1,0 +1 @@
+"""A Spark-native engine for public ballot-measure records."""
