@@ -11,6 +11,7 @@ import os
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
+from unicodedata import is_normalized
 
 import numpy as np
 import pyarrow as pa
@@ -19,41 +20,58 @@ from pyspark.sql import functions as F
 
 from tallymark.llm.common import cut, pick, slices
 
-MEMO, STEP_BYTES = 300_000, 4 << 20
+#: Distinct chunks and distinct words that a worker remembers before it starts anew, and the text of one step.
+MEMO, BARE, STEP_BYTES = 400_000, 600_000, 4 << 20
+#: Marks that may close a word; a run of them is one word to the vocabulary.
+MARKS = ".,;:!?*$%&#|"
 
 
 class Ids:
     """Token ids, as little-endian bytes, of texts whose vocabulary drops white space: what stands between two
-    white spaces is encoded by itself, the same in each text, so each distinct chunk is encoded once."""
+    white spaces is encoded by itself, the same in each text, so each distinct chunk is encoded once. A chunk of letters
+    and closing marks is put together from its lower-case letters and its marks, as the vocabulary does."""
 
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
         self.memo: dict[str, bytes] = {}
         self.bare: dict[str, bytes] = {}
 
     def encode(self, chunks: list[str]) -> list[bytes]:
         return [np.array(x.ids, "<u4").tobytes() for x in self.tokenizer.encode_batch_fast(chunks, add_special_tokens=False)]
 
+    def encode_bare(self, pieces: list[str]) -> list[bytes]:
+        """Of pieces that are one word to the vocabulary each: encoded in a line, cut after each word's last token."""
+        got = np.array(self.tokenizer.encode_batch_fast([" ".join(pieces)], add_special_tokens=False)[0].ids, "<u4")
+        at = (np.flatnonzero(self.ends[got]) + 1).tolist()
+        if len(at) != len(pieces):
+            return self.encode(pieces)
+        return [got[s:e].tobytes() for s, e in zip([0, *at], at)]
+
     def learn(self, chunks: set[str]) -> None:
-        """A chunk with plain ASCII letters and one closing mark is known by its lower-case letters and that mark."""
-        simple, bare = {}, self.bare
+        simple, rest, bare = [], [], self.bare
         for x in chunks:
-            end = x[-1] if x[-1] in ".,!?;:" else ""
-            stem = (x[:-1] if end else x).lower()
-            if stem.isascii() and stem.isalpha():
-                simple[x] = stem, end
-        unseen = list({y for x in simple.values() for y in x if y and y not in bare})
-        bare.update(zip(unseen, self.encode(unseen)))
-        self.memo.update((x, bare[stem] + (bare[end] if end else b"")) for x, (stem, end) in simple.items())
-        rest = [x for x in chunks if x not in simple]
+            stem = x.rstrip(MARKS)
+            if stem.isalpha() and "\u03a3" not in stem and is_normalized("NFC", stem):
+                simple.append((x, stem.lower(), x[len(stem) :]))
+            else:
+                rest.append(x)
+        unseen = list({y for x in simple for y in x[1:] if y and y not in bare})
+        if unseen:
+            bare.update(zip(unseen, self.encode_bare(unseen)))
+        self.memo.update([(x, bare[stem] + bare[end] if end else bare[stem]) for x, stem, end in simple])
         self.memo.update(zip(rest, self.encode(rest)))
 
     def __call__(self, texts: list[str | None]) -> list[bytes]:
-        if len(self.memo) + len(self.bare) > MEMO:
-            self.memo, self.bare = {}, {}
+        if len(self.memo) > MEMO:
+            self.memo = {}
+        if len(self.bare) > BARE:
+            self.bare = {}
         parts = [(x or "").split() for x in texts]
         unseen: set[str] = set()
         for x in parts:
