@@ -50,12 +50,11 @@ def like(df: DataFrame, query: str) -> DataFrame:
 
 
 def needs_summary(df: DataFrame) -> DataFrame:
-    """Without a summary, and recent or of a kind that has one; the kinds in their order within a year."""
-    kinds = ["ACA_%", "SCA_%", "PROP_%"]
-    is_kind = [F.coalesce(F.col("measure_id").ilike(k), F.lit(False)) for k in kinds]
-    rank = F.when(is_kind[0], 1).when(is_kind[1], 2).when(is_kind[2], 3).otherwise(4)
-    wanted = df.where(~F.col("has_summary") & ((F.col("year") >= 2020) | is_kind[0] | is_kind[1] | is_kind[2]))
-    return wanted.withColumn("kind_rank", rank)
+    """Without a summary, and recent or of a kind that has one (the id has a character after ACA, SCA or PROP, in any
+    case); kind_rank puts the kinds in their order."""
+    kind = F.upper(F.regexp_extract(F.coalesce("measure_id", F.lit("")), "(?is)^(ACA|SCA|PROP).", 1))
+    rank = F.get(F.array(*[F.lit(i) for i in (4, 1, 2, 3)]), F.array_position(F.array(*[F.lit(k) for k in ("ACA", "SCA", "PROP")]), kind).cast("int"))
+    return df.where(~F.col("has_summary")).withColumn("kind_rank", rank).where((F.col("year") >= 2020) | (F.col("kind_rank") < 4))
 
 
 def has_new_data(old: str, new: str, fields: list[str]) -> Column:

@@ -55,12 +55,13 @@ def coverage_by_year(df: DataFrame, since: int = 2020) -> DataFrame:
     return got.withColumn("coverage", percent(F.col("with_summary"), F.col("total"), 1))
 
 
+KINDS = ["ACA", "SCA", "PROP", "MEASURE"]
+
+
 def kind() -> Column:
-    """ACA, SCA, PROP, MEASURE or Other, by the id's or identifier's beginning."""
-    out = F.lit("Other")
-    for k in ("MEASURE", "PROP", "SCA", "ACA"):
-        out = F.when(F.col("identifier").startswith(k), k).otherwise(out)
-    return out
+    """ACA, SCA, PROP, MEASURE or Other, by the identifier's beginning."""
+    lead = F.regexp_extract("identifier", f"^({'|'.join(KINDS)})", 1)
+    return F.get(F.array(*[F.lit(k) for k in ["Other", *KINDS]]), F.array_position(F.array(*[F.lit(k) for k in KINDS]), lead).cast("int"))
 
 
 def coverage_by_kind(df: DataFrame) -> DataFrame:

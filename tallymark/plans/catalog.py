@@ -29,10 +29,10 @@ def over(build: Callable[[DataFrame], DataFrame], *, keyed: bool = False) -> Que
 
 
 def batch(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    """Two thirds of the measures as what is there, a third as what comes in (every other of those a changed copy of one
-    that is there)."""
+    """Two thirds of the measures as what is there; the others, and changed copies of some that are there, as what comes."""
     all_ = facade.keyed(spark, d).withColumns({"update_count": F.lit(0), "master_id": F.lit(None).cast("long")})
-    return all_.where("id % 3 <> 0"), all_.where("id % 3 = 0")
+    changed = all_.where("id % 15 = 1").withColumns({"id": F.col("id") + 10_000_000, "description": F.lit("Changed"), "yes_votes": F.col("yes_votes") + 1})
+    return all_.where("id % 3 <> 0"), all_.where("id % 3 = 0").unionByName(changed)
 
 
 def ids(df: DataFrame, *more: str) -> DataFrame:

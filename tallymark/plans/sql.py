@@ -30,7 +30,7 @@ mastered AS (SELECT *, count(*) OVER g AS group_size, first_value(id) OVER (PART
 DEDUPED = MASTERS + """,
 deduped AS (SELECT id, data_source, group_size > 1 AND id <> master AS is_duplicate, CASE WHEN group_size > 1 AND id <> master THEN 'cross_source' END AS duplicate_type, CASE WHEN group_size > 1 AND id <> master THEN master END AS master_id FROM mastered
  UNION ALL SELECT id, data_source, is_duplicate, duplicate_type, NULL FROM keyed WHERE is_duplicate)"""
-BATCHES = """existing AS (SELECT * FROM keyed WHERE id % 3 <> 0), incoming AS (SELECT * FROM keyed WHERE id % 3 = 0),
+BATCHES = """existing AS (SELECT * FROM keyed WHERE id % 3 <> 0), incoming AS (SELECT * FROM keyed WHERE id % 3 = 0 UNION ALL SELECT * REPLACE (id + 10000000 AS id, 'Changed' AS description, yes_votes + 1 AS yes_votes) FROM keyed WHERE id % 15 = 1),
 by_print AS (SELECT fingerprint, min(id) AS a FROM existing GROUP BY 1), by_content AS (SELECT content_hash, min(id) AS b FROM existing WHERE NOT is_duplicate GROUP BY 1), by_measure AS (SELECT measure_fingerprint, min(id) AS c FROM existing WHERE NOT is_duplicate GROUP BY 1)"""
 
 

@@ -44,7 +44,10 @@ def backup(df: DataFrame, folder: str, now: datetime) -> str:
 
 #: Counters of a run that are logged.
 RUN_COUNTERS = ["measures_found", "measures_new", "measures_updated", "duplicates_found", "pages_scraped", "errors"]
-RUN = T._parse_datatype_string("run_id string, source string, started_at timestamp, completed_at timestamp, status string, " + ", ".join(f"{c} long" for c in RUN_COUNTERS))
+RUN = T.StructType([
+    *[T.StructField(c, T.StringType()) for c in ("run_id", "source")], *[T.StructField(c, T.TimestampType()) for c in ("started_at", "completed_at")],
+    T.StructField("status", T.StringType()), *[T.StructField(c, T.LongType()) for c in RUN_COUNTERS],
+])
 
 
 def log_run(spark, path: str, run_id: str, source: str, started: datetime, status: str, completed: datetime | None = None, **counters: int) -> None:

@@ -124,7 +124,7 @@ def ceda(df: DataFrame, file: str | None = None, file_year: str | None = None) -
     passed = F.when(F.lower("pass_fail") == "pass", 1).when(F.lower("pass_fail") == "fail", 0)
     return own.select(
         "input_file", "measure_id", "measure_letter", F.coalesce(year_within(F.col("year"), 1900, 2100), year_within(F.col("file_year"), 1900, 2100)).alias("year"), F.lit("CA").alias("state"), county.alias("county"), "jurisdiction",
-        title.alias("title"), F.col("measure_text").alias("ballot_question"), *[F.col(c).cast("long").alias(c) for c in ("yes_votes", "no_votes", "total_votes")], "percent_yes", passed.alias("passed"), "pass_fail", "measure_type",
+        title.alias("title"), F.lit(None).cast("string").alias("description"), F.col("measure_text").alias("ballot_question"), *[F.col(c).cast("long").alias(c) for c in ("yes_votes", "no_votes", "total_votes")], "percent_yes", passed.alias("passed"), "pass_fail", "measure_type",
         F.col("rec_type_name").alias("category_type"), F.col("rec_topic_name").alias("category_topic"), "election_date", F.lit("CEDA").alias("data_source"),
     )
 
