@@ -57,8 +57,10 @@ class Ids:
         simple, rest, bare = [], [], self.bare
         for x in chunks:
             stem = x.rstrip(MARKS)
-            if stem.isalpha() and "\u03a3" not in stem and is_normalized("NFC", stem):
-                simple.append((x, stem.lower(), x[len(stem) :]))
+            low = stem.lower()
+            # letters before and after: a letter in lower case can be more than letters
+            if stem.isalpha() and low.isalpha() and "\u03a3" not in stem and is_normalized("NFC", stem):
+                simple.append((x, low, x[len(stem) :]))
             else:
                 rest.append(x)
         unseen = list({y for x in simple for y in x[1:] if y and y not in bare})
