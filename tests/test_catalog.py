@@ -1,7 +1,7 @@
 """Every query of the catalogue gives the rows that its SQL gives in DuckDB."""
 
 import pytest
-from conftest import same
+from support import same
 
 from tallymark.plans import catalog
 
