@@ -50,6 +50,19 @@ def cut(df: DataFrame) -> DataFrame:
     return done
 
 
+def cut_by(df: DataFrame, parts: int, key: str) -> DataFrame:
+    """A checkpoint dealt out by a key that later joins on the key use as it is: its rows don't move again. Spark remembers
+    how a checkpoint is dealt out only if its plan was fixed beforehand, so this one is not planned adaptively, and only if
+    the optimizer keeps the key's name apart from its source's, so the key has another name in it."""
+    conf, name = df.sparkSession.conf, "spark.sql.adaptive.enabled"
+    before = conf.get(name)
+    conf.set(name, "false")
+    try:
+        return cut(df.withColumnRenamed(key, "_dealt_by").repartition(parts, "_dealt_by")).withColumnRenamed("_dealt_by", key)
+    finally:
+        conf.set(name, before)
+
+
 def slices(batches: Iterator[pa.RecordBatch], column: str, max_bytes: int) -> Iterator[pa.RecordBatch]:
     """Record batches cut so that `column` holds about `max_bytes` in each, one row at least."""
     import numpy as np

@@ -30,14 +30,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tallymark.llm.common import cut, partitions, pick, slices
-from tallymark.llm.spans import U, Words, grams, layout
+from tallymark.llm.common import cut, cut_by, partitions, pick, slices
+from tallymark.llm.spans import U, Words, grams, layout, scramble
 
 WINDOW, GRAM = 13, 6
 STEP_BYTES = 2 << 20
-ROUTED = "kind int, bucket int, doc_id long, a binary, b binary"
-NAMES = ["kind", "bucket", "doc_id", "a", "b"]
-#: Kinds of rows: entries for a hash range, findings for a document.
+#: Rows that carry many keys (a) and doc_ids (b, compressed): entries for a hash range, or findings for a group of documents.
+ROUTED = "kind int, bucket int, a binary, b binary"
+NAMES = ["kind", "bucket", "a", "b"]
 ENTRIES, FINDINGS = 0, 1
 
 
@@ -72,39 +72,45 @@ def split(keys: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np
     return keys, ids, first, shared
 
 
-def to_buckets(keys: np.ndarray, ids: np.ndarray, buckets: int) -> list[tuple]:
-    """Rows of entries, one for each hash range that has any."""
-    lead = keys if keys.ndim == 1 else keys[:, 0]
-    bucket = ((lead >> U(32)) % U(buckets)).astype("i8")
+def dealt_out(kind: int, by: np.ndarray, keys: np.ndarray, ids: np.ndarray, buckets: int) -> list[tuple]:
+    """A row for each bucket that has any; `by` decides on the bucket."""
+    bucket = ((by >> U(32)) % U(buckets)).astype("i8")
     order = np.lexsort((ids, bucket))
     keys, ids, bucket = keys[order], ids[order], bucket[order]
     at = runs_of(bucket)
     press = zstandard.ZstdCompressor(level=1)
-    return [(ENTRIES, int(bucket[s]), None, keys[s:e].tobytes(), press.compress(np.diff(ids[s:e], prepend=0).tobytes())) for s, e in zip(at[:-1], at[1:])]
+    return [(kind, int(bucket[s]), keys[s:e].tobytes(), press.compress(np.diff(ids[s:e], prepend=0).tobytes())) for s, e in zip(at[:-1], at[1:])]
 
 
-def to_documents(keys: np.ndarray, ids: np.ndarray) -> list[tuple]:
-    """Rows of findings, one for each document that has any."""
-    order = np.argsort(ids, kind="stable")
-    keys, ids = keys[order], ids[order]
-    at = runs_of(ids)
-    return [(FINDINGS, None, int(ids[s]), keys[s:e].tobytes(), None) for s, e in zip(at[:-1], at[1:])]
+def to_buckets(keys: np.ndarray, ids: np.ndarray, buckets: int) -> list[tuple]:
+    """Entries by hash range."""
+    return dealt_out(ENTRIES, keys if keys.ndim == 1 else keys[:, 0], keys, ids, buckets)
+
+
+def to_documents(keys: np.ndarray, ids: np.ndarray, buckets: int) -> list[tuple]:
+    """Findings by document."""
+    return dealt_out(FINDINGS, scramble(ids.astype("i8").view("u8")), keys, ids, buckets)
 
 
 def rows(out: list[tuple]) -> pa.RecordBatch:
-    kinds = [pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.binary()]
-    return pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*out) if out else [[]] * 5, kinds)], NAMES)
+    kinds = [pa.int32(), pa.int32(), pa.binary(), pa.binary()]
+    return pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*out) if out else [[]] * 4, kinds)], NAMES)
 
 
-def by_bucket(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """Entries of each hash range; its rows come one after the other."""
+def by_bucket(batches: Iterator[pa.RecordBatch], width: int, kind: int = ENTRIES) -> Iterator[tuple[np.ndarray, np.ndarray] | pa.RecordBatch]:
+    """Keys and ids of each bucket, whose rows come one after the other; rows of the other kind are handed on as they are."""
     unpress, now, keys, ids = zstandard.ZstdDecompressor(), None, [], []
 
-    def done() -> tuple[int, np.ndarray, np.ndarray]:
+    def done() -> tuple[np.ndarray, np.ndarray]:
         k = np.frombuffer(b"".join(keys), "<u8")
-        return now, k.reshape(-1, width) if width > 1 else k, np.concatenate(ids)
+        return k.reshape(-1, width) if width > 1 else k, np.concatenate(ids)
 
     for batch in batches:
+        entry = pc.equal(batch.column("kind"), kind)
+        found = batch.filter(pc.invert(entry))
+        if len(found):
+            yield found
+        batch = batch.filter(entry)
         for bucket, a, b in zip(batch.column("bucket").to_pylist(), batch.column("a"), batch.column("b")):
             if bucket != now and keys:
                 yield done()
@@ -117,6 +123,7 @@ def by_bucket(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[tuple[i
 
 
 def dealt(entries: DataFrame, buckets: int) -> DataFrame:
+    """Each bucket in one place."""
     return entries.repartition(buckets, "bucket").sortWithinPartitions("bucket")
 
 
@@ -132,31 +139,43 @@ def fingerprint_run(docs: DataFrame, buckets: int) -> DataFrame:
             new = np.ones(len(h), bool)
             new[1:] = (h[1:] != h[:-1]) | (ids[1:] != ids[:-1])
             keys, ids, first, shared = split(h[new], ids[new])
-            yield rows(to_buckets(keys[first], ids[first], buckets) + to_documents(keys[shared], ids[shared]))
+            yield rows(to_buckets(keys[first], ids[first], buckets) + to_documents(keys[shared], ids[shared], buckets))
 
     return docs.where(F.col("doc_id").isNotNull()).select("doc_id", "text").mapInArrow(run, ROUTED)
 
 
-def merge(entries: DataFrame, buckets: int) -> DataFrame:
-    """Merge-joins the runs of each hash range. Entries: the compacted run. Findings: fingerprints of two documents."""
+def merge(entries: DataFrame, buckets: int, last: bool = False) -> DataFrame:
+    """Merge-joins the runs of each hash range. Entries: the compacted run, unless this was the `last` batch.
+    Findings: fingerprints of two documents or more, beside those that came along."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, keys, ids in by_bucket(batches, 1):
-            keys, ids, first, shared = split(keys, ids)
-            yield rows(to_buckets(keys[first], ids[first], buckets) + to_documents(keys[shared], ids[shared]))
+        for part in by_bucket(batches, 1):
+            if isinstance(part, pa.RecordBatch):
+                yield part.select(NAMES)
+                continue
+            keys, ids, first, shared = split(*part)
+            yield rows(([] if last else to_buckets(keys[first], ids[first], buckets)) + to_documents(keys[shared], ids[shared], buckets))
 
     return dealt(entries, buckets).mapInArrow(run, ROUTED)
 
 
-def for_documents(findings: DataFrame) -> DataFrame:
-    """As many keys as a document has windows at most, some of them a few times."""
-    return findings.groupBy("doc_id").agg(F.collect_list("a").alias("found"))
+def for_documents(findings: DataFrame, buckets: int) -> DataFrame:
+    """(doc_id, found): all that was found for a document, no more keys than it has windows, some of them a few times."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for keys, ids in by_bucket(batches, 1, FINDINGS):
+            order = np.argsort(ids, kind="stable")
+            keys, ids = keys[order], ids[order]
+            at = runs_of(ids)
+            yield pa.RecordBatch.from_arrays([pa.array(ids[at[:-1]]), pa.array([keys[s:e].tobytes() for s, e in zip(at[:-1], at[1:])], pa.binary())], ["doc_id", "found"])
+
+    return dealt(findings, buckets).mapInArrow(run, "doc_id long, found binary")
 
 
-def known(words_doc: np.ndarray, h: np.ndarray, found: list[list[bytes] | None]) -> np.ndarray:
+def known(words_doc: np.ndarray, h: np.ndarray, found: list[bytes | None]) -> np.ndarray:
     """Which of the hashes h (of the texts words_doc) are among what was found for their text. The text's number is
     folded into the hash; a chance hit costs a verification here and is as unlikely as any."""
-    own = [np.frombuffer(b"".join(x), "<u8") for x in ((y or []) for y in found)]
+    own = [np.frombuffer(x or b"", "<u8") for x in found]
     sizes = [len(x) for x in own]
     if not sum(sizes):
         return np.zeros(len(h), bool)
@@ -167,14 +186,9 @@ def known(words_doc: np.ndarray, h: np.ndarray, found: list[list[bytes] | None])
     return want[at] == mine
 
 
-class Window:
-    """Windows of a step's texts by two hashes."""
-
-    def __init__(self, words: Words):
-        self.words, self.h, self.v = words, words.hashes(0), words.hashes(1)
-
-    def pair(self, at: np.ndarray) -> np.ndarray:
-        return np.stack([grams(self.h, WINDOW, 0, at), grams(self.v, WINDOW, 1, at)], 1)
+def window_pairs(words: Words, at: np.ndarray) -> np.ndarray:
+    """Two independent hashes of the windows that begin at the words `at`."""
+    return np.stack([grams(words.hashes(i), WINDOW, i, at) for i in (0, 1)], 1)
 
 
 def kept_words(text: bytes | None, keep: np.ndarray | None) -> bytes:
@@ -182,65 +196,63 @@ def kept_words(text: bytes | None, keep: np.ndarray | None) -> bytes:
     return b" ".join(own if keep is None else compress(own, keep.tolist()))
 
 
-def verify(docs: DataFrame, candidates: DataFrame, buckets: int, rest: T.StructType) -> DataFrame:
-    """For documents with candidates: entries (two hashes of a window, smallest doc_id of a step), and the document with
-    the windows that a smaller doc_id of the step has. For others: what is known of them already (n_words)."""
-    schema = T._parse_datatype_string(ROUTED + ", text binary, n_words long").add("rest", rest)
+def verify(docs: DataFrame, candidates: DataFrame, buckets: int) -> DataFrame:
+    """Of documents with candidates. Entries: two hashes of a window and the smallest doc_id of the step that has it.
+    Findings: windows that a smaller doc_id of the same step has."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, "text", STEP_BYTES):
             words = Words(*layout(part.column("text")))
-            ids = pc.fill_null(part.column("doc_id"), 0).to_numpy(zero_copy_only=False)
+            ids = part.column("doc_id").to_numpy(zero_copy_only=False)
             at, h = least_grams(words)
             at = at[known(words.doc[at], h, part.column("found").to_pylist())]
-            keys, own, first, shared = split(Window(words).pair(at), ids[words.doc[at]])
-            least = np.maximum.accumulate(np.where(first, np.arange(len(own)), 0))
-            later = own > own[least] if len(own) else first
-            local = dict(((r[2], r[3]) for r in to_documents(keys[later][:, 0], own[later])))
-            has = np.zeros(len(ids), bool)
-            has[words.doc[at]] = True
-            out = to_buckets(keys[first], own[first], buckets)
-            n = len(out)
-            sent = rows(out)
-            none = pa.nulls(n)
-            yield pa.RecordBatch.from_arrays([*sent.columns, none.cast(pa.binary()), none.cast(pa.int64()), pa.nulls(n, part.column("rest").type)], [*NAMES, "text", "n_words", "rest"])
-            blobs = [local.get(i) if c else None for i, c in zip(ids.tolist(), has.tolist())]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.where(has, 1, 2).astype("i4")), pa.nulls(len(ids), pa.int32()), part.column("doc_id"), pa.array(blobs, pa.binary()), pa.nulls(len(ids), pa.binary()), part.column("text"), pa.array(words.n.astype("i8")), part.column("rest")],
-                [*NAMES, "text", "n_words", "rest"],
-            )
-
-    return docs.join(candidates, "doc_id", "left").select("doc_id", "text", "rest", "found").mapInArrow(run, schema)
+            keys, own, first, _ = split(window_pairs(words, at), ids[words.doc[at]])
+            later = behind(own, first)
+            # windows that a document has twice are sent once
+            yield rows(to_buckets(keys[first], own[first], buckets) + to_documents(keys[later][:, 0], own[later], buckets))
+
+    return docs.join(candidates, "doc_id").select("doc_id", "text", "found").mapInArrow(run, ROUTED)
+
+
+def behind(ids: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Which sorted entries have a larger id than the first of their key."""
+    return ids > ids[np.maximum.accumulate(np.where(first, np.arange(len(ids)), 0))] if len(ids) else first
 
 
 def repeated(entries: DataFrame, buckets: int) -> DataFrame:
     """Findings: windows of a document that a smaller doc_id has too."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, keys, ids in by_bucket(batches, 2):
-            keys, ids, first, _ = split(keys, ids)
-            least = np.maximum.accumulate(np.where(first, np.arange(len(ids)), 0))
-            later = ids > ids[least]
-            yield rows(to_documents(keys[later][:, 0], ids[later]))
+        for part in by_bucket(batches, 2):
+            if isinstance(part, pa.RecordBatch):
+                yield part.select(NAMES)
+                continue
+            keys, ids, first, _ = split(*part)
+            later = behind(ids, first)
+            yield rows(to_documents(keys[later][:, 0], ids[later], buckets))
 
     return dealt(entries, buckets).mapInArrow(run, ROUTED)
 
 
 def removal(docs: DataFrame, schema: T.StructType, make: Callable) -> DataFrame:
-    """Applies the findings (columns a and found) of each row's document to its words."""
+    """Applies what was found (column found) of each row's document to its words. A later copy loses all its words, if it
+    has a window."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, "text", STEP_BYTES):
             words = Words(*layout(part.column("text")))
-            found = [(x or []) + ([y] if y else []) for x, y in zip(part.column("found").to_pylist(), part.column("a").to_pylist())]
+            found = part.column("found").to_pylist()
             hit = np.zeros(len(words.doc) + 1, "i4")
             if any(found):
                 at = words.windows(WINDOW)
                 at = at[known(words.doc[at], grams(words.hashes(0), WINDOW, 0, at), found)]
                 hit[: len(words.doc)] += np.bincount(at, minlength=len(words.doc)).astype("i4")
-                np.subtract.at(hit, at + WINDOW, 1)
+                hit -= np.bincount(at + WINDOW, minlength=len(hit)).astype("i4")
             gone = np.cumsum(hit)[:-1] > 0
-            n = np.add.reduceat(np.append(gone, False).astype("i8"), words.first[:-1]) * (words.n > 0) if len(words.n) else words.n
+            copy = pc.fill_null(part.column("copy"), False).to_numpy(zero_copy_only=False)
+            gone |= np.repeat(copy & (words.n >= WINDOW), words.n)
+            upto = np.concatenate(([0], np.cumsum(gone)))
+            n = upto[words.first[1:]] - upto[words.first[:-1]]
             keep = [~gone[s:e] if k else None for s, e, k in zip(words.first[:-1], words.first[1:], n)]
             kept = [kept_words(t, k) for t, k in zip(part.column("text").to_pylist(), keep)]
             yield make(part, words.n, n, kept)
@@ -258,44 +270,55 @@ def text_rows(part: pa.RecordBatch, n_words: np.ndarray, n_removed: np.ndarray,
     return pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(n_words.astype("i8")), pa.array(n_removed.astype("i8")), pa.array(texts, pa.binary()), part.column("rest")], ["doc_id", "n_words", "n_removed", "text", "rest"])
 
 
-def index(docs: DataFrame, batches: int, buckets: int) -> tuple[DataFrame, DataFrame]:
-    """(candidates, history): takes in all documents in batches of rising doc_id. Each run and each compacted history is
-    a checkpoint; a history could be kept, and later batches added to it by merge()."""
-    ids = docs.where(F.col("doc_id").isNotNull()).select("doc_id")
-    q = ids.approxQuantile("doc_id", [(i + 1) / batches for i in range(batches - 1)], 0.001) if batches > 1 else []
+def index(docs: DataFrame, batches: int, buckets: int, keep: bool = False) -> tuple[DataFrame, DataFrame | None]:
+    """(candidates, history): takes in all documents in batches of rising doc_id. Each compacted history is a checkpoint;
+    with `keep` the last is returned, and later batches can be added to it by merge()."""
+    q = docs.approxQuantile("doc_id", [(i + 1) / batches for i in range(batches - 1)], 0.001) if batches > 1 else []
     cuts = [None, *sorted({int(x) for x in q}), None]
     history, candidates = None, None
-    for lo, hi in zip(cuts[:-1], cuts[1:]):
+    for i, (lo, hi) in enumerate(zip(cuts[:-1], cuts[1:])):
         batch = docs
         batch = batch.where(F.col("doc_id") > lo) if lo is not None else batch
         batch = batch.where(F.col("doc_id") <= hi) if hi is not None else batch
-        run = cut(fingerprint_run(batch, buckets))
-        own = run.where(F.col("kind") == ENTRIES)
-        merged = cut(merge(own if history is None else own.unionByName(history), buckets))
-        history = merged.where(F.col("kind") == ENTRIES)
-        found = run.where(F.col("kind") == FINDINGS).unionByName(merged.where(F.col("kind") == FINDINGS)).select("doc_id", "a")
+        run, last = fingerprint_run(batch, buckets), not keep and i == len(cuts) - 2
+        merged = cut(merge(run if history is None else run.unionByName(history), buckets, last))
+        history = None if last else merged.where(F.col("kind") == ENTRIES)
+        found = merged.where(F.col("kind") == FINDINGS)
         candidates = found if candidates is None else candidates.unionByName(found)
     return candidates, history
 
 
+def later_copies(docs: DataFrame) -> DataFrame:
+    """(doc_id, copy) of documents whose text a smaller doc_id has whole. They are nobody's first source, and lose all their
+    words, so they need no search. Texts are compared by their 128-bit digests; a group of any size is one partial sum.
+    A doc_id with several rows is left to the search."""
+    own = cut(docs.groupBy("doc_id").agg(F.count("*").alias("n"), F.max(F.md5("text")).alias("digest")).where("n = 1").select("doc_id", "digest"))
+    first = cut(own.groupBy("digest").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")).where("n > 1").select("digest", "first"))
+    return own.join(first, "digest").where("doc_id > first").select("doc_id", F.lit(True).alias("copy"))
+
+
 def deduplicate(docs: DataFrame, batches: int = 2, texts: bool = False, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, n_words, n_removed and kept_sha256 of each row, or with `texts` doc_id, n_words, n_removed, text and rest
     (a struct of the row's other columns)."""
     others = [c for c in docs.columns if c not in (doc_id, text)]
     own = pick(docs, doc_id=doc_id, text=text, **({f"c{i}": c for i, c in enumerate(others)} if texts else {}))
-    own = own.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"), F.struct(F.lit(0).alias("_"), *[F.col(f"c{i}").alias(c) for i, c in enumerate(others)] if texts else []).alias("rest"))
-    rest = own.schema["rest"].dataType
+    own = own.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("binary"), F.lit(b"")).alias("text"), F.struct(F.lit(0).alias("_"), *[F.col(f"c{i}").alias(c) for i, c in enumerate(others)] if texts else []).alias("rest"))
     buckets = partitions(own)
-    candidates, _ = index(own, batches, buckets)
     named, unnamed = own.where(F.col("doc_id").isNotNull()), own.where(F.col("doc_id").isNull())
-    checked = cut(verify(named, for_documents(candidates), buckets, rest))
-    hits = cut(repeated(checked.where(F.col("kind") == ENTRIES).select("bucket", "a", "b"), buckets))
-    columns = ["doc_id", "text", "a", "found", "rest"]
-    with_hits = checked.where(F.col("kind") == 1).join(for_documents(hits), "doc_id", "left").select(columns)
-    without = checked.where(F.col("kind") == 2).select("doc_id", "text", "rest").unionByName(unnamed).select("doc_id", "text", F.lit(None).cast("binary").alias("a"), F.lit(None).cast("array<binary>").alias("found"), "rest")
+    # dealt by doc_id and written once: every later step joins its findings to this without moving a text again
+    base = cut_by(named, buckets, "doc_id")
+    copies = cut(later_copies(base.select("doc_id", "text")))
+    search = base.join(copies, "doc_id", "left_anti")
+    candidates, _ = index(search.select("doc_id", "text"), batches, buckets)
+    checked = cut(verify(search, for_documents(candidates, buckets), buckets))
+    del candidates
+    hits = cut(repeated(checked, buckets))
+    del checked
+    with_hits = base.join(copies, "doc_id", "left").join(for_documents(hits.where(F.col("kind") == FINDINGS), buckets), "doc_id", "left").select("doc_id", "text", "found", "copy", "rest")
+    without = unnamed.select("doc_id", "text", F.lit(None).cast("binary").alias("found"), F.lit(False).alias("copy"), "rest")
     schema = T._parse_datatype_string("doc_id long, n_words long, n_removed long, " + ("text binary" if texts else "kept_sha256 string"))
     if texts:
-        schema = schema.add("rest", rest)
+        schema = schema.add("rest", own.schema["rest"].dataType)
     make = text_rows if texts else digest_rows
     return removal(with_hits, schema, make).unionByName(removal(without, schema, make))
 
