@@ -100,5 +100,18 @@ def without_pdf_note(text: Column) -> Column:
     return F.regexp_replace(text, r"(?i)\s*\(PDF\)\s*$", "")
 
 
+def iso(time: Column) -> Column:
+    return F.date_format(time, "yyyy-MM-dd'T'HH:mm:ss")
+
+
+def from_iso(text: Column) -> Column:
+    """A time, null if the text is none."""
+    return F.try_to_timestamp(text)
+
+
+def with_commas(n: Column) -> Column:
+    return F.format_number(n, 0)
+
+
 def truncated(text: Column, length: int) -> Column:
     return F.substring(text, 1, length)

@@ -80,8 +80,9 @@ def upsert(existing: DataFrame, incoming: DataFrame, as_of: str) -> DataFrame:
         values["updated_at"] = F.when(hit, F.lit(as_of).cast(existing.schema["updated_at"].dataType)).otherwise(F.col("updated_at")).alias("updated_at")
     updated = joined.select([values.get(c, F.col(c)) if c != "update_count" else (F.col(c) + hit.cast("int")).alias(c) for c in existing.columns])
     fresh = found.where("match_type <> 'exact'")
+    new = fresh
     for name in ("content", "cross_source"):
-        fresh = fresh.join(_key_map(batch.join(fresh.select("id"), "id", "left_semi"), KEYS[name], f"b_{name}"), F.col(KEYS[name]) == F.col(f"_b_{name}"), "left").drop(f"_b_{name}")
+        fresh = fresh.join(_key_map(new, KEYS[name], f"b_{name}"), F.col(KEYS[name]) == F.col(f"_b_{name}"), "left").drop(f"_b_{name}")
     earlier = lambda n: F.when(F.col(f"b_{n}") < F.col("id"), F.col(f"b_{n}"))
     kind = F.when(F.col("match_type") == "content", "content").when(earlier("content").isNotNull(), "content").when(F.col("match_type") == "cross_source", "cross_source").when(earlier("cross_source").isNotNull(), "cross_source")
     master = F.when(F.col("match_type") == "content", F.col("matched_id")).when(earlier("content").isNotNull(), earlier("content")).when(F.col("match_type") == "cross_source", F.col("matched_id")).otherwise(earlier("cross_source"))

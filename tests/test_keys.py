@@ -69,6 +69,12 @@ def test_values(spark):
     assert one(spark, "Primary and general", values.election_type) == "General"
 
 
+def test_times(spark):
+    assert one(spark, "2020-01-02T03:04:05", lambda c: values.iso(values.from_iso(c))) == "2020-01-02T03:04:05"
+    assert one(spark, "soon", values.from_iso) is None
+    assert one(spark, 1234567, values.with_commas, "long") == "1,234,567"
+
+
 @pytest.mark.parametrize(("href", "url"), [("https://a/x", "https://a/x"), ("//b/x", "https://b/x"), ("/c", "https://h.org/c"), ("d.pdf", "https://h.org/p/d.pdf"), ("mailto:x", "mailto:x")])
 def test_links(spark, href, url):
     assert one(spark, href, lambda c: values.absolute_url(c, "https://h.org/p/i.html")) == url
