@@ -23,6 +23,14 @@ def fold(doc_id) -> F.Column:
     return F.pmod(F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")), F.lit(FOLDS))
 
 
+def lowest(df: DataFrame, mix: F.Column, rows: int, n: int) -> DataFrame:
+    """The `rows` rows whose hash `mix` (a signed long) is least; n: about how many there are. A first cut at a hash that
+    twice as many are expected to pass keeps what tasks send to the driver small, whatever the table's size."""
+    if n > 4 * rows:
+        df = df.where(mix < F.lit(int(-(1 << 63) + 2 * rows / n * (1 << 64))))
+    return df.orderBy(mix).limit(rows)
+
+
 def labelled(docs: DataFrame, labels: DataFrame, label: str, rows: int = SAMPLE_ROWS, longest: int = SAMPLE_BYTES) -> list[tuple[bytes, int]]:
     """At most `rows` texts of each class among the rows that may be learned from: those whose ids hash lowest.
     Rows without an id, a text or a label of 0 or 1 don't count."""
@@ -32,7 +40,8 @@ def labelled(docs: DataFrame, labels: DataFrame, label: str, rows: int = SAMPLE_
     out: list[tuple[bytes, int]] = []
     for y in (0, 1):
         # a few more ids than rows are wanted, for those without a fitting text; as many at any size of the input
-        ids = own.where(F.col("y") == y).orderBy(mix, "doc_id").limit(3 * rows).select("doc_id")
+        of_class = own.where(F.col("y") == y).select("doc_id")
+        ids = lowest(of_class, mix, 3 * rows, of_class.count())
         got = short.join(F.broadcast(ids), "doc_id", "left_semi").select(mix.alias("m"), F.col("text").cast("binary").alias("text")).orderBy("m", "text").limit(rows)
         out += [(bytes(r["text"]), y) for r in got.collect()]
     return out
@@ -41,8 +50,8 @@ def labelled(docs: DataFrame, labels: DataFrame, label: str, rows: int = SAMPLE_
 def drawn(docs: DataFrame, rows: int, longest: int = SAMPLE_BYTES) -> list[bytes]:
     """At most `rows` texts of all documents: those whose ids and texts hash lowest."""
     own = pick(docs, doc_id="doc_id", text="text").where(F.octet_length("text") <= longest)
-    mix = F.xxhash64(F.col("doc_id").cast("string"), F.lit("unlabelled"))
-    return [bytes(r["text"]) for r in own.select(mix.alias("m"), F.col("text").cast("binary").alias("text")).orderBy("m", "text").limit(rows).collect()]
+    mix = F.xxhash64(F.col("doc_id").cast("string"), F.lit("unlabelled"), F.col("text"))
+    return [bytes(r["text"]) for r in lowest(own.select("doc_id", "text"), mix, rows, docs.count()).select(F.col("text").cast("binary").alias("text")).collect()]
 
 
 def share_of_ones(labels: DataFrame, label: str) -> float:
@@ -79,8 +88,13 @@ class Scale:
     """Puts columns on one scale, in place; folds itself into weights afterwards. Columns that hardly vary stay small."""
 
     def __init__(self, x: np.ndarray):
-        self.mean = x.mean(0)
-        self.unit = 1 / (x.std(0) + np.where(np.arange(COLUMNS) < COLUMNS - STYLE, 2e-4, 1e-2))
+        total, square = np.zeros(x.shape[1]), np.zeros(x.shape[1])
+        for i in range(0, len(x), 256):  # no second matrix
+            part = x[i : i + 256].astype("f8")
+            total += part.sum(0)
+            square += (part * part).sum(0)
+        self.mean = (total / len(x)).astype("f4")
+        self.unit = 1 / (np.sqrt(np.maximum(square / len(x) - (total / len(x)) ** 2, 0)) + np.where(np.arange(COLUMNS) < COLUMNS - STYLE, 2e-4, 1e-2))
         self.unit[: COLUMNS - STYLE] /= np.sqrt(COLUMNS / 16)
         self.unit = self.unit.astype("f4")
 
@@ -131,19 +145,18 @@ def calibrate(scores: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[fl
 
 
 def logistic(rows: list[tuple[bytes, int]], prior: float) -> Linear:
-    """Logistic regression on four fifths of the rows, calibrated on the rest; classes weigh as `prior` has them."""
+    """Logistic regression on the first four fifths of the rows, calibrated on the rest; classes weigh as `prior` has them."""
     y = np.array([v for _, v in rows], "i8")
     if len(set(y.tolist())) < 2:
         return Linear(np.zeros(COLUMNS), 0.0, 1.0, float(np.log(prior / (1 - prior))))
-    x = matrix([t for t, _ in rows])
-    aside = np.arange(len(y)) % 5 == 4
-    scale = Scale(x[~aside])
+    x, k = matrix([t for t, _ in rows]), len(rows) - len(rows) // 5
+    scale = Scale(x[:k])
     x = scale.apply(x)
-    own = y[~aside]
-    even = np.where(own == 1, 0.5 / (own == 1).mean(), 0.5 / (own == 0).mean()) / len(own)
-    w, b = descend(x[~aside], lambda s: even * (sigmoid(s) - own))
-    weight = np.where(y == 1, prior / max((y == 1).mean(), 1e-9), (1 - prior) / max((y == 0).mean(), 1e-9))
-    slope, offset = calibrate((x @ w + b)[aside], y[aside], weight[aside])
+    own, rest = y[:k], y[k:]
+    even = np.where(own == 1, 0.5 / max((own == 1).mean(), 1e-9), 0.5 / max((own == 0).mean(), 1e-9)) / k
+    w, b = descend(x[:k], lambda s: even * (sigmoid(s) - own))
+    weight = np.where(rest == 1, prior / max((y == 1).mean(), 1e-9), (1 - prior) / max((y == 0).mean(), 1e-9))
+    slope, offset = calibrate(x[k:] @ w + b, rest, weight)
     return Linear(*scale.fold(w, b), slope, offset)
 
 
