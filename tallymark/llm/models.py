@@ -14,7 +14,7 @@ from tallymark.llm.features import COLUMNS, FAMILIES, STYLE, Texts
 
 #: Labelled rows of each class that a model is fitted on at most, and the longest text among them. Both bound what the
 #: driver holds; scoring knows no such bound.
-SAMPLE_ROWS, SAMPLE_BYTES = 1000, 32 << 10
+SAMPLE_ROWS, SAMPLE_BYTES = 800, 32 << 10
 #: Rows whose crc32(doc_id as text) leaves this remainder modulo FOLDS are held out of all fitting.
 FOLDS, HELD_OUT = 5, 0
 

@@ -18,11 +18,11 @@ from tallymark.llm import models
 from tallymark.llm.common import pick, slices
 from tallymark.llm.features import Texts
 
-STEP_BYTES = 2 << 20
+STEP_BYTES = 1 << 20
 THRESHOLD = 0.3
 
 
-def fit(docs: DataFrame, labels: DataFrame, unlabelled: int = 2000) -> models.Linear:
+def fit(docs: DataFrame, labels: DataFrame, unlabelled: int = 1200) -> models.Linear:
     rows = models.labelled(docs, labels, "quality")
     return models.positive_unlabelled([t for t, y in rows if y == 1], models.drawn(docs, unlabelled), models.share_of_ones(labels, "quality"), rows)
 

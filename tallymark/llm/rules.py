@@ -17,7 +17,7 @@ from tallymark.llm import models
 from tallymark.llm.common import pick, slices
 from tallymark.llm.features import SYMBOLS, Texts, counts
 
-STEP_BYTES = 2 << 20
+STEP_BYTES = 1 << 20
 LEAST_WORDS, MOST_REPEATED = 20, 30
 
 
