@@ -69,6 +69,8 @@ QUERIES |= {
     "active_sorted_page": over(lambda m: ids(filters.page(filters.active(m), 100, 50), "year")),
     "sort_votes": over(lambda m: ids(filters.sort(m, "votes").limit(40))),
     "sort_title": over(lambda m: ids(filters.sort(m, "title").limit(40))),
+    "sort_votes_all": over(lambda m: ids(filters.sort(m, "votes"))),
+    "sort_title_all": over(lambda m: ids(filters.sort(m, "title"))),
     "featured_split": over(lambda m: ids(filters.featured(filters.active(m)), "featured")),
     "get_measure": over(lambda m: m.where("id = 7").select("id", "title", "year")),
     "measure_identifier": over(lambda m: ids(m, "identifier"), keyed=True),

@@ -144,6 +144,8 @@ ORACLES: dict[str, str] = {
     "active_sorted_page": m(f"SELECT id, year FROM measures WHERE {ACTIVE} ORDER BY year DESC NULLS LAST, county NULLS FIRST, measure_letter NULLS FIRST, id LIMIT 100 OFFSET 50"),
     "sort_votes": m("SELECT id FROM measures ORDER BY coalesce(total_votes, 0) DESC, id LIMIT 40"),
     "sort_title": m(f"SELECT id FROM measures ORDER BY {NAMING}, id LIMIT 40"),
+    "sort_votes_all": m("SELECT id FROM measures ORDER BY coalesce(total_votes, 0) DESC, id"),
+    "sort_title_all": m(f"SELECT id FROM measures ORDER BY {NAMING}, id"),
     "featured_split": m(f"SELECT id, row_number() OVER (ORDER BY year DESC NULLS LAST, id) <= 5 AS featured FROM measures WHERE {ACTIVE}"),
     "get_measure": m("SELECT id, title, year FROM measures WHERE id = 7"),
     "measure_identifier": k("SELECT id, identifier FROM keyed"),
