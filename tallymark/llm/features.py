@@ -113,3 +113,15 @@ class Texts:
             np.cumsum(weights[k << BITS : k + 1 << BITS][col], out=upto[1:])
             total += (upto[end] - upto[begin[:-1]]) / np.maximum(end - begin[:-1], 1)
         return total
+
+    def softplus(self, weights: np.ndarray, bias: float) -> np.ndarray:
+        """Sums over the texts: their number, log(1 + exp(score)), its slope by the bias, and by each weight."""
+        style, families, s = self.style(), list(self.families()), self.scores(weights) + bias
+        d = 0.5 * (1 + np.tanh(0.5 * s))
+        by_weight = np.empty(COLUMNS)
+        by_weight[FAMILIES << BITS :] = d @ style
+        for k, (col, begin, end) in enumerate(families):
+            size, gap = end - begin[:-1], np.append(begin[1:-1], len(col))[: self.n] - end
+            each = np.repeat(np.stack([d / np.maximum(size, 1), np.zeros(self.n)], 1).ravel(), np.stack([size, gap], 1).ravel())
+            by_weight[k << BITS : k + 1 << BITS] = np.bincount(col, weights=each, minlength=1 << BITS)
+        return np.concatenate([[self.n, np.logaddexp(0, s).sum(), d.sum()], by_weight])

@@ -2,19 +2,22 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallymark.llm.common import pick
+from tallymark.llm.common import partitions, pick, slices
 from tallymark.llm.features import COLUMNS, FAMILIES, STYLE, Texts
 
 #: Labelled rows of each class that a model is fitted on at most, and the longest text among them. Both bound what the
 #: driver holds; scoring knows no such bound.
 SAMPLE_ROWS, SAMPLE_BYTES = 800, 32 << 10
+STEP_BYTES = 1 << 20
 #: Rows whose crc32(doc_id as text) leaves this remainder modulo FOLDS are held out of all fitting.
 FOLDS, HELD_OUT = 5, 0
 
@@ -47,11 +50,58 @@ def labelled(docs: DataFrame, labels: DataFrame, label: str, rows: int = SAMPLE_
     return out
 
 
-def drawn(docs: DataFrame, rows: int, longest: int = SAMPLE_BYTES) -> list[bytes]:
-    """At most `rows` texts of all documents: those whose ids and texts hash lowest."""
-    own = pick(docs, doc_id="doc_id", text="text").where(F.octet_length("text") <= longest)
-    mix = F.xxhash64(F.col("doc_id").cast("string"), F.lit("unlabelled"), F.col("text"))
-    return [bytes(r["text"]) for r in lowest(own.select("doc_id", "text"), mix, rows, docs.count()).select(F.col("text").cast("binary").alias("text")).collect()]
+def drawn(docs: DataFrame, rows: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """At most `rows` of all documents, those whose ids and texts hash lowest, as (columns, values) of their features. The
+    texts, of any length, stay with the tasks."""
+    own = pick(docs, doc_id="doc_id", text="text")
+    own = own.select(F.xxhash64(F.col("doc_id").cast("string"), F.lit("unlabelled"), F.col("text")).alias("m"), "text")
+    n = own.count()
+    least = lowest(own.select("m"), F.col("m"), rows, n).collect()
+    if len(least) < min(rows, n):  # many equal rows
+        least = own.select("m").orderBy("m").limit(rows).collect()
+    if not least:
+        return []
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in slices(batches, "text", STEP_BYTES):
+            for i in range(0, len(part), 200):
+                own = part.slice(i, 200)
+                x = Texts(own.column("text").cast(pa.binary())).matrix()
+                at = [np.flatnonzero(r) for r in x]
+                yield pa.RecordBatch.from_arrays([own.column("m"), pa.array([a.astype("u2").tobytes() for a in at], pa.binary()), pa.array([r[a].tobytes() for r, a in zip(x, at)], pa.binary())], ["m", "at", "value"])
+
+    got = own.where(F.col("m") <= max(r["m"] for r in least)).mapInArrow(run, "m long, at binary, value binary").orderBy("m").limit(rows)
+    return [(np.frombuffer(bytes(r["at"]), "u2"), np.frombuffer(bytes(r["value"]), "f4")) for r in got.collect()]
+
+
+def softplus(docs: DataFrame, weights: np.ndarray, bias: float) -> tuple[float, np.ndarray, float]:
+    """Means over all documents, long and empty ones too: log(1 + exp(score)) and its slopes by the weights and the bias.
+    Each task sends one sum; sums are added in a fixed order."""
+    sent = docs.sparkSession.sparkContext.broadcast((weights, bias))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(COLUMNS + 3)
+        for part in slices(batches, "text", STEP_BYTES):
+            if len(part):
+                total += Texts(part.column("text").cast(pa.binary())).softplus(*sent.value)
+        yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()], pa.int64()), pa.array([total.tobytes()], pa.binary())], ["task", "sums"])
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = sorted((t, s) for b in batches for t, s in zip(b.column("task").to_pylist(), b.column("sums").to_pylist()))
+        if rows:
+            total = np.zeros(COLUMNS + 3)
+            for _, s in rows:
+                total += np.frombuffer(s, "f8")
+            yield pa.RecordBatch.from_arrays([pa.array([rows[0][0]], pa.int64()), pa.array([total.tobytes()], pa.binary())], ["task", "sums"])
+
+    kind = "task long, sums binary"
+    tasks = pick(docs, text="text").mapInArrow(run, kind).repartition(partitions(docs), "task").mapInArrow(add, kind)
+    total = np.zeros(COLUMNS + 3)
+    for r in sorted(tasks.collect(), key=lambda r: r["task"]):
+        total += np.frombuffer(bytes(r["sums"]), "f8")
+    sent.unpersist()
+    total /= max(total[0], 1)
+    return float(total[1]), total[3:], float(total[2])
 
 
 def share_of_ones(labels: DataFrame, label: str) -> float:
@@ -110,12 +160,14 @@ class Scale:
 
 
 def descend(x: np.ndarray, slope_of, steps: int = 100, rate: float = 0.03, decay: float = 3e-3) -> tuple[np.ndarray, float]:
-    """Adam over all rows. slope_of(scores): the derivative of the mean loss by each row's score."""
+    """Adam over all rows. slope_of(scores, w, b): the derivative of the mean loss by each row's score, and what else the
+    slopes by the weights and the bias have."""
     w, b = np.zeros(x.shape[1], "f4"), 0.0
     m, v, mb, vb = np.zeros_like(w), np.zeros_like(w), 0.0, 0.0
     for t in range(1, steps + 1):
-        d = slope_of(x @ w + b).astype("f4")
-        g, gb = d @ x + decay * w, float(d.sum())
+        d, more, more_b = slope_of(x @ w + b, w, b)
+        d = d.astype("f4")
+        g, gb = d @ x + decay * w + more, float(d.sum()) + more_b
         m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
         mb, vb = 0.9 * mb + 0.1 * gb, 0.99 * vb + 0.01 * gb * gb
         c1, c2 = 1 - 0.9**t, 1 - 0.99**t
@@ -154,33 +206,62 @@ def logistic(rows: list[tuple[bytes, int]], prior: float) -> Linear:
     x = scale.apply(x)
     own, rest = y[:k], y[k:]
     even = np.where(own == 1, 0.5 / max((own == 1).mean(), 1e-9), 0.5 / max((own == 0).mean(), 1e-9)) / k
-    w, b = descend(x[:k], lambda s: even * (sigmoid(s) - own))
+    w, b = descend(x[:k], lambda s, w, b: (even * (sigmoid(s) - own), 0.0, 0.0))
     weight = np.where(rest == 1, prior / max((y == 1).mean(), 1e-9), (1 - prior) / max((y == 0).mean(), 1e-9))
     slope, offset = calibrate(x[k:] @ w + b, rest, weight)
     return Linear(*scale.fold(w, b), slope, offset)
 
 
-def positive_unlabelled(positive: list[bytes], unlabelled: list[bytes], prior: float, check: list[tuple[bytes, int]]) -> Linear:
+def positive_unlabelled(positive: list[bytes], unlabelled: list[tuple[np.ndarray, np.ndarray]], whole: Callable[[np.ndarray, float], tuple[float, np.ndarray, float]], prior: float, check: list[tuple[bytes, int]]) -> Linear:
     """Minimises the non-negative unbiased risk  prior * R_p(+) + max(0, R_u(-) - prior * R_p(-))  with the logistic loss.
-    Where the second part falls below zero its slope is turned round. `check`: labelled rows for calibration."""
+    Where the second part falls below zero its slope is turned round. `check`: labelled rows for calibration.
+
+    R_u(-) is that of all documents, which `whole` gives with its slopes for any weights. The rows `unlabelled` only lend it
+    their curvature: weights fitted on them are fitted again with R_u(-) of these rows tilted, so that its value and slopes
+    at the first weights are those of all documents. Where the risk of all documents rises instead, the step is shortened to
+    the least point of the parabola through both values and the first slope."""
     if not positive or not unlabelled:
         return Linear(np.zeros(COLUMNS), 0.0, 1.0, float(np.log(prior / (1 - prior))))
-    x = matrix(positive + unlabelled)
-    p = np.arange(len(x)) < len(positive)
+    n, m, decay = len(positive), len(unlabelled), 3e-3
+    x = np.zeros((n + m, COLUMNS), "f4")
+    for i in range(0, n, 200):
+        x[i : min(i + 200, n)] = matrix(positive[i : i + 200])
+    for i, (at, value) in enumerate(unlabelled):
+        x[n + i, at] = value
+    p = np.arange(len(x)) < n
     scale = Scale(x)
     x = scale.apply(x)
-    n, m = len(positive), len(unlabelled)
+    tilt = (0.0, np.zeros(COLUMNS, "f4"), 0.0)
 
-    def slope_of(s: np.ndarray) -> np.ndarray:
+    def slope_of(s: np.ndarray, w: np.ndarray, b: float) -> tuple[np.ndarray, np.ndarray, float]:
         sp, su = s[p], s[~p]
-        rest = np.logaddexp(0, su).mean() - prior * np.logaddexp(0, sp).mean()
+        rest = np.logaddexp(0, su).mean() + tilt[0] + float(tilt[1] @ w) + tilt[2] * b - prior * np.logaddexp(0, sp).mean()
         sign = 1.0 if rest >= 0 else -1.0
         d = np.empty(len(s))
         d[p] = (prior * (sigmoid(sp) - 1) if sign > 0 else 0) / n - sign * prior * sigmoid(sp) / n
         d[~p] = sign * sigmoid(su) / m
-        return d
-
-    w, b = descend(x, slope_of)
+        return d, sign * tilt[1], sign * tilt[2]
+
+    def of_all(w: np.ndarray, b: float) -> tuple[float, float, np.ndarray, float]:
+        """The risk and R_u(-) of all documents, and the slopes of the latter."""
+        loss, by_weight, by_bias = whole(*scale.fold(w, b))
+        sp = x[:n] @ w + b
+        risk = prior * np.logaddexp(0, -sp).mean() + max(0.0, loss - prior * np.logaddexp(0, sp).mean()) + decay / 2 * float(w @ w)
+        return risk, loss, ((by_weight - scale.mean * by_bias) * scale.unit).astype("f4"), by_bias
+
+    w, b = descend(x, slope_of, decay=decay)
+    risk, loss, by_weight, by_bias = of_all(w, b)
+    su = x[n:] @ w + b
+    d = sigmoid(su) / m
+    by_weight, by_bias = by_weight - d.astype("f4") @ x[n:], by_bias - float(d.sum())
+    tilt = (loss - np.logaddexp(0, su).mean() - float(by_weight @ w) - by_bias * b, by_weight, by_bias)
+    w1, b1 = descend(x, slope_of, decay=decay)
+    rise, part = of_all(w1, b1)[0] - risk, 1.0
+    if rise > 0:
+        d, more, more_b = slope_of(x @ w + b, w, b)
+        slope = float((d.astype("f4") @ x + decay * w + more) @ (w1 - w)) + (float(d.sum()) + more_b) * (b1 - b)
+        part = min(1.0, -slope / (2 * (rise - slope))) if slope < 0 else 0.0
+    w, b = w + np.float32(part) * (w1 - w), b + part * (b1 - b)
     weights, bias = scale.fold(w, b)
     slope, offset = 1.0, 0.0
     y = np.array([v for _, v in check], "i8")

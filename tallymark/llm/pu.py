@@ -1,9 +1,9 @@
 """Quality by positive-unlabelled learning.
 
 A linear model on hashed n-grams minimises the non-negative unbiased risk of trusted positives (rows labelled 1) and
-unlabelled texts (drawn from all documents), with the share of ones among the learnable labels as the class prior. Its
-scores are then calibrated on labelled rows. Samples are bounded (models.SAMPLE_ROWS positives, `unlabelled` others);
-held-out labels are never looked at. Without positives or documents the score is the prior. Null texts count as empty."""
+unlabelled texts (all documents, in two passes), with the share of ones among the learnable labels as the class prior. Its
+scores are then calibrated on labelled rows. Positives are at most models.SAMPLE_ROWS; `unlabelled` rows drawn from all
+documents lend the risk its curvature and are where fitting begins. Held-out labels are never looked at. Without positives or documents the score is the prior. Null texts count as empty."""
 
 from __future__ import annotations
 
@@ -24,7 +24,9 @@ THRESHOLD = 0.3
 
 def fit(docs: DataFrame, labels: DataFrame, unlabelled: int = 1200) -> models.Linear:
     rows = models.labelled(docs, labels, "quality")
-    return models.positive_unlabelled([t for t, y in rows if y == 1], models.drawn(docs, unlabelled), models.share_of_ones(labels, "quality"), rows)
+    positive = [t for t, y in rows if y == 1]
+    some = models.drawn(docs, unlabelled) if positive else []
+    return models.positive_unlabelled(positive, some, lambda w, b: models.softplus(docs, w, b), models.share_of_ones(labels, "quality"), rows)
 
 
 def with_score(docs: DataFrame, model: models.Linear, text: str = "text") -> DataFrame:
