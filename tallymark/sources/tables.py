@@ -105,13 +105,15 @@ def with_file_year(df: DataFrame) -> DataFrame:
     return df.withColumns({"file_name": F.col("_metadata.file_name"), "file_year": F.regexp_extract("_metadata.file_name", r"_([^_.]+)\.", 1)})
 
 
-def ceda(df: DataFrame, file: str | None = None, file_year: str | None = None) -> DataFrame:
-    """CEDA rows as measures. Votes, where a file has no total at all, add up; likewise its shares."""
-    at = {k: resolve(df.columns, v) for k, v in CEDA_COLUMNS.items()}
+def ceda(df: DataFrame, file: str | None = None, file_year: str | None = None, row: str | None = None) -> DataFrame:
+    """CEDA rows as measures. Votes, where a file has no total at all, add up; likewise its shares. `file`, `file_year` and
+    `row` are no columns of the sheet; a row number goes along as _row."""
+    at = {k: resolve([c for c in df.columns if c not in (file, file_year, row)], v) for k, v in CEDA_COLUMNS.items()}
     text = {k: (named(df, c).cast("string") if c else F.lit(None).cast("string")) for k, c in at.items()}
     file_of = named(df, file) if file else F.lit("")
     numbers = ("yes_votes", "no_votes", "total_votes", "percent_yes")
-    own = df.select(file_of.alias("input_file"), (named(df, file_year) if file_year else F.lit(None).cast("string")).alias("file_year"), *[(number(c) if k in numbers else c).alias(k) for k, c in text.items()])
+    place = [named(df, row).alias("_row")] if row else []
+    own = df.select(*place, file_of.alias("input_file"), (named(df, file_year) if file_year else F.lit(None).cast("string")).alias("file_year"), *[(number(c) if k in numbers else c).alias(k) for k, c in text.items()])
     got = own.groupBy("input_file").agg(F.count("total_votes").alias("totals"), F.count("percent_yes").alias("shares"))
     own = own.join(F.broadcast(got), "input_file")  # a row for each file
     total = F.when(F.col("totals") > 0, F.col("total_votes")).otherwise(F.coalesce("yes_votes", F.lit(0.0)) + F.coalesce("no_votes", F.lit(0.0)))
@@ -125,7 +127,7 @@ def ceda(df: DataFrame, file: str | None = None, file_year: str | None = None) -
     return own.select(
         "input_file", "measure_id", "measure_letter", F.coalesce(year_within(F.col("year"), 1900, 2100), year_within(F.col("file_year"), 1900, 2100)).alias("year"), F.lit("CA").alias("state"), county.alias("county"), "jurisdiction",
         title.alias("title"), F.lit(None).cast("string").alias("description"), F.col("measure_text").alias("ballot_question"), *[F.col(c).cast("long").alias(c) for c in ("yes_votes", "no_votes", "total_votes")], "percent_yes", passed.alias("passed"), "pass_fail", "measure_type",
-        F.col("rec_type_name").alias("category_type"), F.col("rec_topic_name").alias("category_topic"), "election_date", F.lit("CEDA").alias("data_source"),
+        F.col("rec_type_name").alias("category_type"), F.col("rec_topic_name").alias("category_topic"), "election_date", F.lit("CEDA").alias("data_source"), *(["_row"] if row else []),
     )
 
 
@@ -151,12 +153,23 @@ def icpsr(df: DataFrame) -> DataFrame:
     return own.withColumns({"total_votes": F.when(total > 0, total), "percent_yes": share, "percent_no": percent(F.col("no_votes"), total), "passed": passed, "pass_fail": pass_fail(passed), "data_source": F.lit("ICPSR")})
 
 
+def files_of(spark: SparkSession, path: str) -> list[str]:
+    """The data files that a path, folder or glob stands for, by name."""
+    return sorted(r.path for r in spark.read.format("binaryFile").load(path).select("path").collect())
+
+
 def read_ceda(spark: SparkSession, path: str) -> DataFrame:
-    """All files of a glob (workbook sheets saved as delimited text), the first row of each fingerprint by file and place."""
-    raw = with_file_year(read_text_table(spark, path)).withColumn("_row", F.monotonically_increasing_id())
-    if is_candidate_sheet([c for c in raw.columns if c not in ("file_name", "file_year", "_row")]):
-        return ceda(raw, "file_name", "file_year").where(F.lit(False))
-    return first_per(with_keys(ceda(raw, "file_name", "file_year")), ["fingerprint"], ["input_file", "measure_id", "title"])
+    """All files of a glob (workbook sheets saved as delimited text), each read by its own header; sheets of candidates are
+    left out. The first row of each fingerprint by file and place stays."""
+    sources = []
+    for nth, file in enumerate(files_of(spark, path)):
+        raw = read_text_table(spark, file)
+        if not is_candidate_sheet(raw.columns):
+            sources.append(ceda(with_file_year(raw).withColumn("_row", F.monotonically_increasing_id()), "file_name", "file_year", "_row").withColumn("_file", F.lit(nth)))
+    if not sources:
+        columns = ", ".join(f"`{c}` string" for c in CEDA_COLUMNS["measure_text"])
+        sources = [ceda(spark.createDataFrame([], columns + ", file_name string, file_year string, _row long"), "file_name", "file_year", "_row").withColumn("_file", F.lit(0))]
+    return first_per(with_keys(total_of(*sources)), ["fingerprint"], ["_file", "_row"]).drop("_file", "_row")
 
 
 def read_ncsl(spark: SparkSession, path: str) -> DataFrame:
