@@ -187,6 +187,13 @@ def repository_links(spark: SparkSession, d: str) -> DataFrame:
     return got.select("page", "pos", F.col("nth").cast("int").alias("nth"), "title", "year", "pdf_url")
 
 
+@query
+def repository_links_all(spark: SparkSession, d: str) -> DataFrame:
+    """As many links of a page as the operator itself takes."""
+    got = pages.repository_measures(facade.read(spark, d, "pages"), BASE, path="/", least_slashes=1)
+    return got.select("page", "pos", F.col("nth").cast("int").alias("nth"), "title", "year", "pdf_url")
+
+
 ELECTIONS = "concat(county, ' General Election, March ', id % 28 + 1, ', ', year)"
 
 
@@ -210,6 +217,13 @@ def union_by_name(spark: SparkSession, d: str) -> DataFrame:
     return tables.total_of(m.where("year = 1996").select("id", "title"), m.where("year = 1997").select("county", "id"), m.where("id < 5").select("id", "title", "county"))
 
 
+@query
+def union_by_name_all(spark: SparkSession, d: str) -> DataFrame:
+    """Three sources of different columns, which together hold every measure once."""
+    m, third = facade.measures(spark, d), "coalesce(year, 0) % 3"
+    return tables.total_of(m.where(f"{third} = 0").select("id", "title"), m.where(f"{third} = 1").select("county", "id"), m.where(f"{third} = 2").select("id", "title", "county"))
+
+
 @query
 def numeric_coerce(spark: SparkSession, d: str) -> DataFrame:
     raw = F.expr("CASE id % 4 WHEN 0 THEN '1,234' WHEN 1 THEN 'n/a' WHEN 2 THEN concat(id, '.5') END")

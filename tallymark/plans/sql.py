@@ -188,9 +188,11 @@ ORACLES: dict[str, str] = {
     "link_extraction": "WITH " + elements("[23]") + f" SELECT page, pos, href, {NON_TEXT('inner_html', ' ')} AS text FROM elements WHERE tag = 'a' AND href IS NOT NULL",
     "header_forward_fill": "WITH " + elements("[1-3]") + f", filled AS (SELECT *, last_value(CASE WHEN tag <> 'a' THEN nullif({NON_TEXT('inner_html', '')}, '') END IGNORE NULLS) OVER (PARTITION BY page ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS header FROM elements) SELECT page, pos, href, header FROM filled WHERE tag = 'a'",
     "repository_links": "WITH " + elements("[23]") + f", own AS (SELECT page, pos, href, {NON_TEXT('inner_html', ' ')} AS title FROM elements WHERE tag = 'a' AND contains(href, '/') AND length(href) - length(replace(href, '/', '')) >= 1), ranked AS (SELECT *, CAST(row_number() OVER (PARTITION BY page ORDER BY pos) AS INTEGER) AS nth FROM own WHERE title <> '') SELECT page, pos, nth, title, coalesce(nullif(regexp_extract(title, '\\((\\d{{4}})\\)', 1), ''), 'Unknown') AS year, {absolute('href')} AS pdf_url FROM ranked WHERE nth <= 3",
+    "repository_links_all": "WITH " + elements("[23]") + f", own AS (SELECT page, pos, href, {NON_TEXT('inner_html', ' ')} AS title FROM elements WHERE tag = 'a' AND contains(href, '/') AND length(href) - length(replace(href, '/', '')) >= 1), ranked AS (SELECT *, CAST(row_number() OVER (PARTITION BY page ORDER BY pos) AS INTEGER) AS nth FROM own WHERE title <> '') SELECT page, pos, nth, title, coalesce(nullif(regexp_extract(title, '\\((\\d{{4}})\\)', 1), ''), 'Unknown') AS year, {absolute('href')} AS pdf_url FROM ranked WHERE nth <= 50",
     "election_pages": m(f"SELECT id AS page, CAST(1 AS INTEGER) AS pos, trim(regexp_replace(title, '\\s+', ' ', 'g')) AS measure_text, CASE WHEN id % 5 <> 0 THEN 'March ' || (id % 28 + 1) || ', ' || year END AS election_date, CASE WHEN id % 5 <> 0 THEN 'General' END AS election_type, 'https://www.example.org/docs/' || id || '.pdf' AS pdf_url, CASE WHEN id % 5 <> 0 THEN CAST(year AS VARCHAR) ELSE coalesce(nullif(regexp_extract(title, '\\b(20\\d{{2}})\\b', 1), ''), '2026') END AS year FROM measures WHERE coalesce(title, '') <> ''"),
     "url_join": m(f"SELECT id, {absolute('href')} AS url FROM (SELECT id, CASE id % 4 WHEN 0 THEN 'https://a.example/' || id WHEN 1 THEN '//b.example/' || id WHEN 2 THEN '/c/' || id ELSE 'd/' || id END AS href FROM measures)"),
     "union_by_name": m("SELECT id, title, NULL AS county FROM measures WHERE year = 1996 UNION ALL SELECT id, NULL, county FROM measures WHERE year = 1997 UNION ALL SELECT id, title, county FROM measures WHERE id < 5"),
+    "union_by_name_all": m("SELECT id, CASE WHEN coalesce(year, 0) % 3 <> 1 THEN title END AS title, CASE WHEN coalesce(year, 0) % 3 <> 0 THEN county END AS county FROM measures"),
     "numeric_coerce": m("SELECT id, CAST(CASE id % 4 WHEN 0 THEN 1234 WHEN 2 THEN id + CAST(0.5 AS DOUBLE) END AS DOUBLE) AS number, CASE id % 3 WHEN 0 THEN year END AS year FROM measures"),
     "icpsr_standard": m(f"SELECT id, year, measure_id, title, y AS yes_votes, CASE WHEN y + n > 0 THEN y + n END AS total_votes, p AS percent_yes, passed, CASE passed WHEN 1 THEN 'Pass' WHEN 0 THEN 'Fail' END AS pass_fail FROM (SELECT *, CASE WHEN y + n > 0 THEN CAST(p > 50 AS INTEGER) WHEN id % 5 = 0 THEN 1 WHEN id % 5 = 1 THEN 0 END AS passed FROM (SELECT *, {percent('y', '(y + n)', 100)} AS p FROM (SELECT id, year, measure_id, title, CASE WHEN id % 3 = 0 THEN yes_votes END AS y, CASE WHEN id % 3 = 0 THEN no_votes END AS n FROM measures WHERE id % 10 <> 9)))"),
     "ncsl_standard": m("SELECT id, year, title, description, topic_primary, passed, CASE passed WHEN 1 THEN 'Pass' WHEN 0 THEN 'Fail' END AS pass_fail FROM (SELECT id, CAST(year + 20 AS INTEGER) AS year, title, CASE WHEN id % 2 <> 0 THEN description END AS description, topic_primary, CASE WHEN id % 4 = 0 THEN 0 WHEN percent_yes IS NOT NULL THEN CAST(percent_yes > 50 AS INTEGER) END AS passed FROM measures WHERE id % 10 <> 9 AND year + 20 BETWEEN 2014 AND 2030)"),
