@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import gc
+import uuid
 from collections.abc import Iterator
 from pathlib import PurePosixPath
 
@@ -19,48 +20,61 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{str(sf_dir).rstrip('/')}/{PurePosixPath(name)}.parquet")
 
 
+def position(df: DataFrame, name: str) -> int:
+    """Which column a name means: the exact spelling first, then one that differs in case alone, the first of equals."""
+    at = [i for i, c in enumerate(df.columns) if c == name] or [i for i, c in enumerate(df.columns) if c.lower() == name.lower()]
+    if not at:
+        raise ValueError(f"no column {name!r} among {df.columns}")
+    return at[0]
+
+
 def pick(df: DataFrame, **columns: str) -> DataFrame:
-    """Exactly the asked columns, `new=old`. Other columns, names that differ in case alone and repeated
-    names don't matter: a name is resolved by position, the exact spelling first, the first of equals."""
+    """Exactly the asked columns, `new=old`. Other columns, names that differ in case alone and repeated names don't matter."""
     unique = df.toDF(*[f"_{i}" for i in range(len(df.columns))])
-    out = []
-    for new, old in columns.items():
-        at = [i for i, c in enumerate(df.columns) if c == old] or [i for i, c in enumerate(df.columns) if c.lower() == old.lower()]
-        if not at:
-            raise ValueError(f"no column {old!r} among {df.columns}")
-        out.append(unique[f"_{at[0]}"].alias(new))
-    return unique.select(*out)
+    return unique.select(*[unique[f"_{position(df, old)}"].alias(new) for new, old in columns.items()])
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that all executors share, as the session names it."""
-    return spark.sparkContext.getConf().get("spark.checkpoint.dir") or LOCAL_CHECKPOINTS
+    """The folder that all executors share, as the session names it. Only a local session, which is one machine, may leave
+    it out."""
+    named = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
+    if not named:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        named = LOCAL_CHECKPOINTS
+    return named.rstrip("/")
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """The name of a new folder in the shared one."""
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Deletes a folder, if it is there, in whatever file system it is."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """A reliable checkpoint: written once to the shared folder, so a lost executor costs no recomputation. What led to
-    it can go: the driver's garbage is collected, which lets Spark remove shuffle files and older checkpoints that
-    nothing refers to any more."""
+    """A reliable checkpoint: written once to the shared folder, so a lost executor costs no recomputation."""
     context = df.sparkSession.sparkContext
-    if context._jsc.sc().getCheckpointDir().isEmpty():
+    if not context.getCheckpointDir():
         context.setCheckpointDir(shared_folder(df.sparkSession))
-    done = df.checkpoint(eager=True)
+    return df.checkpoint(eager=True)
+
+
+def tidy(spark: SparkSession) -> None:
+    """Collects the driver's garbage, so that Spark removes shuffle files and checkpoints that nothing refers to any more.
+    For the few places where an operator has just let go of much."""
     gc.collect()
-    context._jvm.System.gc()
-    return done
-
-
-def cut_by(df: DataFrame, parts: int, key: str) -> DataFrame:
-    """A checkpoint dealt out by a key that later joins on the key use as it is: its rows don't move again. Spark remembers
-    how a checkpoint is dealt out only if its plan was fixed beforehand, so this one is not planned adaptively, and only if
-    the optimizer keeps the key's name apart from its source's, so the key has another name in it."""
-    conf, name = df.sparkSession.conf, "spark.sql.adaptive.enabled"
-    before = conf.get(name)
-    conf.set(name, "false")
-    try:
-        return cut(df.withColumnRenamed(key, "_dealt_by").repartition(parts, "_dealt_by")).withColumnRenamed("_dealt_by", key)
-    finally:
-        conf.set(name, before)
+    spark.sparkContext._jvm.System.gc()
 
 
 def slices(batches: Iterator[pa.RecordBatch], column: str, max_bytes: int) -> Iterator[pa.RecordBatch]:

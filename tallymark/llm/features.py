@@ -56,6 +56,13 @@ class Texts:
         key = scramble(key) ^ (w.doc[at].astype("u8") * U(0x9FB21C651E98DF25))
         order = np.argsort(key, kind="stable")
         same = key[order][1:] == key[order][:-1]
+        pair = np.flatnonzero(same)
+        if len(pair):  # the words themselves decide
+            a, b, code = at[order[pair]], at[order[pair + 1]], w.coded[0]
+            equal = np.ones(len(pair), bool)
+            for j in range(REPEAT_WINDOW):
+                equal &= code[a + j] == code[b + j]
+            same[pair] = equal
         twice = np.zeros(len(at) + 1, bool)
         twice[1:-1] |= same
         twice[:-2] |= same

@@ -1,7 +1,14 @@
-"""Words of many texts at once, as positions and hashes in numpy: no Python object for each word."""
+"""Words of many texts at once, as positions and hashes in numpy: no Python object for each word.
+
+A word's hashes are halves of the BLAKE2b digest of its bytes, made once for each distinct word that Arrow's dictionary
+finds, so equal hashes don't come from how words are built. Sums over several words have their own odd factor for each
+place."""
 
 from __future__ import annotations
 
+from functools import cached_property
+from hashlib import blake2b
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -10,10 +17,13 @@ import pyarrow.compute as pc
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 U = np.uint64
-#: Two odd bases of polynomial hashes over bytes, their inverses modulo 2^64, and multipliers of the words of a window.
+#: Two odd bases (the first of polynomial hashes over a few bytes), and multipliers of the words of a window.
 BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 FACTORS = [np.array([pow(b, 3 + 2 * i, 1 << 64) | 1 for i in range(64)], "u8") for b in (0xD6E8FEB86659FD93, 0xA0761D6478BD642F)]
 _POWERS: dict[int, np.ndarray] = {}
+#: Digests of words, as many as a worker remembers before it starts anew.
+_DIGESTS: dict[bytes, bytes] = {}
+DIGESTS = 300_000
 
 
 def powers(base: int, n: int) -> np.ndarray:
@@ -38,7 +48,8 @@ def layout(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     texts = pc.fill_null(texts, b"" if pa.types.is_binary(texts.type) else "")
     if not len(texts):
         return np.zeros(0, "u1"), np.zeros(1, "i8")
-    at = np.frombuffer(texts.buffers()[1], "i4")[texts.offset : texts.offset + len(texts) + 1].astype("i8")
+    wide = pa.types.is_large_string(texts.type) or pa.types.is_large_binary(texts.type)
+    at = np.frombuffer(texts.buffers()[1], "i8" if wide else "i4")[texts.offset : texts.offset + len(texts) + 1].astype("i8")
     data = np.frombuffer(texts.buffers()[2], "u1")[at[0] : at[-1]] if at[-1] > at[0] else np.zeros(0, "u1")
     return data, at - at[0]
 
@@ -59,13 +70,27 @@ class Words:
         self.first = np.searchsorted(self.begin, at)
         self.n = np.diff(self.first)
         self.doc = np.repeat(np.arange(len(self.n)), self.n)
+        self._table: np.ndarray | None = None
+
+    @cached_property
+    def coded(self) -> tuple[np.ndarray, list[bytes]]:
+        """The number of each word among the distinct words, compared byte by byte, and those words."""
+        ends = np.concatenate(([0], np.cumsum(self.end - self.begin)))
+        solid = np.ascontiguousarray(self.data[~SPACE[self.data]])
+        known = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(self.begin), [None, pa.py_buffer(ends.astype("i8")), pa.py_buffer(solid)]).dictionary_encode()
+        return known.indices.to_numpy(zero_copy_only=False), known.dictionary.to_pylist()
 
     def hashes(self, which: int) -> np.ndarray:
-        """A 64-bit hash of each word."""
-        base = BASES[which]
-        upto = np.zeros(len(self.data) + 1, "u8")
-        np.cumsum((self.data.astype("u8") + U(1)) * powers(base, len(self.data)), out=upto[1:])
-        return scramble((upto[self.end] - upto[self.begin]) * powers(pow(base, -1, 1 << 64), len(self.data) + 1)[self.begin])
+        """A 64-bit hash of each word; the two are independent."""
+        if self._table is None:
+            if len(_DIGESTS) > DIGESTS:
+                _DIGESTS.clear()
+            words = self.coded[1]
+            for w in words:
+                if w not in _DIGESTS:
+                    _DIGESTS[w] = blake2b(w, digest_size=16).digest()
+            self._table = np.frombuffer(b"".join([_DIGESTS[w] for w in words]) + bytes(16), "<u8").reshape(-1, 2)
+        return self._table[self.coded[0], which]
 
     def windows(self, size: int) -> np.ndarray:
         """The first words of all windows of so many words within a text."""

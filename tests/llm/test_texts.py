@@ -8,7 +8,7 @@ import xxhash
 from helpers import LOWER, PLAIN, awkward, awkward_rows, empty, words
 from support import same
 
-from tallymark.llm import components, decontam, entry, simhash, substring
+from tallymark.llm import components, decontam, entry, runs, simhash, substring
 
 
 def fingerprint(text):
@@ -164,12 +164,51 @@ def test_substring_of_awkward_rows(spark):
     assert 7 not in [r.doc_id for r in left.collect()] and left.where("doc_id = 6").count() == 1
 
 
-def test_a_kept_history_takes_later_batches(spark):
+def thue_morse(n):
+    return "".join("ab"[bin(i).count("1") % 2] for i in range(n))
+
+
+def test_words_that_polynomials_cannot_tell_apart(spark):
+    x = thue_morse(1024)
+    y = x.translate(str.maketrans("ab", "ba"))
+    rows = [(i + 1, " ".join([f"w{j}" for j in range(6)] + [w] + [f"v{j}" for j in range(6)])) for i, w in enumerate((x, y))]
+    got = substring.deduplicate(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(map(tuple, got), key=str) == stripped(rows) and not any(r.n_removed for r in got)
+
+
+def test_a_later_session_adds_to_stored_runs(spark, tmp_path):
+    rng, folder = random.Random(8), str(tmp_path / "index")
+    base = [" ".join(f"w{rng.randrange(30)}" for _ in range(60)) for _ in range(4)]
+    rows = [(i, " ".join(f"u{rng.randrange(9)}" for _ in range(14)) + " " + rng.choice(base)[rng.randrange(90) :]) for i in range(80)]
+    frame = lambda x: spark.createDataFrame(x, "doc_id long, text string")
+    got, start = [], 0
+    for end in (30, 50, 60, 80):  # fanout 2: runs are compacted on the way, over several levels
+        got += substring.deduplicate(frame(rows[start:end]), batches=1, index=folder, earlier=frame(rows[:start])).collect()
+        start = end
+    assert sorted(map(tuple, got), key=str) == stripped(rows)
+    store = runs.Runs(spark, folder)
+    assert [level for level, _ in store.live] == [2] and {p.name.split("-")[0] for p in (tmp_path / "index").iterdir()} == {"batch", "manifests"}
+    with pytest.raises(ValueError):
+        substring.deduplicate(frame(rows[:1]), index=folder)
+
+
+def test_stored_runs_are_sorted_and_met_in_any_number_of_ranges(spark, tmp_path):
     rows = [(i, " ".join(f"w{(i % 3) * 100 + j}" for j in range(30))) for i in range(6)]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
-    _, history = substring.index(docs.where("doc_id < 3"), 1, 4, keep=True)
-    later = substring.merge(substring.fingerprint_run(docs.where("doc_id >= 3"), 4).unionByName(history), 4, last=True)
-    assert sorted(r.doc_id for r in substring.for_documents(later.where("kind = 1"), 4).collect()) == list(range(6))
+    store = runs.Runs(spark, str(tmp_path), 2)
+    substring.indexed(docs.where("doc_id < 3"), store, [], 4, True, [])
+    parts = [substring.unpacked(r.a, r.b, 2)[0][:, 0] for r in store.read().orderBy("bucket", "part").collect()]
+    assert all((x[1:] >= x[:-1]).all() for x in parts) and len({r.bucket for r in store.read().collect()}) > 1
+    later = substring.merge(substring.fingerprint_run(docs.where("doc_id >= 3"), 7), store.read(), 7)
+    assert sorted(r.doc_id for r in substring.for_documents(later.where("kind = 1"), 4).collect()) == [3, 4, 5]
+
+
+def test_substring_of_other_names_and_types(spark):
+    df = spark.createDataFrame([(1, "a " * 20, 3, "x"), (2, "a " * 20, 4, None), (3, None, 5, "y")], "doc_id int, text string, TEXT2 int, found string").toDF("doc_id", "text", "TEXT", "found")
+    left = substring.strip(df)
+    assert left.columns == df.columns and [tuple(r) for r in left.collect()] == [(1, "a " * 20, 3, "x"), (3, None, 5, "y")]
+    with pytest.raises(ValueError):
+        substring.deduplicate(df.selectExpr("cast(doc_id as string) doc_id", "found as text"))
 
 
 @pytest.mark.parametrize("name", sorted(entry.ORACLES))
