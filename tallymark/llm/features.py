@@ -58,10 +58,10 @@ class Texts:
         same = key[order][1:] == key[order][:-1]
         pair = np.flatnonzero(same)
         if len(pair):  # the words themselves decide
-            a, b, code = at[order[pair]], at[order[pair + 1]], w.coded[0]
-            equal = np.ones(len(pair), bool)
+            a, b, other = at[order[pair]], at[order[pair + 1]], w.hashes(1)
+            equal = w.doc[a] == w.doc[b]
             for j in range(REPEAT_WINDOW):
-                equal &= code[a + j] == code[b + j]
+                equal &= (self.h[a + j] == self.h[b + j]) & (other[a + j] == other[b + j])
             same[pair] = equal
         twice = np.zeros(len(at) + 1, bool)
         twice[1:-1] |= same

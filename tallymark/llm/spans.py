@@ -1,12 +1,10 @@
 """Words of many texts at once, as positions and hashes in numpy: no Python object for each word.
 
-A word's hashes are halves of the BLAKE2b digest of its bytes, made once for each distinct word that Arrow's dictionary
-finds, so equal hashes don't come from how words are built. Sums over several words have their own odd factor for each
-place."""
+A word's hashes don't depend on how it is built (see Words.hashes): no sums over its letters. Sums over several words have
+their own odd factor for each place."""
 
 from __future__ import annotations
 
-from functools import cached_property
 from hashlib import blake2b
 
 import numpy as np
@@ -21,9 +19,6 @@ U = np.uint64
 BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 FACTORS = [np.array([pow(b, 3 + 2 * i, 1 << 64) | 1 for i in range(64)], "u8") for b in (0xD6E8FEB86659FD93, 0xA0761D6478BD642F)]
 _POWERS: dict[int, np.ndarray] = {}
-#: Digests of words, as many as a worker remembers before it starts anew.
-_DIGESTS: dict[bytes, bytes] = {}
-DIGESTS = 300_000
 
 
 def powers(base: int, n: int) -> np.ndarray:
@@ -70,27 +65,38 @@ class Words:
         self.first = np.searchsorted(self.begin, at)
         self.n = np.diff(self.first)
         self.doc = np.repeat(np.arange(len(self.n)), self.n)
-        self._table: np.ndarray | None = None
-
-    @cached_property
-    def coded(self) -> tuple[np.ndarray, list[bytes]]:
-        """The number of each word among the distinct words, compared byte by byte, and those words."""
-        ends = np.concatenate(([0], np.cumsum(self.end - self.begin)))
-        solid = np.ascontiguousarray(self.data[~SPACE[self.data]])
-        known = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(self.begin), [None, pa.py_buffer(ends.astype("i8")), pa.py_buffer(solid)]).dictionary_encode()
-        return known.indices.to_numpy(zero_copy_only=False), known.dictionary.to_pylist()
+        self._packed: tuple | None = None
+        self._hashes: dict[int, np.ndarray] = {}
 
     def hashes(self, which: int) -> np.ndarray:
-        """A 64-bit hash of each word; the two are independent."""
-        if self._table is None:
-            if len(_DIGESTS) > DIGESTS:
-                _DIGESTS.clear()
-            words = self.coded[1]
-            for w in words:
-                if w not in _DIGESTS:
-                    _DIGESTS[w] = blake2b(w, digest_size=16).digest()
-            self._table = np.frombuffer(b"".join([_DIGESTS[w] for w in words]) + bytes(16), "<u8").reshape(-1, 2)
-        return self._table[self.coded[0], which]
+        """A 64-bit hash of each word; the two are independent. Up to 23 bytes and the length make three numbers without loss,
+        which are mixed; of longer words BLAKE2b halves are taken. Equal in both: the same word."""
+        if which not in self._hashes:
+            if self._packed is None:
+                self._packed = self._pack()
+            a, more, long, digests = self._packed
+            h = scramble(a * FACTORS[which][60] + FACTORS[which][61])
+            for at, x, k in more:
+                h[at] = scramble(h[at] ^ scramble(x * FACTORS[which][62] + FACTORS[which][k]))
+            h[long] = digests[:, which]
+            self._hashes[which] = h
+        return self._hashes[which]
+
+    def _pack(self) -> tuple:
+        size = self.end - self.begin
+        long = np.flatnonzero(size > 23)
+        digests = [blake2b(self.data[b:e].tobytes(), digest_size=16).digest() for b, e in zip(self.begin[long].tolist(), self.end[long].tolist())]
+        data, more = np.concatenate([self.data, np.zeros(24, "u1")]), []
+        a = size.astype("u8") << U(56)
+        for j in range(7):
+            a |= np.where(size > j, data[self.begin + j], 0).astype("u8") << U(8 * j)
+        for k, start in ((58, 7), (59, 15)):
+            at = np.flatnonzero((size > start) & (size <= 23))
+            x = np.zeros(len(at), "u8")
+            for j in range(8):
+                x |= np.where(size[at] > start + j, data[self.begin[at] + start + j], 0).astype("u8") << U(8 * j)
+            more.append((at, x, k))
+        return a, more, long, np.frombuffer(b"".join(digests) + bytes(16), "<u8").reshape(-1, 2)[: len(long)]
 
     def windows(self, size: int) -> np.ndarray:
         """The first words of all windows of so many words within a text."""
