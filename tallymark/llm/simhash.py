@@ -1,35 +1,39 @@
 """SimHash near-duplicates through a byte-position inverted index with count filtering.
 
-Fingerprints of 64 bits are eight positional bytes. Two that differ in at most two bits share at least six bytes, so of
-the four pairs of neighbouring bytes they share two. Postings are kept for each of the six unions of two byte pairs
-(four positions and their bytes at once): the list of a single byte holds 1/256 of everything, and pairs from it would
-grow with the square of the input. For each pair that meets in a list the shared positional bytes are tallied, pairs with
-six or more are kept, and the differing bits of those are counted.
-
-A list longer than `dense` distinct fingerprints (a large family of near copies) emits no pairs. There each fingerprint
-is posted under itself and under its neighbours at one bit among the 32 that the list leaves open: two fingerprints
-differ in at most two bits if and only if they meet under such a value, and all that meet there do. So a list of any length
-is linked exactly, with 33 rows a member.
-
-Equal fingerprints are one node. A text without words has fingerprint zero, linked like any other; null is such a text.
-Rows with a null doc_id get the component's smallest doc_id too, null if it has none. Repeated rows are kept."""
+Fingerprints of 64 bits are eight positional bytes. Two that differ in at most two bits share at least six of them. The index
+posts each fingerprint under its bytes at four positions at once (a list of one byte alone would hold 1/256 of everything),
+for the 14 sets of positions whose numbers have exclusive-or zero: of these any six positions hold three, which cover the
+six. Each pair that meets in a list brings the list's positions; the positions are tallied over all its lists, pairs with six
+or more (the guaranteed least) are kept, and the differing bits of those are counted. Pairs that share four or five bytes
+meet as well, with a tally of four: the count filter drops them.
+
+A list of more than `most` fingerprints (a large family of near copies) is taken apart by longer keys, nothing else changes:
+by two more positions (any pair with six shared positions in it meets in the list of these six), and if need be by two of the
+four half bytes of the other two positions, where two differing bits leave two half bytes whole. Lists of this last kind have
+256 members at most. So no list of any length emits the square of its members, and no pair is lost.
+
+Equal fingerprints are one node. A text without words has fingerprint zero, linked like any other; null and empty texts are
+such. A text of any length is counted whole. Rows with a null doc_id get the component's smallest doc_id too, null if it has
+none. Repeated rows are kept. An empty table gives no rows. Other columns, whatever their names, don't matter."""
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import accumulate
+from functools import reduce
+from itertools import accumulate, combinations
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from tallymark.llm.common import cut, pick, slices
+from tallymark.llm.common import cut, pick, position, slices
 from tallymark.llm.components import roots
 
 STEP_BYTES, SEED = 2 << 20, 42
-#: Fingerprints link at so many differing bits or fewer; the lists guarantee a meeting for two.
+#: Fingerprints link at so many differing bits or fewer; the lists are made for two.
 BITS = 2
 #: Spreads the bits of a byte over the eight byte lanes of a word: lanes can be summed 255 times without carry.
 LANES = np.array([sum(1 << 8 * b for b in range(8) if v >> b & 1) for v in range(256)], "<u8")
@@ -69,76 +73,122 @@ def fingerprints(texts: list[bytes | None]) -> np.ndarray:
     return out
 
 
+def text_hash(text: Column) -> Column:
+    """Tells texts of a doc_id apart; null of null."""
+    return F.when(text.isNotNull(), F.xxhash64(text.cast("binary")))
+
+
 def with_fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, fp): fp is the fingerprint as a signed long."""
+    """(doc_id, h, fp): fp is the fingerprint as a signed long, h the text's hash."""
     own = pick(docs, doc_id=doc_id, text=text)
-    own = own.select("doc_id", F.col("text").cast("binary").alias("text"))
+    own = own.select("doc_id", F.col("text").cast("binary").alias("text"), text_hash(F.col("text")).alias("h"))
     kind = own.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, "text", STEP_BYTES):
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(fingerprints(part.column("text").to_pylist()).view("<i8"))], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("h"), pa.array(fingerprints(part.column("text").to_pylist()).view("<i8"))], ["doc_id", "h", "fp"])
+
+    return own.mapInArrow(run, f"doc_id {kind}, h long, fp long")
 
-    return own.mapInArrow(run, f"doc_id {kind}, fp long")
 
+#: Lists of more fingerprints are taken apart.
+MOST = 32
+#: Which positions a list goes by, as bits: four each, and any six.
+FOURS = [sum(1 << i for i in c) for c in combinations(range(8), 4) if c[0] ^ c[1] ^ c[2] ^ c[3] == 0]
+SIXES = [sum(1 << i for i in c) for c in combinations(range(8), 6)]
+#: Two of four half bytes.
+HALVES = list(combinations(range(4), 2))
 
-#: Which two of the four byte pairs a list goes by.
-LISTS = [(a, b) for a in range(4) for b in range(a + 1, 4)]
 
+def bits_at(fp: Column, width: int, places: list[int]) -> Column:
+    """The parts of a fingerprint, `width` bits each, at some places, side by side."""
+    out = F.lit(0).cast("long")
+    for p in places:
+        out = F.shiftleft(out, width).bitwiseOR(F.shiftrightunsigned(fp, width * p).bitwiseAND(F.lit((1 << width) - 1)))
+    return out
 
-def posting_keys(fp):
-    pair = [F.shiftrightunsigned(fp, 16 * i).bitwiseAND(F.lit(0xFFFF)) for i in range(4)]
-    return F.array(*[F.struct(F.lit(i).alias("list"), F.shiftleft(pair[a], 16).bitwiseOR(pair[b]).alias("bytes")) for i, (a, b) in enumerate(LISTS)])
 
+def positions(mask: int) -> list[int]:
+    return [i for i in range(8) if mask >> i & 1]
 
-def shared_bytes(a, b):
-    x = a.bitwiseXOR(b)
-    total = F.lit(0)
-    for i in range(8):
-        total = total + F.when(F.shiftrightunsigned(x, 8 * i).bitwiseAND(F.lit(0xFF)) == 0, 1).otherwise(0)
-    return total
 
+def under(fp: Column, mask: int, halves: int = 0, extra: Column | None = None) -> Column:
+    """A posting: the list's positions, which half bytes, the bytes and half bytes themselves."""
+    value = bits_at(fp, 8, positions(mask))
+    return F.struct(F.lit(mask).alias("mask"), F.lit(halves).alias("halves"), (value if extra is None else F.shiftleft(value, 8).bitwiseOR(extra)).alias("value"))
 
-def near_links(distinct: DataFrame, dense: int = 64) -> DataFrame:
-    """(u, v) between distinct fingerprints (column fp) that differ in at most two bits: every such pair, but in lists
-    longer than `dense`, where links to the least member of each meeting point connect the same."""
-    postings = distinct.select("fp", F.explode(posting_keys(F.col("fp"))).alias("k")).select("fp", "k.list", "k.bytes")
-    length = cut(postings.groupBy("list", "bytes").agg(F.count("*").alias("n")).where("n > 1"))
-    shared = cut(postings.join(length, ["list", "bytes"]))
-    short = shared.where(F.col("n") <= dense)
-    a, b = short.select("list", "bytes", F.col("fp").alias("u")), short.select("list", "bytes", F.col("fp").alias("v"))
-    tallied = a.join(b, ["list", "bytes"]).where("u < v").where(shared_bytes(F.col("u"), F.col("v")) >= 8 - BITS)
-    pairs = tallied.where(F.bit_count(F.col("u").bitwiseXOR(F.col("v"))) <= BITS).select("u", "v")
-    return pairs.union(dense_links(shared, dense))
 
+def by_four(postings: DataFrame) -> DataFrame:
+    return postings.select("fp", F.explode(F.array(*[under(F.col("fp"), m) for m in FOURS])).alias("k")).select("fp", "k.*")
 
-def dense_links(shared: DataFrame, dense: int) -> DataFrame:
-    fp, values = F.col("fp"), F.lit(None).cast("array<long>")
-    for i, pair in enumerate(LISTS):
-        at = [16 * p + j for p in range(4) if p not in pair for j in range(16)]
-        values = F.when(F.col("list") == i, F.array(fp, *[fp.bitwiseXOR(F.shiftleft(F.lit(1).cast("long"), x)) for x in at])).otherwise(values)
-    met = shared.where(F.col("n") > dense).select("fp", "list", F.explode(values).alias("value"))
-    # who meets is one of 33 fingerprints at most
-    stars = met.groupBy("list", "value").agg(F.collect_list("fp").alias("who")).where(F.size("who") > 1)
-    return stars.select(F.array_min("who").alias("u"), F.explode("who").alias("v")).where("u <> v")
 
+def by_six(postings: DataFrame) -> DataFrame:
+    """Postings under the same positions and two more."""
+    every = F.array(*[under(F.col("fp"), m) for m in SIXES])
+    own = F.filter(every, lambda k: k["mask"].bitwiseAND(F.col("mask")) == F.col("mask"))
+    return postings.select("fp", F.explode(own).alias("k")).select("fp", "k.*").distinct()
 
-def groups(docs: DataFrame, dense: int = 64, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, fingerprint (16 hex digits), component_id (the smallest doc_id reachable over links)."""
+
+def by_half_bytes(postings: DataFrame) -> DataFrame:
+    """Postings under the same six positions and two half bytes of the others."""
+    own = F.lit(None).cast("array<struct<mask:int,halves:int,value:bigint>>")
+    for m in SIXES:
+        rest = [2 * i + j for i in range(8) if not m >> i & 1 for j in (0, 1)]
+        own = F.when(F.col("mask") == m, F.array(*[under(F.col("fp"), m, n + 1, bits_at(F.col("fp"), 4, [rest[a], rest[b]])) for n, (a, b) in enumerate(HALVES)])).otherwise(own)
+    return postings.select("fp", F.explode(own).alias("k")).select("fp", "k.*")
+
+
+KEY = ["mask", "halves", "value"]
+
+
+def tallies(distinct: DataFrame, most: int = MOST) -> DataFrame:
+    """(u, v, shared): pairs of distinct fingerprints (column fp) that meet in a list, and how many positional bytes they are
+    known to share by all lists that they meet in."""
+    postings, met = by_four(distinct), []
+    for finer in (by_six, by_half_bytes, None):
+        lists = cut(postings.groupBy(*KEY).agg(F.count("*").alias("n")).where("n > 1"))
+        shared = cut(postings.join(lists, KEY))
+        short = shared if finer is None else shared.where(F.col("n") <= most)
+        met.append(short.withColumnRenamed("fp", "u").join(short.select(*KEY, F.col("fp").alias("v")), KEY).where("u < v").select("u", "v", "mask"))
+        if finer is None or (long := shared.where(F.col("n") > most)).isEmpty():
+            break
+        postings = finer(long)
+    return reduce(DataFrame.unionByName, met).groupBy("u", "v").agg(F.bit_count(F.bit_or("mask")).alias("shared"))
+
+
+def near_links(distinct: DataFrame, most: int = MOST) -> DataFrame:
+    """(u, v) of every two distinct fingerprints (column fp) that differ in at most two bits."""
+    counted = tallies(distinct, most).where(F.col("shared") >= 8 - BITS)
+    return counted.where(F.bit_count(F.col("u").bitwiseXOR(F.col("v"))) <= BITS).select("u", "v")
+
+
+def grouped(docs: DataFrame, most: int = MOST, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """doc_id, h (a hash of the text), fp, root (which names the group) and component_id of each row."""
     fps = cut(with_fingerprints(docs, doc_id, text))
     distinct = cut(fps.groupBy("fp").agg(F.min("doc_id").alias("first")))
-    root = roots(near_links(distinct.select("fp"), dense))
+    root = roots(near_links(distinct.select("fp"), most))
     rooted = cut(distinct.join(cut(root.withColumnRenamed("node", "fp")), "fp", "left").select("fp", "first", F.coalesce("root", "fp").alias("root")))
     least = cut(rooted.groupBy("root").agg(F.min("first").alias("component_id")))
-    component = cut(rooted.join(least, "root").select("fp", "component_id"))
-    return fps.join(component, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    component = cut(rooted.join(least, "root").select("fp", "root", "component_id"))
+    return fps.join(component, "fp").select("doc_id", "h", "fp", "root", "component_id")
+
+
+def groups(docs: DataFrame, most: int = MOST, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """doc_id, fingerprint (16 hex digits), component_id (the smallest doc_id reachable over links)."""
+    return grouped(docs, most, doc_id, text).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """The rows of `docs` whose document is the first of its group. Repeated rows of an id leave one; rows without an
-    id are in nobody's way and stay."""
-    found = groups(docs)
-    first = found.where("doc_id = component_id").select("doc_id").distinct()
-    named = docs.where(F.col("doc_id").isNotNull()).join(first, "doc_id", "left_semi")
-    nth = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.xxhash64(F.col("text"))))
-    return named.withColumn("_nth", nth).where("_nth = 1").drop("_nth").select(docs.columns).unionByName(docs.where(F.col("doc_id").isNull()))
+    """One row of each group: of its document with the smallest doc_id. If that has several rows in the group, the text whose
+    hash is least stays, of rows with that text the one whose columns hash least. Rows without a doc_id are in nobody's way
+    and stay. Column names don't matter."""
+    at = {c: position(docs, c) for c in ("doc_id", "text")}
+    own = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])
+    doc_id, text = F.col(f"c{at['doc_id']}"), F.col(f"c{at['text']}")
+    chosen = grouped(docs).where("doc_id = component_id").groupBy("doc_id", "root").agg(F.min(F.struct(F.col("h").isNotNull(), "h")).alias("t"))
+    chosen = chosen.select("doc_id", F.col("t.h").alias("h")).distinct()
+    hashed = own.where(doc_id.isNotNull()).withColumn("h", text_hash(text))
+    stays = hashed.join(chosen.withColumnRenamed("doc_id", "d"), (doc_id == F.col("d")) & hashed["h"].eqNullSafe(chosen["h"]), "left_semi")
+    plain = [c for c, f in zip(own.columns, own.schema) if not isinstance(f.dataType, (T.MapType, T.VariantType))]
+    nth = F.row_number().over(Window.partitionBy(doc_id, "h").orderBy(F.xxhash64(*plain)))
+    return stays.withColumn("nth", nth).where("nth = 1").select(own.columns).unionByName(own.where(doc_id.isNull())).toDF(*docs.columns)

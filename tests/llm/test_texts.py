@@ -41,8 +41,8 @@ def test_fingerprints_of_awkward_texts():
     assert [int(x) for x in got] == [fingerprint(t) for t in texts]
 
 
-@pytest.mark.parametrize("dense", [64, 2])
-def test_simhash_groups(spark, dense):
+@pytest.mark.parametrize("most", [32, 2])
+def test_simhash_groups(spark, most):
     rng = random.Random(4)
     base = [" ".join(rng.choice("abcdefghij") * 3 + str(rng.randrange(50)) for _ in range(300)) for _ in range(6)]
     rows = []
@@ -51,14 +51,14 @@ def test_simhash_groups(spark, dense):
         if i % 2:
             w[rng.randrange(300)] = "changed"
         rows.append((i, " ".join(w)))
-    got = simhash.groups(spark.createDataFrame(rows, "doc_id long, text string"), dense=dense).collect()
+    got = simhash.groups(spark.createDataFrame(rows, "doc_id long, text string"), most=most).collect()
     fps = {i: fingerprint(t) for i, t in rows}
     want = groups(fps)
     assert {r.doc_id: (int(r.fingerprint, 16), r.component_id) for r in got} == {i: (fps[i], want[i]) for i in fps}
 
 
-@pytest.mark.parametrize("dense", [64, 3])
-def test_links_of_chains(spark, dense):
+@pytest.mark.parametrize("most", [32, 3, 1])
+def test_links_of_chains(spark, most):
     rng, fps = random.Random(3), set()
     for _ in range(10):
         v = rng.getrandbits(64)
@@ -68,11 +68,42 @@ def test_links_of_chains(spark, dense):
                 v ^= 1 << rng.randrange(64)
     signed = lambda x: x - (1 << 64) if x >> 63 else x
     df = spark.createDataFrame([(signed(v),) for v in fps], "fp long")
-    got = {r.node & (1 << 64) - 1: r.root & (1 << 64) - 1 for r in components.roots(simhash.near_links(df, dense)).collect()}
+    got = {r.node & (1 << 64) - 1: r.root & (1 << 64) - 1 for r in components.roots(simhash.near_links(df, most)).collect()}
     want = groups({v: v for v in fps})
     assert {frozenset(x for x in fps if got.get(x, x) == g) for g in {got.get(x, x) for x in fps}} == {frozenset(x for x in fps if want[x] == g) for g in set(want.values())}
 
 
+@pytest.mark.parametrize("most", [32, 2])
+def test_the_count_filter_takes_the_pairs_with_six_bytes(spark, most):
+    """Against all pairs: whoever shares six bytes is kept with its tally, others that meet are dropped by it."""
+    rng, center = random.Random(6), random.Random(7).getrandbits(64)
+    fps = sorted({center} | {center ^ sum((1 << rng.randrange(8)) << 8 * b for b in rng.sample(range(8), rng.choice([1, 2, 3, 4]))) for _ in range(60)})
+    signed = lambda x: x - (1 << 64) if x >> 63 else x
+    got = {frozenset((r.u & (1 << 64) - 1, r.v & (1 << 64) - 1)): r.shared for r in simhash.tallies(spark.createDataFrame([(signed(x),) for x in fps], "fp long"), most).collect()}
+    share = {frozenset((a, b)): sum((a ^ b) >> 8 * i & 255 == 0 for i in range(8)) for a in fps for b in fps if a < b}
+    kept, links = {k: n for k, n in got.items() if n >= 6}, {k for k in share if (min(k) ^ max(k)).bit_count() <= 2}
+    assert all(share[k] == n for k, n in kept.items()) and links <= set(kept) and links
+    if most == 32:  # no list is taken apart
+        assert kept == {k: n for k, n in share.items() if n >= 6} and any(n < 6 for n in got.values())
+
+
+def test_a_family_of_any_size_emits_no_square(spark):
+    """Fingerprints that differ in two bytes only: lists of 600 members, yet few pairs a member, and every link."""
+    rng = random.Random(9)
+    fps = sorted({rng.getrandbits(16) for _ in range(600)})
+    df = spark.createDataFrame([(x,) for x in fps], "fp long")
+    got = {(r.u, r.v) for r in simhash.near_links(df).collect()}
+    assert got == {(a, b) for a in fps for b in fps if a < b and (a ^ b).bit_count() <= 2}
+    assert simhash.tallies(df).count() < 100 * len(fps)
+
+
+def test_an_id_with_two_texts_keeps_each_group(spark):
+    a, b = "one two three four five six", "seven eight nine ten eleven twelve"
+    rows = [(1, a, "p"), (1, a, "q"), (1, b, "r"), (2, a, "s"), (3, b, "t"), (None, a, "u")]
+    kept = simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string, h string")).collect()
+    assert sorted((str(r.doc_id), r.text) for r in kept) == sorted([("1", a), ("1", b), ("None", a)])
+
+
 def test_simhash_of_awkward_rows(spark):
     got = [(r.doc_id, r.component_id) for r in simhash.groups(awkward(spark)).collect()]
     assert len(got) == len(awkward_rows())
