@@ -1,4 +1,7 @@
-"""Linear models over features.Texts, fitted on a bounded sample of rows, and their calibration."""
+"""Linear models over features.Texts, fitted on a bounded sample of rows, and their calibration.
+
+Samples are drawn in one scan of the documents; their features are made by the tasks that hold the texts, whatever the
+texts' lengths, and the driver sees nonzero features alone. Fitting goes over them in mini-batches."""
 
 from __future__ import annotations
 
@@ -8,114 +11,172 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallymark.llm.common import partitions, pick, slices
-from tallymark.llm.features import COLUMNS, FAMILIES, STYLE, Texts
+from tallymark.llm.features import COLUMNS, STYLE, Texts
 
-#: Labelled rows of each class that a model is fitted on at most, and the longest text among them. Both bound what the
-#: driver holds; scoring knows no such bound.
-SAMPLE_ROWS, SAMPLE_BYTES = 800, 32 << 10
+#: Labelled rows of each class that a model is fitted on at most.
+SAMPLE_ROWS = 1000
 STEP_BYTES = 1 << 20
 #: Rows whose crc32(doc_id as text) leaves this remainder modulo FOLDS are held out of all fitting.
 FOLDS, HELD_OUT = 5, 0
+#: Every so many-th row of a sample is set aside for calibration.
+ASIDE = 5
+UNLABELLED = 2
 
 
 def fold(doc_id) -> F.Column:
     return F.pmod(F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")), F.lit(FOLDS))
 
 
-def lowest(df: DataFrame, mix: F.Column, rows: int, n: int) -> DataFrame:
-    """The `rows` rows whose hash `mix` (a signed long) is least; n: about how many there are. A first cut at a hash that
-    twice as many are expected to pass keeps what tasks send to the driver small, whatever the table's size."""
-    if n > 4 * rows:
-        df = df.where(mix < F.lit(int(-(1 << 63) + 2 * rows / n * (1 << 64))))
-    return df.orderBy(mix).limit(rows)
-
-
-def labelled(docs: DataFrame, labels: DataFrame, label: str, rows: int = SAMPLE_ROWS, longest: int = SAMPLE_BYTES) -> list[tuple[bytes, int]]:
-    """At most `rows` texts of each class among the rows that may be learned from: those whose ids hash lowest.
-    Rows without an id, a text or a label of 0 or 1 don't count."""
-    own = pick(labels, doc_id="doc_id", y=label).where(F.col("doc_id").isNotNull() & F.col("y").isin(0, 1)).where(fold(F.col("doc_id")) != HELD_OUT).distinct()
-    short = pick(docs, doc_id="doc_id", text="text").where(F.octet_length("text") <= longest)
-    mix = F.xxhash64(F.col("doc_id").cast("string"), F.lit("sample"))
-    out: list[tuple[bytes, int]] = []
-    for y in (0, 1):
-        # a few more ids than rows are wanted, for those without a fitting text; as many at any size of the input
-        of_class = own.where(F.col("y") == y).select("doc_id")
-        ids = lowest(of_class, mix, 3 * rows, of_class.count())
-        got = short.join(F.broadcast(ids), "doc_id", "left_semi").select(mix.alias("m"), F.col("text").cast("binary").alias("text")).orderBy("m", "text").limit(rows)
-        out += [(bytes(r["text"]), y) for r in got.collect()]
-    return out
-
-
-def drawn(docs: DataFrame, rows: int) -> list[tuple[np.ndarray, np.ndarray]]:
-    """At most `rows` of all documents, those whose ids and texts hash lowest, as (columns, values) of their features. The
-    texts, of any length, stay with the tasks."""
+def below(mix: F.Column, rows: int, n: int) -> F.Column:
+    """Whether a hash (a signed long) is among those that twice `rows` of `n` rows are expected to have; all, if n is small."""
+    return mix < F.lit(int(-(1 << 63) + 2 * rows / n * (1 << 64))) if n > 4 * rows else F.lit(True)
+
+
+def learnable(labels: DataFrame, label: str) -> DataFrame:
+    """(doc_id, y) of labels that may be learned from: with an id, of 0 or 1, not held out."""
+    own = pick(labels, doc_id="doc_id", y=label).where(F.col("doc_id").isNotNull() & F.col("y").isin(0, 1))
+    return own.where(fold(F.col("doc_id")) != HELD_OUT).select("doc_id", F.col("y").cast("int").alias("y")).distinct()
+
+
+def sampled_ids(labels: DataFrame, label: str, rows: int) -> DataFrame:
+    """(doc_id, kind): of each class at most `rows` ids, those that hash lowest. A document with both labels is in both."""
+    own, mix = learnable(labels, label), F.xxhash64(F.col("doc_id").cast("string"), F.lit("sample"))
+    n = {r["y"]: r["n"] for r in own.groupBy("y").agg(F.count("*").alias("n")).collect()}
+    kept = own.where(F.when(F.col("y") == 1, below(mix, rows, n.get(1, 0))).otherwise(below(mix, rows, n.get(0, 0))))
+    nth = F.row_number().over(Window.partitionBy("y").orderBy(mix))
+    return kept.withColumn("nth", nth).where(F.col("nth") <= rows).select("doc_id", F.col("y").alias("kind"))
+
+
+def drawn(docs: DataFrame, labels: DataFrame, label: str, rows: int, unlabelled: int = 0, longest: int | None = None, least: bool = True) -> DataFrame:
+    """(kind, m, text): at most `rows` texts of each class (kinds 0 and 1) and `unlabelled` of all documents (kind 2), those
+    whose hashes m are least; equal rows count once. One scan of the documents. longest: the bytes of a labelled text."""
+    ids = sampled_ids(labels, label, 3 * rows)  # some ids have no text
     own = pick(docs, doc_id="doc_id", text="text")
-    own = own.select(F.xxhash64(F.col("doc_id").cast("string"), F.lit("unlabelled"), F.col("text")).alias("m"), "text")
-    n = own.count()
-    least = lowest(own.select("m"), F.col("m"), rows, n).collect()
-    if len(least) < min(rows, n):  # many equal rows
-        least = own.select("m").orderBy("m").limit(rows).collect()
-    if not least:
-        return []
+    by_id, by_row = F.xxhash64(F.col("doc_id").cast("string"), F.lit("sample")), F.xxhash64(F.col("doc_id").cast("string"), F.lit("unlabelled"), F.col("text"))
+    kinds, fits = F.lit(None).cast("int"), F.col("text").isNotNull()
+    if longest is not None:
+        fits = fits & (F.octet_length("text") <= longest)
+    if unlabelled:
+        n = own.count() if least else 0
+        kinds = F.when(below(by_row, unlabelled, n), UNLABELLED)
+    # at most 6 * rows ids
+    got = own.join(F.broadcast(ids.withColumnRenamed("doc_id", "_id")), F.col("doc_id") == F.col("_id"), "left")
+    each = F.filter(F.array(F.when(fits, F.col("kind")), kinds), lambda k: k.isNotNull())
+    flat = got.where(F.size(each) > 0).select(F.explode(each).alias("kind"), by_id.alias("by_id"), by_row.alias("by_row"), F.col("text").cast("binary").alias("text"))
+    flat = flat.select("kind", F.when(F.col("kind") == UNLABELLED, F.col("by_row")).otherwise(F.col("by_id")).alias("m"), "text")
+    once = flat.groupBy("kind", "m").agg(F.min("text").alias("text"))
+    nth = F.row_number().over(Window.partitionBy("kind").orderBy("m"))
+    return once.withColumn("nth", nth).where(F.col("nth") <= F.when(F.col("kind") == UNLABELLED, unlabelled).otherwise(rows)).drop("nth")
+
+
+def labelled(docs: DataFrame, labels: DataFrame, label: str, rows: int = SAMPLE_ROWS, longest: int | None = None) -> list[tuple[bytes, int]]:
+    """At most `rows` texts of each class among the rows that may be learned from."""
+    got = drawn(docs, labels, label, rows, longest=longest).collect()
+    return [(bytes(r["text"]), r["kind"]) for r in sorted(got, key=lambda r: (r["kind"], r["m"]))]
+
+
+class Rows:
+    """Features of a sample's rows: of each row its nonzero columns, one row after the other."""
+
+    def __init__(self, parts: list[tuple[np.ndarray, np.ndarray]]):
+        self.n = len(parts)
+        self.at = np.concatenate([a for a, _ in parts]) if parts else np.zeros(0, "u2")
+        self.value = np.concatenate([v for _, v in parts]) if parts else np.zeros(0, "f4")
+        self.first = np.concatenate(([0], np.cumsum([len(a) for a, _ in parts]))).astype("i8")
+
+    def __getitem__(self, which: np.ndarray) -> Rows:
+        return Rows([(self.at[self.first[i] : self.first[i + 1]], self.value[self.first[i] : self.first[i + 1]]) for i in which])
+
+    def dense(self, which: np.ndarray) -> np.ndarray:
+        own = self[which]
+        out = np.zeros((own.n, COLUMNS), "f4")
+        out[np.repeat(np.arange(own.n), np.diff(own.first)), own.at] = own.value
+        return out
+
+    def dot(self, w: np.ndarray) -> np.ndarray:
+        upto = np.concatenate(([0], np.cumsum(self.value * w[self.at], dtype="f8")))
+        return upto[self.first[1:]] - upto[self.first[:-1]]
+
+    def back(self, d: np.ndarray) -> np.ndarray:
+        """The rows' sum with weights d."""
+        return np.bincount(self.at, weights=self.value * np.repeat(d, np.diff(self.first)), minlength=COLUMNS)
+
+
+def sparse(x: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+    at = [np.flatnonzero(r) for r in x]
+    return [(a.astype("u2"), r[a]) for r, a in zip(x, at)]
+
+
+def sample(docs: DataFrame, labels: DataFrame, label: str, rows: int = SAMPLE_ROWS, unlabelled: int = 0) -> dict[int, Rows]:
+    """The features of drawn(), by kind, in the order of their hashes. A row has at most COLUMNS of them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, "text", STEP_BYTES):
-            for i in range(0, len(part), 200):
-                own = part.slice(i, 200)
-                x = Texts(own.column("text").cast(pa.binary())).matrix()
-                at = [np.flatnonzero(r) for r in x]
-                yield pa.RecordBatch.from_arrays([own.column("m"), pa.array([a.astype("u2").tobytes() for a in at], pa.binary()), pa.array([r[a].tobytes() for r, a in zip(x, at)], pa.binary())], ["m", "at", "value"])
+            for i in range(0, len(part), 100):
+                own = part.slice(i, 100)
+                got = sparse(Texts(own.column("text")).matrix())
+                yield pa.RecordBatch.from_arrays([own.column("kind"), own.column("m"), *(pa.array([x[k].tobytes() for x in got], pa.binary()) for k in (0, 1))], ["kind", "m", "at", "value"])
 
-    got = own.where(F.col("m") <= max(r["m"] for r in least)).mapInArrow(run, "m long, at binary, value binary").orderBy("m").limit(rows)
-    return [(np.frombuffer(bytes(r["at"]), "u2"), np.frombuffer(bytes(r["value"]), "f4")) for r in got.collect()]
+    def collected(least: bool) -> list:
+        return drawn(docs, labels, label, rows, unlabelled, least=least).mapInArrow(run, "kind int, m long, at binary, value binary").collect()
 
+    got = collected(True)
+    if sum(r["kind"] == UNLABELLED for r in got) < unlabelled:  # few documents, or many equal rows
+        got = collected(False)
+    got.sort(key=lambda r: (r["kind"], r["m"]))
+    return {k: Rows([(np.frombuffer(bytes(r["at"]), "u2"), np.frombuffer(bytes(r["value"]), "f4")) for r in got if r["kind"] == k]) for k in (0, 1, UNLABELLED)}
 
-def softplus(docs: DataFrame, weights: np.ndarray, bias: float) -> tuple[float, np.ndarray, float]:
-    """Means over all documents, long and empty ones too: log(1 + exp(score)) and its slopes by the weights and the bias.
-    Each task sends one sum; sums are added in a fixed order."""
-    sent = docs.sparkSession.sparkContext.broadcast((weights, bias))
+
+def summed(docs: DataFrame, of_step: Callable[[Texts], np.ndarray], size: int) -> np.ndarray:
+    """A vector's sum over all documents, long and empty ones too. Each task sends one sum; sums are added in a fixed order."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(COLUMNS + 3)
+        total = np.zeros(size)
         for part in slices(batches, "text", STEP_BYTES):
             if len(part):
-                total += Texts(part.column("text").cast(pa.binary())).softplus(*sent.value)
+                total += of_step(Texts(part.column("text").cast(pa.binary())))
         yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()], pa.int64()), pa.array([total.tobytes()], pa.binary())], ["task", "sums"])
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = sorted((t, s) for b in batches for t, s in zip(b.column("task").to_pylist(), b.column("sums").to_pylist()))
         if rows:
-            total = np.zeros(COLUMNS + 3)
+            total = np.zeros(size)
             for _, s in rows:
                 total += np.frombuffer(s, "f8")
             yield pa.RecordBatch.from_arrays([pa.array([rows[0][0]], pa.int64()), pa.array([total.tobytes()], pa.binary())], ["task", "sums"])
 
     kind = "task long, sums binary"
     tasks = pick(docs, text="text").mapInArrow(run, kind).repartition(partitions(docs), "task").mapInArrow(add, kind)
-    total = np.zeros(COLUMNS + 3)
+    total = np.zeros(size)
     for r in sorted(tasks.collect(), key=lambda r: r["task"]):
         total += np.frombuffer(bytes(r["sums"]), "f8")
-    sent.unpersist()
+    return total
+
+
+def softplus(docs: DataFrame, weights: np.ndarray, bias: float) -> tuple[float, np.ndarray, float]:
+    """Means over all documents: log(1 + exp(score)) and its slopes by the weights and the bias."""
+    total = summed(docs, lambda texts: texts.softplus(weights, bias), COLUMNS + 3)
     total /= max(total[0], 1)
     return float(total[1]), total[3:], float(total[2])
 
 
-def share_of_ones(labels: DataFrame, label: str) -> float:
-    """The estimated class prior: the share of ones among all labels that may be learned from."""
-    own = pick(labels, doc_id="doc_id", y=label).where(F.col("doc_id").isNotNull() & F.col("y").isin(0, 1)).where(fold(F.col("doc_id")) != HELD_OUT)
-    got = own.agg(F.avg(F.col("y").cast("double"))).first()[0]
-    return 0.5 if got is None else min(max(float(got), 0.02), 0.98)
+#: Bins of a histogram of scores.
+BINS = np.linspace(-30, 30, 2401)
 
 
-def matrix(texts: list[bytes]) -> np.ndarray:
-    out = np.zeros((len(texts), COLUMNS), "f4")
-    for i in range(0, len(texts), 200):
-        out[i : i + 200] = Texts(pa.array(texts[i : i + 200], pa.binary())).matrix()
-    return out
+def histogram(docs: DataFrame, weights: np.ndarray, bias: float) -> np.ndarray:
+    """How many of all documents have their score in each of BINS; scores beyond the ends count at the ends."""
+    return summed(docs, lambda texts: np.histogram(np.clip(texts.scores(weights) + bias, BINS[0], BINS[-1]), BINS)[0].astype("f8"), len(BINS) - 1)
+
+
+def share_of_ones(labels: DataFrame, label: str) -> float:
+    """The class prior of a supervised model: the share of ones among all labels that may be learned from."""
+    got = learnable(labels, label).agg(F.avg(F.col("y").cast("double"))).first()[0]
+    return 0.5 if got is None else min(max(float(got), 0.02), 0.98)
 
 
 def sigmoid(x: np.ndarray) -> np.ndarray:
@@ -135,45 +196,53 @@ class Linear:
 
 
 class Scale:
-    """Puts columns on one scale, in place; folds itself into weights afterwards. Columns that hardly vary stay small."""
-
-    def __init__(self, x: np.ndarray):
-        total, square = np.zeros(x.shape[1]), np.zeros(x.shape[1])
-        for i in range(0, len(x), 256):  # no second matrix
-            part = x[i : i + 256].astype("f8")
-            total += part.sum(0)
-            square += (part * part).sum(0)
-        self.mean = (total / len(x)).astype("f4")
-        self.unit = 1 / (np.sqrt(np.maximum(square / len(x) - (total / len(x)) ** 2, 0)) + np.where(np.arange(COLUMNS) < COLUMNS - STYLE, 2e-4, 1e-2))
+    """Puts columns on one scale, without touching the rows: it is folded into weights, and slopes are unfolded. Columns that
+    hardly vary stay small, and none reaches beyond five units."""
+
+    def __init__(self, x: Rows):
+        n = max(x.n, 1)
+        total = np.bincount(x.at, weights=x.value, minlength=COLUMNS)
+        square = np.bincount(x.at, weights=x.value.astype("f8") ** 2, minlength=COLUMNS)
+        most = np.zeros(COLUMNS)
+        np.maximum.at(most, x.at, x.value)
+        self.mean = total / n
+        self.unit = 1 / (np.sqrt(np.maximum(square / n - self.mean**2, 0)) + np.where(np.arange(COLUMNS) < COLUMNS - STYLE, 2e-4, 1e-2))
         self.unit[: COLUMNS - STYLE] /= np.sqrt(COLUMNS / 16)
-        self.unit = self.unit.astype("f4")
-
-    def apply(self, x: np.ndarray) -> np.ndarray:
-        x -= self.mean
-        x *= self.unit
-        np.clip(x, -5, 5, out=x)
-        return x
+        self.unit = np.minimum(self.unit, 5 / np.maximum(np.maximum(most - self.mean, self.mean), 1e-12))
 
     def fold(self, w: np.ndarray, b: float) -> tuple[np.ndarray, float]:
-        own = (w * self.unit).astype("f8")
+        own = w * self.unit
         return own, float(b - own @ self.mean)
 
-
-def descend(x: np.ndarray, slope_of, steps: int = 100, rate: float = 0.03, decay: float = 3e-3) -> tuple[np.ndarray, float]:
-    """Adam over all rows. slope_of(scores, w, b): the derivative of the mean loss by each row's score, and what else the
-    slopes by the weights and the bias have."""
-    w, b = np.zeros(x.shape[1], "f4"), 0.0
-    m, v, mb, vb = np.zeros_like(w), np.zeros_like(w), 0.0, 0.0
-    for t in range(1, steps + 1):
-        d, more, more_b = slope_of(x @ w + b, w, b)
-        d = d.astype("f4")
-        g, gb = d @ x + decay * w + more, float(d.sum()) + more_b
+    def slopes(self, by_weight: np.ndarray, by_bias: float) -> np.ndarray:
+        """Slopes by folded weights as slopes by one's own."""
+        return (by_weight - self.mean * by_bias) * self.unit
+
+
+def descend(x: Rows, scale: Scale, slope_of, epochs: int = 30, batch: int = 500, rate: float = 0.02, decay: float = 3e-3) -> tuple[np.ndarray, float]:
+    """Adam over mini-batches, each a like part of all rows; the mean of the later half of its steps. slope_of(which, scores, w,
+    b): the derivative of the mean loss by the score of each of these rows, and what else the slopes by the weights and the
+    bias have."""
+    w, b = np.zeros(COLUMNS), 0.0
+    m, v, mb, vb, total, total_b = np.zeros(COLUMNS), np.zeros(COLUMNS), 0.0, 0.0, np.zeros(COLUMNS), 0.0
+    parts = max(1, round(x.n / batch))
+    which = [np.arange(k, x.n, parts) for k in range(parts)]
+    steps, t = max(epochs * parts, 100), 0
+    while t < steps:
+        own = which[t % parts]
+        rows, t = x.dense(own), t + 1
+        folded, shift = scale.fold(w, b)
+        d, more, more_b = slope_of(own, rows @ folded.astype("f4") + shift, w, b)
+        g, gb = scale.slopes(d.astype("f4") @ rows, float(d.sum())) + decay * w + more, float(d.sum()) + more_b
         m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
         mb, vb = 0.9 * mb + 0.1 * gb, 0.99 * vb + 0.01 * gb * gb
         c1, c2 = 1 - 0.9**t, 1 - 0.99**t
-        w -= rate * (m / c1) / (np.sqrt(v / c2) + 1e-6)
+        w = w - rate * (m / c1) / (np.sqrt(v / c2) + 1e-6)
         b -= rate * (mb / c1) / (np.sqrt(vb / c2) + 1e-6)
-    return w, b
+        if t > steps // 2:
+            total, total_b = total + w, total_b + b
+    n = steps - steps // 2
+    return total / n, total_b / n
 
 
 def calibrate(scores: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[float, float]:
@@ -196,77 +265,22 @@ def calibrate(scores: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[fl
     return (float(a), float(c)) if a > 0 else (1.0, 0.0)
 
 
-def logistic(rows: list[tuple[bytes, int]], prior: float) -> Linear:
-    """Logistic regression on the first four fifths of the rows, calibrated on the rest; classes weigh as `prior` has them."""
-    y = np.array([v for _, v in rows], "i8")
-    if len(set(y.tolist())) < 2:
-        return Linear(np.zeros(COLUMNS), 0.0, 1.0, float(np.log(prior / (1 - prior))))
-    x, k = matrix([t for t, _ in rows]), len(rows) - len(rows) // 5
-    scale = Scale(x[:k])
-    x = scale.apply(x)
-    own, rest = y[:k], y[k:]
-    even = np.where(own == 1, 0.5 / max((own == 1).mean(), 1e-9), 0.5 / max((own == 0).mean(), 1e-9)) / k
-    w, b = descend(x[:k], lambda s, w, b: (even * (sigmoid(s) - own), 0.0, 0.0))
-    weight = np.where(rest == 1, prior / max((y == 1).mean(), 1e-9), (1 - prior) / max((y == 0).mean(), 1e-9))
-    slope, offset = calibrate(x[k:] @ w + b, rest, weight)
-    return Linear(*scale.fold(w, b), slope, offset)
-
-
-def positive_unlabelled(positive: list[bytes], unlabelled: list[tuple[np.ndarray, np.ndarray]], whole: Callable[[np.ndarray, float], tuple[float, np.ndarray, float]], prior: float, check: list[tuple[bytes, int]]) -> Linear:
-    """Minimises the non-negative unbiased risk  prior * R_p(+) + max(0, R_u(-) - prior * R_p(-))  with the logistic loss.
-    Where the second part falls below zero its slope is turned round. `check`: labelled rows for calibration.
-
-    R_u(-) is that of all documents, which `whole` gives with its slopes for any weights. The rows `unlabelled` only lend it
-    their curvature: weights fitted on them are fitted again with R_u(-) of these rows tilted, so that its value and slopes
-    at the first weights are those of all documents. Where the risk of all documents rises instead, the step is shortened to
-    the least point of the parabola through both values and the first slope."""
-    if not positive or not unlabelled:
+def logistic(classes: dict[int, Rows], prior: float) -> Linear:
+    """Logistic regression on four fifths of the rows, calibrated on the rest; classes weigh as `prior` has them."""
+    if not classes[0].n or not classes[1].n:
         return Linear(np.zeros(COLUMNS), 0.0, 1.0, float(np.log(prior / (1 - prior))))
-    n, m, decay = len(positive), len(unlabelled), 3e-3
-    x = np.zeros((n + m, COLUMNS), "f4")
-    for i in range(0, n, 200):
-        x[i : min(i + 200, n)] = matrix(positive[i : i + 200])
-    for i, (at, value) in enumerate(unlabelled):
-        x[n + i, at] = value
-    p = np.arange(len(x)) < n
+    y = np.repeat([0, 1], [classes[0].n, classes[1].n])
+    aside = np.concatenate([np.arange(classes[k].n) % ASIDE == ASIDE - 1 for k in (0, 1)])
+    every = joined(classes[0], classes[1])
+    x, own = every[np.flatnonzero(~aside)], y[~aside]
     scale = Scale(x)
-    x = scale.apply(x)
-    tilt = (0.0, np.zeros(COLUMNS, "f4"), 0.0)
-
-    def slope_of(s: np.ndarray, w: np.ndarray, b: float) -> tuple[np.ndarray, np.ndarray, float]:
-        sp, su = s[p], s[~p]
-        rest = np.logaddexp(0, su).mean() + tilt[0] + float(tilt[1] @ w) + tilt[2] * b - prior * np.logaddexp(0, sp).mean()
-        sign = 1.0 if rest >= 0 else -1.0
-        d = np.empty(len(s))
-        d[p] = (prior * (sigmoid(sp) - 1) if sign > 0 else 0) / n - sign * prior * sigmoid(sp) / n
-        d[~p] = sign * sigmoid(su) / m
-        return d, sign * tilt[1], sign * tilt[2]
-
-    def of_all(w: np.ndarray, b: float) -> tuple[float, float, np.ndarray, float]:
-        """The risk and R_u(-) of all documents, and the slopes of the latter."""
-        loss, by_weight, by_bias = whole(*scale.fold(w, b))
-        sp = x[:n] @ w + b
-        risk = prior * np.logaddexp(0, -sp).mean() + max(0.0, loss - prior * np.logaddexp(0, sp).mean()) + decay / 2 * float(w @ w)
-        return risk, loss, ((by_weight - scale.mean * by_bias) * scale.unit).astype("f4"), by_bias
-
-    w, b = descend(x, slope_of, decay=decay)
-    risk, loss, by_weight, by_bias = of_all(w, b)
-    su = x[n:] @ w + b
-    d = sigmoid(su) / m
-    by_weight, by_bias = by_weight - d.astype("f4") @ x[n:], by_bias - float(d.sum())
-    tilt = (loss - np.logaddexp(0, su).mean() - float(by_weight @ w) - by_bias * b, by_weight, by_bias)
-    w1, b1 = descend(x, slope_of, decay=decay)
-    rise, part = of_all(w1, b1)[0] - risk, 1.0
-    if rise > 0:
-        d, more, more_b = slope_of(x @ w + b, w, b)
-        slope = float((d.astype("f4") @ x + decay * w + more) @ (w1 - w)) + (float(d.sum()) + more_b) * (b1 - b)
-        part = min(1.0, -slope / (2 * (rise - slope))) if slope < 0 else 0.0
-    w, b = w + np.float32(part) * (w1 - w), b + part * (b1 - b)
-    weights, bias = scale.fold(w, b)
-    slope, offset = 1.0, 0.0
-    y = np.array([v for _, v in check], "i8")
-    if len(set(y.tolist())) == 2:
-        scores = np.concatenate([Texts(pa.array([t for t, _ in check[i : i + 200]], pa.binary())).scores(weights) for i in range(0, len(check), 200)]) + bias
-        weight = np.where(y == 1, prior / (y == 1).mean(), (1 - prior) / (y == 0).mean())
-        slope, offset = calibrate(scores, y, weight)
-    return Linear(weights, bias, slope, offset)
+    even = np.where(own == 1, 0.5 / max((own == 1).mean(), 1e-9), 0.5 / max((own == 0).mean(), 1e-9))
+    w, b = scale.fold(*descend(x, scale, lambda i, s, w, b: (even[i] * (sigmoid(s) - own[i]) / len(i), 0.0, 0.0)))
+    rest = y[aside]
+    weight = np.where(rest == 1, prior / max((rest == 1).mean(), 1e-9), (1 - prior) / max((rest == 0).mean(), 1e-9))
+    slope, offset = calibrate(every[np.flatnonzero(aside)].dot(w) + b, rest, weight)
+    return Linear(w, b, slope, offset)
+
+
+def joined(*rows: Rows) -> Rows:
+    return Rows([(x.at[s:e], x.value[s:e]) for x in rows for s, e in zip(x.first[:-1], x.first[1:])])

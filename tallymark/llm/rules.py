@@ -3,7 +3,9 @@
 The counts are exact over whole texts. A text fails the base with fewer than 20 words, or with more than 30 of 100 words in
 eight-word windows that it has twice. What passes is kept if the calibrated probability of label 1 reaches `threshold`.
 The model is fitted on a bounded sample of labelled rows (models.SAMPLE_ROWS of each class), never on held-out ones. With
-labels of one class alone, or none, the probability is the class prior. Null texts have no words and fail."""
+labels of one class alone, or none, the probability is the class prior. Null and empty texts have no words and fail; texts of
+any length are counted and scored whole. Equal texts have equal results, repeated rows are kept, an empty table gives no rows,
+other columns don't matter."""
 
 from __future__ import annotations
 
@@ -42,9 +44,7 @@ def measures(texts: Texts, raw: list[bytes | None]) -> dict[str, np.ndarray]:
 
 
 def fit(docs: DataFrame, labels: DataFrame) -> models.Linear:
-    rows = models.labelled(docs, labels, "quality")
-    order = np.random.default_rng(1).permutation(len(rows))
-    return models.logistic([rows[i] for i in order], models.share_of_ones(labels, "quality"))
+    return models.logistic(models.sample(docs, labels, "quality"), models.share_of_ones(labels, "quality"))
 
 
 def judge(docs: DataFrame, model: models.Linear, threshold: float = 0.5, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
