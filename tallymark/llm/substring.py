@@ -9,7 +9,7 @@ The index is a set of sorted immutable runs, dealt out by key range: each key wi
 come in batches of rising doc_id. A batch is sorted into a run of its own and merge-joined with the stored runs, which are
 read in the order of their keys. A stretch whose whole key a smaller document has is a repeat. Where only the first half is
 shared, the smallest document of each such stretch is looked at again: its windows are compared one by one over all
-documents, by two independent 64-bit hashes. All hashes are sums of halves of BLAKE2b digests of the words. Then the batch's
+documents, by two independent 64-bit hashes of their words. Then the batch's
 run joins the index, and levels of enough runs are compacted into one.
 
 A stretch or window that very many documents share is reduced before any exchange to its smallest doc_id in each step of a

@@ -1,22 +1,34 @@
 """Toxicity by a subsequence string-kernel support vector machine with Nystroem landmarks.
 
-Landmarks are strings that tell the toxic texts of a bounded sample of labelled rows from the others: words and
-their beginnings, with the white space beside them. A text's ASCII letters are taken in lower case; whatever is neither
-a letter, a digit nor beyond ASCII counts as white space. Every stretch of a text that has all characters of a landmark in
-order, with at most GAP others between two of them, is compared with it by the gap-weighted subsequence kernel
-(subsequences of three characters, each character of their span weighing DECAY); so `i.d.i.o.t` and `idxiot` come near
-`idiot`, less near the more is inserted. A text's coordinates are its best value for each landmark, turned by the inverse
-root of the landmarks' own kernel matrix; a linear machine with hinge loss is trained on them and its margin calibrated.
+The kernel counts common subsequences of three characters, each weighing DECAY to the power of its span in either string,
+and is divided by both strings' own norms; so a string that has a letter more, a letter less or gaps keeps part of its
+likeness. It is evaluated by its features: a string's subsequences with their weights.
+
+A text's units are its words, with ASCII letters in lower case and a space before and after. Marks within a word are left
+out (`id-iot`), and the pieces between them are units too; words of one character in a row make one unit (`i d i o t`). Words
+longer than LONG are covered by overlapping parts. A sentence's coordinate for a landmark is the greatest likeness of its
+units (and of their beginnings, where a landmark is a beginning), each of which is compared with each landmark that it is near: it shares two stretches of three characters with it,
+with at most one other character between two of a stretch (a unit that doesn't counts 0). The coordinates are turned by the inverse root of the landmarks' own
+kernel matrix. A linear machine with hinge loss is trained on sentences: all those of texts labelled clean, and of each toxic
+text, of which only some sentence is known to be toxic, the one with the highest margin, chosen anew in ROUNDS (and a second time, EASED). A text's
+margin is its highest; it is calibrated on texts that were set aside.
+
+Landmarks are at most LANDMARKS strings of SHORTEST to LONGEST characters that tell the toxic texts of a bounded sample of
+labelled rows (models.SAMPLE_ROWS of each class, of texts up to SAMPLE_BYTES) from the others: words and their beginnings.
+Insults that under one in forty sampled toxic texts has, or too few to rule out chance, are not learned.
 
 Held-out labels are never looked at. Without labels of both classes, or without telling strings, the score is the share
-of toxic labels. Null texts count as empty."""
+of toxic labels. Null and empty texts have the score of a text without words; texts of any length are scored whole. Equal
+texts have equal scores; repeated rows are kept; an empty table gives no rows. Other columns don't matter."""
 
 from __future__ import annotations
 
-import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import lru_cache
+from itertools import combinations
+from math import lgamma
 
 import numpy as np
 import pyarrow as pa
@@ -26,111 +38,69 @@ from pyspark.sql import functions as F
 from tallymark.llm import models
 from tallymark.llm.common import pick, slices
 from tallymark.llm.simhash import fingerprints
-from tallymark.llm.spans import SPACE, layout
-
-STEP_BYTES, MEMO = 2 << 20, 200_000
-LANDMARKS, GAP, LENGTH, DECAY = 48, 2, 3, 0.8
-SHORTEST, LONGEST = 4, 11
-#: From this likeness on a toxic text's sentence is taken for the toxic one; margins are cut off at CLIP, so that a text
-#: with many insults says nothing about one with a single one.
-NEAR, CLIP, ALIKE = 0.9, 1.5, 16
-SENTENCE = re.compile(rb"[.!?\n]+(?=\s|$)")
+from tallymark.llm.spans import SPACE, Words, layout
+
+STEP_BYTES, SAMPLE_BYTES = 1 << 20, 64 << 10
+#: Distinct units that a worker remembers before it starts anew.
+MEMO = 60_000
+LANDMARKS, LENGTH, DECAY = 48, 3, 0.8
+#: Three characters with at most one other between two of them, as offsets from the first.
+STRETCHES = ((1, 2), (1, 3), (2, 3), (2, 4))
+SHORTEST, LONGEST, LONG = 4, 11, 24
+#: Chosen sentences stand a second time with their likenesses so much lessened, as by a letter more or less in a word.
+ROUNDS, EASED = 3, 0.7
+#: A power of a kernel is a kernel; it keeps many small likenesses from adding up to one insult.
+POWER = 3
+#: Texts whose simhashes are at most so many bits apart are one family; one of each is learned from.
+ALIKE = 16
 #: Lower-case ASCII letters, digits and bytes beyond ASCII stay; all else is white space.
 FOLD = np.full(256, 32, "u1")
-INSIDE = re.compile(rb"(?<=[^ \x01])\x01+(?=[^ \x01])")
 FOLD[48:58], FOLD[97:123], FOLD[65:91], FOLD[128:] = np.arange(48, 58), np.arange(97, 123), np.arange(97, 123), np.arange(128, 256)
 #: As FOLD, but marks are told from white space.
 MARKED = np.where((FOLD == 32) & ~SPACE, np.uint8(1), FOLD)
-
-
-def subsequence_kernel(s: bytes, t: bytes, length: int = LENGTH, decay: float = DECAY) -> float:
-    """Sum over common subsequences of `length` characters of decay to the power of both spans."""
-    inner = np.ones((len(s) + 1, len(t) + 1))
-    value = 0.0
-    for step in range(1, length + 1):
-        value, after = 0.0, np.zeros_like(inner)
-        for i in range(1, len(s) + 1):
-            run = 0.0
-            for j in range(1, len(t) + 1):
-                run = decay * run + (decay * decay * inner[i - 1, j - 1] if s[i - 1] == t[j - 1] else 0.0)
-                after[i, j] = decay * after[i - 1, j] + run
-                if s[i - 1] == t[j - 1]:
-                    value += decay * decay * inner[i - 1, j - 1]
-        inner = after
-    return value
-
-
-def one_word(stretch: bytes) -> bytes:
-    """What stands inside a stretch: marks between characters go (`id-iot`); white space goes between single characters (a
-    word spelled out), and else puts two words far apart."""
-    inner = INSIDE.sub(b"", stretch.strip(b" \1")).replace(b"\1", b" ")
-    parts = inner.split()
-    if len(parts) > 1:
-        inner = (b"" if max(map(len, parts)) == 1 else b"\n\n\n").join(parts)
-    return (b" " if stretch[:1] in (b" ", b"\1") else b"") + inner + (b" " if stretch[-1:] in (b" ", b"\1") else b"")
-
-
-def folded(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, bytes]:
-    """All texts in a row, a space before and after each and a gap between that no match can bridge; where each begins;
-    the same row with marks told from white space."""
-    data, at = layout(texts)
-    size, pad = np.diff(at), GAP + 3
-    begin = np.arange(len(size)) * pad + at[:-1] + pad
-    row = np.zeros(int(at[-1]) + pad * (len(size) + 1), "u1")
-    row[np.arange(len(data)) + np.repeat(begin - at[:-1], size)] = FOLD[data]
-    row[begin - 1] = 32
-    row[begin + size] = 32
-    plain = row.copy()
-    plain[np.arange(len(data)) + np.repeat(begin - at[:-1], size)] = MARKED[data]
-    return row, begin, plain.tobytes()
-
-
-def tree(landmarks: list[bytes]) -> dict:
-    """The landmarks by their characters; under None the number of one that ends there."""
-    root: dict = {}
-    for n, x in enumerate(landmarks):
-        node = root
-        for c in x:
-            node = node.setdefault(c, {})
-        node[None] = n
-    return root
-
-
-def nearest(start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Of matches with the same end, the shortest."""
-    order = np.lexsort((-start, end))
-    start, end = start[order], end[order]
-    first = np.ones(len(end), bool)
-    first[1:] = end[1:] != end[:-1]
-    return start[first], end[first]
-
-
-def matches(row: np.ndarray, root: dict) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """(landmark, first, last position) of all stretches that have the landmark's characters in order with small gaps."""
-    for a, below in root.items():
-        own = row == a
-        close = np.zeros(len(row), bool)
-        for d in range(1, GAP + 2):
-            close[d:] |= own[:-d]
-        for b, node in below.items():
-            end = np.flatnonzero(close & (row == b))
-            start = end - 1
-            for d in range(1, GAP + 1):
-                start = np.where(own[start], start, end - 1 - d)
-            yield from deeper(row, node, start, end)
-
-
-def deeper(row: np.ndarray, node: dict, start: np.ndarray, end: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    if None in node and len(end):
-        yield node[None], start, end
-    nexts = [c for c in node if c is not None]
-    if not nexts or not len(end):
-        return
-    ahead = [row[end + d] for d in range(1, GAP + 2)]
-    for c in nexts:
-        hits = [x == c for x in ahead]
-        s, e = np.concatenate([start[h] for h in hits]), np.concatenate([end[h] + d + 1 for d, h in enumerate(hits)])
-        yield from deeper(row, node[c], *nearest(s, e))
+#: Marks that end a sentence where white space follows.
+STOPS = np.zeros(256, bool)
+STOPS[list(b".!?")] = True
+
+
+@lru_cache(maxsize=64)
+def triples(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """All three places in a string of n characters, and the weights of such subsequences."""
+    at = np.array(list(combinations(range(n), LENGTH)), "i4").reshape(-1, LENGTH)
+    return at, (DECAY ** (at[:, -1] - at[:, 0] + 1)).astype("f4") if len(at) else np.zeros(0, "f4")
+
+
+def subsequences(strings: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of strings of one length (a row of bytes each): the codes of their subsequences, and the weights."""
+    at, weight = triples(strings.shape[1])
+    part = strings.astype("i4")[:, at.T]  # (row, which of three, subsequence)
+    return (part[:, 0] << 16) | (part[:, 1] << 8) | part[:, 2], weight
+
+
+def norms(codes: np.ndarray, weight: np.ndarray) -> np.ndarray:
+    """Each string's kernel with itself: the sum of the squares of what each distinct subsequence weighs."""
+    if not codes.shape[1]:
+        return np.zeros(len(codes), "f4")
+    order = np.argsort(codes, axis=1, kind="stable")
+    sorted_codes, sorted_weight = np.take_along_axis(codes, order, 1), weight[order]
+    new = np.ones(codes.shape, bool)
+    new[:, 1:] = sorted_codes[:, 1:] != sorted_codes[:, :-1]
+    first = np.flatnonzero(new.ravel())
+    each = np.add.reduceat(sorted_weight.ravel(), first) ** 2
+    return np.bincount(first // codes.shape[1], weights=each, minlength=len(codes))
+
+
+def units_of(word: bytes) -> list[bytes]:
+    """What a folded word, marks as bytes of value one, is compared as."""
+    pieces = [x for x in word.split(b"\1") if x]
+    if not pieces:
+        return []
+    own = {b"".join(pieces)} | ({x for x in pieces if len(x) > 1} if len(pieces) > 1 else set())
+    out = []
+    for x in sorted(own):
+        x = b" " + x + b" "
+        out += [x] if len(x) <= LONG else [x[i : i + LONG] for i in range(0, len(x) - LONG + LONG // 2, LONG // 2)]
+    return out
 
 
 @dataclass
@@ -145,63 +115,186 @@ class Machine:
     memo: dict = field(default_factory=dict)
 
     def __post_init__(self) -> None:
-        self.root = tree(self.landmarks)
-        self.own = [subsequence_kernel(x, x) for x in self.landmarks]
-
-    def likeness(self, n: int, stretch: bytes) -> float:
-        key = (n, stretch)
-        if key not in self.memo:
-            if len(self.memo) > MEMO:
-                self.memo.clear()
-            own = one_word(stretch)
-            self.memo[key] = subsequence_kernel(own, self.landmarks[n]) / max(subsequence_kernel(own, own) * self.own[n], 1e-12) ** 0.5
-        return self.memo[key]
-
-    def coordinates(self, texts: pa.Array) -> np.ndarray:
-        """The best likeness to each landmark of each text."""
-        row, begin, plain = folded(texts)
-        out = np.zeros((len(begin), len(self.landmarks)))
-        for n, start, end in matches(row, self.root):
-            doc = np.searchsorted(begin - 1, start, side="right") - 1
-            # the shortest stretches first: few longer ones can be better
-            tight = end - start + 1 == len(self.landmarks[n])
-            out[doc[tight], n] = 1.0
-            for d, s, e in zip(doc[~tight].tolist(), start[~tight].tolist(), end[~tight].tolist()):
-                if out[d, n] < 1.0:
-                    out[d, n] = max(out[d, n], self.likeness(n, plain[s : e + 1]))
+        """The landmarks' features: which row of a table a subsequence has, and its weights in each landmark."""
+        found: dict[int, np.ndarray] = {}
+        for n, x in enumerate(self.landmarks):
+            codes, weight = subsequences(np.frombuffer(x, "u1")[None])
+            for c, v in zip(codes[0].tolist(), weight.tolist()):
+                found.setdefault(c, np.zeros(len(self.landmarks), "f4"))[n] += v
+        self.codes = np.array(sorted(found), "i4")
+        self.table = np.stack([found[c] for c in self.codes.tolist()]) if found else np.zeros((0, len(self.landmarks)), "f4")
+        self.table = self.table / np.sqrt(np.maximum((self.table**2).sum(0), 1e-12))
+        self.values = np.zeros((0, len(self.landmarks)), "f4")
+        self.lengths = sorted({len(x) + k for x in self.landmarks if not x.endswith(b" ") for k in (-1, 0, 1)})
+        # which landmarks (as bits) have a stretch of three characters, each character as a number below 64
+        self.letter, self.stretches = np.zeros(256, "i4"), np.zeros(1 << 18, "u8")
+        common = [c for c, _ in Counter(b"".join(self.landmarks)).most_common(63)]
+        self.letter[common] = np.arange(1, len(common) + 1)
+        for i, x in enumerate(self.landmarks):
+            own = self.letter[np.frombuffer(x, "u1")]
+            for a, b in STRETCHES:
+                for j in range(len(own) - b):
+                    if own[j] and own[j + a] and own[j + b]:
+                        self.stretches[(own[j] << 12) | (own[j + a] << 6) | own[j + b]] |= np.uint64(1 << i)
+
+    def near(self, strings: np.ndarray) -> np.ndarray:
+        """Of strings of one length: the landmarks (as bits) that each is near."""
+        own, n = self.letter[strings], strings.shape[1]
+        once, twice = np.zeros(len(own), "u8"), np.zeros(len(own), "u8")
+        for a, b in STRETCHES:
+            for j in range(n - b):
+                met = self.stretches[(own[:, j] << 12) | (own[:, j + a] << 6) | own[:, j + b]]
+                twice |= once & met
+                once |= met
+        return twice
+
+    def likeness(self, units: list[bytes], everywhere: bool = False) -> np.ndarray:
+        """The normalised kernel of each unit and each landmark that it is near (or every landmark), else 0."""
+        out = np.zeros((len(units), len(self.landmarks)), "f4")
+        by_length: dict[int, list[int]] = {}
+        for i, x in enumerate(units):
+            by_length.setdefault(len(x), []).append(i)
+        for n, which in by_length.items():
+            for k in range(0, len(which), 1000):
+                own = np.array(which[k : k + 1000])
+                strings = np.frombuffer(b"".join([units[i] for i in own]), "u1").reshape(-1, n)
+                near = np.full(len(own), (1 << 64) - 1, "u8") if everywhere else self.near(strings)
+                own, strings, near = own[near > 0], strings[near > 0], near[near > 0]
+                if not len(own):
+                    continue
+                codes, weight = subsequences(strings)
+                at = np.minimum(np.searchsorted(self.codes, codes), len(self.codes) - 1)
+                row, col = np.nonzero(self.codes[at] == codes)
+                first = np.flatnonzero(np.append(True, row[1:] != row[:-1])) if len(row) else row
+                value = np.zeros((len(own), len(self.landmarks)), "f4")
+                if len(row):
+                    value[row[first]] = np.add.reduceat(self.table[at[row, col]] * weight[col, None], first)
+                value /= np.sqrt(np.maximum(norms(codes, weight), 1e-12))[:, None]
+                bits = (near[:, None] >> np.arange(len(self.landmarks), dtype="u8")) & np.uint64(1)
+                out[own] = value * bits
         return out
 
+    def beginnings(self, unit: bytes) -> list[bytes]:
+        """A unit, and its beginnings of about the lengths of landmarks that are beginnings."""
+        return [unit, *(unit[:k] for k in self.lengths if k < len(unit))]
+
+    def learn(self, units: list[bytes]) -> np.ndarray:
+        """Where the units' likenesses are in `values`, the best of each unit and its beginnings; distinct units are
+        remembered."""
+        if len(self.memo) > MEMO:
+            self.memo, self.values = {}, self.values[:0]
+        new = [u for u in dict.fromkeys(units) if u not in self.memo]
+        if new:
+            self.memo.update(zip(new, range(len(self.values), len(self.values) + len(new))))
+            own = [self.beginnings(u) for u in new]
+            first = np.cumsum([0, *(len(x) for x in own[:-1])])
+            self.values = np.concatenate([self.values, np.maximum.reduceat(self.likeness([u for x in own for u in x]), first)])
+        return np.array([self.memo[u] for u in units], "i8")
+
+    def sentences(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The coordinates of all sentences, and which text each is of."""
+        data, at = layout(texts)
+        marked = MARKED[data]
+        words = Words(marked, at)
+        if not len(words.doc):
+            return np.zeros((0, len(self.landmarks)), "f4"), np.zeros(0, "i8")
+        lines = np.concatenate(([0], np.cumsum(data == 10)))
+        new = np.ones(len(words.doc), bool)
+        new[1:] = (words.doc[1:] != words.doc[:-1]) | STOPS[data[words.end[:-1] - 1]] | (lines[words.begin[1:]] > lines[words.end[:-1]])
+        first, of = np.flatnonzero(new), np.cumsum(new) - 1
+        # a word without the marks around it
+        place, mark = np.arange(len(marked)), marked == 1
+        begin = np.minimum(np.minimum.accumulate(np.where(mark, len(marked), place)[::-1])[::-1][words.begin], words.end)
+        end = np.maximum(np.maximum.accumulate(np.where(mark, -1, place))[words.end - 1] + 1, begin)
+        marks = np.concatenate(([0], np.cumsum(mark)))
+        size, inner = end - begin, marks[end] - marks[begin]
+        units, owner = [], []
+        plain = (inner == 0) & (size > 0)
+        whole = marked.tobytes()
+        for n in range(1, LONG - 1):
+            rows = np.flatnonzero(plain & (size == n))
+            for k in range(0, len(rows), 50_000):
+                own = rows[k : k + 50_000]
+                strings = np.full((len(own), n + 2), 32, "u1")
+                strings[:, 1:-1] = marked[begin[own, None] + np.arange(n)]
+                own = own[self.near(strings) > 0]
+                units += [b" " + whole[i : i + n] + b" " for i in begin[own].tolist()]
+                owner.append(of[own])
+        other = np.flatnonzero((inner > 0) | (plain & (size > LONG - 2)))
+        spelled = [units_of(whole[begin[i] : end[i]]) for i in other.tolist()]
+        units += [u for x in spelled for u in x]
+        owner.append(np.repeat(of[other], [len(x) for x in spelled]).astype("i8"))
+        # words of one character in a row
+        single = size - inner == 1
+        edge = np.flatnonzero(np.diff(np.concatenate(([0], single.astype("i1"), [0]))))
+        runs, where = [], []
+        for s, e in zip(edge[::2].tolist(), edge[1::2].tolist()):
+            breaks = [s, *(s + 1 + np.flatnonzero(words.doc[s + 1 : e] != words.doc[s : e - 1])).tolist(), e]
+            for a, b in zip(breaks[:-1], breaks[1:]):
+                if b - a >= LENGTH:
+                    runs.append(units_of(b"".join([whole[begin[i] : end[i]].replace(b"\1", b"") for i in range(a, b)])))
+                    where.append(of[a])
+        units += [u for x in runs for u in x]
+        owner.append(np.repeat(where, [len(x) for x in runs]).astype("i8"))
+        out = np.zeros((len(first), len(self.landmarks)), "f4")
+        if units:
+            at = self.learn(units)
+            np.maximum.at(out, np.concatenate(owner), self.values[at])
+        return out, words.doc[first]
+
+    def margins(self, likeness: np.ndarray) -> np.ndarray:
+        return likeness**POWER @ (self.turn @ self.weights) + self.bias
+
+    def text_margins(self, texts: pa.Array) -> np.ndarray:
+        """The highest margin of each text's sentences; without words that of a sentence unlike everything. What lies beyond the
+        hinge's own margin says no more: many insults in a text say nothing about one in another."""
+        out = np.full(len(texts), -np.inf)
+        coordinates, doc = self.sentences(texts)
+        np.maximum.at(out, doc, self.margins(coordinates))
+        return np.clip(np.where(np.isneginf(out), self.bias, out), -1, 1)
+
     def probability(self, texts: pa.Array) -> np.ndarray:
         if self.weights is None:
             return np.full(len(texts), self.prior)
-        margin = self.coordinates(texts) @ self.turn @ self.weights + self.bias
-        return models.sigmoid(self.slope * np.clip(margin, -CLIP, CLIP) + self.offset)
+        return models.sigmoid(self.slope * self.text_margins(texts) + self.offset)
+
+
+def at_least(k: int, n: int, p: float) -> float:
+    """The chance of k or more of n, each with chance p."""
+    log = lambda i: lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * np.log(p) + (n - i) * np.log1p(-p)
+    return float(sum(np.exp(log(i)) for i in range(k, n + 1)))
 
 
 def telling_strings(toxic: list[bytes], clean: list[bytes], most: int = LANDMARKS) -> list[bytes]:
     """Strings that many toxic texts have and the clean ones hardly: words with white space around them, and their
     beginnings. Each is chosen for the toxic texts that earlier ones don't explain four times over."""
 
-    def parts(text: bytes) -> set[bytes]:
-        out: set[bytes] = set()
-        for w in set(FOLD[np.frombuffer(text, "u1")].tobytes().split()):
+    def parts(text: bytes) -> dict[bytes, set[tuple]]:
+        """A text's strings, and the words before and after each."""
+        words, out = [b"", *FOLD[np.frombuffer(text, "u1")].tobytes().split(), b""], {}
+        for before, w, after in zip(words, words[1:-1], words[2:]):
             w = b" " + w + b" "
-            if len(w) <= LONGEST + 2:
-                out.add(w)
-            for k in range(SHORTEST, min(LONGEST, len(w) - 1) + 1):
-                out.add(w[:k])
+            for p in {w[:k] for k in range(SHORTEST, min(LONGEST, len(w) - 1) + 1)} | ({w} if len(w) <= LONGEST + 2 else set()):
+                out.setdefault(p, set()).add((before, after))
         return out
 
     other: Counter = Counter()
     for x in clean:
-        other.update(parts(x))
+        other.update(parts(x).keys())
     bearers: dict[bytes, list[int]] = {}
+    known: dict[bytes, set[tuple]] = {}
     for i, x in enumerate(toxic):
-        for p in parts(x):
-            bearers.setdefault(p, []).append(i)
+        for p, places in parts(x).items():
+            # between words that it was seen between already it may be a copy
+            if not places <= known.setdefault(p, set()):
+                known[p] |= places
+                bearers.setdefault(p, []).append(i)
     ratio = len(toxic) / max(len(clean), 1)
     least = max(4, len(toxic) // 40)
-    bearers = {p: x for p, x in bearers.items() if len(x) >= least and len(x) >= 40 * other[p] * ratio}
+    bearers = {p: x for p, x in bearers.items() if len(x) >= least}
+    # no more telling than one of so many strings is by chance
+    share, chance = len(toxic) / max(len(toxic) + len(clean), 1), 0.05 / max(len(bearers), 1)
+    bearers = {p: x for p, x in bearers.items() if len(x) >= 40 * other[p] * ratio and at_least(len(x), len(x) + other[p], share) <= chance}
     need, chosen = np.full(len(toxic), 4), []
     while len(chosen) < most and bearers:
         value = {p: (sum(need[x]) - 4 * other[p] * ratio, len(p), p) for p, x in bearers.items()}
@@ -227,17 +320,30 @@ def unlike(texts: list[bytes]) -> list[bytes]:
     return [texts[i] for i in kept]
 
 
-def sentences(text: bytes) -> list[bytes]:
-    return [x for x in SENTENCE.split(text) if x.strip()]
+def hinge(z: np.ndarray, sign: np.ndarray, weight: np.ndarray, steps: int = 800) -> tuple[np.ndarray, float]:
+    """A linear machine by averaged subgradient steps."""
+    w, b, total_w, total_b = np.zeros(z.shape[1]), 0.0, 0.0, 0.0
+    for step in range(1, steps + 1):
+        g = weight * sign * (sign * (z @ w + b) < 1)
+        rate = 4.0 / np.sqrt(step)
+        w, b = w - rate * (1e-4 * w - g @ z), b + rate * g.sum()
+        if step > steps // 2:
+            total_w, total_b = total_w + w, total_b + b
+    return total_w / (steps - steps // 2), total_b / (steps - steps // 2)
 
 
-def coordinates(machine: Machine, texts: list[bytes]) -> np.ndarray:
-    return np.concatenate([np.zeros((0, len(machine.landmarks))), *(machine.coordinates(pa.array(texts[i : i + 500], pa.binary())) for i in range(0, len(texts), 500))])
+def coordinates(machine: Machine, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Of all sentences, and the numbers of their texts."""
+    out, of = [np.zeros((0, len(machine.landmarks)), "f4")], [np.zeros(0, "i8")]
+    for i in range(0, len(texts), 200):
+        x, doc = machine.sentences(pa.array(texts[i : i + 200], pa.binary()))
+        out.append(x)
+        of.append(doc + i)
+    return np.concatenate(out), np.concatenate(of)
 
 
 def train(rows: list[tuple[bytes, int]], prior: float) -> Machine:
-    """rows: texts and whether they are toxic. The machine learns from sentences: those of toxic texts that come near a
-    landmark, and those of the others. A fifth of the texts is set aside, and calibrates the margin of whole texts."""
+    """rows: texts and whether they are toxic. A fifth of the texts is set aside, and calibrates the margin of whole texts."""
     y = np.array([v for _, v in rows], "i8")
     aside = np.arange(len(y)) % 5 == 4
     if len(set(y[~aside].tolist())) < 2:
@@ -247,34 +353,32 @@ def train(rows: list[tuple[bytes, int]], prior: float) -> Machine:
     machine = Machine(telling_strings(toxic, clean), prior)
     if not machine.landmarks:
         return machine
-    near, far = (coordinates(machine, [x for t in texts for x in sentences(t)]) for texts in (toxic, clean))
-    near = near[near.max(1) >= NEAR]
+    (near, of), (far, _) = coordinates(machine, toxic), coordinates(machine, clean)
     if not len(near) or not len(far):
         return Machine([], prior)
-    gram = np.array([[subsequence_kernel(a, b) for b in machine.landmarks] for a in machine.landmarks])
-    root = np.sqrt(np.diag(gram))
-    value, vector = np.linalg.eigh(gram / root[:, None] / root[None] + 0.1 * np.eye(len(root)))
+    gram = machine.likeness(machine.landmarks, everywhere=True).astype("f8")
+    value, vector = np.linalg.eigh(((gram + gram.T) / 2) ** POWER + 0.1 * np.eye(len(gram)))
     machine.turn = (vector / np.sqrt(np.maximum(value, 1e-6))) @ vector.T
-    z = np.concatenate([near, far]) @ machine.turn
-    sign = np.repeat([1.0, -1.0], [len(near), len(far)])
-    weight = sign * np.repeat([0.5 / len(near), 0.5 / len(far)], [len(near), len(far)])
-    w, b, total_w, total_b = np.zeros(z.shape[1]), 0.0, 0.0, 0.0
-    for step in range(1, 801):
-        g = weight * (sign * (z @ w + b) < 1)
-        rate = 4.0 / np.sqrt(step)
-        w, b = w - rate * (1e-4 * w - g @ z), b + rate * g.sum()
-        if step > 400:
-            total_w, total_b = total_w + w, total_b + b
-    machine.weights, machine.bias = total_w / 400, total_b / 400
-    margin = coordinates(machine, [t for (t, _), a in zip(rows, aside) if a]) @ machine.turn @ machine.weights + machine.bias
+    # at first the sentence with the greatest likeness to anything stands for its text
+    order = np.lexsort((near.max(1), of))
+    chosen = order[np.append(np.flatnonzero(np.diff(of[order])), len(of) - 1)]
+    for _ in range(ROUNDS):
+        z = np.concatenate([near[chosen], EASED * near[chosen], far]) ** POWER @ machine.turn
+        sign = np.repeat([1.0, -1.0], [2 * len(chosen), len(far)])
+        weight = np.repeat([0.25 / len(chosen), 0.5 / len(far)], [2 * len(chosen), len(far)])
+        machine.weights, machine.bias = hinge(z, sign, weight)
+        order = np.lexsort((machine.margins(near), of))
+        chosen = order[np.append(np.flatnonzero(np.diff(of[order])), len(of) - 1)]
+    held = [t for (t, _), a in zip(rows, aside) if a]
+    margin = np.concatenate([machine.text_margins(pa.array(held[i : i + 200], pa.binary())) for i in range(0, len(held), 200)])
     weigh = np.where(y == 1, prior / max((y[aside] == 1).mean(), 1e-9), (1 - prior) / max((y[aside] == 0).mean(), 1e-9))
-    machine.slope, machine.offset = models.calibrate(np.clip(margin, -CLIP, CLIP), y[aside], weigh[aside])
-    machine.memo.clear()
+    machine.slope, machine.offset = models.calibrate(margin, y[aside], weigh[aside])
+    machine.memo, machine.values = {}, machine.values[:0]
     return machine
 
 
 def fit(docs: DataFrame, labels: DataFrame) -> Machine:
-    rows = models.labelled(docs, labels, "toxic")
+    rows = models.labelled(docs, labels, "toxic", longest=SAMPLE_BYTES)
     order = np.random.default_rng(1).permutation(len(rows))
     return train([rows[i] for i in order], models.share_of_ones(labels, "toxic"))
 
