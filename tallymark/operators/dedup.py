@@ -33,6 +33,13 @@ def cross_source_groups(df: DataFrame) -> DataFrame:
     return got.where("source_count > 1")
 
 
+def cross_source_members(df: DataFrame, key: str = "measure_fingerprint") -> DataFrame:
+    """The same groups as a table of members (the key, id, data_source): no group meets in one row."""
+    live = df.where(~F.col("is_duplicate") & (F.coalesce(key, F.lit("")) != ""))
+    several = live.groupBy(key).agg(F.count("*").alias("_n")).where("_n > 1").select(key)
+    return live.join(several, key).select(key, "id", "data_source")
+
+
 def content_groups(df: DataFrame) -> DataFrame:
     live = df.where(~F.col("is_duplicate") & (F.coalesce("content_hash", F.lit("")) != ""))
     return live.groupBy("content_hash").agg(F.count("*").alias("n"), F.min("id").alias("first_id")).where("n > 1")
@@ -55,10 +62,11 @@ def score(as_of: str) -> Column:
 
 def with_master(df: DataFrame, as_of: str, key: str = "measure_fingerprint") -> DataFrame:
     """score, group_size and master_id of each version of its group: the best score, the smallest id of equals. The choice is
-    an aggregate with partial sums; a group of any size meets nowhere."""
+    an aggregate with partial sums; a group of any size meets nowhere. A version without a key is a group by itself."""
     own = df.withColumn("score", score(as_of))
-    best = own.groupBy(key).agg(F.count("*").alias("group_size"), F.max_by("id", F.struct("score", -F.col("id"))).alias("master_id"))
-    return own.drop("master_id").join(best, key)
+    best = own.where(F.coalesce(key, F.lit("")) != "").groupBy(key).agg(F.count("*").alias("group_size"), F.max_by("id", F.struct("score", -F.col("id"))).alias("master_id"))
+    got = own.drop("master_id").join(best, key, "left")
+    return got.withColumns({"group_size": F.coalesce("group_size", F.lit(1).cast("long")), "master_id": F.coalesce("master_id", "id")})
 
 
 def merge_fields(df: DataFrame, as_of: str, key: str = "measure_fingerprint", fields: list[str] | None = None) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallymark.functions.keys import naming_text, summary_key
-from tallymark.operators.filters import needs_summary
+from tallymark.operators.filters import active, needs_summary
 
 #: Summaries that come with the system (key, title, text).
 KNOWN_SUMMARIES = [
@@ -29,12 +29,24 @@ def with_known(df: DataFrame, dimension: DataFrame) -> DataFrame:
     return own.join(dimension, "measure_key")
 
 
+def attempts(df: DataFrame, limit: int = MAX_ATTEMPTS) -> DataFrame:
+    """Those in need that are tried: the latest years first, then by kind; ids break ties."""
+    return needs_summary(df).orderBy(F.desc_nulls_last("year"), "kind_rank", "id").limit(limit)
+
+
 def enrich(df: DataFrame, dimension: DataFrame, limit: int | None = MAX_ATTEMPTS) -> DataFrame:
     """id, measure_key, summary_title, summary_text of the rows in need of a summary, the first `limit` of them tried."""
-    need = needs_summary(df)
-    if limit is not None:
-        need = need.orderBy(F.desc_nulls_last("year"), "kind_rank", "id").limit(limit)
-    return with_known(need, dimension).select("id", "measure_key", "summary_title", "summary_text")
+    return with_known(needs_summary(df) if limit is None else attempts(df, limit), dimension).select("id", "measure_key", "summary_title", "summary_text")
+
+
+def backfill(df: DataFrame, dimension: DataFrame) -> DataFrame:
+    """The table after summaries became known: active measures without one take theirs."""
+    return apply(df, with_known(active(df).where(~F.col("has_summary")), dimension).select("id", "summary_title", "summary_text"))
+
+
+def enrich_measure(df: DataFrame, dimension: DataFrame) -> DataFrame:
+    """Measures given one by one, each with its summary if its key is known, whether or not it is among those in need."""
+    return apply(df, with_known(df, dimension).select("id", "summary_title", "summary_text"))
 
 
 def apply(df: DataFrame, found: DataFrame) -> DataFrame:

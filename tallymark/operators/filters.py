@@ -50,11 +50,11 @@ def like(df: DataFrame, query: str) -> DataFrame:
 
 
 def needs_summary(df: DataFrame) -> DataFrame:
-    """Without a summary, and recent or of a kind that has one (the id has a character after ACA, SCA or PROP, in any
+    """Active, without a summary, and recent or of a kind that has one (the id has a character after ACA, SCA or PROP, in any
     case); kind_rank puts the kinds in their order."""
     kind = F.upper(F.regexp_extract(F.coalesce("measure_id", F.lit("")), "(?is)^(ACA|SCA|PROP).", 1))
     rank = F.get(F.array(*[F.lit(i) for i in (4, 1, 2, 3)]), F.array_position(F.array(*[F.lit(k) for k in ("ACA", "SCA", "PROP")]), kind).cast("int"))
-    return df.where(~F.col("has_summary")).withColumn("kind_rank", rank).where((F.col("year") >= 2020) | (F.col("kind_rank") < 4))
+    return active(df).where(~F.col("has_summary")).withColumn("kind_rank", rank).where((F.col("year") >= 2020) | (F.col("kind_rank") < 4))
 
 
 def has_new_data(old: str, new: str, fields: list[str]) -> Column:
@@ -125,6 +125,11 @@ def faceted(df: DataFrame, want: Facets) -> DataFrame:
     return df
 
 
+def first_rows(df: DataFrame, n: int = 5) -> DataFrame:
+    """A look at the first rows by id."""
+    return df.orderBy("id").limit(n)
+
+
 def featured(df: DataFrame, first: int = 5) -> DataFrame:
     """The first rows by year and id are featured, the others are the rest. Only the features are ranked; the rest is what
     an anti-join leaves, so nothing is sorted in one place."""

@@ -55,13 +55,16 @@ def coverage_by_year(df: DataFrame, since: int = 2020) -> DataFrame:
     return got.withColumn("coverage", percent(F.col("with_summary"), F.col("total"), 1))
 
 
-KINDS = ["ACA", "SCA", "PROP", "MEASURE"]
+#: Kinds of measures by the beginning of their measure_id, which one character more follows.
+KINDS = {"ACA": "Constitutional Amendment (ACA)", "SCA": "Constitutional Amendment (SCA)", "PROP": "Proposition", "MEASURE": "Local Measure"}
 
 
 def kind() -> Column:
-    """ACA, SCA, PROP, MEASURE or Other, by the identifier's beginning."""
-    lead = F.regexp_extract("identifier", f"^({'|'.join(KINDS)})", 1)
-    return F.get(F.array(*[F.lit(k) for k in ["Other", *KINDS]]), F.array_position(F.array(*[F.lit(k) for k in KINDS]), lead).cast("int"))
+    """What KINDS says of the measure_id, letters in either case; else Other."""
+    out = F.lit("Other")
+    for lead, name in reversed(KINDS.items()):
+        out = F.when(F.col("measure_id").rlike(f"(?is)^{lead}."), name).otherwise(out)
+    return out
 
 
 def coverage_by_kind(df: DataFrame) -> DataFrame:
@@ -78,6 +81,14 @@ def profile(df: DataFrame) -> DataFrame:
     ).withColumns({"years": F.concat_ws(",", F.transform("years", lambda x: x.cast("string"))), "topics": F.concat_ws(",", "topics")})
 
 
+def parse_summary(df: DataFrame) -> DataFrame:
+    """What a parse found, in one row: measures, years and counties in order, how many have votes and a text."""
+    return df.agg(
+        F.count("*").alias("total_measures"), F.sort_array(F.collect_set(F.when(F.col("year") != 0, F.col("year")))).alias("years_covered"), F.sort_array(F.collect_set(F.when(F.col("county") != "", F.col("county")))).alias("counties"),
+        n_if(F.col("yes_votes").isNotNull()).alias("measures_with_votes"), n_if(F.col("ballot_question") != "").alias("measures_with_text"),
+    )
+
+
 def histogram(df: DataFrame, column: str = "decade") -> DataFrame:
     return df.groupBy(column).agg(F.count("*").alias("n"))
 

@@ -9,10 +9,21 @@ from tallymark.operators.dedup import first_wins
 from tallymark.operators.filters import has_new_data, would_update
 
 #: Fields whose new values make an update.
-WATCHED = ["title", "description", "ballot_question", "yes_votes", "no_votes", "passed", "has_summary"]
+WATCHED = ["summary_text", "yes_votes", "no_votes", "percent_yes", "passed", "pdf_url", "description"]
 KEYS = {"exact": "fingerprint", "content": "content_hash", "cross_source": "measure_fingerprint"}
 
 
+def settled(df: DataFrame) -> DataFrame:
+    """What several joins read, written once where the session names a folder for checkpoints; else as it is."""
+    context = df.sparkSession.sparkContext
+    named = context.getConf().get("spark.checkpoint.dir")
+    if not context.getCheckpointDir():
+        if not named:
+            return df
+        context.setCheckpointDir(named)
+    return df.checkpoint(eager=True)
+
+
 def _key_map(df: DataFrame, key: str, name: str) -> DataFrame:
     """One row a key, so no join multiplies rows: the smallest id that has it. Empty keys match nothing."""
     return df.where(F.coalesce(F.col(key), F.lit("")) != "").groupBy(F.col(key).alias(f"_{name}")).agg(F.min("id").alias(name))
@@ -68,8 +79,8 @@ def upsert(existing: DataFrame, incoming: DataFrame, as_of: str) -> DataFrame:
     stay; update_count grows); all others come in, content and cross-source matches as duplicates of what they match.
     Rows of a batch that share a fingerprint count once, the first by id; a later row that repeats the content or measure of
     an earlier new one is its duplicate."""
-    batch = first_wins(incoming)
-    found = classify(existing, batch)
+    existing, batch = settled(existing), settled(first_wins(incoming))
+    found = settled(classify(existing, batch))
     stay = {"id", "fingerprint", "measure_fingerprint", "content_hash", "created_at", "update_count", "is_active", "is_duplicate", "duplicate_type", "master_id"}
     fields = [c for c in existing.columns if c in incoming.columns and c not in stay]
     news = found.where("match_type = 'exact'").select(F.col("matched_id").alias("id"), F.struct(*fields).alias("new"))
@@ -90,6 +101,37 @@ def upsert(existing: DataFrame, incoming: DataFrame, as_of: str) -> DataFrame:
     return updated.unionByName(fresh.select([c for c in existing.columns if c in fresh.columns]), allowMissingColumns=True)
 
 
+def insert(existing: DataFrame, incoming: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(the table with the new rows, the conflicts): a fingerprint is there once. Rows whose fingerprint is there already, or in
+    an earlier row of the batch, don't come in; the conflicts name them and the row that was first. Rows without a
+    fingerprint conflict with nothing."""
+    first = _key_map(existing, "fingerprint", "there").unionByName(_key_map(incoming, "fingerprint", "there").withColumn("_new", F.lit(1)), allowMissingColumns=True)
+    first = first.groupBy(F.col("_there").alias("_key")).agg(F.min_by("there", F.coalesce("_new", F.lit(0))).alias("kept_id"), F.min(F.coalesce("_new", F.lit(0))).alias("_new"))
+    met = incoming.join(first, incoming["fingerprint"] == first["_key"], "left")
+    clash = F.coalesce((F.col("_new") == 0) | (F.col("kept_id") != F.col("id")), F.lit(False))
+    conflicts = met.where(clash).select("id", "fingerprint", "kept_id", F.concat(F.lit("Measure already exists: "), "fingerprint").alias("message"))
+    fresh = met.where(~clash).select([c for c in existing.columns if c in incoming.columns])
+    return existing.unionByName(fresh, allowMissingColumns=True), conflicts
+
+
+#: What an update by id leaves alone.
+KEPT = ["id", "fingerprint", "created_at"]
+
+
+def update(existing: DataFrame, changes: DataFrame, as_of: str) -> DataFrame:
+    """The table after updates by id (changes: id and any columns, one row an id): every given column is set, to null as well;
+    updated_at is the given day and update_count grows."""
+    fields = [c for c in changes.columns if c in existing.columns and c not in [*KEPT, "updated_at", "update_count"]]
+    joined = existing.join(changes.select("id", F.struct(F.lit(True).alias("_hit"), *fields).alias("_new")), "id", "left")
+    hit = F.col("_new").isNotNull()
+    values = {c: F.when(hit, F.col(f"_new.{c}")).otherwise(F.col(c)).cast(existing.schema[c].dataType) for c in fields}
+    if "updated_at" in existing.columns:
+        values["updated_at"] = F.when(hit, F.lit(as_of).cast(existing.schema["updated_at"].dataType)).otherwise(F.col("updated_at"))
+    if "update_count" in existing.columns:
+        values["update_count"] = F.coalesce("update_count", F.lit(0)) + hit.cast("int")
+    return joined.select([values.get(c, F.col(c)).alias(c) for c in existing.columns])
+
+
 def upsert_counts(existing: DataFrame, incoming: DataFrame) -> DataFrame:
     """What a batch does, in one row: inserted, updated, duplicates, repeated (in the batch itself)."""
     batch = first_wins(incoming)

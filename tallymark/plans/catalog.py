@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
+from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,7 +13,7 @@ from tallymark.functions import keys, values
 from tallymark.operators import dedup, enrich, filters, project, search, stats, upsert
 from tallymark.plans import sql
 from tallymark.schema import add_missing, conform, missing_columns
-from tallymark.sources import facade, pages, tables
+from tallymark.sources import facade, pages, sinks, tables
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -32,7 +34,9 @@ def batch(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     """Two thirds of the measures as what is there; the others, and changed copies of some that are there, as what comes."""
     all_ = facade.keyed(spark, d).withColumns({"update_count": F.lit(0), "master_id": F.lit(None).cast("long")})
     changed = all_.where("id % 15 = 1").withColumns({"id": F.col("id") + 10_000_000, "description": F.lit("Changed"), "yes_votes": F.col("yes_votes") + 1})
-    return all_.where("id % 3 <> 0"), all_.where("id % 3 = 0").unionByName(changed)
+    linked = all_.where("id % 15 = 2").withColumns({"id": F.col("id") + 20_000_000, "pdf_url": F.lit("https://example.org/new.pdf")})
+    asked = all_.where("id % 15 = 4").withColumns({"id": F.col("id") + 30_000_000, "ballot_question": F.lit("Asked anew?"), "has_summary": F.lit(True)})
+    return all_.where("id % 3 <> 0"), all_.where("id % 3 = 0").unionByName(changed).unionByName(linked).unionByName(asked)
 
 
 def ids(df: DataFrame, *more: str) -> DataFrame:
@@ -53,7 +57,7 @@ QUERIES |= {
     "validation_profile": over(stats.profile),
     "source_files": over(lambda m: stats.source_files(m, "data_source")),
     "summary_coverage_year": over(lambda m: stats.coverage_by_year(m, 1997)),
-    "summary_coverage_type": over(stats.coverage_by_kind, keyed=True),
+    "summary_coverage_type": over(lambda m: stats.coverage_by_kind(m.withColumn("measure_id", F.col("identifier"))), keyed=True),
     "active_measures": over(lambda m: ids(filters.active(m), "year", "county")),
     "filter_year": over(lambda m: ids(filters.select(m, year=1997))),
     "filter_year_range": over(lambda m: ids(filters.select(m, year_min=1996, year_max=1998))),
@@ -140,8 +144,7 @@ def known_summary_join(spark: SparkSession, d: str) -> DataFrame:
 @query
 def add_known_summary(spark: SparkSession, d: str) -> DataFrame:
     m = facade.measures(spark, d)
-    found = enrich.with_known(m, enrich.known(spark, [("ACA 7", "Seven", "About seven.")])).select("id", "summary_title", "summary_text")
-    return enrich.apply(m, found).select("id", "has_summary", "summary_title")
+    return enrich.backfill(m, enrich.known(spark, [("ACA 7", "Seven", "About seven.")])).select("id", "has_summary", "summary_title")
 
 
 @query
@@ -282,6 +285,179 @@ def run_summary(spark: SparkSession, d: str) -> DataFrame:
     return e.groupBy(F.col("event_type").alias("status"), F.hour("ts").cast("int").alias("hour")).agg(F.count("*").alias("runs"), F.countDistinct("user_id").alias("sources"))
 
 
+def folder_of(spark: SparkSession) -> str:
+    """A new folder for files that a query writes and reads again."""
+    named = spark.sparkContext.getConf().get("spark.checkpoint.dir") or "/tmp/checkpoints"
+    return f"{named.rstrip('/')}/files-{uuid.uuid4().hex}"
+
+
+def saved_as(df: DataFrame, path: str, encoding: str = "UTF-8") -> None:
+    """The frame, in the order of its column row_id, which is left out, as one delimited file of that name."""
+    parts = f"{path}.parts"
+    df.coalesce(1).sortWithinPartitions("row_id").drop("row_id").write.csv(parts, header=True, escape='"', encoding=encoding)
+    jvm = df.sparkSession._jvm
+    files = jvm.org.apache.hadoop.fs.Path(parts).getFileSystem(df.sparkSession._jsc.hadoopConfiguration())
+    part = files.globStatus(jvm.org.apache.hadoop.fs.Path(f"{parts}/part-*"))[0].getPath()
+    files.rename(part, jvm.org.apache.hadoop.fs.Path(path))
+    files.delete(jvm.org.apache.hadoop.fs.Path(parts), True)
+
+
+@query
+def ceda_files(spark: SparkSession, d: str) -> DataFrame:
+    """Files of two layouts and one of candidates, written and read as one source."""
+    m, folder = facade.measures(spark, d), folder_of(spark)
+    saved_as(m.where("id % 3 = 0").selectExpr("id AS row_id", "id AS MeasID", "ballot_question AS BALQUEST", "measure_letter AS LTR", "yes_votes AS YES", "no_votes AS NO", "total_votes + 1 AS TOTAL", "county AS CNTYNAME", "'Pass' AS PASSFAIL"), f"{folder}/ceda_data_2016.csv")
+    saved_as(m.where("id % 3 = 1").selectExpr("id AS row_id", "'FAIL' AS PASSFAIL", "concat(county, ' \u00e9') AS CNTYNAME", "no_votes AS NO", "yes_votes AS YES", "measure_letter AS LTR", "ballot_question AS BALQUEST", "id AS MeasID"), f"{folder}/ceda_data_2018.csv", "ISO-8859-1")
+    saved_as(m.where("id < 50").selectExpr("id AS row_id", "title AS CAND_NAME", "'x' AS Party", "yes_votes AS YES", "no_votes AS NO"), f"{folder}/ceda_data_2019.csv")
+    return tables.reader("ceda")(spark, f"{folder}/ceda_data_*.csv").select("measure_id", "year", "county", "title", "total_votes", "passed", "fingerprint")
+
+
+@query
+def icpsr_files(spark: SparkSession, d: str) -> DataFrame:
+    """Two files in different encodings and orders of columns."""
+    m, folder = as_icpsr(facade.measures(spark, d)).withColumn("title", F.concat("title", F.lit(" \u00e9"))), folder_of(spark)
+    saved_as(m.where("row_id % 2 = 0").withColumn("topic", F.col("row_id")), f"{folder}/a.csv", "ISO-8859-1")
+    saved_as(m.where("row_id % 2 = 1").select("Title", "Year", "State", F.col("row_id").alias("topic"), "row_id", "MeasureID"), f"{folder}/b.csv")
+    got = tables.reader("icpsr")(spark, f"{folder}/*.csv")
+    return got.select(F.col("topic_primary").cast("long").alias("id"), "year", "measure_id", "title", "yes_votes")
+
+
+@query
+def csv_sink(spark: SparkSession, d: str) -> DataFrame:
+    folder = folder_of(spark)
+    sinks.csv(facade.measures(spark, d).select("id", "year", "title", F.array("year", "id").alias("pair")), folder)
+    return tables.read_text_table(spark, folder).selectExpr("cast(id AS long) AS id", "cast(year AS int) AS year", "title", "pair")
+
+
+@query
+def json_sink(spark: SparkSession, d: str) -> DataFrame:
+    """Measures and their summary, written and read again."""
+    m, folder = facade.measures(spark, d), folder_of(spark)
+    sinks.json_with_summary(m.select("id", "title", "county"), stats.parse_summary(m), folder)
+    total = spark.read.json(f"{folder}/summary").select("total_measures", "measures_with_text")
+    return spark.read.schema("id long, title string, county string").json(f"{folder}/measures").crossJoin(F.broadcast(total))  # one row
+
+
+@query
+def backup_copy(spark: SparkSession, d: str) -> DataFrame:
+    folder = folder_of(spark)
+    path = sinks.backup(facade.measures(spark, d), folder, datetime(2024, 2, 3, 4, 5, 6))
+    return spark.read.parquet(path).select("id", "title", "percent_yes", F.lit(path.removeprefix(folder)).alias("name"))
+
+
+@query
+def run_log(spark: SparkSession, d: str) -> DataFrame:
+    """Three runs: one that ended well, one with errors, one that goes on."""
+    folder, at = folder_of(spark), datetime(2024, 1, 1, 12)
+    for run in ("a", "b", "c"):
+        sinks.log_run(spark, folder, run, "update", at)
+    sinks.log_run(spark, folder, "a", "update", at, "success", datetime(2024, 1, 1, 13), measures_checked=facade.measures(spark, d).count(), new_measures=2)
+    sinks.log_run(spark, folder, "b", "update", at, "completed_with_errors", datetime(2024, 1, 1, 13), "3 rows failed", duplicates_found=3)
+    log = spark.read.parquet(folder)
+    return sinks.last_state(log).select("run_id", "run_type", "status", values.iso(F.col("completed_at")).alias("completed_at"), "error_message", "measures_checked", "new_measures", "duplicates_found")
+
+
+@query
+def export_latest(spark: SparkSession, d: str) -> DataFrame:
+    """The export's own cap: the latest measures alone."""
+    folder = folder_of(spark)
+    sinks.export(facade.measures(spark, d).select("id", "year", "title"), folder, "json", limit=200)
+    return spark.read.schema("id long, year int, title string").json(folder)
+
+
+@query
+def first_path(spark: SparkSession, d: str) -> DataFrame:
+    found = tables.first_existing(spark, [f"{d}/none.parquet", f"{d}/orders.parquet", f"{d}/nation.parquet"])
+    return spark.read.parquet(found).agg(F.count("*").alias("n"))
+
+
+@query
+def metadata_sample(spark: SparkSession, d: str) -> DataFrame:
+    """Every row is in the sample, so that which rows are taken doesn't matter."""
+    m = as_icpsr(facade.measures(spark, d))
+    got = tables.metadata(m, "State", sample=10_000_000)
+    return spark.createDataFrame([(",".join(got["columns"]), got["sampled"], got["california"])], "columns string, sampled long, california long")
+
+
+@query
+def parse_summary(spark: SparkSession, d: str) -> DataFrame:
+    got = stats.parse_summary(facade.measures(spark, d))
+    return got.withColumns({"years_covered": F.concat_ws(",", F.transform("years_covered", lambda x: x.cast("string"))), "counties": F.concat_ws(",", "counties")})
+
+
+@query
+def time_text(spark: SparkSession, d: str) -> DataFrame:
+    """Times and numbers as text, and times back from text."""
+    text = F.concat(values.iso(F.col("updated_at").cast("timestamp")), F.when(F.col("id") % 5 == 0, " x").otherwise(""))
+    back = F.date_format(values.from_iso(text), "yyyy-MM-dd")
+    return facade.measures(spark, d).select("id", text.alias("text"), back.alias("back"), values.with_commas(F.col("id") * 1000).alias("commas"), values.truncated(F.col("county"), 4).alias("short"))
+
+
+@query
+def sample_rows(spark: SparkSession, d: str) -> DataFrame:
+    return filters.first_rows(facade.measures(spark, d).select("id", "title"))
+
+
+@query
+def quick_search(spark: SparkSession, d: str) -> DataFrame:
+    return search.quick_search(facade.measures(spark, d), "measure b", limit=30).select("id", "score")
+
+
+@query
+def like_fallback(spark: SparkSession, d: str) -> DataFrame:
+    """A query without words: what the substring search finds, the latest first."""
+    return ids(search.quick_search(facade.measures(spark, d), "?", limit=30), "year")
+
+
+@query
+def enrichment_attempts(spark: SparkSession, d: str) -> DataFrame:
+    """The measures in need that are tried first, as many as are tried at all."""
+    m = facade.keyed(spark, d).withColumn("measure_id", F.col("identifier"))
+    return ids(enrich.attempts(m), "year", "kind_rank")
+
+
+@query
+def enrich_measures(spark: SparkSession, d: str) -> DataFrame:
+    return enrich.enrich_measure(facade.measures(spark, d), enrich.known(spark)).select("id", "has_summary", "summary_title")
+
+
+@query
+def cross_source_members(spark: SparkSession, d: str) -> DataFrame:
+    return dedup.cross_source_members(facade.keyed(spark, d))
+
+
+@query
+def dedupe_keyless(spark: SparkSession, d: str) -> DataFrame:
+    """Some measures have no key, or an empty one: they stay, and are nobody's duplicates."""
+    key = F.when(F.col("id") % 4 == 0, F.lit(None)).when(F.col("id") % 4 == 1, "").otherwise(F.col("measure_fingerprint"))
+    return ids(dedup.dedupe_cross_source(facade.keyed(spark, d).withColumn("measure_fingerprint", key), AS_OF), "is_duplicate", "master_id")
+
+
+@query
+def insert_conflicts(spark: SparkSession, d: str) -> DataFrame:
+    return upsert.insert(*batch(spark, d))[1]
+
+
+@query
+def insert_result(spark: SparkSession, d: str) -> DataFrame:
+    return ids(upsert.insert(*batch(spark, d))[0], "title")
+
+
+@query
+def update_by_id(spark: SparkSession, d: str) -> DataFrame:
+    m = facade.measures(spark, d).withColumn("update_count", F.lit(1))
+    changes = m.where("id % 6 = 0").select("id", F.lit("New").alias("title"), F.lit(None).cast("string").alias("description"), F.lit("x").alias("fingerprint"))
+    return upsert.update(m, changes, AS_OF).select("id", "title", "description", "update_count", F.col("updated_at").cast("date").cast("string").alias("updated_at"))
+
+
+@query
+def repository_context(spark: SparkSession, d: str) -> DataFrame:
+    """Links whose number and year stand beside them in their block, not in them."""
+    html = F.expr("concat('<ul><li>Proposition 9 (1911)</li><li>Proposition ', id, ' <a href=\"/ca_ballot_props/a/b/', id, '\"><b>', coalesce(title, 'None'), '</b></a> (', year, ')</li><li><a href=\"/ca_ballot_props/a/c/', id, '\">Other</a></li></ul>')")
+    got = pages.repository_measures(facade.measures(spark, d).select("id", html.alias("html")), BASE, page="id")
+    return got.select("page", F.col("nth").cast("int").alias("nth"), "measure_text", "year", "pdf_url")
+
+
 def queries() -> dict[str, Query]:
     return dict(QUERIES)
 

@@ -30,7 +30,8 @@ mastered AS (SELECT *, count(*) OVER g AS group_size, first_value(id) OVER (PART
 DEDUPED = MASTERS + """,
 deduped AS (SELECT id, data_source, group_size > 1 AND id <> master AS is_duplicate, CASE WHEN group_size > 1 AND id <> master THEN 'cross_source' END AS duplicate_type, CASE WHEN group_size > 1 AND id <> master THEN master END AS master_id FROM mastered
  UNION ALL SELECT id, data_source, is_duplicate, duplicate_type, NULL FROM keyed WHERE is_duplicate)"""
-BATCHES = """existing AS (SELECT * FROM keyed WHERE id % 3 <> 0), incoming AS (SELECT * FROM keyed WHERE id % 3 = 0 UNION ALL SELECT * REPLACE (id + 10000000 AS id, 'Changed' AS description, yes_votes + 1 AS yes_votes) FROM keyed WHERE id % 15 = 1),
+BATCHES = """existing AS (SELECT * FROM keyed WHERE id % 3 <> 0), incoming AS (SELECT * FROM keyed WHERE id % 3 = 0 UNION ALL SELECT * REPLACE (id + 10000000 AS id, 'Changed' AS description, yes_votes + 1 AS yes_votes) FROM keyed WHERE id % 15 = 1
+ UNION ALL SELECT * REPLACE (id + 20000000 AS id, 'https://example.org/new.pdf' AS pdf_url) FROM keyed WHERE id % 15 = 2 UNION ALL SELECT * REPLACE (id + 30000000 AS id, 'Asked anew?' AS ballot_question, true AS has_summary) FROM keyed WHERE id % 15 = 4),
 by_print AS (SELECT fingerprint, min(id) AS a FROM existing GROUP BY 1), by_content AS (SELECT content_hash, min(id) AS b FROM existing WHERE NOT is_duplicate GROUP BY 1), by_measure AS (SELECT measure_fingerprint, min(id) AS c FROM existing WHERE NOT is_duplicate GROUP BY 1)"""
 
 
@@ -39,8 +40,8 @@ def classified(source: str = "incoming", name: str = "classified") -> str:
  FROM {source} i LEFT JOIN by_print USING (fingerprint) LEFT JOIN by_content USING (content_hash) LEFT JOIN by_measure USING (measure_fingerprint))"""
 
 
-WATCHED = ["title", "description", "ballot_question", "yes_votes", "no_votes", "passed", "has_summary"]
-PAIRS = "pairs AS (SELECT n.id AS nid, o.id AS oid, " + ", ".join(f"n.{c} AS n_{c}, o.{c} AS o_{c}" for c in [*WATCHED, "pdf_url", "data_source"]) + " FROM classified n JOIN existing o ON o.id = n.matched_id WHERE match_type IN ('exact', 'content'))"
+WATCHED = ["summary_text", "yes_votes", "no_votes", "percent_yes", "passed", "pdf_url", "description"]
+PAIRS = "pairs AS (SELECT n.id AS nid, o.id AS oid, " + ", ".join(f"n.{c} AS n_{c}, o.{c} AS o_{c}" for c in [*WATCHED, "has_summary", "data_source"]) + " FROM classified n JOIN existing o ON o.id = n.matched_id WHERE match_type IN ('exact', 'content'))"
 NEWS = "(" + " OR ".join(f"(n_{c} IS NOT NULL AND o_{c} IS DISTINCT FROM n_{c})" for c in WATCHED) + ")"
 UPDATES = f"updates AS (SELECT nid AS id, oid AS old_id, {NEWS} AS has_new_data, (NOT coalesce(o_has_summary, false) AND coalesce(n_has_summary, false)) OR (coalesce(o_pdf_url, '') = '' AND coalesce(n_pdf_url, '') <> '') AS would_update FROM pairs)"
 
@@ -90,7 +91,7 @@ def key_of(text: str) -> str:
 
 KIND_RANK = "CASE WHEN coalesce(measure_id ILIKE 'ACA_%', false) THEN 1 WHEN coalesce(measure_id ILIKE 'SCA_%', false) THEN 2 WHEN coalesce(measure_id ILIKE 'PROP_%', false) THEN 3 ELSE 4 END"
 NEED_TABLE = "need AS (SELECT * REPLACE (identifier AS measure_id) FROM keyed)"
-NEED = f"NOT has_summary AND (year >= 2020 OR {KIND_RANK} < 4)"
+NEED = f"{ACTIVE} AND NOT has_summary AND (year >= 2020 OR {KIND_RANK} < 4)"
 NON_TEXT = r"trim(regexp_replace(replace(replace(replace(replace(replace(replace(regexp_replace({}, '<[^>]+>', '{}', 'g'), '&nbsp;', ' '), '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&#39;', chr(39)), '&amp;', '&'), '\s+', ' ', 'g'))".replace('\\"', '"').format
 
 
@@ -128,7 +129,7 @@ ORACLES: dict[str, str] = {
     "validation_profile": m(f"SELECT count(*) AS total, string_agg(DISTINCT CAST(year AS VARCHAR), ',' ORDER BY CAST(year AS VARCHAR)) AS years, string_agg(DISTINCT topic_primary, ',' ORDER BY topic_primary) AS topics, {N_IF('title <> ' + chr(39) * 2)} AS has_title, {N_IF('yes_votes IS NOT NULL')} AS has_votes, {N_IF('passed IS NOT NULL')} AS has_outcome, min(year) || '-' || max(year) AS year_range FROM measures"),
     "source_files": m(FILE_STATS),
     "summary_coverage_year": m(f"SELECT year, total, with_summary, {percent('with_summary', 'total', 10)} AS coverage FROM (SELECT year, count(*) AS total, {N_IF('has_summary')} AS with_summary FROM measures WHERE {ACTIVE} AND year >= 1997 GROUP BY 1)"),
-    "summary_coverage_type": k(f"SELECT kind, total, with_summary, {percent('with_summary', 'total', 10)} AS coverage FROM (SELECT CASE WHEN starts_with(identifier, 'ACA') THEN 'ACA' WHEN starts_with(identifier, 'SCA') THEN 'SCA' WHEN starts_with(identifier, 'PROP') THEN 'PROP' WHEN starts_with(identifier, 'MEASURE') THEN 'MEASURE' ELSE 'Other' END AS kind, count(*) AS total, {N_IF('has_summary')} AS with_summary FROM keyed WHERE {ACTIVE} GROUP BY 1)"),
+    "summary_coverage_type": k(f"SELECT kind, total, with_summary, {percent('with_summary', 'total', 10)} AS coverage FROM (SELECT CASE WHEN identifier ILIKE 'ACA_%' THEN 'Constitutional Amendment (ACA)' WHEN identifier ILIKE 'SCA_%' THEN 'Constitutional Amendment (SCA)' WHEN identifier ILIKE 'PROP_%' THEN 'Proposition' WHEN identifier ILIKE 'MEASURE_%' THEN 'Local Measure' ELSE 'Other' END AS kind, count(*) AS total, {N_IF('has_summary')} AS with_summary FROM keyed WHERE {ACTIVE} GROUP BY 1)"),
     "active_measures": m(f"SELECT id, year, county FROM measures WHERE {ACTIVE}"),
     "filter_year": m("SELECT id FROM measures WHERE year = 1997"),
     "filter_year_range": m("SELECT id FROM measures WHERE year BETWEEN 1996 AND 1998"),
@@ -179,7 +180,7 @@ ORACLES: dict[str, str] = {
     "change_audit": b("SELECT oid AS measure_id, 'description' AS field_name, o_description AS old_value, n_description AS new_value, n_data_source AS update_source FROM pairs WHERE n_description IS NOT NULL AND o_description IS DISTINCT FROM n_description"
                       + "".join(f" UNION ALL SELECT oid, '{c}', CAST(o_{c} AS VARCHAR), CAST(n_{c} AS VARCHAR), n_data_source FROM pairs WHERE n_{c} IS NOT NULL AND o_{c} IS DISTINCT FROM n_{c}" for c in ("yes_votes", "has_summary")), PAIRS),
     "known_summary_join": k(f"SELECT * FROM (SELECT id, {key_of(NAMING)} AS measure_key, CASE {key_of(NAMING)} WHEN 'ACA 13' THEN 'Protect and Retain the Majority Vote Act' WHEN 'SCA 1' THEN 'Recall Process Reform' END AS summary_title FROM need WHERE {NEED}) WHERE summary_title IS NOT NULL", NEED_TABLE),
-    "add_known_summary": m(f"SELECT id, has_summary OR t IS NOT NULL AS has_summary, t AS summary_title FROM (SELECT id, has_summary, CASE {key_of(NAMING)} WHEN 'ACA 13' THEN 'Protect and Retain the Majority Vote Act' WHEN 'SCA 1' THEN 'Recall Process Reform' WHEN 'ACA 7' THEN 'Seven' END AS t FROM measures)"),
+    "add_known_summary": m(f"SELECT id, has_summary OR t IS NOT NULL AS has_summary, t AS summary_title FROM (SELECT id, has_summary, CASE WHEN {ACTIVE} AND NOT has_summary THEN CASE {key_of(NAMING)} WHEN 'ACA 13' THEN 'Protect and Retain the Majority Vote Act' WHEN 'SCA 1' THEN 'Recall Process Reform' WHEN 'ACA 7' THEN 'Seven' END END AS t FROM measures)"),
     "summary_keys": m(f"SELECT id, {key_of(NAMING)} AS measure_key FROM measures"),
     "fts_postings": f"SELECT doc, term, count(*) AS tf FROM (SELECT doc_id AS doc, unnest({TERMS('text')}) AS term FROM documents) GROUP BY 1, 2",
     "fts_bm25": "WITH " + bm25(f"SELECT doc_id AS doc, {TERMS('coalesce(text, ' + chr(39) * 2 + ')')} AS terms FROM documents", ["and", "the"]) + " SELECT doc, score FROM hits",
@@ -200,4 +201,31 @@ ORACLES: dict[str, str] = {
     "scrape_standard": m(f"SELECT id, title, CASE WHEN coalesce(title, '') = '' THEN NULL {identifier('title')} END AS measure_id, CASE WHEN id % 6 <> 0 THEN year END AS year, CASE WHEN id % 6 = 0 THEN 'Unknown' ELSE CAST(year AS VARCHAR) END AS year_raw, 'CA_SOS' AS data_source FROM measures"),
     "rejected_rows": m("SELECT id FROM measures WHERE id % 9 = 0 OR id % 8 = 0"),
     "run_summary": "SELECT event_type AS status, CAST(hour(ts) AS INTEGER) AS hour, count(*) AS runs, count(DISTINCT user_id) AS sources FROM events GROUP BY 1, 2",
+    "ceda_files": "WITH " + MEASURES.replace("measures AS", "base AS", 1) + f""", both_files AS (
+ SELECT id, 2016 AS y, ballot_question, measure_letter, total_votes + 1 AS t, county, 1 AS passed FROM base WHERE id % 3 = 0
+ UNION ALL SELECT id, 2018, ballot_question, measure_letter, coalesce(yes_votes, 0) + coalesce(no_votes, 0), county || ' \u00e9', 0 FROM base WHERE id % 3 = 1),
+measures AS (SELECT id, CAST(id AS VARCHAR) AS measure_id, measure_letter, CAST(y AS INTEGER) AS year, county, CASE WHEN measure_letter IS NOT NULL THEN county || ' Measure ' || measure_letter ELSE substr(ballot_question, 1, 100) END AS title,
+ CAST(NULL AS VARCHAR) AS description, ballot_question, CAST(t AS BIGINT) AS total_votes, CAST(passed AS INTEGER) AS passed, 'CEDA' AS data_source FROM both_files WHERE ballot_question IS NOT NULL OR measure_letter IS NOT NULL),
+{KEYED} SELECT measure_id, year, county, title, total_votes, passed, fingerprint FROM keyed QUALIFY row_number() OVER (PARTITION BY fingerprint ORDER BY year, id) = 1""",
+    "icpsr_files": m("SELECT id, year, measure_id, title || ' \u00e9' AS title, CASE WHEN id % 6 = 0 THEN yes_votes END AS yes_votes FROM measures WHERE id % 10 <> 9"),
+    "csv_sink": m("SELECT id, year, title, '[' || year || ',' || id || ']' AS pair FROM measures"),
+    "json_sink": m("SELECT id, title, county, (SELECT count(*) FROM measures) AS total_measures, (SELECT count(*) FROM measures WHERE ballot_question <> '') AS measures_with_text FROM measures"),
+    "backup_copy": m("SELECT id, title, percent_yes, '/backup_20240203_040506' AS name FROM measures"),
+    "run_log": m("SELECT 'a' AS run_id, 'update' AS run_type, 'success' AS status, '2024-01-01T13:00:00' AS completed_at, CAST(NULL AS VARCHAR) AS error_message, count(*) AS measures_checked, CAST(2 AS BIGINT) AS new_measures, CAST(0 AS BIGINT) AS duplicates_found FROM measures UNION ALL SELECT 'b', 'update', 'completed_with_errors', NULL, '3 rows failed', 0, 0, 3 UNION ALL SELECT 'c', 'update', 'running', NULL, NULL, 0, 0, 0"),
+    "export_latest": m("SELECT id, year, title FROM measures ORDER BY year DESC NULLS LAST, id LIMIT 200"),
+    "first_path": "SELECT count(*) AS n FROM orders",
+    "metadata_sample": m("SELECT 'State,Year,MeasureID,Title,summary,Result,YES,NO,row_id' AS columns, count(*) AS sampled, count(*) FILTER (WHERE id % 10 <> 9) AS california FROM measures"),
+    "parse_summary": m("SELECT count(*) AS total_measures, string_agg(DISTINCT CAST(year AS VARCHAR), ',' ORDER BY CAST(year AS VARCHAR)) AS years_covered, string_agg(DISTINCT county, ',' ORDER BY county) AS counties, count(yes_votes) AS measures_with_votes, count(*) FILTER (WHERE ballot_question <> '') AS measures_with_text FROM measures"),
+    "time_text": m("SELECT id, strftime(CAST(updated_at AS TIMESTAMP), '%Y-%m-%dT%H:%M:%S') || CASE WHEN id % 5 = 0 THEN ' x' ELSE '' END AS text, CASE WHEN id % 5 <> 0 THEN strftime(CAST(updated_at AS TIMESTAMP), '%Y-%m-%d') END AS back, format('{:,}', id * 1000) AS commas, substr(county, 1, 4) AS short FROM measures"),
+    "sample_rows": m("SELECT id, title FROM measures ORDER BY id LIMIT 5"),
+    "like_fallback": m(f"SELECT id, year FROM measures WHERE {ACTIVE} AND (contains(coalesce(title, ''), '?') OR contains(coalesce(description, ''), '?') OR contains(coalesce(ballot_question, ''), '?')) ORDER BY year DESC NULLS LAST, id LIMIT 30"),
+    "enrichment_attempts": k(f"SELECT id, year, CAST({KIND_RANK} AS INTEGER) AS kind_rank FROM need WHERE {NEED} ORDER BY year DESC NULLS LAST, kind_rank, id LIMIT 10", NEED_TABLE),
+    "enrich_measures": m(f"SELECT id, has_summary OR t IS NOT NULL AS has_summary, t AS summary_title FROM (SELECT id, has_summary, CASE {key_of(NAMING)} WHEN 'ACA 13' THEN 'Protect and Retain the Majority Vote Act' WHEN 'SCA 1' THEN 'Recall Process Reform' END AS t FROM measures)"),
+    "cross_source_members": k("SELECT measure_fingerprint, id, data_source FROM keyed WHERE NOT is_duplicate QUALIFY count(*) OVER (PARTITION BY measure_fingerprint) > 1"),
+    "dedupe_keyless": on("SELECT id, CASE WHEN is_duplicate THEN true WHEN id % 4 < 2 THEN false ELSE group_size > 1 AND id <> master END AS is_duplicate, CASE WHEN NOT is_duplicate AND id % 4 >= 2 AND group_size > 1 AND id <> master THEN master END AS master_id FROM ranked", KEYED, f"live AS (SELECT *, {SCORE} AS score FROM keyed), ranked AS (SELECT *, count(*) OVER g AS group_size, first_value(id) OVER (PARTITION BY is_duplicate, id % 4 >= 2, measure_fingerprint ORDER BY score DESC, id) AS master FROM live WINDOW g AS (PARTITION BY is_duplicate, id % 4 >= 2, measure_fingerprint))"),
+    "insert_conflicts": b("SELECT i.id, i.fingerprint, coalesce(a, f) AS kept_id, 'Measure already exists: ' || i.fingerprint AS message FROM incoming i LEFT JOIN by_print USING (fingerprint) JOIN (SELECT fingerprint, min(id) AS f FROM incoming GROUP BY 1) USING (fingerprint) WHERE a IS NOT NULL OR i.id <> f"),
+    "insert_result": b("SELECT id, title FROM existing UNION ALL SELECT id, title FROM (SELECT * FROM incoming QUALIFY row_number() OVER (PARTITION BY fingerprint ORDER BY id) = 1) WHERE fingerprint NOT IN (SELECT fingerprint FROM existing)"),
+    "update_by_id": m("SELECT id, CASE WHEN id % 6 = 0 THEN 'New' ELSE title END AS title, CASE WHEN id % 6 <> 0 THEN description END AS description, CAST(1 + (id % 6 = 0)::INTEGER AS INTEGER) AS update_count, CASE WHEN id % 6 = 0 THEN '2001-12-31' ELSE CAST(CAST(updated_at AS DATE) AS VARCHAR) END AS updated_at FROM measures"),
+    "repository_context": m("SELECT id AS page, CAST(1 AS INTEGER) AS nth, 'Proposition ' || id || ': ' || coalesce(title, 'None') AS measure_text, CAST(year AS VARCHAR) AS year, 'https://www.example.org/ca_ballot_props/a/b/' || id AS pdf_url FROM measures UNION ALL SELECT id, 2, 'Other', 'Unknown', 'https://www.example.org/ca_ballot_props/a/c/' || id FROM measures"),
 }
+ORACLES["quick_search"] = ORACLES["api_search"].replace(" AND year >= 1996 AND yes_votes IS NOT NULL ORDER BY score DESC, id LIMIT 50 OFFSET 5", " ORDER BY score DESC, id LIMIT 30")

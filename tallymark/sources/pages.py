@@ -13,17 +13,25 @@ REPOSITORY_PATH = "/ca_ballot_props/"
 MOST_LINKS = 50
 
 
+#: Where a block of text begins or ends: what lies between two of these is what a link stands in.
+BLOCK = r"(?is)</?(?:li|p|td|th|tr|div|dd|dt|dl|ul|ol|table|section|article|body)\b[^>]*>"
+
+
 def elements(pages: DataFrame, page: str = "page_id", html: str = "html", headers: str = "[23]") -> DataFrame:
-    """(page, pos, tag, href, inner) of header and anchor elements. `headers`: a character class of header levels."""
-    found = F.regexp_extract_all(F.col(html), F.lit(rf"(?is)<a\b[^>]*>.*?</a>|<h{headers}\b[^>]*>.*?</h{headers}>"), F.lit(0))
-    own = pages.select(F.col(page).alias("page"), F.posexplode(found).alias("pos", "element"))
+    """(page, pos, tag, href, inner, block) of header and anchor elements. `headers`: a character class of header levels.
+    block: the HTML of the block that the element stands in; null on pages whose elements hold blocks themselves."""
+    pattern = F.lit(rf"(?is)<a\b[^>]*>.*?</a>|<h{headers}\b[^>]*>.*?</h{headers}>")
+    found = F.regexp_extract_all(F.col(html), pattern, F.lit(0))
+    around = F.flatten(F.transform(F.split(F.col(html), BLOCK), lambda s: F.transform(F.regexp_extract_all(s, pattern, F.lit(0)), lambda _: s)))
+    both = F.when(F.size(around) == F.size(found), F.arrays_zip(found.alias("e"), around.alias("b"))).otherwise(F.transform(found, lambda e: F.struct(e.alias("e"), F.lit(None).cast("string").alias("b"))))
+    own = pages.select(F.col(page).alias("page"), F.posexplode(both).alias("pos", "x")).select("page", "pos", F.col("x.e").alias("element"), F.col("x.b").alias("block"))
     tag = F.lower(F.regexp_extract("element", r"^<(\w+)", 1))
     href = F.coalesce(filled(F.regexp_extract("element", r"(?is)^<a\b[^>]*\bhref\s*=\s*\"([^\"]*)\"", 1)), filled(F.regexp_extract("element", r"(?is)^<a\b[^>]*\bhref\s*=\s*'([^']*)'", 1)))
-    return own.select("page", "pos", tag.alias("tag"), href.alias("href"), F.regexp_extract("element", r"(?is)^<[^>]*>(.*)</\w+>$", 1).alias("inner"))
+    return own.select("page", "pos", tag.alias("tag"), href.alias("href"), F.regexp_extract("element", r"(?is)^<[^>]*>(.*)</\w+>$", 1).alias("inner"), "block")
 
 
 def links(pages: DataFrame, page: str = "page_id", html: str = "html") -> DataFrame:
-    return elements(pages, page, html).where("tag = 'a' AND href IS NOT NULL").select("page", "pos", "href", tag_text(F.col("inner")).alias("text"))
+    return elements(pages, page, html).where("tag = 'a' AND href IS NOT NULL").select("page", "pos", "href", tag_text(F.col("inner")).alias("text"), "block")
 
 
 def with_last_header(found: DataFrame) -> DataFrame:
@@ -49,8 +57,9 @@ def historical_text(title: Column, context: Column) -> tuple[Column, Column]:
 
 
 def repository_measures(pages: DataFrame, base: str, page: str = "page_id", html: str = "html", path: str = REPOSITORY_PATH, least_slashes: int = 4, most: int = MOST_LINKS) -> DataFrame:
-    """Repository links of each page as raw measures, the first `most` of a page. The link's own text is its context."""
+    """Repository links of each page as raw measures, the first `most` of a page. Year and number come from the text of the
+    block that a link stands in."""
     own = links(pages, page, html).where(F.col("href").contains(path) & (slashes(F.col("href")) >= least_slashes) & (F.col("text") != ""))
     own = own.withColumn("nth", F.row_number().over(Window.partitionBy("page").orderBy("pos"))).where(F.col("nth") <= most)
-    text, year = historical_text(F.col("text"), F.col("text"))
+    text, year = historical_text(F.col("text"), F.coalesce(tag_text(F.col("block"), ""), F.col("text")))
     return own.select("page", "pos", "nth", F.col("text").alias("title"), text.alias("measure_text"), year.alias("year"), absolute_url(F.col("href"), base).alias("pdf_url"))

@@ -43,22 +43,25 @@ def backup(df: DataFrame, folder: str, now: datetime) -> str:
 
 
 #: Counters of a run that are logged.
-RUN_COUNTERS = ["measures_found", "measures_new", "measures_updated", "duplicates_found", "pages_scraped", "errors"]
+RUN_COUNTERS = ["measures_checked", "new_measures", "updated_measures", "duplicates_found"]
+#: Statuses that end a run; others leave it without an end.
+ENDED = ["success", "failed"]
 RUN = T.StructType([
-    *[T.StructField(c, T.StringType()) for c in ("run_id", "source")], *[T.StructField(c, T.TimestampType()) for c in ("started_at", "completed_at")],
-    T.StructField("status", T.StringType()), *[T.StructField(c, T.LongType()) for c in RUN_COUNTERS],
+    *[T.StructField(c, T.StringType()) for c in ("run_id", "run_type")], *[T.StructField(c, T.TimestampType()) for c in ("started_at", "completed_at")],
+    *[T.StructField(c, T.StringType()) for c in ("status", "error_message")], *[T.StructField(c, T.LongType()) for c in RUN_COUNTERS],
 ])
 
 
-def log_run(spark, path: str, run_id: str, source: str, started: datetime, status: str, completed: datetime | None = None, **counters: int) -> None:
-    """Appends a run; counters that aren't known are left out; every ended run has its end."""
-    row = {"run_id": run_id, "source": source, "started_at": started, "completed_at": completed if status != "running" else None, "status": status}
+def log_run(spark, path: str, run_id: str, run_type: str, started: datetime, status: str = "running", completed: datetime | None = None, error_message: str | None = None, **counters: int) -> None:
+    """Appends a run's state; counters that aren't given are 0, others than RUN_COUNTERS don't count."""
+    row = {"run_id": run_id, "run_type": run_type, "started_at": started, "completed_at": completed if status in ENDED else None, "status": status, "error_message": error_message}
     spark.createDataFrame([row | {c: counters.get(c, 0) for c in RUN_COUNTERS}], RUN).write.mode("append").parquet(path)
 
 
 def last_state(log: DataFrame) -> DataFrame:
-    """The last entry of each run."""
-    return log.groupBy("run_id").agg(F.max_by(F.struct(*[c for c in log.columns if c != "run_id"]), F.coalesce("completed_at", "started_at")).alias("r")).select("run_id", "r.*")
+    """The last entry of each run: one of a run that goes on no longer, if there is one."""
+    order = F.struct((F.col("status") != "running").alias("a"), F.coalesce("completed_at", "started_at").alias("b"))
+    return log.groupBy("run_id").agg(F.max_by(F.struct(*[c for c in log.columns if c != "run_id"]), order).alias("r")).select("run_id", "r.*")
 
 
 def is_stale(data_changed: datetime, site_built: datetime | None, force: bool = False) -> bool:

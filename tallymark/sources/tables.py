@@ -93,10 +93,9 @@ def is_candidate_sheet(columns: list[str]) -> bool:
 
 def read_text_table(spark: SparkSession, path: str, encoding: str | None = None) -> DataFrame:
     """Delimited text with a header, all columns text, quoted line breaks allowed. Without an encoding UTF-8 is taken unless
-    a file's bytes aren't UTF-8, and Latin-1 then."""
+    some line's bytes aren't UTF-8, and Latin-1 then; give one file at a time, as read_each does."""
     if encoding is None:
-        files = spark.read.format("binaryFile").load(path).select("content")
-        encoding = "UTF-8" if files.where(~F.is_valid_utf8(F.col("content").cast("string"))).isEmpty() else "ISO-8859-1"
+        encoding = "UTF-8" if spark.read.text(path).where(~F.is_valid_utf8("value")).isEmpty() else "ISO-8859-1"
     return spark.read.csv(path, header=True, multiLine=True, escape='"', encoding=encoding, ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
 
 
@@ -172,12 +171,17 @@ def read_ceda(spark: SparkSession, path: str) -> DataFrame:
     return first_per(with_keys(total_of(*sources)), ["fingerprint"], ["_file", "_row"]).drop("_file", "_row")
 
 
+def read_each(spark: SparkSession, path: str, standard: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """All files of a glob, each read with its own header and encoding."""
+    return total_of(*[standard(read_text_table(spark, file)) for file in files_of(spark, path)])
+
+
 def read_ncsl(spark: SparkSession, path: str) -> DataFrame:
-    return ncsl(read_text_table(spark, path))
+    return read_each(spark, path, ncsl)
 
 
 def read_icpsr(spark: SparkSession, path: str) -> DataFrame:
-    return icpsr(read_text_table(spark, path))
+    return read_each(spark, path, icpsr)
 
 
 def read_envelope(spark: SparkSession, path: str) -> DataFrame:

@@ -63,9 +63,23 @@ def test_pages(spark):
         ("ACA 1", "November 3, 2020", "General", "2020", "https://h.org/p/a.PDF"),
         ("SCA 2 in 2024", "November 3, 2020", "General", "2020", "https://h.org/p/c.pdf"),
     ]
-    html = "".join(f'<a href="/repo/ca_ballot_props/{i}">Proposition {i} ({1990 + i})</a>' for i in range(4)) + '<a href="/ca_ballot_props/9">x</a>'
+    html = "".join(f'<li><a href="/repo/ca_ballot_props/{i}">Proposition {i} ({1990 + i})</a></li>' for i in range(4)) + '<a href="/ca_ballot_props/9">x</a>'
     got = pages.repository_measures(spark.createDataFrame([(1, html)], "page_id long, html string"), "https://h.org", least_slashes=3, most=3).orderBy("nth").collect()
     assert [(r.year, r.measure_text) for r in got] == [(str(1990 + i), f"Proposition {i}: Proposition {i} ({1990 + i})") for i in range(3)]
+    # what stands around a link says its year and number, the first of them for all links of a block
+    html = '<p>Proposition 7 <a href="/repo/ca_ballot_props/a">Rent</a> (1978) <a href="/repo/ca_ballot_props/b">Tax (1980)</a></p><a href="/repo/ca_ballot_props/c"><b>Gas</b></a>'
+    got = pages.repository_measures(spark.createDataFrame([(1, html)], "page_id long, html string"), "https://h.org", least_slashes=3).orderBy("nth").collect()
+    assert [(r.year, r.measure_text) for r in got] == [("1978", "Proposition 7: Rent"), ("1978", "Proposition 7: Tax (1980)"), ("Unknown", "Gas")]
+    # a link that holds blocks itself has its own text for context
+    html = '<p>(1978) <a href="/repo/ca_ballot_props/a"><div>Rent (1979)</div></a></p>'
+    assert [r.year for r in pages.repository_measures(spark.createDataFrame([(1, html)], "page_id long, html string"), "https://h.org", least_slashes=3).collect()] == ["1979"]
+
+
+def test_each_file_has_its_own_encoding(spark, tmp_path):
+    (tmp_path / "a.csv").write_bytes("state,year,title\nCalifornia,1990,Caf\u00e9\n".encode("latin-1"))
+    (tmp_path / "b.csv").write_bytes("title,state,year\nCaf\u00e9,California,1991\n".encode())
+    got = tables.read_icpsr(spark, str(tmp_path / "*.csv")).orderBy("year").collect()
+    assert [(r.year, r.title) for r in got] == [(1990, "Caf\u00e9"), (1991, "Caf\u00e9")]
 
 
 def test_schema(spark):
@@ -89,7 +103,7 @@ def test_sinks(spark, tmp_path):
     assert spark.read.parquet(path).count() == 1
     log = str(tmp_path / "log")
     sinks.log_run(spark, log, "r1", "x", datetime(2020, 1, 1), "running")
-    sinks.log_run(spark, log, "r1", "x", datetime(2020, 1, 1), "completed_with_errors", datetime(2020, 1, 2), measures_new=3, other=1)
+    sinks.log_run(spark, log, "r1", "x", datetime(2020, 1, 1), "failed", datetime(2020, 1, 2), "no page", new_measures=3, other=1)
     last = sinks.last_state(spark.read.parquet(log)).collect()
-    assert [(r.status, r.measures_new, r.completed_at) for r in last] == [("completed_with_errors", 3, datetime(2020, 1, 2))]
+    assert [(r.status, r.new_measures, r.completed_at, r.error_message) for r in last] == [("failed", 3, datetime(2020, 1, 2), "no page")]
     assert sinks.is_stale(datetime(2020, 1, 2), datetime(2020, 1, 1)) and not sinks.is_stale(datetime(2020, 1, 1), datetime(2020, 1, 2))
