@@ -70,13 +70,14 @@ WITH own AS (
 ), parts AS (
   SELECT conv_id AS pair_id, unnest(CASE WHEN text = other THEN ['prompt'] ELSE ['chosen', 'rejected'] END) AS part, turn, nth, role, text, other FROM known
 ), said AS (
-  SELECT pair_id, part, turn, CAST(nth AS INTEGER) AS nth, role,
+  SELECT pair_id, part, CAST(floor(turn / 32.0) AS BIGINT) AS chunk, CAST((nth - 1) // 32 AS BIGINT) AS over, turn, nth, role,
          '<|im_start|>' || role || chr(10) AS head, CASE part WHEN 'rejected' THEN other ELSE text END || '<|im_end|>' || chr(10) AS body FROM parts
+), placed AS (
+  SELECT *, sum(length(head) + length(body)) OVER (PARTITION BY pair_id, part, chunk, over ORDER BY turn, nth) AS stop FROM said
 )
-SELECT pair_id, part, turn, nth, role, head || body AS rendered,
-       CAST(CASE WHEN part <> 'prompt' AND role = 'assistant' THEN length(head) ELSE 0 END AS INTEGER) AS loss_start,
-       CAST(CASE WHEN part <> 'prompt' AND role = 'assistant' THEN length(head || body) ELSE 0 END AS INTEGER) AS loss_end
-FROM said
+SELECT pair_id, part, chunk, over, count(*) AS n_turns, string_agg(head || body, '' ORDER BY turn, nth) AS text,
+       coalesce(string_agg((stop - length(body)) || '-' || stop, ',' ORDER BY turn, nth) FILTER (WHERE part <> 'prompt' AND role = 'assistant'), '') AS loss
+FROM placed GROUP BY pair_id, part, chunk, over
 """
 
 OP3_SQL = r"""

@@ -2,6 +2,7 @@
 
 import random
 import zlib
+from collections import Counter
 
 import numpy as np
 import public_tokenizers
@@ -93,26 +94,69 @@ def test_shards(spark):
     assert shards.shard(empty(spark), 3).count() == 0
 
 
+def plain_pairs(rows):
+    """The same records, conversation by conversation."""
+    talks = {}
+    for c, turn, role, text, *_ in rows:
+        if c is not None:
+            talks.setdefault(c, []).append((-1 if turn is None else turn, role or "unknown", text or ""))
+    answers = {c: max([x for x in t if x[1] == "assistant"], default=None, key=lambda x: (x[0], x[2])) for c, t in talks.items()}
+    return plain_records({c: (chosen := [x for x in sorted(t) if not answers[c] or (x[0], x[1], x[2]) <= answers[c]], [*chosen[:-1], (*answers[c][:2], (answers.get(c ^ 1) or (0, 0, ""))[2])] if answers[c] else chosen) for c, t in talks.items()})
+
+
+def plain_records(pairs):
+    out = []
+    for pair, (chosen, rejected) in pairs.items():
+        n = next((i for i, (a, b) in enumerate(zip(chosen, rejected)) if a != b), min(len(chosen), len(rejected)))
+        for part, said in (("prompt", chosen[:n]), ("chosen", chosen[n:]), ("rejected", rejected[n:])):
+            nth, groups = Counter(), {}
+            for turn, role, text in (chosen[:n] if part != "prompt" else []):
+                nth[turn] += 1
+            for turn, role, text in said:
+                groups.setdefault((turn // 32, nth[turn] // 32), []).append((role, text))
+                nth[turn] += 1
+            for (chunk, over), own in groups.items():
+                text, spans = "", []
+                for role, words in own:
+                    start = len(text) + len(f"<|im_start|>{role}\n")
+                    text += f"<|im_start|>{role}\n{words}<|im_end|>\n"
+                    spans += [f"{start}-{len(text)}"] if role == "assistant" and part != "prompt" else []
+                out.append((pair, part, chunk, over, len(own), text, ",".join(spans)))
+    return sorted(out, key=str)
+
+
 def formatted(spark, rows):
-    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, part string")
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, part string").toDF("conv_id", "turn", "role", "text", "CONV_ID")
     return sorted((tuple(r) for r in chat.format_preferences(chat.answer_swaps(df)).collect()), key=str)
 
 
 def test_chat(spark):
-    rows = [(4, 0, "user", "q", ""), (4, 1, "assistant", "a", ""), (4, 2, "user", "later", ""), (5, 0, "assistant", "b", ""), (8, 0, "user", "only", ""), (None, 0, "user", "lost", ""), (12, None, None, None, ""), (12, 1, "assistant", "é", "")]
-    head = lambda role: f"<|im_start|>{role}\n"
-    row = lambda pair, part, turn, role, text: (pair, part, turn, 1, role, f"{head(role)}{text}<|im_end|>\n", *((len(head(role)), len(f"{head(role)}{text}<|im_end|>\n")) if part != "prompt" and role == "assistant" else (0, 0)))
-    want = [
-        row(4, "prompt", 0, "user", "q"), row(4, "chosen", 1, "assistant", "a"), row(4, "rejected", 1, "assistant", "b"),
-        row(5, "chosen", 0, "assistant", "b"), row(5, "rejected", 0, "assistant", "a"), row(8, "prompt", 0, "user", "only"),
-        row(12, "prompt", -1, "unknown", ""), row(12, "chosen", 1, "assistant", "é"), row(12, "rejected", 1, "assistant", ""),
-    ]
-    assert formatted(spark, rows) == sorted(want, key=str)
+    rows = [(4, 0, "user", "q", ""), (4, 1, "assistant", "a", ""), (4, 2, "user", "later", ""), (5, 0, "assistant", "b", ""), (8, 0, "user", "only", ""), (None, 0, "user", "lost", ""), (12, None, None, None, ""), (12, 1, "assistant", "\u00e9", "")]
+    assert formatted(spark, rows) == plain_pairs(rows) and len(plain_pairs(rows)) == 9
+    assert ("4", "chosen", "0", "0", "1", "<|im_start|>assistant\na<|im_end|>\n", "22-34") in [tuple(map(str, r)) for r in formatted(spark, rows)]
     assert formatted(spark, []) == []
-    assert len(formatted(spark, [(1, 0, "user", "x", "")] * 3 + [(1, 1, "assistant", "y", "")])) == 5
+
+
+def test_chats_of_any_length(spark):
+    """Many turns, repeated turns, ties, equal answers of both sides, negative and missing numbers, long texts."""
+    rng = random.Random(3)
+    rows = [(c, rng.choice([None, -5, *range(n)]), rng.choice(["user", "assistant", "system", None]), rng.choice(["x", "yy", "", None, "z" * 50_000 if c == 7 else "w"]), "") for c, n in ((2, 3), (3, 100), (6, 1), (7, 9), (20, 40), (21, 2)) for _ in range(90)]
+    rows += [(30, 0, "user", "same", "")] * 100 + [(30, 1, "assistant", "y", "")] * 3 + [(31, 4, "assistant", "y", "")]
+    assert formatted(spark, rows) == plain_pairs(rows)
 
 
 def test_sides_of_different_length(spark):
-    rows = [(1, s, t, 1, "assistant", f"{t}") for s, n in (("chosen", 3), ("rejected", 5)) for t in range(n)]
-    got = chat.format_preferences(spark.createDataFrame(rows, "pair_id long, side string, turn long, nth int, role string, text string"))
-    assert sorted((r.part, r.turn) for r in got.collect()) == [("prompt", 0), ("prompt", 1), ("prompt", 2), ("rejected", 3), ("rejected", 4)]
+    rows = [(1, s, t, "assistant", f"{t}") for s, n in (("chosen", 3), ("rejected", 50)) for t in range(n)]
+    got = chat.format_preferences(chat.sides(spark.createDataFrame(rows, "pair_id long, side string, turn long, role string, text string"))).collect()
+    want = plain_records({1: ([(t, "assistant", f"{t}") for t in range(3)], [(t, "assistant", f"{t}") for t in range(50)])})
+    assert sorted(map(tuple, got), key=str) == want and [(r[1], r[2]) for r in want] == [("prompt", 0), ("rejected", 0), ("rejected", 1)]
+
+
+def test_sums_of_parts(spark):
+    rng = random.Random(4)
+    rows = [(b, p, rng.randrange(1, 9)) for b in (0, 3, 12) for p in range(0, 3000, 7)]
+    got = {(r.bucket, r.part): r.before for r in packing.starts(spark.createDataFrame(rows, "bucket long, part int, n long")).collect()}
+    want, total = {}, 0
+    for b, p, n in sorted(rows, key=lambda r: (-r[0], r[1])):
+        want[b, p], total = total, total + n
+    assert got == want
