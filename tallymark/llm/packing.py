@@ -3,7 +3,8 @@
 Each document's token ids (end id included) are cut into pieces whose lengths are the powers of two in the binary
 form of its length, the longest (the sequence limit) first. A piece is a sequence of its own: no sequence crosses
 documents, none is padded, and sequences of equal length form one bucket, numbered without gaps.
-A null or empty text is the end id alone. Repeated rows are packed each; rows with a null doc_id too."""
+A null or empty text is the end id alone, a text of any length is packed whole. Repeated rows are packed each; rows with a null
+doc_id too. An empty table gives no rows; other columns, whatever their names, don't matter."""
 
 from __future__ import annotations
 
@@ -22,6 +23,8 @@ from tallymark.llm.common import cut, pick, slices
 
 #: Distinct chunks and distinct words that a worker remembers before it starts anew, and the text of one step.
 MEMO, BARE, STEP_BYTES = 400_000, 600_000, 4 << 20
+#: Parts whose sums are taken together.
+TOGETHER = 1024
 #: Marks that may close a word; a run of them is one word to the vocabulary.
 MARKS = ".,;:!?*$%&#|"
 
@@ -93,6 +96,19 @@ def binary_lengths(n: int, most: int) -> list[int]:
     return [most] * (n // most) + [1 << k for k in range(most.bit_length() - 1, -1, -1) if (n % most) >> k & 1]
 
 
+def starts(counts: DataFrame) -> DataFrame:
+    """(bucket, part, before): how many pieces come before those of a bucket and part; buckets fall, parts rise. Sums of
+    buckets, of TOGETHER parts, and of parts among them: no task holds all parts."""
+    own = counts.withColumn("many", F.floor(F.col("part") / TOGETHER))
+    many = own.groupBy("bucket", "many").agg(F.sum("n").alias("n"))
+    most = many.groupBy("bucket").agg(F.sum("n").alias("n"))  # a row for each power of two
+    upto = lambda w, name: (F.sum("n").over(w) - F.col("n")).alias(name)
+    a = most.select("bucket", upto(Window.orderBy(F.desc("bucket")), "a"))
+    b = many.select("bucket", "many", upto(Window.partitionBy("bucket").orderBy("many"), "b"))
+    c = own.select("bucket", "many", "part", upto(Window.partitionBy("bucket", "many").orderBy("part"), "c"))
+    return c.join(b, ["bucket", "many"]).join(a, "bucket").select("bucket", "part", (F.col("a") + F.col("b") + F.col("c")).alias("before"))
+
+
 def pack(docs: DataFrame, tokenizer: str, end_id: int = 2, most: int = 4096, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """A row for each piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset and bucket (log2 of the
     length). Pieces are written once; numbers follow from counts of each written part and bucket."""
@@ -120,7 +136,6 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int = 2, most: int = 4096, doc
             yield pa.RecordBatch.from_arrays([part.column("doc_id").take(pa.array(row, pa.int64())), *(pa.array(x, pa.int64()) for x in out)], ["doc_id", *names])
 
     made = cut(own.mapInArrow(pieces, f"doc_id {kind}, " + ", ".join(f"{x} long" for x in names)).withColumn("part", F.spark_partition_id()))
-    # a row for each bucket and task at most
-    counts = made.groupBy("bucket", "part").agg(F.count("*").alias("n"))
-    before = counts.select("bucket", "part", (F.sum("n").over(Window.orderBy(F.desc("bucket"), "part")) - F.col("n")).alias("before"))
-    return made.join(F.broadcast(before), ["bucket", "part"]).select("doc_id", "start", "length", "ids_crc32", "doc_tokens", (F.col("before") + F.col("nth")).alias("sequence_id"), F.lit(0).cast("long").alias("offset"), F.col("bucket").cast("int").alias("bucket"))
+    # a row for each bucket and task at most; Spark broadcasts them if they are few
+    before = starts(made.groupBy("bucket", "part").agg(F.count("*").alias("n")))
+    return made.join(before, ["bucket", "part"]).select("doc_id", "start", "length", "ids_crc32", "doc_tokens", (F.col("before") + F.col("nth")).alias("sequence_id"), F.lit(0).cast("long").alias("offset"), F.col("bucket").cast("int").alias("bucket"))
