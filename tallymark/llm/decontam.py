@@ -1,232 +1,185 @@
 """Benchmark decontamination by winnowing.
 
 Words are runs of ASCII letters and digits (A-Z lower-cased) and of all other characters beyond ASCII. A window is ten
-consecutive words of a benchmark item; an item with one to nine words is one window by itself. From each text the least
-hash of every six consecutive five-word grams is kept, the leftmost of equals. Whatever ten words a document shares with
-an item, both keep the same gram of it, so the join of the kept grams meets every shared window; each meeting is then
-extended word by word, at most five words to either side, and counts only if ten words in a row agree. Items shorter than
-a window are looked up by their own length.
+consecutive words of a benchmark item; an item with one to nine words is one window by itself. Of the six five-word grams in a
+window the least hash is kept, so whatever ten words a document shares with an item, both keep the same gram of it. An item of
+fewer words keeps the hash of them all.
 
-The benchmark is a query set: it is sent to the workers in blocks, each of a bounded size (`block_bytes` of text), and
-every document is held against every block. With one block (the usual case) documents are scanned once, without any
-exchange. Words of a document that no item has are never equal to anything, so comparisons are exact.
+A document's kept grams are looked up in a filter of bounded size (a Bloom filter of the benchmark's kept grams, at most
+FILTER_BITS), which lets few others pass. What passes is joined to the benchmark's fingerprints by Spark, on the gram and two
+independent 64-bit hashes of the whole window: the gram brings the two together, the hashes extend the hit to the ten words.
+Spark chooses how to join by the sizes, so a benchmark of any size is joined in one scan. Texts are told apart by a digest:
+copies of a text of any number are one text in the joins, and get their results at the end.
 
-Null texts have no words. An item without words has no window. Items with a null id mark words as hit but are listed
-nowhere; rows with equal item_id are one item. Repeated documents are kept, each with its own row."""
+Documents' rows are kept one for one, repeated rows too. Null and empty texts have no words; texts of any length are searched
+whole. An item without words has no window. Items with a null id mark words as hit but are listed nowhere; rows with equal
+item_id are one item. Empty tables give no rows, or no hits. Other columns, whatever their names, don't matter."""
 
 from __future__ import annotations
 
-import hashlib
-import re
-from collections import defaultdict
+import math
 from collections.abc import Iterator
-from itertools import chain, repeat
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tallymark.llm.common import pick, slices, utf8_bytes
+from tallymark.llm.common import cut, pick, position, slices
+from tallymark.llm.spans import FACTORS, U, Words, grams, layout, scramble
 
 WINDOW, GRAM = 10, 5
-#: Five-word grams in a window.
-SPAN = WINDOW - GRAM + 1
 STEP_BYTES = 2 << 20
-#: Over the bytes of a text whose ASCII letters are in lower case: every byte beyond ASCII belongs to a word.
-WORD = re.compile(rb"[0-9a-z\x80-\xff]+")
-MIX = np.array([pow(0x9E3779B97F4A7C15, i + 1, 1 << 64) | 1 for i in range(WINDOW)], "u8")
-
-
-def words(text: bytes | None) -> list[bytes]:
-    return WORD.findall(text.lower()) if text else []
-
-
-def grams(ids: np.ndarray, size: int) -> np.ndarray:
-    """A hash of each `size` consecutive ids."""
-    x = ids.astype("i8").view("u8")
-    n = max(len(x) - size + 1, 0)
-    h = np.zeros(n, "u8")
-    for i in range(size):
-        h = (h ^ (h >> np.uint64(29))) * MIX[0] + x[i : i + n] * MIX[i]
-    h ^= h >> np.uint64(32)
-    return h * MIX[1]
-
-
-def winnow(h: np.ndarray) -> np.ndarray:
-    """Positions of the least of every SPAN consecutive hashes, the leftmost of equals."""
-    if len(h) < SPAN:
-        return np.zeros(0, "i8")
-    view = np.lib.stride_tricks.sliding_window_view(h, SPAN)
-    return np.unique(view.argmin(axis=1) + np.arange(len(view)))
-
-
-def expand(values: np.ndarray, keys: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """For each of `values` that is among the sorted distinct `keys`: its index, and each index that starts[] gives it."""
-    at = np.searchsorted(keys, values)
-    found = np.flatnonzero(np.minimum(at, len(keys) - 1) == at) if len(keys) else np.zeros(0, "i8")
-    found = found[keys[at[found]] == values[found]]
-    at = at[found]
-    n = starts[at + 1] - starts[at]
-    return np.repeat(found, n), np.repeat(starts[at], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-
-
-class Index:
-    """A block of benchmark items: their words as ids in a row, and where each kept gram stands."""
-
-    def __init__(self, items: list[tuple[str | None, bytes | None]]):
-        self.id: dict[bytes, int] = {}
-        self.names: list[str | None] = []
-        row, of, long, short = [0] * WINDOW, [-1] * WINDOW, [], defaultdict(list)
-        for name, text in items:
-            own = [self.id.setdefault(w, len(self.id) + 1) for w in words(text)]
-            if own:
-                (long if len(own) >= WINDOW else short[len(own)]).append((len(row), len(own)))
-                row += own + [-1] * WINDOW
-                of += [len(self.names)] * len(own) + [-1] * WINDOW
-                self.names.append(name)
-        self.row, self.of = np.array(row, "i8"), np.array(of, "i8")
-        at = [s + winnow(grams(self.row[s : s + n], GRAM)) for s, n in long]
-        self.kept = {GRAM: self.sort(np.concatenate(at) if at else np.zeros(0, "i8"), GRAM)}
-        self.short = {n: self.sort(np.array([s for s, _ in x], "i8"), n) for n, x in short.items()}
-
-    def sort(self, at: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        h = grams(self.row, size)[at]
-        order = np.argsort(h, kind="stable")
-        keys, first = np.unique(h[order], return_index=True)
-        return keys, np.append(first, len(h)), at[order]
-
-    def hits(self, lists: list[list[bytes]]) -> tuple[np.ndarray, list[set[int]]]:
-        """Which words of all lists, one after the other, are hit; the numbers of the items found in each list."""
-        get = self.id.get
-        n = np.array([len(x) for x in lists], "i8")
-        gap, total = WINDOW, int(n.sum()) + WINDOW * (len(lists) + 1)
-        row = np.full(total, -2, "i8")
-        starts = np.cumsum(n + gap) - n
-        flat = np.fromiter(map(get, chain.from_iterable(lists), repeat(0)), "i8", int(n.sum()))
-        place = np.arange(len(flat)) + np.repeat(starts - (np.cumsum(n) - n), n)
-        row[place] = flat
-        # only runs of words that the items know can hold a window: those are laid out anew, and searched together
-        bounds = np.flatnonzero(np.diff(np.concatenate(([0], (row > 0).astype("i1"), [0]))))
-        s, e = bounds[::2], bounds[1::2]
-        wide = e - s >= min([WINDOW, *self.short])
-        s, m = s[wide], (e - s)[wide]
-        items: list[set[int]] = [set() for _ in lists]
-        hit = np.zeros(total, bool)
-        if len(s):
-            begin = np.cumsum(m + gap) - m
-            each, nth = np.arange(m.sum()), np.cumsum(m) - m
-            source, target = each + np.repeat(s - nth, m), each + np.repeat(begin - nth, m)
-            runs, back = np.full(int(begin[-1] + m[-1] + gap), -2, "i8"), np.zeros(int(begin[-1] + m[-1] + gap), "i8")
-            runs[target], back[target] = row[source], source
-            edge, found = np.zeros(len(runs) + 1, "i4"), []
-            self.search(runs, edge, found)
-            hit[source] = (np.cumsum(edge[:-1]) > 0)[target]
-            if found:
-                where, what = (np.concatenate(x) for x in zip(*found))
-                doc = np.searchsorted(starts, back[where], side="right") - 1
-                for d, k in np.unique(np.stack([doc, what], 1), axis=0).tolist():
-                    items[d].add(k)
-        return hit[place], items
-
-    def search(self, row: np.ndarray, edge: np.ndarray, found: list) -> None:
-        """Marks in `edge` where hit stretches of `row` begin and end; adds (positions, items) to `found`."""
-        h = grams(row, GRAM)
-        at = winnow(h)
-        keys, starts, places = self.kept[GRAM]
-        i, j = expand(h[at], keys, starts)
-        self.extend(row, at[i], places[j], edge, found)
-        for size, (keys, starts, places) in self.short.items():
-            i, j = expand(grams(row, size), keys, starts)
-            p, q = i, places[j]
-            same = np.ones(len(p), bool)
-            for k in range(size):
-                same &= row[p + k] == self.row[q + k]
-            self.mark(p[same], p[same] + size, q[same], edge, found)
-
-    def extend(self, row: np.ndarray, p: np.ndarray, q: np.ndarray, edge: np.ndarray, found: list) -> None:
-        same = np.ones(len(p), bool)
-        for k in range(GRAM):
-            same &= row[p + k] == self.row[q + k]
-        p, q = p[same], q[same]
-        left, right = np.zeros(len(p), "i8"), np.zeros(len(p), "i8")
-        go, come = np.ones(len(p), bool), np.ones(len(p), bool)
-        for k in range(WINDOW - GRAM):
-            go &= row[p - 1 - k] == self.row[q - 1 - k]
-            come &= row[p + GRAM + k] == self.row[q + GRAM + k]
-            left += go
-            right += come
-        full = left + right + GRAM >= WINDOW
-        self.mark((p - left)[full], (p + GRAM + right)[full], q[full], edge, found)
-
-    def mark(self, start: np.ndarray, end: np.ndarray, q: np.ndarray, edge: np.ndarray, found: list) -> None:
-        np.add.at(edge, start, 1)
-        np.add.at(edge, end, -1)
-        if len(start):
-            found.append((start, self.of[q]))
-
-
-_INDEXES: dict[str, Index] = {}
-
-
-def blocks(benchmark: DataFrame, block_bytes: int, item_id: str, text: str) -> list[list[tuple[str | None, bytes | None]]]:
-    """The benchmark's items in blocks of about `block_bytes` of text (one item at least), each fetched by itself."""
-    items = pick(benchmark, item_id=item_id, text=text).where(F.col("text").isNotNull())
-    total = items.agg(F.sum(utf8_bytes(F.col("text")) + 16)).first()[0] or 0
-    n = max(1, -(-total // block_bytes))
-    own = items.select(F.col("item_id").cast("string").alias("item_id"), F.col("text").cast("binary").alias("text"))
-    if n == 1:
-        return [[(r[0], bytes(r[1])) for r in own.collect()]]
-    own = own.withColumn("block", F.pmod(F.xxhash64("item_id", "text"), F.lit(n)))
-    return [[(r[0], bytes(r[1])) for r in own.where(F.col("block") == i).drop("block").collect()] for i in range(n)]
-
-
-def scan(docs: DataFrame, block: list, text: str = "text") -> DataFrame:
-    """`docs` (whose column names are taken as they are) and, for one block: _n_words, _hits (the hit words' numbers) and
-    _items (the ids found, sorted as strings). One pass, no exchange."""
-    spark = docs.sparkSession
-    sent = spark.sparkContext.broadcast(block)
-    key = hashlib.sha256(repr(block).encode()).hexdigest()
+#: The filter has so many bits for each kept gram, FILTER_BITS at most, and looks at PROBES of them.
+BITS_EACH, FILTER_BITS, PROBES = 24, 1 << 27, 3
+#: Letters in lower case and bytes beyond ASCII belong to words; all else is white space.
+PLAIN = np.full(256, 32, "u1")
+PLAIN[48:58], PLAIN[97:123], PLAIN[65:91], PLAIN[128:] = np.arange(48, 58), np.arange(97, 123), np.arange(97, 123), np.arange(128, 256)
+WINDOWS = "gram long, w0 long, w1 long, n int"
+
+
+def plain_words(texts: pa.Array) -> Words:
+    data, at = layout(texts)
+    return Words(PLAIN[data], at)
+
+
+class Windows:
+    """All windows of `size` words, as their kept gram and two hashes; size is WINDOW, or the length of short items."""
+
+    def __init__(self, words: Words, size: int):
+        self.at = words.windows(size)
+        self.lanes = [grams(words.hashes(i), size, i, self.at) + FACTORS[i][size] for i in (0, 1)]
+        if size < WINDOW:
+            self.gram = scramble(self.lanes[0] ^ self.lanes[1])
+            return
+        h = grams(words.hashes(0), GRAM, 0)
+        least = h[: max(len(h) - (WINDOW - GRAM), 0)]
+        for i in range(1, WINDOW - GRAM + 1):
+            least = np.minimum(least, h[i : i + len(least)])
+        self.gram = scramble(least[self.at] + FACTORS[0][0])
+
+
+def item_windows(benchmark: DataFrame, item_id: str, text: str) -> DataFrame:
+    """gram, w0, w1, n and item of every window of every item."""
+    own = pick(benchmark, item=item_id, text=text).where(F.col("text").isNotNull()).select(F.col("item").cast("string").alias("item"), F.col("text").cast("binary").alias("text"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in slices(batches, "text", STEP_BYTES):
+            words = plain_words(part.column("text"))
+            for size in range(1, WINDOW + 1):
+                own = Windows(words, size)
+                doc = words.doc[own.at]
+                fits = np.ones(len(doc), bool) if size == WINDOW else words.n[doc] == size
+                columns = [pa.array(x[fits].view("i8")) for x in (own.gram, *own.lanes)]
+                yield pa.RecordBatch.from_arrays([*columns, pa.array(np.full(fits.sum(), size, "i4")), part.column("item").take(pa.array(doc[fits]))], ["gram", "w0", "w1", "n", "item"])
+
+    return own.mapInArrow(run, f"{WINDOWS}, item string").distinct()
+
+
+def places(gram: np.ndarray, bits: int) -> list[np.ndarray]:
+    """Where a filter has the bits of these grams."""
+    return [scramble(gram + U(i)) & U(bits - 1) for i in range(PROBES)]
+
+
+def filter_of(windows: DataFrame) -> np.ndarray:
+    """A Bloom filter of the windows' grams, as bytes; a few tasks make a part each."""
+    distinct = windows.select("gram").distinct()
+    bits = min(FILTER_BITS, max(1 << 13, 1 << math.ceil(math.log2(BITS_EACH * max(distinct.count(), 1)))))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if key not in _INDEXES:
-            _INDEXES.clear()
-            _INDEXES[key] = Index(sent.value)
-        index = _INDEXES[key]
-        for part in slices(batches, text, STEP_BYTES):
-            lists = [words(x) for x in part.column(text).cast(pa.binary()).to_pylist()]
-            n = np.array([len(x) for x in lists], "i8")
-            hit, items = index.hits(lists)
-            upto, at = np.cumsum(n), np.flatnonzero(hit)
-            begin = upto - n
-            cuts = np.searchsorted(at, np.append(begin, n.sum()))
-            owner = np.repeat(np.arange(len(n)), np.diff(cuts))
-            hits = pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.array(at - begin[owner], pa.int64()))
-            names = [sorted({index.names[k] for k in x if index.names[k] is not None}) for x in items]
-            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(n), hits, pa.array(names, pa.list_(pa.string()))], [*part.schema.names, "_n_words", "_hits", "_items"])
-
-    schema = T.StructType([*docs.schema.fields, T.StructField("_n_words", T.LongType()), T.StructField("_hits", T.ArrayType(T.LongType())), T.StructField("_items", T.ArrayType(T.StringType()))])
-    return docs.mapInArrow(run, schema)
-
-
-def decontaminate(docs: DataFrame, benchmark: DataFrame, block_bytes: int = 16 << 20, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
+        own = np.zeros(bits, bool)
+        for batch in batches:
+            for at in places(batch.column("gram").to_numpy(zero_copy_only=False).view("u8"), bits):
+                own[at] = True
+        yield pa.RecordBatch.from_arrays([pa.array([np.packbits(own, bitorder="little").tobytes()], pa.binary())], ["bits"])
+
+    out = np.zeros(bits // 8, "u1")
+    for r in distinct.repartition(4).mapInArrow(run, "bits binary").toLocalIterator():
+        out |= np.frombuffer(bytes(r["bits"]), "u1")
+    return out
+
+
+def digests(texts: list[bytes | None]) -> np.ndarray:
+    """Two numbers that tell texts apart."""
+    return np.frombuffer(b"".join([blake2b(x or b"", digest_size=16).digest() for x in texts]) + bytes(16), "<i8").reshape(-1, 2)[: len(texts)]
+
+
+def met_windows(docs: DataFrame, fits: np.ndarray, sizes: list[int]) -> DataFrame:
+    """k0, k1 (the text), start and the window of all windows whose gram the filter lets pass. One scan."""
+    sent = docs.sparkSession.sparkContext.broadcast(fits)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = 8 * len(sent.value)
+        for part in slices(batches, "text", STEP_BYTES):
+            words, key = plain_words(part.column("text")), None
+            for size in sizes:
+                own = Windows(words, size)
+                met = np.ones(len(own.at), bool)
+                for at in places(own.gram, bits):
+                    met[met] = (sent.value[at[met] >> U(3)] >> (at[met] & U(7)).astype("u1")) & 1 > 0
+                if not met.any():
+                    continue
+                key = digests(part.column("text").to_pylist()) if key is None else key
+                at = own.at[met]
+                doc = words.doc[at]
+                columns = [*(key[doc, i] for i in (0, 1)), at - words.first[doc], *(x[met].view("i8") for x in (own.gram, *own.lanes))]
+                yield pa.RecordBatch.from_arrays([*(pa.array(np.ascontiguousarray(x)) for x in columns), pa.array(np.full(len(at), size, "i4"))], ["k0", "k1", "start", "gram", "w0", "w1", "n"])
+
+    return docs.select(F.col("text").cast("binary").alias("text")).mapInArrow(run, f"k0 long, k1 long, start long, {WINDOWS}")
+
+
+WHICH = ["gram", "w0", "w1", "n"]
+
+
+def hits(docs: DataFrame, benchmark: DataFrame, item_id: str, text: str) -> tuple[DataFrame, DataFrame]:
+    """(windows, items): k0, k1, start, n and set (of items, by two numbers) of each window that a text shares with the
+    benchmark, and the items of each set. docs: column text."""
+    items = cut(item_windows(benchmark, item_id, text))
+    sizes = sorted(r["n"] for r in items.select("n").distinct().collect())  # ten at most
+    own = F.coalesce(F.xxhash64("item"), F.lit(0)), F.coalesce(F.xxhash64("item", F.lit("b")), F.lit(0))
+    # windows of the same items share a set: its items are listed once
+    windows = cut(items.groupBy(*WHICH).agg(F.sum(F.shiftright(own[0], 8)).alias("s0"), F.sum(F.shiftright(own[1], 8)).alias("s1")))
+    first = windows.groupBy("s0", "s1").agg(F.min(F.struct(*WHICH)).alias("w")).select("s0", "s1", "w.*")
+    members = items.where(F.col("item").isNotNull()).join(first, WHICH).select("s0", "s1", "item")
+    # repeated texts meet here and are one
+    met = met_windows(docs, filter_of(windows), sizes).join(windows, WHICH).select("k0", "k1", "start", "n", "s0", "s1").distinct()
+    return met, members
+
+
+def keyed(docs: DataFrame, at: int) -> DataFrame:
+    """`docs` with columns c0, c1, ..., and n_words, k0, k1 of the text, which is column `at`."""
+    own = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in slices(batches, f"c{at}", STEP_BYTES):
+            key = digests(part.column(at).cast(pa.binary()).to_pylist())
+            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(plain_words(part.column(at)).n.astype("i8")), *(pa.array(np.ascontiguousarray(key[:, i])) for i in (0, 1))], [*part.schema.names, "n_words", "k0", "k1"])
+
+    return own.mapInArrow(run, T.StructType([*own.schema.fields, *(T.StructField(x, T.LongType()) for x in ("n_words", "k0", "k1"))]))
+
+
+def decontaminate(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
     """doc_id, n_words, n_hit, n_items, items_sha256 and contaminated of each document."""
     own = pick(docs, doc_id=doc_id, text=text)
-    found = [scan(own, x).select("doc_id", F.xxhash64("text").alias("h"), "_n_words", "_hits", "_items") for x in blocks(benchmark, block_bytes, item_id, item_text)]
-    one = found[0]
-    if len(found) > 1:
-        for x in found[1:]:
-            one = one.unionByName(x)
-        # a row for each block; equal documents meet here and are told apart again by their number
-        one = one.groupBy("doc_id", "h", "_n_words").agg(F.array_distinct(F.flatten(F.collect_set("_hits"))).alias("_hits"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("_items")))).alias("_items"), F.count("*").alias("c"))
-        one = one.withColumn("_", F.explode(F.sequence(F.lit(1), (F.col("c") / len(found)).cast("long"))))
-    n_hit = F.size("_hits").cast("long")
-    return one.select("doc_id", F.col("_n_words").alias("n_words"), n_hit.alias("n_hit"), F.size("_items").cast("long").alias("n_items"), F.sha2(F.concat_ws(",", "_items").cast("binary"), 256).alias("items_sha256"), (n_hit > 0).alias("contaminated"))
-
-
-def clean(docs: DataFrame, benchmark: DataFrame, block_bytes: int = 16 << 20) -> DataFrame:
-    """The rows of `docs` that share no window with the benchmark."""
-    for x in blocks(benchmark, block_bytes, "item_id", "text"):
-        docs = scan(docs, x).where(F.size("_hits") == 0).drop("_n_words", "_hits", "_items")
-    return docs
+    found, members = hits(own, benchmark, item_id, item_text)
+    found = cut(found)
+    # a text's windows in order: what each adds to those before it
+    before = F.max(F.col("start") + F.col("n")).over(Window.partitionBy("k0", "k1").orderBy("start", "n").rowsBetween(Window.unboundedPreceding, -1))
+    adds = F.greatest(F.lit(0), F.col("start") + F.col("n") - F.greatest("start", F.coalesce(before, F.lit(0))))
+    covered = found.select("k0", "k1", adds.alias("adds")).groupBy("k0", "k1").agg(F.sum("adds").alias("n_hit"))
+    listed = found.select("k0", "k1", "s0", "s1").distinct().join(members, ["s0", "s1"]).select("k0", "k1", "item").distinct()
+    names = listed.groupBy("k0", "k1").agg(F.array_sort(F.collect_list("item")).alias("items"))
+    of_text = cut(covered.join(names, ["k0", "k1"], "left"))
+    n_hit, items = F.coalesce("n_hit", F.lit(0)).cast("long"), F.coalesce("items", F.array().cast("array<string>"))
+    return keyed(own, 1).join(of_text, ["k0", "k1"], "left").select(
+        F.col("c0").alias("doc_id"), "n_words", n_hit.alias("n_hit"), F.size(items).cast("long").alias("n_items"), F.sha2(F.concat_ws(",", items).cast("binary"), 256).alias("items_sha256"), (n_hit > 0).alias("contaminated")
+    )
+
+
+def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """The rows of `docs` that share no window with the benchmark, whatever their columns are called."""
+    found, _ = hits(pick(docs, text="text"), benchmark, "item_id", "text")
+    dirty = cut(found.select("k0", "k1").distinct())
+    return keyed(docs, position(docs, "text")).join(dirty, ["k0", "k1"], "left_anti").select([f"c{i}" for i in range(len(docs.columns))]).toDF(*docs.columns)

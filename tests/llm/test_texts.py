@@ -110,6 +110,8 @@ def test_simhash_of_awkward_rows(spark):
     assert dict(x for x in got if x[0] in (0, 1, 2, 6, 7, 8, 9)) == {0: 0, 1: 0, 2: 0, 6: 6, 7: 6, 8: 8, 9: 8}
     assert sorted((x for x in got if x[0] is None), key=str) == [(None, 0), (None, 8)]
     assert simhash.groups(empty(spark)).count() == 0
+    clashing = awkward(spark).toDF("doc_id", "text", "DOC_ID", "TEXT", "nth", "h", "fp")
+    assert simhash.keep_one(clashing).columns == clashing.columns and simhash.keep_one(clashing).count() == simhash.keep_one(awkward(spark)).count()
     kept = simhash.keep_one(awkward(spark))
     assert kept.columns == awkward(spark).columns
     assert sorted(r.doc_id for r in kept.collect() if r.doc_id is not None) == [0, 3, 4, 5, 6, 8, 10, 11, 12]
@@ -136,13 +138,15 @@ def contaminated(bench, docs):
     return sorted(out, key=str)
 
 
-@pytest.mark.parametrize("block", [16 << 20, 40])
-def test_decontamination(spark, block):
+@pytest.mark.parametrize("bits", [decontam.FILTER_BITS, 64])
+def test_decontamination(spark, bits, monkeypatch):
+    """With a filter that lets nearly everything pass too."""
+    monkeypatch.setattr(decontam, "FILTER_BITS", bits)
     rng = random.Random(5)
     text = lambda n, v: " ".join(rng.choice("xyzw") * 2 + str(rng.randrange(v)) for _ in range(n))
     bench = [(i, text(rng.choice([1, 3, 9, 10, 11, 30]), rng.choice([1, 40]))) for i in range(12)] + [(3, text(12, 40)), (None, text(15, 40)), (50, None), (51, "..")]
     docs = [(i, text(40, 40) + " ! " + " ".join((bench[i % 14][1]).split()[:13]).upper() + ", " + text(20, 2)) for i in range(30)] + [(30, None), (31, "")] + [(5, "aa bb")] * 2
-    got = decontam.decontaminate(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(bench, "item_id long, text string"), block_bytes=block).collect()
+    got = decontam.decontaminate(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(bench, "item_id long, text string")).collect()
     assert sorted(map(tuple, got), key=str) == contaminated(bench, docs)
 
 
@@ -153,8 +157,11 @@ def test_decontamination_of_awkward_rows(spark):
     assert got.count() == len(awkward_rows())
     assert decontam.decontaminate(awkward(spark), bench.limit(0)).where("contaminated").count() == 0
     assert decontam.decontaminate(empty(spark), bench).count() == 0
-    clean = decontam.clean(awkward(spark), bench)
-    assert clean.columns == awkward(spark).columns and clean.count() == len(awkward_rows()) - 5
+    clashing = awkward(spark).toDF("doc_id", "text", "DOC_ID", "k0", "TEXT", "n_words", "c0")
+    for df in (awkward(spark), clashing):
+        clean = decontam.clean(df, bench)
+        assert clean.columns == df.columns and clean.count() == len(awkward_rows()) - 5
+    assert decontam.clean(empty(spark), bench).count() == 0
 
 
 def stripped(rows):
