@@ -7,7 +7,7 @@ likeness. It is evaluated by its features: a string's subsequences with their we
 A text's units are its words, with ASCII letters in lower case and a space before and after. Marks within a word are left
 out (`id-iot`), and the pieces between them are units too; words of one character in a row make one unit (`i d i o t`). Words
 longer than LONG are covered by overlapping parts. A sentence's coordinate for a landmark is the greatest likeness of its
-units (and of their beginnings, where a landmark is a beginning), each of which is compared with each landmark that it is near: it shares two stretches of three characters with it,
+units (and of their beginnings, where a landmark is a beginning), each of which is compared with each landmark that it is near: it shares three stretches of three characters with it,
 with at most one other character between two of a stretch (a unit that doesn't counts 0). The coordinates are turned by the inverse root of the landmarks' own
 kernel matrix. A linear machine with hinge loss is trained on sentences: all those of texts labelled clean, and of each toxic
 text, of which only some sentence is known to be toxic, the one with the highest margin, chosen anew in ROUNDS (and a second time, EASED). A text's
@@ -140,13 +140,14 @@ class Machine:
     def near(self, strings: np.ndarray) -> np.ndarray:
         """Of strings of one length: the landmarks (as bits) that each is near."""
         own, n = self.letter[strings], strings.shape[1]
-        once, twice = np.zeros(len(own), "u8"), np.zeros(len(own), "u8")
+        once, twice, thrice = (np.zeros(len(own), "u8") for _ in range(3))
         for a, b in STRETCHES:
             for j in range(n - b):
                 met = self.stretches[(own[:, j] << 12) | (own[:, j + a] << 6) | own[:, j + b]]
+                thrice |= twice & met
                 twice |= once & met
                 once |= met
-        return twice
+        return thrice
 
     def likeness(self, units: list[bytes], everywhere: bool = False) -> np.ndarray:
         """The normalised kernel of each unit and each landmark that it is near (or every landmark), else 0."""
@@ -324,9 +325,9 @@ def hinge(z: np.ndarray, sign: np.ndarray, weight: np.ndarray, steps: int = 800)
     """A linear machine by averaged subgradient steps."""
     w, b, total_w, total_b = np.zeros(z.shape[1]), 0.0, 0.0, 0.0
     for step in range(1, steps + 1):
-        g = weight * sign * (sign * (z @ w + b) < 1)
+        g = weight * sign * (sign * (np.einsum("ij,j->i", z, w) + b) < 1)  # no threads for so little
         rate = 4.0 / np.sqrt(step)
-        w, b = w - rate * (1e-4 * w - g @ z), b + rate * g.sum()
+        w, b = w - rate * (1e-4 * w - np.einsum("i,ij->j", g, z)), b + rate * g.sum()
         if step > steps // 2:
             total_w, total_b = total_w + w, total_b + b
     return total_w / (steps - steps // 2), total_b / (steps - steps // 2)

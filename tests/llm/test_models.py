@@ -146,7 +146,7 @@ def plain_kernel(s, t, decay=toxicity.DECAY):
 
 def plain_near(s, t):
     places = lambda x: [(x[i], x[i + a], x[i + b]) for a, b in toxicity.STRETCHES for i in range(len(x) - b)]
-    return sum(p in set(places(t)) for p in places(s)) >= 2
+    return sum(p in set(places(t)) for p in places(s)) >= 3
 
 
 def test_coordinates_are_the_plain_kernel():
