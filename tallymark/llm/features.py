@@ -112,18 +112,20 @@ class Texts:
         out[:, FAMILIES << BITS :] = self.style()
         return out
 
-    def scores(self, weights: np.ndarray) -> np.ndarray:
-        """matrix() @ weights, without the matrix."""
-        total = self.style() @ weights[FAMILIES << BITS :]
-        for k, (col, begin, end) in enumerate(self.families()):
+    def scores(self, weights: np.ndarray, style: np.ndarray | None = None, families: list | None = None) -> np.ndarray:
+        """matrix() @ weights, without the matrix. style, families: these, if they are known."""
+        total = (self.style() if style is None else style) @ weights[FAMILIES << BITS :]
+        for k, (col, begin, end) in enumerate(self.families() if families is None else families):
             upto = np.zeros(len(col) + 1, "f8")
             np.cumsum(weights[k << BITS : k + 1 << BITS][col], out=upto[1:])
             total += (upto[end] - upto[begin[:-1]]) / np.maximum(end - begin[:-1], 1)
         return total
 
-    def softplus(self, weights: np.ndarray, bias: float) -> np.ndarray:
-        """Sums over the texts: their number, log(1 + exp(score)), its slope by the bias, and by each weight."""
-        style, families, s = self.style(), list(self.families()), self.scores(weights) + bias
+    def softplus(self, weights: np.ndarray, bias: float, bins: np.ndarray | None = None) -> np.ndarray:
+        """Sums over the texts: their number, log(1 + exp(score)), its slope by the bias, and by each weight; then, with bins, how
+        many have their score in each (those beyond the ends at the ends)."""
+        style, families = self.style(), list(self.families())
+        s = self.scores(weights, style, families) + bias
         d = 0.5 * (1 + np.tanh(0.5 * s))
         by_weight = np.empty(COLUMNS)
         by_weight[FAMILIES << BITS :] = d @ style
@@ -131,4 +133,5 @@ class Texts:
             size, gap = end - begin[:-1], np.append(begin[1:-1], len(col))[: self.n] - end
             each = np.repeat(np.stack([d / np.maximum(size, 1), np.zeros(self.n)], 1).ravel(), np.stack([size, gap], 1).ravel())
             by_weight[k << BITS : k + 1 << BITS] = np.bincount(col, weights=each, minlength=1 << BITS)
-        return np.concatenate([[self.n, np.logaddexp(0, s).sum(), d.sum()], by_weight])
+        counts = [] if bins is None else np.histogram(np.clip(s, bins[0], bins[-1]), bins)[0]
+        return np.concatenate([[self.n, np.logaddexp(0, s).sum(), d.sum()], by_weight, counts])

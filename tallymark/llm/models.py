@@ -91,19 +91,15 @@ class Rows:
     def __getitem__(self, which: np.ndarray) -> Rows:
         return Rows([(self.at[self.first[i] : self.first[i + 1]], self.value[self.first[i] : self.first[i + 1]]) for i in which])
 
-    def dense(self, which: np.ndarray) -> np.ndarray:
-        own = self[which]
-        out = np.zeros((own.n, COLUMNS), "f4")
-        out[np.repeat(np.arange(own.n), np.diff(own.first)), own.at] = own.value
-        return out
-
     def dot(self, w: np.ndarray) -> np.ndarray:
-        upto = np.concatenate(([0], np.cumsum(self.value * w[self.at], dtype="f8")))
-        return upto[self.first[1:]] - upto[self.first[:-1]]
+        out, some = np.zeros(self.n), np.flatnonzero(np.diff(self.first))
+        if len(some):
+            out[some] = np.add.reduceat(self.value * w.astype("f4")[self.at], self.first[some], dtype="f8")
+        return out
 
     def back(self, d: np.ndarray) -> np.ndarray:
         """The rows' sum with weights d."""
-        return np.bincount(self.at, weights=self.value * np.repeat(d, np.diff(self.first)), minlength=COLUMNS)
+        return np.bincount(self.at, weights=self.value * np.repeat(d.astype("f4"), np.diff(self.first)), minlength=COLUMNS)
 
 
 def sparse(x: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
@@ -157,11 +153,11 @@ def summed(docs: DataFrame, of_step: Callable[[Texts], np.ndarray], size: int) -
     return total
 
 
-def softplus(docs: DataFrame, weights: np.ndarray, bias: float) -> tuple[float, np.ndarray, float]:
-    """Means over all documents: log(1 + exp(score)) and its slopes by the weights and the bias."""
-    total = summed(docs, lambda texts: texts.softplus(weights, bias), COLUMNS + 3)
-    total /= max(total[0], 1)
-    return float(total[1]), total[3:], float(total[2])
+def softplus(docs: DataFrame, weights: np.ndarray, bias: float) -> tuple[float, np.ndarray, float, np.ndarray]:
+    """Means over all documents: log(1 + exp(score)) and its slopes by the weights and the bias; and the scores' histogram."""
+    total = summed(docs, lambda texts: texts.softplus(weights, bias, BINS), COLUMNS + 3 + len(BINS) - 1)
+    n = max(total[0], 1)
+    return float(total[1] / n), total[3 : COLUMNS + 3] / n, float(total[2] / n), total[COLUMNS + 3 :]
 
 
 #: Bins of a histogram of scores.
@@ -203,8 +199,11 @@ class Scale:
         n = max(x.n, 1)
         total = np.bincount(x.at, weights=x.value, minlength=COLUMNS)
         square = np.bincount(x.at, weights=x.value.astype("f8") ** 2, minlength=COLUMNS)
-        most = np.zeros(COLUMNS)
-        np.maximum.at(most, x.at, x.value)
+        order, most = np.argsort(x.at, kind="stable"), np.zeros(COLUMNS)
+        at = x.at[order]
+        if len(at):
+            first = np.flatnonzero(np.append(True, at[1:] != at[:-1]))
+            most[at[first]] = np.maximum.reduceat(x.value[order], first)
         self.mean = total / n
         self.unit = 1 / (np.sqrt(np.maximum(square / n - self.mean**2, 0)) + np.where(np.arange(COLUMNS) < COLUMNS - STYLE, 2e-4, 1e-2))
         self.unit[: COLUMNS - STYLE] /= np.sqrt(COLUMNS / 16)
@@ -212,14 +211,14 @@ class Scale:
 
     def fold(self, w: np.ndarray, b: float) -> tuple[np.ndarray, float]:
         own = w * self.unit
-        return own, float(b - own @ self.mean)
+        return own, float(b - (own * self.mean).sum())  # a sum, not a product: no threads for so little
 
     def slopes(self, by_weight: np.ndarray, by_bias: float) -> np.ndarray:
         """Slopes by folded weights as slopes by one's own."""
         return (by_weight - self.mean * by_bias) * self.unit
 
 
-def descend(x: Rows, scale: Scale, slope_of, epochs: int = 30, batch: int = 500, rate: float = 0.02, decay: float = 3e-3) -> tuple[np.ndarray, float]:
+def descend(x: Rows, scale: Scale, slope_of, epochs: int = 20, batch: int = 500, rate: float = 0.02, decay: float = 3e-3) -> tuple[np.ndarray, float]:
     """Adam over mini-batches, each a like part of all rows; the mean of the later half of its steps. slope_of(which, scores, w,
     b): the derivative of the mean loss by the score of each of these rows, and what else the slopes by the weights and the
     bias have."""
@@ -227,13 +226,13 @@ def descend(x: Rows, scale: Scale, slope_of, epochs: int = 30, batch: int = 500,
     m, v, mb, vb, total, total_b = np.zeros(COLUMNS), np.zeros(COLUMNS), 0.0, 0.0, np.zeros(COLUMNS), 0.0
     parts = max(1, round(x.n / batch))
     which = [np.arange(k, x.n, parts) for k in range(parts)]
+    rows = [x[own] for own in which]
     steps, t = max(epochs * parts, 100), 0
     while t < steps:
-        own = which[t % parts]
-        rows, t = x.dense(own), t + 1
+        own, part, t = which[t % parts], rows[t % parts], t + 1
         folded, shift = scale.fold(w, b)
-        d, more, more_b = slope_of(own, rows @ folded.astype("f4") + shift, w, b)
-        g, gb = scale.slopes(d.astype("f4") @ rows, float(d.sum())) + decay * w + more, float(d.sum()) + more_b
+        d, more, more_b = slope_of(own, part.dot(folded) + shift, w, b)
+        g, gb = scale.slopes(part.back(d), float(d.sum())) + decay * w + more, float(d.sum()) + more_b
         m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
         mb, vb = 0.9 * mb + 0.1 * gb, 0.99 * vb + 0.01 * gb * gb
         c1, c2 = 1 - 0.9**t, 1 - 0.99**t

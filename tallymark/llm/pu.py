@@ -87,8 +87,8 @@ def against(positive: Rows, unlabelled: Rows) -> tuple[np.ndarray, float]:
     return scale.fold(*models.descend(x, scale, lambda i, s, w, b: (even[i] * (sigmoid(s) - is_p[i]) / len(i), 0.0, 0.0)))
 
 
-def minimise(positive: Rows, unlabelled: Rows, whole: Callable[[np.ndarray, float], tuple[float, np.ndarray, float]], prior: float, decay: float = 3e-3) -> tuple[np.ndarray, float]:
-    """Weights and bias of the least risk. R_u(-) is that of all documents, which `whole` gives with its slopes for any weights.
+def minimise(positive: Rows, unlabelled: Rows, whole: Callable[[np.ndarray, float], tuple], prior: float, decay: float = 3e-3) -> tuple[np.ndarray, float, np.ndarray | None]:
+    """Weights and bias of the least risk, and the histogram of all documents' scores with them, if it is known. R_u(-) is that of all documents, which `whole` gives with its slopes for any weights.
     Weights fitted on the drawn rows are fitted again with R_u(-) of these rows tilted, so that its value and slopes at the
     first weights are those of all documents. Where the risk of all documents rises instead, the step is shortened to the
     least point of the parabola through both values and the first slope."""
@@ -99,30 +99,32 @@ def minimise(positive: Rows, unlabelled: Rows, whole: Callable[[np.ndarray, floa
     def slope_of(i: np.ndarray, s: np.ndarray, w: np.ndarray, b: float) -> tuple[np.ndarray, np.ndarray, float]:
         of_p, d = i < n, np.zeros(len(i))
         if of_p.any() and not of_p.all():
-            d[of_p], d[~of_p], sign = slopes(prior, s[of_p], s[~of_p], tilt[0] + float(tilt[1] @ w) + tilt[2] * b)
+            d[of_p], d[~of_p], sign = slopes(prior, s[of_p], s[~of_p], tilt[0] + float((tilt[1] * w).sum()) + tilt[2] * b)
             return d, sign * tilt[1], sign * tilt[2]
         return d, 0.0, 0.0
 
-    def of_all(w: np.ndarray, b: float) -> tuple[float, float, np.ndarray, float]:
-        """The risk and R_u(-) of all documents, and the slopes of the latter."""
+    def of_all(w: np.ndarray, b: float) -> tuple[float, float, np.ndarray, float, np.ndarray]:
+        """The risk and R_u(-) of all documents, the slopes of the latter, and the histogram."""
         folded = scale.fold(w, b)
-        loss, by_weight, by_bias = whole(*folded)
-        return risk(prior, positive.dot(folded[0]) + folded[1], loss) + decay / 2 * float(w @ w), loss, scale.slopes(by_weight, by_bias), by_bias
+        loss, by_weight, by_bias, counts = whole(*folded)
+        return risk(prior, positive.dot(folded[0]) + folded[1], loss) + decay / 2 * float(w @ w), loss, scale.slopes(by_weight, by_bias), by_bias, counts
 
     w, b = models.descend(x, scale, slope_of, decay=decay)
-    least, loss, by_weight, by_bias = of_all(w, b)
+    least, loss, by_weight, by_bias, _ = of_all(w, b)
     folded, shift = scale.fold(w, b)
     su = unlabelled.dot(folded) + shift
     d = sigmoid(su) / unlabelled.n
     by_weight, by_bias = by_weight - scale.slopes(unlabelled.back(d), float(d.sum())), by_bias - float(d.sum())
     tilt = (loss - np.logaddexp(0, su).mean() - float(by_weight @ w) - by_bias * b, by_weight, by_bias)
     w1, b1 = models.descend(x, scale, slope_of, decay=decay)
-    rise, part = of_all(w1, b1)[0] - least, 1.0
+    after, *_, counts = of_all(w1, b1)
+    rise = after - least
     if rise > 0:
         d, more, more_b = slope_of(np.arange(x.n), x.dot(folded) + shift, w, b)
         down = float((scale.slopes(x.back(d), float(d.sum())) + decay * w + more) @ (w1 - w)) + (float(d.sum()) + more_b) * (b1 - b)
         part = min(1.0, -down / (2 * (rise - down))) if down < 0 else 0.0
-    return scale.fold(w + part * (w1 - w), b + part * (b1 - b))
+        return *scale.fold(w + part * (w1 - w), b + part * (b1 - b)), None
+    return *scale.fold(w1, b1), counts
 
 
 def fit(docs: DataFrame, labels: DataFrame, rows: int = models.SAMPLE_ROWS, unlabelled: int = DRAWN) -> Linear:
@@ -136,8 +138,8 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = models.SAMPLE_ROWS, unla
     positive, held = every[np.flatnonzero(~aside)], every[np.flatnonzero(aside)]
     w, b = against(positive, some)
     prior = class_prior(held.dot(w) + b, models.histogram(docs, w, b))
-    w, b = minimise(positive, some, lambda w, b: models.softplus(docs, w, b), prior)
-    return Linear(w, b, 1.0, calibration(models.histogram(docs, w, b), prior))
+    w, b, counts = minimise(positive, some, lambda w, b: models.softplus(docs, w, b), prior)
+    return Linear(w, b, 1.0, calibration(models.histogram(docs, w, b) if counts is None else counts, prior))
 
 
 def with_score(docs: DataFrame, model: Linear, text: str = "text") -> DataFrame:

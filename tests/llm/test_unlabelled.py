@@ -13,12 +13,12 @@ from tallymark.llm.features import COLUMNS, Texts
 def test_means_over_all_documents(spark):
     rng = np.random.default_rng(0)
     weights = rng.normal(size=COLUMNS)
-    loss, by_weight, by_bias = models.softplus(awkward(spark).repartition(3), weights, 0.1)
+    loss, by_weight, by_bias, counts = models.softplus(awkward(spark).repartition(3), weights, 0.1)
     x = Texts(pa.array([None if r[1] is None else r[1].encode() for r in awkward_rows()], pa.binary())).matrix().astype("f8")
     s = x @ weights + 0.1
     assert np.isclose(loss, np.logaddexp(0, s).mean()) and np.isclose(by_bias, models.sigmoid(s).mean())
     assert np.allclose(by_weight, x.T @ models.sigmoid(s) / len(s), atol=1e-6)
-    assert (models.histogram(awkward(spark), weights, 0.1) == np.histogram(np.clip(s, -30, 30), models.BINS)[0]).all()
+    assert (models.histogram(awkward(spark), weights, 0.1) == np.histogram(np.clip(s, -30, 30), models.BINS)[0]).all() and counts.sum() == len(s)
 
 
 @pytest.mark.parametrize("prior", [0.3, 0.95])
