@@ -4,7 +4,8 @@ Each record has a 64-bit key: its text's hash in the high half, its row's hash i
 lie side by side and yet can be cut apart. A sample weighted by size gives quantile boundaries of many more ranges
 than shards; ranges that turn out overfull (exact sums over all rows) are subdivided at quantiles of their own rows;
 shards are runs of ranges with nearly equal bytes. Sizes, counts and slots are exact over all rows.
-A null text has no bytes and the checksum of an empty one. Rows that agree in every column get slots in any order."""
+A null text has no bytes and the checksum of an empty one; a text of any length is one record. Rows that agree in every column
+get slots in any order. An empty table gives no rows; other columns, whatever their names, don't matter."""
 
 from __future__ import annotations
 

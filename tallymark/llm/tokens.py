@@ -2,7 +2,9 @@
 
 Texts are cut at boundaries that no token of the vocabulary can cross, each distinct chunk is encoded once
 per worker (a bounded memo), and a document's count is the sum over its chunks. Batches are bounded by bytes,
-not by rows. Null and empty texts have no tokens; rows are kept one for one, repeated rows included."""
+not by rows. Null and empty texts have no tokens; texts of any length are counted whole (a stretch without such a boundary is
+one chunk); rows are kept one for one, repeated rows included. An empty table gives no rows; other columns, whatever their
+names, don't matter."""
 
 from __future__ import annotations
 

@@ -94,6 +94,17 @@ def test_shards(spark):
     assert shards.shard(empty(spark), 3).count() == 0
 
 
+def test_overfull_ranges_are_subdivided(spark, monkeypatch):
+    """A sample that sees next to nothing leaves ranges overfull; they are cut anew, and shards come out even."""
+    draws, draw = [], shards.draw
+    monkeypatch.setattr(shards, "draw", lambda *x: draws.append(1) or draw(*x))
+    rng = random.Random(7)
+    rows = [(i, "copies of one text " * 5 if i % 3 == 0 else "y" * rng.randrange(300)) for i in range(4000)]
+    got = shards.shard(spark.createDataFrame(rows, "doc_id long, text string"), 5, ranges_per_shard=16, samples_per_range=1).collect()
+    assert len(draws) == 2
+    check_shards(rows, got, 5, 0.1)
+
+
 def plain_pairs(rows):
     """The same records, conversation by conversation."""
     talks = {}
