@@ -70,17 +70,19 @@ def with_master(df: DataFrame, as_of: str, key: str = "measure_fingerprint") ->
 
 
 def merge_fields(df: DataFrame, as_of: str, key: str = "measure_fingerprint", fields: list[str] | None = None) -> DataFrame:
-    """A row for each group of two versions or more: the master's fields, gaps filled from the latest version, the better
+    """A row for each group of two versions or more, from one aggregate: the master's fields, gaps filled from the latest version, the better
     source, the smaller id; then votes, shares and outcome made consistent. has_summary follows any version."""
     fields = [f for f in (fields or MERGED) if f in df.columns]
-    own = with_master(df.where(~F.col("is_duplicate")), as_of, key).where("group_size > 1")
-    later = F.coalesce(F.col("updated_at").cast("string"), F.lit(""))
-    order = F.struct((F.col("id") == F.col("master_id")).alias("m"), later.alias("u"), (-source_rank(F.col("data_source"))).alias("r"), (-F.col("id")).alias("i"))
+    own = df.where(~F.col("is_duplicate") & (F.coalesce(key, F.lit("")) != "")).withColumn("score", score(as_of))
+    first = F.struct("score", -F.col("id"))
+    later = F.struct(F.coalesce(F.col("updated_at").cast("string"), F.lit("")).alias("u"), (-source_rank(F.col("data_source"))).alias("r"), (-F.col("id")).alias("i"))
     value = lambda f: filled(f) if dict(df.dtypes)[f] == "string" else F.col(f)
-    best = own.groupBy(key).agg(
-        F.max("master_id").alias("master_id"), F.count("*").alias("versions"), F.sort_array(F.collect_set("id")).alias("merged_from"), F.max("has_summary").alias("has_summary"),
-        *[F.max_by(value(f), F.when(value(f).isNotNull(), order)).alias(f) for f in fields],
-    )
+    got = own.groupBy(key).agg(
+        F.max_by("id", first).alias("master_id"), F.count("*").alias("versions"), F.collect_set("id").alias("ids"), F.max("has_summary").alias("has_summary"),
+        F.max_by(F.struct(*[value(f).alias(f) for f in fields]), first).alias("master"), *[F.max_by(value(f), F.when(value(f).isNotNull(), later)).alias(f) for f in fields],
+    ).where("versions > 1")
+    merged = F.filter(F.sort_array("ids"), lambda i: i != F.col("master_id")).alias("merged_from")
+    best = got.select(key, "master_id", "versions", merged, "has_summary", *[F.coalesce(F.col(f"master.{f}"), F.col(f)).alias(f) for f in fields])
     if {"yes_votes", "no_votes"} <= set(fields):
         total = F.col("yes_votes") + F.col("no_votes")
         sure = total > 0

@@ -26,7 +26,7 @@ def test_master_and_merge(spark):
     got = {r.id: (r.score, r.master_id) for r in dedup.with_master(df, "2020-01-01").collect()}
     assert got == {1: (80, 3), 2: (70, 3), 3: (100, 3), 4: (0, 4)}
     [m] = dedup.merge_fields(df, "2020-01-01").collect()
-    assert (m.master_id, m.merged_from, m.description, m.yes_votes, m.total_votes, m.percent_yes, m.passed, m.pass_fail, m.has_summary) == (3, [1, 2, 3], "d2", 60, 100, 60.0, 1, "Pass", True)
+    assert (m.master_id, m.merged_from, m.description, m.yes_votes, m.total_votes, m.percent_yes, m.passed, m.pass_fail, m.has_summary) == (3, [1, 2], "d2", 60, 100, 60.0, 1, "Pass", True)
     once = dedup.dedupe_cross_source(df, "2020-01-01")
     assert sorted((r.id, r.master_id) for r in once.where("is_duplicate").collect()) == [(1, 3), (2, 3)]
     twice = dedup.dedupe_cross_source(once, "2020-01-01")
