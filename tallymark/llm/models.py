@@ -197,13 +197,15 @@ class Scale:
 
     def __init__(self, x: Rows):
         n = max(x.n, 1)
-        total = np.bincount(x.at, weights=x.value, minlength=COLUMNS)
-        square = np.bincount(x.at, weights=x.value.astype("f8") ** 2, minlength=COLUMNS)
-        order, most = np.argsort(x.at, kind="stable"), np.zeros(COLUMNS)
-        at = x.at[order]
-        if len(at):
-            first = np.flatnonzero(np.append(True, at[1:] != at[:-1]))
-            most[at[first]] = np.maximum.reduceat(x.value[order], first)
+        total, square, most = np.zeros(COLUMNS), np.zeros(COLUMNS), np.zeros(COLUMNS)
+        for k in range(0, len(x.at), 1 << 18):  # no second copy of all rows
+            at, value = x.at[k : k + (1 << 18)], x.value[k : k + (1 << 18)]
+            total += np.bincount(at, weights=value, minlength=COLUMNS)
+            square += np.bincount(at, weights=value.astype("f8") ** 2, minlength=COLUMNS)
+            order = np.argsort(at, kind="stable")
+            first = np.flatnonzero(np.append(True, at[order][1:] != at[order][:-1]))
+            own = at[order][first]
+            most[own] = np.maximum(most[own], np.maximum.reduceat(value[order], first))
         self.mean = total / n
         self.unit = 1 / (np.sqrt(np.maximum(square / n - self.mean**2, 0)) + np.where(np.arange(COLUMNS) < COLUMNS - STYLE, 2e-4, 1e-2))
         self.unit[: COLUMNS - STYLE] /= np.sqrt(COLUMNS / 16)
@@ -226,10 +228,10 @@ def descend(x: Rows, scale: Scale, slope_of, epochs: int = 20, batch: int = 500,
     m, v, mb, vb, total, total_b = np.zeros(COLUMNS), np.zeros(COLUMNS), 0.0, 0.0, np.zeros(COLUMNS), 0.0
     parts = max(1, round(x.n / batch))
     which = [np.arange(k, x.n, parts) for k in range(parts)]
-    rows = [x[own] for own in which]
     steps, t = max(epochs * parts, 100), 0
     while t < steps:
-        own, part, t = which[t % parts], rows[t % parts], t + 1
+        own = which[t % parts]
+        part, t = x[own], t + 1
         folded, shift = scale.fold(w, b)
         d, more, more_b = slope_of(own, part.dot(folded) + shift, w, b)
         g, gb = scale.slopes(part.back(d), float(d.sum())) + decay * w + more, float(d.sum()) + more_b
