@@ -33,6 +33,9 @@ from tallymark.llm.models import BINS, Linear, Rows, Scale, sigmoid
 
 STEP_BYTES = 1 << 20
 THRESHOLD = 0.3
+#: How weights are fitted: rounds over the rows, steps, and how much they are held back.
+FITTING = {"epochs": 40, "rate": 0.05}
+DECAY = 3e-4
 #: Texts drawn from all documents.
 DRAWN = 2000
 MIDDLES = (BINS[1:] + BINS[:-1]) / 2
@@ -84,10 +87,10 @@ def against(positive: Rows, unlabelled: Rows) -> tuple[np.ndarray, float]:
     x = models.joined(positive, unlabelled)
     is_p, scale = np.arange(x.n) < positive.n, Scale(x)
     even = np.where(is_p, 0.5 / positive.n, 0.5 / unlabelled.n) * x.n
-    return scale.fold(*models.descend(x, scale, lambda i, s, w, b: (even[i] * (sigmoid(s) - is_p[i]) / len(i), 0.0, 0.0)))
+    return scale.fold(*models.descend(x, scale, lambda i, s, w, b: (even[i] * (sigmoid(s) - is_p[i]) / len(i), 0.0, 0.0), decay=DECAY, **FITTING))
 
 
-def minimise(positive: Rows, unlabelled: Rows, whole: Callable[[np.ndarray, float], tuple], prior: float, decay: float = 3e-3) -> tuple[np.ndarray, float, np.ndarray | None]:
+def minimise(positive: Rows, unlabelled: Rows, whole: Callable[[np.ndarray, float], tuple], prior: float, decay: float = DECAY) -> tuple[np.ndarray, float, np.ndarray | None]:
     """Weights and bias of the least risk, and the histogram of all documents' scores with them, if it is known. R_u(-) is that of all documents, which `whole` gives with its slopes for any weights.
     Weights fitted on the drawn rows are fitted again with R_u(-) of these rows tilted, so that its value and slopes at the
     first weights are those of all documents. Where the risk of all documents rises instead, the step is shortened to the
@@ -109,14 +112,14 @@ def minimise(positive: Rows, unlabelled: Rows, whole: Callable[[np.ndarray, floa
         loss, by_weight, by_bias, counts = whole(*folded)
         return risk(prior, positive.dot(folded[0]) + folded[1], loss) + decay / 2 * float(w @ w), loss, scale.slopes(by_weight, by_bias), by_bias, counts
 
-    w, b = models.descend(x, scale, slope_of, decay=decay)
+    w, b = models.descend(x, scale, slope_of, decay=decay, **FITTING)
     least, loss, by_weight, by_bias, _ = of_all(w, b)
     folded, shift = scale.fold(w, b)
     su = unlabelled.dot(folded) + shift
     d = sigmoid(su) / unlabelled.n
     by_weight, by_bias = by_weight - scale.slopes(unlabelled.back(d), float(d.sum())), by_bias - float(d.sum())
     tilt = (loss - np.logaddexp(0, su).mean() - float(by_weight @ w) - by_bias * b, by_weight, by_bias)
-    w1, b1 = models.descend(x, scale, slope_of, decay=decay)
+    w1, b1 = models.descend(x, scale, slope_of, decay=decay, **FITTING)
     after, *_, counts = of_all(w1, b1)
     rise = after - least
     if rise > 0:
