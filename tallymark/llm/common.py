@@ -99,3 +99,16 @@ def partitions(df: DataFrame, least: int = 1) -> int:
 
 def utf8_bytes(text: Column) -> Column:
     return F.coalesce(F.octet_length(text), F.lit(0)).cast("long")
+
+
+#: A key with more than one in so many of all rows is looked up by broadcast: fewer keys than this can have that many.
+SHARES = 1000
+
+
+def looked_up(rows: DataFrame, facts: DataFrame, key: str, n: str = "n") -> DataFrame:
+    """Each of `rows` with the columns that `facts` has for its key; rows without a fact go. `facts` has a row for each key,
+    and in `n` how many of `rows` have it. Keys with over 1 in SHARES of all rows, fewer than SHARES, are broadcast; the
+    others meet their rows in an exchange, where none of them is large. Both inputs are read twice: checkpoint them before."""
+    total = facts.agg(F.sum(n)).first()[0] or 0
+    hot, cold = F.broadcast(facts.where(F.col(n) * SHARES > total)), facts.where(F.col(n) * SHARES <= total)
+    return rows.join(hot, key).unionByName(rows.join(hot.select(key), key, "left_anti").join(cold, key))

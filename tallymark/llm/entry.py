@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tallymark.llm import chat, decontam, packing, pu, rules, shards, simhash, substring, tokens, toxicity
+from tallymark.llm import chat, decontam, exact, packing, pu, rules, shards, simhash, substring, tokens, toxicity
 from tallymark.llm.common import table
 
 
@@ -52,7 +52,11 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pu.score(docs, pu.fit(docs, labels))
 
 
-QUERIES = {f.__name__: f for f in (op1_preference_format, op2_simhash_groups, op3_decontamination, op4_substring_dedup, op5_token_counts, op6_quality_rules, op7_toxicity, op8_packing, op9_sharding, op10_quality_classifier)}
+def op13_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact.deduplicate(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_preference_format, op2_simhash_groups, op3_decontamination, op4_substring_dedup, op5_token_counts, op6_quality_rules, op7_toxicity, op8_packing, op9_sharding, op10_quality_classifier, op13_exact_dedup)}
 
 OP1_SQL = r"""
 WITH own AS (
@@ -121,5 +125,13 @@ SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(len(js), 0) AS
 FROM d LEFT JOIN lost USING (doc_id)
 """
 
+OP13_SQL = r"""
+WITH d AS (
+  SELECT doc_id, length(coalesce(text, '')) AS points, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g')) AS text_sha256 FROM documents
+)
+SELECT doc_id, first_value(doc_id) OVER best AS keep_id, count(*) OVER (PARTITION BY text_sha256) AS group_size, row_number() OVER best = 1 AS kept, text_sha256
+FROM d WINDOW best AS (PARTITION BY text_sha256 ORDER BY points DESC, doc_id NULLS LAST)
+"""
+
 #: The others need XXH64, a tokenizer, a trained model or a sample; they are tested against brute force.
-ORACLES: dict[str, str] = {"op1_preference_format": OP1_SQL, "op3_decontamination": OP3_SQL, "op4_substring_dedup": OP4_SQL}
+ORACLES: dict[str, str] = {"op1_preference_format": OP1_SQL, "op3_decontamination": OP3_SQL, "op4_substring_dedup": OP4_SQL, "op13_exact_dedup": OP13_SQL}
