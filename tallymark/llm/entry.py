@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tallymark.llm import chat, decontam, exact, packing, pu, rules, shards, simhash, substring, tokens, toxicity
+from tallymark.llm import align, chat, decontam, exact, packing, pu, rules, shards, simhash, substring, tokens, toxicity, trie
 from tallymark.llm.common import table
 
 
@@ -52,11 +52,19 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pu.score(docs, pu.fit(docs, labels))
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie.regrafted_trie(table(spark, sf_dir, "conversations"))
+
+
+def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return align.align(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def op13_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.deduplicate(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_preference_format, op2_simhash_groups, op3_decontamination, op4_substring_dedup, op5_token_counts, op6_quality_rules, op7_toxicity, op8_packing, op9_sharding, op10_quality_classifier, op13_exact_dedup)}
+QUERIES = {f.__name__: f for f in (op1_preference_format, op2_simhash_groups, op3_decontamination, op4_substring_dedup, op5_token_counts, op6_quality_rules, op7_toxicity, op8_packing, op9_sharding, op10_quality_classifier, op11_prefix_trie, op12_token_alignment, op13_exact_dedup)}
 
 OP1_SQL = r"""
 WITH own AS (
@@ -133,5 +141,39 @@ SELECT doc_id, first_value(doc_id) OVER best AS keep_id, count(*) OVER (PARTITIO
 FROM d WINDOW best AS (PARTITION BY text_sha256 ORDER BY points DESC, doc_id NULLS LAST)
 """
 
+OP11_SQL = r"""
+WITH own AS (
+  SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text,
+         row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS place
+  FROM conversations WHERE conv_id IS NOT NULL
+), turns AS (
+  SELECT conv_id, list({'role': role, 'text': text} ORDER BY place) AS said FROM own GROUP BY conv_id
+), heads AS (
+  SELECT conv_id, said, conv_id - conv_id % 20 AS base,
+         -- CRC-32 of the id's digits, bit by bit
+         xor(list_reduce(flatten([[4294967295], flatten(list_transform(string_split(CAST(conv_id AS VARCHAR), ''), lambda c: [CAST(ascii(c) AS BIGINT), 0, 0, 0, 0, 0, 0, 0]))]),
+             lambda c, x: xor(xor(c, x) >> 1, 3988292384 * (xor(c, x) & 1))), 4294967295) % 4 AS h
+  FROM turns
+), rebuilt AS (
+  SELECT a.conv_id, list_concat(coalesce(b.said[1:a.h], []), a.said[a.h + 1:]) AS said FROM heads a LEFT JOIN turns b ON b.conv_id = a.base
+), prefixes AS (
+  SELECT conv_id, len(said) AS size, depth, said[1:depth] AS prefix, CASE WHEN depth > 0 THEN said[1:depth - 1] END AS parent FROM (SELECT *, unnest(range(0, len(said) + 1)) AS depth FROM rebuilt)
+), nodes AS (
+  SELECT prefix, any_value(parent) AS parent, min(conv_id) AS conv_id, depth, count(*) AS n_convs,
+         coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (WHERE size = depth), '') AS ends
+  FROM prefixes GROUP BY prefix, depth
+), kids AS (
+  SELECT parent AS prefix, count(*) AS n_children FROM nodes WHERE depth > 0 GROUP BY parent
+), valued AS (
+  SELECT n.*, coalesce(n_children, 0) AS n_children, n_children IS NULL AS leaf,
+         CASE WHEN depth = 0 THEN 0 ELSE (n_convs - 1) * len(regexp_extract_all(n.prefix[depth].text, '[^\x20\x09-\x0D]+')) END AS saved
+  FROM nodes n LEFT JOIN kids k USING (prefix)
+), under AS (
+  SELECT p.prefix, count(*) FILTER (WHERE leaf) AS n_leaves, sum(saved) AS saved_tokens FROM valued v JOIN prefixes p ON p.conv_id = v.conv_id AND p.depth <= v.depth GROUP BY p.prefix
+)
+SELECT v.conv_id, v.depth, u.conv_id AS parent_conv_id, v.n_convs, v.n_children, n_leaves, CAST(saved_tokens AS BIGINT) AS saved_tokens, sha256(v.ends) AS ends_sha256
+FROM valued v JOIN under USING (prefix) LEFT JOIN nodes u ON u.prefix = v.parent
+"""
+
 #: The others need XXH64, a tokenizer, a trained model or a sample; they are tested against brute force.
-ORACLES: dict[str, str] = {"op1_preference_format": OP1_SQL, "op3_decontamination": OP3_SQL, "op4_substring_dedup": OP4_SQL, "op13_exact_dedup": OP13_SQL}
+ORACLES: dict[str, str] = {"op1_preference_format": OP1_SQL, "op11_prefix_trie": OP11_SQL, "op3_decontamination": OP3_SQL, "op4_substring_dedup": OP4_SQL, "op13_exact_dedup": OP13_SQL}
