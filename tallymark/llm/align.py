@@ -35,11 +35,13 @@ from tallymark.llm.common import cut, partitions, pick, slices
 
 BUCKETS = 64
 #: Text of a step, its documents at most (their numbers are 16 bits), pairs that a task sums before it lets go of them.
-STEP_BYTES, STEP_ROWS, HELD_PAIRS = 8 << 20, 1 << 16, 4 << 20
+STEP_BYTES, STEP_ROWS, HELD_PAIRS = 2 << 20, 1 << 16, 1 << 20
 #: Packed postings or sums of a task.
 PART_BYTES = 8 << 20
 #: What a worker remembers: chunks, and characters in them.
-MEMO, MEMO_CHARS = 200_000, 16 << 20
+MEMO, MEMO_CHARS = 300_000, 32 << 20
+#: Chunks that go through the encoders as one text.
+TOGETHER = 2000
 SAFE = re.compile(r"(?<=\S) (?=\S)")
 ID_BITS, DOC_BITS = 20, 16
 SUMS, POSTINGS, DOCUMENT = 0, 1, 2
@@ -68,86 +70,113 @@ class Aligner:
         self.b = sentencepiece.SentencePieceProcessor(model_file=b)
         alphabet = byte_alphabet()
         special = {x: t.content for x, t in self.a.get_added_tokens_decoder().items()}
-        self.a_bytes = {i: special[i].encode() if i in special else bytes(alphabet[c] for c in x) for x, i in self.a.get_vocab().items()}
+        a_bytes = {i: special[i].encode() if i in special else bytes(alphabet[c] for c in x) for x, i in self.a.get_vocab().items()}
         n = self.b.get_piece_size()
-        self.b_bytes = {i: bytes([int(self.b.id_to_piece(i)[3:5], 16)]) if self.b.is_byte(i) else self.b.id_to_piece(i).replace("▁", " ").encode() for i in range(n)}
-        if max(self.a_bytes) >= 1 << ID_BITS or n > 1 << ID_BITS:
+        if max(a_bytes) >= 1 << ID_BITS or n > 1 << ID_BITS:
             raise ValueError(f"ids of over {ID_BITS} bits")
+        self.a_bytes = [a_bytes.get(i, b"") for i in range(max(a_bytes) + 1)]
+        self.b_bytes = [bytes([int(self.b.id_to_piece(i)[3:5], 16)]) if self.b.is_byte(i) else self.b.id_to_piece(i).replace("▁", " ").encode() for i in range(n)]
+        self.a_sizes, self.b_sizes = np.array([len(x) for x in self.a_bytes]), np.array([len(x) for x in self.b_bytes])
+        self.digits = [str(i) for i in range(max(len(self.a_bytes), n))]
         self.forget()
 
-    def forget(self) -> None:
-        self.at: dict[str, int] = {}
-        self.chars = 0
-        #: By chunk: its counts and whether it has tokens at all; its groups in words; its pairs (B id, A id) one after the other.
-        self.counts, self.sound, self.lines = np.zeros((0, 4), U8), np.zeros(0, bool), []
-        self.first, self.pairs = np.zeros(1, U8), np.zeros(0, U8)
+    def forget(self, most: int = 0) -> None:
+        """Lets go of what is remembered but for the `most` chunks that were needed most often, of those needed twice."""
+        if not most:
+            self.at: dict[str, int] = {}
+            #: By chunk: its counts and whether it has tokens at all; its groups in words; its pairs (B id, A id) one after the
+            #: other; how often it was needed.
+            self.counts, self.sound, self.lines = np.zeros((0, 4), U8), np.zeros(0, bool), []
+            self.first, self.pairs, self.used = np.zeros(1, U8), np.zeros(0, U8), np.zeros(0, U8)
+        else:
+            low = max(2, int(-np.partition(-self.used, most)[most]) + 1) if len(self.used) > most else 2
+            keep = np.flatnonzero(self.used >= low)
+            new = np.full(len(self.used), -1)
+            new[keep] = np.arange(len(keep))
+            to = new.tolist()
+            self.at = {x: to[i] for x, i in self.at.items() if to[i] >= 0}
+            self.lines = [self.lines[i] for i in keep.tolist()]
+            self.pairs = self.pairs[self.places(keep)]
+            self.counts, self.sound, self.used = self.counts[keep], self.sound[keep], self.used[keep] // 2
+            self.first = np.concatenate([[0], np.cumsum(self.counts[:, 3])])
+        self.chars = sum(map(len, self.at))
+
+    def places(self, chunk: np.ndarray) -> np.ndarray:
+        """Where the pairs of chunks lie."""
+        n = self.counts[chunk, 3]
+        return np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n) + np.repeat(self.first[chunk], n)
+
+    def encoded(self, chunks: list[str]) -> tuple[list[int], list[int], list[int], list[bool]]:
+        """Ids of both sides, one chunk after the other, the bytes that both have of each chunk, and which chunks have tokens at
+        all. The chunks that begin and end with no white space go through both encoders as one text; unless its bytes come
+        back whole, each chunk goes through them by itself."""
+        said = " " + " ".join(chunks)
+        left, right = self.a.encode_batch_fast([said], add_special_tokens=False)[0].ids, self.b.encode(said[1:], num_threads=1)
+        want = said.encode()
+        if b"".join(map(self.a_bytes.__getitem__, left)) == want and b"".join(map(self.b_bytes.__getitem__, right)) == want:
+            return left, right, [len(x.encode()) + 1 for x in chunks], [True] * len(chunks)
+        if len(chunks) == 1:
+            return [], [], [0], [False]
+        middle = len(chunks) // 2
+        return tuple(x + y for x, y in zip(self.encoded(chunks[:middle]), self.encoded(chunks[middle:])))  # type: ignore[return-value]
 
     def learn(self, chunks: list[str]) -> None:
-        a = [x.ids for x in self.a.encode_batch([" " + x for x in chunks], add_special_tokens=False)]
-        b = self.b.encode(chunks, num_threads=1)
-        sound, a_sizes, b_sizes = np.zeros(len(chunks), bool), [], []
-        for i, (x, left, right) in enumerate(zip(chunks, a, b)):
-            want = b" " + x.encode()
-            own, other = [self.a_bytes[k] for k in left], [self.b_bytes[k] for k in right]
-            sound[i] = b"".join(own) == want and b"".join(other) == want
-            if sound[i]:
-                a_sizes += map(len, own)
-                b_sizes += map(len, other)
-            else:
-                a[i], b[i] = [], []
-        n_a, n_b = np.array([len(x) for x in a], U8), np.array([len(x) for x in b], U8)
-        a_ids, b_ids = (np.fromiter((k for x in ids for k in x), U8) for ids in (a, b))
-        a_end, b_end = np.cumsum(np.array(a_sizes, U8)), np.cumsum(np.array(b_sizes, U8))
-        a_start, b_start = a_end - np.array(a_sizes, U8), b_end - np.array(b_sizes, U8)
+        clean = [x for x in chunks if x and not x[0].isspace() and not x[-1].isspace()]
+        chunks = clean + [x for x in chunks if not x or x[0].isspace() or x[-1].isspace()]
+        a: list[int] = []
+        b: list[int] = []
+        sizes: list[int] = []
+        sound: list[bool] = []
+        for group in [clean[i : i + TOGETHER] for i in range(0, len(clean), TOGETHER)] + [[x] for x in chunks[len(clean) :]]:
+            for all_, own in zip((a, b, sizes, sound), self.encoded(group)):
+                all_ += own
+        a_ids, b_ids = np.array(a, U8), np.array(b, U8)
         # all sound chunks lie one after the other, both sides on the same bytes
+        a_end, b_end, last = np.cumsum(self.a_sizes[a_ids]), np.cumsum(self.b_sizes[b_ids]), np.cumsum(np.array(sizes, U8))
+        a_start, b_start = a_end - self.a_sizes[a_ids], b_end - self.b_sizes[b_ids]
         both = np.intersect1d(a_end, b_end, assume_unique=True)
-        last = np.concatenate([[0], a_end])[np.cumsum(n_a)]
-        n_groups = np.diff(np.searchsorted(both, last, side="right"), prepend=0)
+        upto = [np.searchsorted(x, last, side="right") for x in (a_end, b_end, both)]
         low, high = np.searchsorted(b_end, a_start, side="right"), np.searchsorted(b_start, a_end, side="left")
         several = high - low
         left = np.repeat(np.arange(len(a_ids)), several)
         right = np.arange(len(left)) - np.repeat(np.cumsum(several) - several, several) + np.repeat(low, several)
-        by_a = np.concatenate([[0], np.cumsum(several)])
-        upto = by_a[np.cumsum(n_a)]
-        counts = np.stack([n_a, n_b, n_groups, np.diff(upto, prepend=0)], 1)
+        upto.append(np.concatenate([[0], np.cumsum(several)])[upto[0]])
+        counts = np.stack([np.diff(x, prepend=0) for x in upto], 1).astype(U8).reshape(-1, 4)
+        a_text, b_text = list(map(self.digits.__getitem__, a)), list(map(self.digits.__getitem__, b))
         a_cut, b_cut = np.searchsorted(a_end, both, side="right").tolist(), np.searchsorted(b_end, both, side="right").tolist()
-        a_text, b_text, group, i, j = [str(x) for x in a_ids.tolist()], [str(x) for x in b_ids.tolist()], 0, 0, 0
-        for n in n_groups.tolist():
-            out = []
-            for k in range(group, group + n):
-                out.append(",".join(a_text[i : a_cut[k]]) + "|" + ",".join(b_text[j : b_cut[k]]))
-                i, j = a_cut[k], b_cut[k]
-            group += n
-            self.lines.append(";".join(out))
+        groups = [",".join(a_text[i:k]) + "|" + ",".join(b_text[j:m]) for i, k, j, m in zip([0, *a_cut], a_cut, [0, *b_cut], b_cut)]
+        ends = upto[2].tolist()
+        self.lines += [";".join(groups[i:k]) for i, k in zip([0, *ends], ends)]
         self.at.update(zip(chunks, range(len(self.at), len(self.at) + len(chunks))))
-        self.counts, self.sound = np.concatenate([self.counts, counts]), np.concatenate([self.sound, sound])
-        self.first = np.concatenate([self.first, self.first[-1] + upto])
+        self.counts, self.sound = np.concatenate([self.counts, counts]), np.concatenate([self.sound, np.array(sound, bool)])
+        self.first = np.concatenate([self.first, self.first[-1] + upto[3]])
         self.pairs = np.concatenate([self.pairs, b_ids[right] << ID_BITS | a_ids[left]])
+        self.used = np.concatenate([self.used, np.zeros(len(chunks), U8)])
         self.chars += sum(map(len, chunks))
 
     def __call__(self, texts: list[str | None]) -> tuple[np.ndarray, list[bytes | None], np.ndarray, np.ndarray]:
         """Counts of each text and the digest of its groups; postings (pair and text in one number, sorted) and how often each
         is."""
         if len(self.at) > MEMO or self.chars > MEMO_CHARS:
-            self.forget()
+            self.forget(MEMO // 2 if self.chars <= MEMO_CHARS else 0)
         parts = [SAFE.split(x) if x else [] for x in texts]
         at = self.at
         if new := list(dict.fromkeys(w for x in parts for w in x if w not in at)):
             self.learn(new)
-        of = [list(map(at.__getitem__, x)) for x in parts]
-        sizes = np.array([len(x) for x in of], U8)
-        chunk, doc = np.fromiter((i for x in of for i in x), U8, int(sizes.sum())), np.repeat(np.arange(len(of)), sizes)
-        bad = np.bincount(doc[~self.sound[chunk]], minlength=len(of)) > 0
+        sizes = np.array([len(x) for x in parts], U8)
+        of = [at[w] for x in parts for w in x]
+        chunk, doc = np.array(of, U8), np.repeat(np.arange(len(parts)), sizes)
+        bad = np.bincount(doc[~self.sound[chunk]], minlength=len(parts)) > 0
         good = ~bad[doc]
         chunk, doc = chunk[good], doc[good]
         ends = np.concatenate([[0], np.cumsum(np.where(bad, 0, sizes))])
         sums = np.concatenate([np.zeros((1, 4), U8), np.cumsum(self.counts[chunk], 0)])
         counts = sums[ends[1:]] - sums[ends[:-1]]
-        lines = self.lines
-        digests = [hashlib.sha256(";".join([lines[i] for i in x]).encode()).digest() if x and not b else None for x, b in zip(of, bad.tolist())]
-        n = self.counts[chunk, 3]
-        place = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n) + np.repeat(self.first[chunk], n)
-        key, times = np.unique(dealt_pairs(self.pairs[place]) << DOC_BITS | np.repeat(doc, n), return_counts=True)
+        said, begin = list(map(self.lines.__getitem__, of)), (np.cumsum(sizes) - sizes).tolist()
+        digests = [hashlib.sha256(";".join(said[i : i + n]).encode()).digest() if n and not b else None for i, n, b in zip(begin, sizes.tolist(), bad.tolist())]
+        self.used += np.bincount(chunk, minlength=len(self.used))
+        pairs = dealt_pairs(self.pairs[self.places(chunk)])
+        key, times = np.unique(pairs << DOC_BITS | np.repeat(doc, self.counts[chunk, 3]), return_counts=True)
         return counts, digests, key, times
 
 
