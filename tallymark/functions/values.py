@@ -20,13 +20,18 @@ def percent(part: Column, total: Column, digits: int = 2) -> Column:
     return F.when(total > 0, rounded(part.cast("double") / total * 100, digits))
 
 
+NUMBER = r"^\s*[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?\s*$"
+
+
 def number(text: Column) -> Column:
-    """A number with or without thousands commas; null if it is none."""
-    return F.regexp_replace(text.cast("string"), ",", "").try_cast("double")
+    """A plain number; null if it is none, as it is with thousands commas."""
+    text = text.cast("string")
+    return F.when(text.rlike(NUMBER), F.trim(text).try_cast("double"))
 
 
 def first_number(*columns: Column) -> Column:
-    return F.coalesce(*[number(c) for c in columns])
+    """The first that is a number, thousands commas left out."""
+    return F.coalesce(*[number(F.replace(c.cast("string"), F.lit(","), F.lit(""))) for c in columns])
 
 
 def year_within(value: Column, low: int, high: int) -> Column:

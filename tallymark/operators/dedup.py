@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -27,10 +29,10 @@ def source_rank(source: Column) -> Column:
 
 
 def cross_source_groups(df: DataFrame) -> DataFrame:
-    """Measures that several rows describe: how many, from how many sources, their ids."""
+    """Measures that several rows describe: how many, from how many sources, their ids and the sources of these, in order."""
     live = df.where(~F.col("is_duplicate") & (F.coalesce("measure_fingerprint", F.lit("")) != ""))
-    got = live.groupBy("measure_fingerprint").agg(F.count("*").alias("source_count"), F.countDistinct("data_source").alias("distinct_sources"), F.sort_array(F.collect_list("id")).alias("ids"))
-    return got.where("source_count > 1")
+    got = live.groupBy("measure_fingerprint").agg(F.count("*").alias("source_count"), F.countDistinct("data_source").alias("distinct_sources"), F.sort_array(F.collect_list(F.struct("id", "data_source"))).alias("_all"))
+    return got.where("source_count > 1").withColumns({"ids": F.col("_all.id"), "sources": F.col("_all.data_source")}).drop("_all")
 
 
 def cross_source_members(df: DataFrame, key: str = "measure_fingerprint") -> DataFrame:
@@ -60,11 +62,21 @@ def score(as_of: str) -> Column:
     )
 
 
+#: More than any id has digits for.
+BEYOND = Decimal(10) ** 19
+
+
+def best_first() -> Column:
+    """The score and the id as one number, the best version's the greatest: it goes through a hash aggregate."""
+    return F.col("score").cast("decimal(17,0)") * F.lit(BEYOND * 10) + (F.lit(BEYOND) - F.col("id").cast("decimal(19,0)"))
+
+
 def with_master(df: DataFrame, as_of: str, key: str = "measure_fingerprint") -> DataFrame:
     """score, group_size and master_id of each version of its group: the best score, the smallest id of equals. The choice is
     an aggregate with partial sums; a group of any size meets nowhere. A version without a key is a group by itself."""
     own = df.withColumn("score", score(as_of))
-    best = own.where(F.coalesce(key, F.lit("")) != "").groupBy(key).agg(F.count("*").alias("group_size"), F.max_by("id", F.struct("score", -F.col("id"))).alias("master_id"))
+    best = own.where(F.coalesce(key, F.lit("")) != "").groupBy(key).agg(F.count("*").alias("group_size"), F.max(best_first()).alias("_best"))
+    best = best.select(key, "group_size", (F.lit(BEYOND) - F.col("_best") % F.lit(BEYOND * 10)).cast("long").alias("master_id"))
     got = own.drop("master_id").join(best, key, "left")
     return got.withColumns({"group_size": F.coalesce("group_size", F.lit(1).cast("long")), "master_id": F.coalesce("master_id", "id")})
 
@@ -94,12 +106,27 @@ def merge_fields(df: DataFrame, as_of: str, key: str = "measure_fingerprint", fi
 
 
 def dedupe_cross_source(df: DataFrame, as_of: str) -> DataFrame:
-    """All rows; of each group all but the master become duplicates of it."""
-    live = with_master(df.where(~F.col("is_duplicate")), as_of)
-    out = live.withColumn("is_duplicate", (F.col("group_size") > 1) & (F.col("id") != F.col("master_id")))
-    out = out.withColumns({"duplicate_type": F.when(F.col("is_duplicate"), "cross_source"), "master_id": F.when(F.col("is_duplicate"), F.col("master_id"))})
+    """The table after its groups are settled: of each group all but the master become duplicates of it, and the master takes
+    the merged values of all versions and their ids (merged_from, a JSON list). Both count as updates of the day: one of a
+    duplicate, two of a master, which is merged and then gets its history. Duplicates from before stay as they are."""
     gone = df.where("is_duplicate")
-    return out.drop("score", "group_size").unionByName(gone.withColumn("master_id", F.col("master_id").cast("long") if "master_id" in df.columns else F.lit(None).cast("long")))
+    live = df.where(~F.col("is_duplicate"))
+    fields = [f for f in MERGED if f in df.columns]
+    merged = merge_fields(live, as_of, fields=fields)
+    taken = [f for f in merged.columns if f in df.columns and f not in ("measure_fingerprint", "master_id", "has_summary", "merged_from")]
+    history = F.concat(F.lit("["), F.array_join(F.transform("merged_from", lambda x: x.cast("string")), ", "), F.lit("]"))
+    best = merged.select(F.col("master_id").alias("id"), F.struct(history.alias("_history"), *taken).alias("_new"))
+    own = with_master(live, as_of).join(best, "id", "left")
+    master, extra = F.col("_new").isNotNull(), (F.col("group_size") > 1) & (F.col("id") != F.col("master_id"))
+    values = {f: F.when(master, F.coalesce(F.col(f"_new.{f}"), F.col(f))).otherwise(F.col(f)).cast(df.schema[f].dataType) for f in taken}
+    values |= {"is_duplicate": extra, "duplicate_type": F.when(extra, "cross_source"), "master_id": F.when(extra, F.col("master_id"))}
+    values["merged_from"] = F.coalesce(F.col("_new._history"), F.col("merged_from") if "merged_from" in df.columns else F.lit(None).cast("string"))
+    if "update_count" in df.columns:
+        values["update_count"] = F.coalesce("update_count", F.lit(0)) + F.when(master, 2).when(extra, 1).otherwise(0)
+    if "updated_at" in df.columns:
+        values["updated_at"] = F.when(master | extra, F.lit(as_of).cast(df.schema["updated_at"].dataType)).otherwise(F.col("updated_at"))
+    out = own.withColumns(values).drop("score", "group_size", "_new")
+    return out.unionByName(gone.withColumn("master_id", F.col("master_id").cast("long") if "master_id" in df.columns else F.lit(None).cast("long")), allowMissingColumns=True)
 
 
 def mark_duplicate(df: DataFrame, duplicate_id: int, master_id: int, kind: str) -> DataFrame:
@@ -113,9 +140,14 @@ def unmark_duplicate(df: DataFrame, duplicate_id: int) -> DataFrame:
 
 
 def report(df: DataFrame) -> DataFrame:
-    """Duplicates in all, by kind and by source, in one pass: (kind, source, n) with nulls for `all`."""
-    gone = df.where("is_duplicate").select(F.coalesce("duplicate_type", F.lit("unknown")).alias("kind"), F.col("data_source").alias("source"))
-    return gone.groupingSets([["kind"], ["source"], []], "kind", "source").agg(F.count("*").alias("n"))
+    """(part, name, n): duplicates in all, by kind (null: unknown) and by source, in one pass, and how many groups of several
+    sources' rows there still are."""
+    gone = df.where("is_duplicate").select(F.col("duplicate_type").alias("kind"), F.col("data_source").alias("source"), F.lit(1).alias("one"))
+    sums = gone.groupingSets([["kind"], ["source"], ["one"]], "kind", "source", "one").agg(F.count("*").alias("n"), F.grouping_id().alias("g"))
+    part = F.when(F.col("g") == 3, "by_type").when(F.col("g") == 5, "by_source").otherwise("total")
+    live = df.where(~F.col("is_duplicate") & (F.coalesce("measure_fingerprint", F.lit("")) != ""))
+    groups = live.groupBy("measure_fingerprint").agg(F.count("*").alias("n")).agg(F.count_if(F.col("n") > 1).alias("n"))
+    return sums.select(part.alias("part"), F.coalesce("kind", "source").alias("name"), "n").unionByName(groups.select(F.lit("cross_source_groups").alias("part"), F.lit(None).cast("string").alias("name"), "n"))
 
 
 def counts(df: DataFrame) -> DataFrame:

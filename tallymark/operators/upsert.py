@@ -31,18 +31,61 @@ def _key_map(df: DataFrame, key: str, name: str) -> DataFrame:
 
 def classify(existing: DataFrame, incoming: DataFrame) -> DataFrame:
     """incoming with match_type and matched_id: exact (fingerprint), else content, else cross_source, else none. Content and
-    cross-source matches count among rows that are no duplicates; each join is outer with a unique side."""
-    live = existing.where(~F.col("is_duplicate"))
+    cross-source matches count among rows that are no duplicates; each join is outer with a unique side. The table is read
+    once, for its ids and keys."""
+    have = settled(existing.select("id", "is_duplicate", *KEYS.values()))
+    live = have.where(~F.col("is_duplicate"))
     out = incoming
     for name, key in KEYS.items():
-        have = _key_map(existing if name == "exact" else live, key, name)
-        out = out.join(have, out[key] == have[f"_{name}"], "left").drop(f"_{name}")
+        known = _key_map(have if name == "exact" else live, key, name)
+        out = out.join(known, out[key] == known[f"_{name}"], "left").drop(f"_{name}")
     match = F.lit("none")
     for name in reversed(KEYS):
         match = F.when(F.col(name).isNotNull(), name).otherwise(match)
     return out.withColumns({"match_type": match, "matched_id": F.coalesce(*KEYS)}).drop(*KEYS)
 
 
+def first_masters(rows: DataFrame) -> DataFrame:
+    """id and keys of the rows that come in as masters when the batch goes by its ids: a row is one if no earlier master has
+    its content or its measure. Empty keys are shared with nobody. In each round the open rows that are first by both keys
+    become masters, and the open rows that share a key with one go; a round costs three aggregates with partial sums."""
+    keys = ("content_hash", "measure_fingerprint")
+    # of rows with equal keys only the first can be a master; rows without a key stay apart
+    both = F.when((F.coalesce(F.col(keys[0]), F.lit("")) == "") & (F.coalesce(F.col(keys[1]), F.lit("")) == ""), F.col("id"))
+    open_ = rows.select("id", *[F.nullif(F.col(k), F.lit("")).alias(k) for k in keys], both.alias("_own"))
+    open_ = settled(open_.groupBy(*keys, "_own").agg(F.min("id").alias("id")).drop("_own"))
+    masters = None
+    while not open_.isEmpty():
+        first = lambda k: open_.where(F.col(k).isNotNull()).groupBy(k).agg(F.min("id").alias("id")).select("id").unionByName(open_.where(F.col(k).isNull()).select("id"))
+        new = settled(open_.join(first(keys[0]), "id", "left_semi").join(first(keys[1]), "id", "left_semi"))
+        masters = new if masters is None else masters.unionByName(new)
+        left = open_.join(new.select("id"), "id", "left_anti")
+        for k in keys:
+            left = left.join(new.where(F.col(k).isNotNull()).select(k), k, "left_anti")
+        open_ = settled(left.select("id", *keys))
+    return open_ if masters is None else masters
+
+
+def sorted_in(existing: DataFrame, incoming: DataFrame) -> DataFrame:
+    """What becomes of a batch, taken in the order of its ids: the first row of each fingerprint with `fate` (updated,
+    duplicate, inserted), `kind` and `master` of duplicates, and matched_id of updates. A row that is no update is a
+    duplicate of the first row that is none and has its content, else its measure, in the table or earlier in the batch."""
+    found = settled(classify(existing, settled(first_wins(incoming))))
+    fresh = found.where("match_type <> 'exact'")
+    masters = first_masters(fresh.where("match_type = 'none'"))
+    for name in ("content", "cross_source"):
+        found = found.join(_key_map(masters, KEYS[name], f"b_{name}"), F.col(KEYS[name]) == F.col(f"_b_{name}"), "left").drop(f"_b_{name}")
+    exact = F.col("match_type") == "exact"
+    earlier = {n: ~exact & F.coalesce(F.col(f"b_{n}") < F.col("id"), F.lit(False)) for n in ("content", "cross_source")}
+    kind = F.when(F.col("match_type") == "content", "content").when(earlier["content"], "content").when(F.col("match_type") == "cross_source", "cross_source").when(earlier["cross_source"], "cross_source")
+    master = (
+        F.when(F.col("match_type") == "content", F.col("matched_id")).when(earlier["content"], F.col("b_content"))
+        .when(F.col("match_type") == "cross_source", F.col("matched_id")).when(earlier["cross_source"], F.col("b_cross_source"))
+    )
+    fate = F.when(exact, "updated").when(kind.isNotNull(), "duplicate").otherwise("inserted")
+    return found.withColumns({"fate": fate, "kind": kind, "master": master.cast("long")}).drop("b_content", "b_cross_source")
+
+
 def new_measures(existing: DataFrame, incoming: DataFrame) -> DataFrame:
     """Neither their fingerprint nor their content is there."""
     live = existing.where(~F.col("is_duplicate"))
@@ -76,28 +119,20 @@ def check_updates(existing: DataFrame, incoming: DataFrame) -> DataFrame:
 
 def upsert(existing: DataFrame, incoming: DataFrame, as_of: str) -> DataFrame:
     """The table after the batch. Exact matches update the old row (new values where there are any; id, keys and creation
-    stay; update_count grows); all others come in, content and cross-source matches as duplicates of what they match.
-    Rows of a batch that share a fingerprint count once, the first by id; a later row that repeats the content or measure of
-    an earlier new one is its duplicate."""
-    existing, batch = settled(existing), settled(first_wins(incoming))
-    found = settled(classify(existing, batch))
+    stay; update_count grows); all others come in, duplicates marked with the row that they repeat, as sorted_in() says.
+    Rows of a batch that share a fingerprint count once, the first by id."""
+    existing = settled(existing)
+    found = settled(sorted_in(existing, incoming))
     stay = {"id", "fingerprint", "measure_fingerprint", "content_hash", "created_at", "update_count", "is_active", "is_duplicate", "duplicate_type", "master_id"}
     fields = [c for c in existing.columns if c in incoming.columns and c not in stay]
-    news = found.where("match_type = 'exact'").select(F.col("matched_id").alias("id"), F.struct(*fields).alias("new"))
+    news = found.where("fate = 'updated'").select(F.col("matched_id").alias("id"), F.struct(*fields).alias("new"))
     joined = existing.join(news, "id", "left")
     hit = F.col("new").isNotNull()
     values = {c: F.coalesce(F.col(f"new.{c}"), F.col(c)).alias(c) for c in fields}
     if "updated_at" in existing.columns:
         values["updated_at"] = F.when(hit, F.lit(as_of).cast(existing.schema["updated_at"].dataType)).otherwise(F.col("updated_at")).alias("updated_at")
     updated = joined.select([values.get(c, F.col(c)) if c != "update_count" else (F.col(c) + hit.cast("int")).alias(c) for c in existing.columns])
-    fresh = found.where("match_type <> 'exact'")
-    new = fresh
-    for name in ("content", "cross_source"):
-        fresh = fresh.join(_key_map(new, KEYS[name], f"b_{name}"), F.col(KEYS[name]) == F.col(f"_b_{name}"), "left").drop(f"_b_{name}")
-    earlier = lambda n: F.when(F.col(f"b_{n}") < F.col("id"), F.col(f"b_{n}"))
-    kind = F.when(F.col("match_type") == "content", "content").when(earlier("content").isNotNull(), "content").when(F.col("match_type") == "cross_source", "cross_source").when(earlier("cross_source").isNotNull(), "cross_source")
-    master = F.when(F.col("match_type") == "content", F.col("matched_id")).when(earlier("content").isNotNull(), earlier("content")).when(F.col("match_type") == "cross_source", F.col("matched_id")).otherwise(earlier("cross_source"))
-    fresh = fresh.withColumns({"duplicate_type": kind, "master_id": master.cast("long"), "is_duplicate": kind.isNotNull()})
+    fresh = found.where("fate <> 'updated'").withColumns({"duplicate_type": F.col("kind"), "master_id": F.col("master"), "is_duplicate": F.col("kind").isNotNull()})
     return updated.unionByName(fresh.select([c for c in existing.columns if c in fresh.columns]), allowMissingColumns=True)
 
 
@@ -133,12 +168,9 @@ def update(existing: DataFrame, changes: DataFrame, as_of: str) -> DataFrame:
 
 
 def upsert_counts(existing: DataFrame, incoming: DataFrame) -> DataFrame:
-    """What a batch does, in one row: inserted, updated, duplicates, repeated (in the batch itself)."""
-    batch = first_wins(incoming)
-    found = classify(existing, batch).agg(
-        F.count_if(F.col("match_type") != "exact").alias("inserted"), F.count_if(F.col("match_type") == "exact").alias("updated"), F.count_if(F.col("match_type").isin("content", "cross_source")).alias("duplicates"), F.count("*").alias("n"),
-    )
-    return found.crossJoin(F.broadcast(incoming.agg(F.count("*").alias("all")))).select("inserted", "updated", "duplicates", (F.col("all") - F.col("n")).alias("repeated"))
+    """What a batch does, in one row: inserted, updated, duplicates (no row is two of these) and repeated (in the batch itself)."""
+    fates = sorted_in(existing, incoming).agg(*[F.count_if(F.col("fate") == f).alias(n) for f, n in (("inserted", "inserted"), ("updated", "updated"), ("duplicate", "duplicates"))])
+    return fates.crossJoin(F.broadcast(incoming.agg(F.count("*").alias("all")))).select("inserted", "updated", "duplicates", (F.col("all") - F.col("inserted") - F.col("updated") - F.col("duplicates")).alias("repeated"))
 
 
 def rejects(df: DataFrame) -> DataFrame:

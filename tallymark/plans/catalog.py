@@ -80,13 +80,13 @@ QUERIES |= {
     "measure_identifier": over(lambda m: ids(m, "identifier"), keyed=True),
     "fingerprints": over(lambda m: ids(m, "fingerprint", "measure_fingerprint", "decade", "century"), keyed=True),
     "content_hash": over(lambda m: ids(m, "content_hash"), keyed=True),
-    "cross_source_groups": over(lambda m: dedup.cross_source_groups(m).withColumn("ids", F.concat_ws(",", F.transform("ids", lambda x: x.cast("string")))), keyed=True),
+    "cross_source_groups": over(lambda m: dedup.cross_source_groups(m).withColumn("ids", F.concat_ws(",", F.transform("ids", lambda x: x.cast("string")))).withColumn("sources", F.concat_ws(",", "sources")), keyed=True),
     "content_dup_groups": over(dedup.content_groups, keyed=True),
     "first_wins_dedupe": over(lambda m: ids(dedup.first_wins(m), "fingerprint"), keyed=True),
     "master_selection": over(lambda m: ids(dedup.with_master(m.where("NOT is_duplicate"), AS_OF), "score", "group_size", "master_id").withColumn("score", F.col("score").cast("long")), keyed=True),
-    "merge_fields": over(lambda m: dedup.merge_fields(m, AS_OF, fields=["description", "ballot_question", "summary_text", "yes_votes", "no_votes", "pdf_url", "topic_primary"]).drop("merged_from", "pass_fail"), keyed=True),
-    "dedupe_cross_source": over(lambda m: ids(dedup.dedupe_cross_source(m, AS_OF), "is_duplicate", "duplicate_type", "master_id"), keyed=True),
-    "duplicate_report": over(dedup.report),
+    "merge_fields": over(lambda m: dedup.merge_fields(m, AS_OF).withColumn("merged_from", F.array_join(F.transform("merged_from", lambda x: x.cast("string")), ", ")), keyed=True),
+    "dedupe_cross_source": over(lambda m: ids(dedup.dedupe_cross_source(m.withColumn("update_count", F.lit(0)), AS_OF), "is_duplicate", "duplicate_type", "master_id", "description", "summary_text", "total_votes", "percent_yes", "passed", "merged_from", "update_count"), keyed=True),
+    "duplicate_report": over(dedup.report, keyed=True),
     "duplicate_counts": over(dedup.counts, keyed=True),
     "duplicate_lineage": over(lambda m: dedup.lineage(dedup.dedupe_cross_source(m, AS_OF)), keyed=True),
     "mark_duplicate": over(lambda m: ids(dedup.mark_duplicate(dedup.unmark_duplicate(m.withColumn("master_id", F.lit(None).cast("long")), 11), 5, 3, "content"), "is_duplicate", "duplicate_type", "master_id")),
@@ -132,7 +132,7 @@ def upsert_counts(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def change_audit(spark: SparkSession, d: str) -> DataFrame:
-    return upsert.change_audit(*batch(spark, d), fields=["description", "yes_votes", "has_summary"])
+    return upsert.change_audit(*batch(spark, d))
 
 
 @query
@@ -231,7 +231,7 @@ def union_by_name_all(spark: SparkSession, d: str) -> DataFrame:
 def numeric_coerce(spark: SparkSession, d: str) -> DataFrame:
     raw = F.expr("CASE id % 4 WHEN 0 THEN '1,234' WHEN 1 THEN 'n/a' WHEN 2 THEN concat(id, '.5') END")
     years = F.expr("CASE id % 3 WHEN 0 THEN concat(year, '.0') WHEN 1 THEN '1899' ELSE 'abc' END")
-    return facade.measures(spark, d).select("id", values.number(raw).alias("number"), values.year_within(years, 1900, 2030).alias("year"))
+    return facade.measures(spark, d).select("id", values.number(raw).alias("number"), values.first_number(raw).alias("stripped"), values.year_within(years, 1900, 2030).alias("year"))
 
 
 def as_icpsr(m: DataFrame) -> DataFrame:

@@ -27,9 +27,6 @@ SCORE = f"""(CASE WHEN has_summary THEN 100 ELSE 0 END + CASE WHEN yes_votes IS
  + greatest(0, 30 - date_diff('day', CAST(updated_at AS DATE), DATE '2001-12-31')))"""
 MASTERS = f"""live AS (SELECT *, {SCORE} AS score FROM keyed WHERE NOT is_duplicate),
 mastered AS (SELECT *, count(*) OVER g AS group_size, first_value(id) OVER (PARTITION BY measure_fingerprint ORDER BY score DESC, id) AS master FROM live WINDOW g AS (PARTITION BY measure_fingerprint))"""
-DEDUPED = MASTERS + """,
-deduped AS (SELECT id, data_source, group_size > 1 AND id <> master AS is_duplicate, CASE WHEN group_size > 1 AND id <> master THEN 'cross_source' END AS duplicate_type, CASE WHEN group_size > 1 AND id <> master THEN master END AS master_id FROM mastered
- UNION ALL SELECT id, data_source, is_duplicate, duplicate_type, NULL FROM keyed WHERE is_duplicate)"""
 BATCHES = """existing AS (SELECT * FROM keyed WHERE id % 3 <> 0), incoming AS (SELECT * FROM keyed WHERE id % 3 = 0 UNION ALL SELECT * REPLACE (id + 10000000 AS id, 'Changed' AS description, yes_votes + 1 AS yes_votes) FROM keyed WHERE id % 15 = 1
  UNION ALL SELECT * REPLACE (id + 20000000 AS id, 'https://example.org/new.pdf' AS pdf_url) FROM keyed WHERE id % 15 = 2 UNION ALL SELECT * REPLACE (id + 30000000 AS id, 'Asked anew?' AS ballot_question, true AS has_summary) FROM keyed WHERE id % 15 = 4),
 by_print AS (SELECT fingerprint, min(id) AS a FROM existing GROUP BY 1), by_content AS (SELECT content_hash, min(id) AS b FROM existing WHERE NOT is_duplicate GROUP BY 1), by_measure AS (SELECT measure_fingerprint, min(id) AS c FROM existing WHERE NOT is_duplicate GROUP BY 1)"""
@@ -51,7 +48,7 @@ def percent(part: str, total: str, scale: int) -> str:
 
 
 def on(select: str, *ctes: str) -> str:
-    return "WITH " + ",\n".join([MEASURES, *ctes]) + "\n" + select
+    return "WITH RECURSIVE " + ",\n".join([MEASURES, *ctes]) + "\n" + select
 
 
 def m(select: str) -> str:
@@ -108,13 +105,24 @@ def absolute(href: str) -> str:
 
 
 STATUS = "CASE WHEN passed = 1 THEN 'passed' WHEN passed = 0 THEN 'failed' ELSE 'pending' END"
-MERGE_FIELDS = ["description", "ballot_question", "summary_text", "yes_votes", "no_votes", "pdf_url", "topic_primary"]
-BEST = ", ".join(f"(list({f} ORDER BY id = master DESC, CAST(updated_at AS VARCHAR) DESC, {RANK}, id) FILTER (WHERE {f if f in ('yes_votes', 'no_votes') else f'nullif({f}, ' + chr(39) * 2 + ')'} IS NOT NULL))[1] AS {f}" for f in MERGE_FIELDS)
+MERGE_FIELDS = ["description", "ballot_question", "summary_text", "yes_votes", "no_votes", "total_votes", "percent_yes", "passed", "pdf_url", "category_topic", "topic_primary"]
+NUMERIC = ("yes_votes", "no_votes", "total_votes", "percent_yes", "passed")
+BEST = ", ".join(f"(list({f} ORDER BY id = master DESC, CAST(updated_at AS VARCHAR) DESC, {RANK}, id) FILTER (WHERE {f if f in NUMERIC else f'nullif({f}, ' + chr(39) * 2 + ')'} IS NOT NULL))[1] AS {f}" for f in MERGE_FIELDS)
+BEST_CTE = f"best AS (SELECT measure_fingerprint, any_value(master) AS master_id, count(*) AS versions, bool_or(has_summary) AS has_summary, string_agg(CAST(id AS VARCHAR), ', ' ORDER BY id) FILTER (WHERE id <> master) AS merged_from, {BEST} FROM mastered WHERE group_size > 1 GROUP BY 1)"
+MERGED_CTE = f"""fixed AS (SELECT *, CASE WHEN v > 0 THEN v ELSE total_votes END AS total, CASE WHEN v > 0 THEN {percent('yes_votes', 'v', 100)} ELSE percent_yes END AS share, CASE WHEN v > 0 THEN {percent('no_votes', 'v', 100)} END AS other_share,
+ CASE WHEN v > 0 THEN CAST({percent('yes_votes', 'v', 100)} > 50 AS INTEGER) ELSE passed END AS outcome FROM (SELECT *, yes_votes + no_votes AS v FROM best))"""
+DEDUPED = MASTERS + ",\n" + BEST_CTE + ",\n" + MERGED_CTE + """,
+deduped AS (SELECT m.id, m.data_source, m.group_size > 1 AND m.id <> m.master AS is_duplicate, CASE WHEN m.group_size > 1 AND m.id <> m.master THEN 'cross_source' END AS duplicate_type, CASE WHEN m.group_size > 1 AND m.id <> m.master THEN m.master END AS master_id,
+ coalesce(f.description, m.description) AS description, coalesce(f.summary_text, m.summary_text) AS summary_text, coalesce(f.total, m.total_votes) AS total_votes, coalesce(f.share, m.percent_yes) AS percent_yes, coalesce(f.outcome, m.passed) AS passed,
+ '[' || f.merged_from || ']' AS merged_from, CAST(CASE WHEN m.group_size = 1 THEN 0 WHEN m.id = m.master THEN 2 ELSE 1 END AS INTEGER) AS update_count FROM mastered m LEFT JOIN fixed f ON f.master_id = m.id
+ UNION ALL SELECT id, data_source, is_duplicate, duplicate_type, NULL, description, summary_text, total_votes, percent_yes, passed, NULL, 0 FROM keyed WHERE is_duplicate)"""
 FRESH = """first_rows AS (SELECT * FROM incoming QUALIFY row_number() OVER (PARTITION BY fingerprint ORDER BY id) = 1)"""
 UPSERTED = FRESH + ", " + classified("first_rows", "sorted_in") + """,
-fresh AS (SELECT * FROM sorted_in WHERE match_type <> 'exact'),
-fc AS (SELECT content_hash, min(id) AS bc FROM fresh GROUP BY 1), fm AS (SELECT measure_fingerprint, min(id) AS bm FROM fresh GROUP BY 1),
-near AS (SELECT f.*, CASE WHEN bc < id THEN bc END AS ec, CASE WHEN bm < id THEN bm END AS em FROM fresh f LEFT JOIN fc USING (content_hash) LEFT JOIN fm USING (measure_fingerprint)),
+rounds AS (SELECT id, content_hash, measure_fingerprint, 'open' AS state FROM sorted_in WHERE match_type = 'none'
+ UNION ALL SELECT id, content_hash, measure_fingerprint, CASE WHEN ahead THEN 'master' WHEN bool_or(ahead) OVER (PARTITION BY content_hash) OR bool_or(ahead) OVER (PARTITION BY measure_fingerprint) THEN 'gone' ELSE 'open' END
+ FROM (SELECT *, min(id) OVER (PARTITION BY content_hash) = id AND min(id) OVER (PARTITION BY measure_fingerprint) = id AS ahead FROM rounds WHERE state = 'open')),
+fc AS (SELECT content_hash, id AS bc FROM rounds WHERE state = 'master'), fm AS (SELECT measure_fingerprint, id AS bm FROM rounds WHERE state = 'master'),
+near AS (SELECT f.*, CASE WHEN bc < id THEN bc END AS ec, CASE WHEN bm < id THEN bm END AS em FROM sorted_in f LEFT JOIN fc USING (content_hash) LEFT JOIN fm USING (measure_fingerprint) WHERE match_type <> 'exact'),
 kinds AS (SELECT *, CASE WHEN match_type = 'content' THEN 'content' WHEN ec IS NOT NULL THEN 'content' WHEN match_type = 'cross_source' THEN 'cross_source' WHEN em IS NOT NULL THEN 'cross_source' END AS kind,
  CASE WHEN match_type = 'content' THEN matched_id WHEN ec IS NOT NULL THEN ec WHEN match_type = 'cross_source' THEN matched_id ELSE em END AS mid FROM near)"""
 FILE_STATS = f"SELECT data_source, count(*) AS measures, count(DISTINCT measure_id) AS ids, count(DISTINCT county) AS counties, {N_IF('yes_votes IS NOT NULL')} AS with_votes, {percent(N_IF('passed = 1'), N_IF('passed IS NOT NULL'), 1000)} AS pass_rate FROM measures GROUP BY 1"
@@ -152,13 +160,14 @@ ORACLES: dict[str, str] = {
     "measure_identifier": k("SELECT id, identifier FROM keyed"),
     "fingerprints": k("SELECT id, fingerprint, measure_fingerprint, decade, century FROM keyed"),
     "content_hash": k("SELECT id, content_hash FROM keyed"),
-    "cross_source_groups": k("SELECT measure_fingerprint, count(*) AS source_count, count(DISTINCT data_source) AS distinct_sources, string_agg(CAST(id AS VARCHAR), ',' ORDER BY id) AS ids FROM keyed WHERE NOT is_duplicate GROUP BY 1 HAVING count(*) > 1"),
+    "cross_source_groups": k("SELECT measure_fingerprint, count(*) AS source_count, count(DISTINCT data_source) AS distinct_sources, string_agg(CAST(id AS VARCHAR), ',' ORDER BY id) AS ids, string_agg(data_source, ',' ORDER BY id) AS sources FROM keyed WHERE NOT is_duplicate GROUP BY 1 HAVING count(*) > 1"),
     "content_dup_groups": k("SELECT content_hash, count(*) AS n, min(id) AS first_id FROM keyed WHERE NOT is_duplicate GROUP BY 1 HAVING count(*) > 1"),
     "first_wins_dedupe": k("SELECT min(id) AS id, fingerprint FROM keyed GROUP BY fingerprint"),
     "master_selection": k("SELECT id, CAST(score AS BIGINT) AS score, group_size, master AS master_id FROM mastered", MASTERS),
-    "merge_fields": k(f"SELECT measure_fingerprint, master_id, versions, has_summary, {', '.join(MERGE_FIELDS)}, CASE WHEN total_votes > 0 THEN total_votes END AS total_votes, {percent('yes_votes', 'total_votes', 100)} AS percent_yes, {percent('no_votes', 'total_votes', 100)} AS percent_no, CASE WHEN total_votes > 0 THEN CAST({percent('yes_votes', 'total_votes', 100)} > 50 AS INTEGER) END AS passed FROM (SELECT *, yes_votes + no_votes AS total_votes FROM best)", MASTERS, f"best AS (SELECT measure_fingerprint, any_value(master) AS master_id, count(*) AS versions, bool_or(has_summary) AS has_summary, {BEST} FROM mastered WHERE group_size > 1 GROUP BY 1)"),
-    "dedupe_cross_source": k("SELECT id, is_duplicate, duplicate_type, master_id FROM deduped", DEDUPED),
-    "duplicate_report": m("SELECT duplicate_type AS kind, data_source AS source, count(*) AS n FROM measures WHERE is_duplicate GROUP BY GROUPING SETS ((duplicate_type), (data_source), ())"),
+    "merge_fields": k("SELECT measure_fingerprint, master_id, versions, has_summary, merged_from, description, ballot_question, summary_text, yes_votes, no_votes, total AS total_votes, share AS percent_yes, other_share AS percent_no, outcome AS passed, CASE WHEN v > 0 THEN CASE outcome WHEN 1 THEN 'Pass' ELSE 'Fail' END END AS pass_fail, pdf_url, category_topic, topic_primary FROM fixed", MASTERS, BEST_CTE, MERGED_CTE),
+    "dedupe_cross_source": k("SELECT id, is_duplicate, duplicate_type, master_id, description, summary_text, total_votes, percent_yes, passed, merged_from, update_count FROM deduped", DEDUPED),
+    "duplicate_report": k("SELECT 'total' AS part, NULL AS name, count(*) AS n FROM keyed WHERE is_duplicate UNION ALL SELECT 'by_type', duplicate_type, count(*) FROM keyed WHERE is_duplicate GROUP BY duplicate_type UNION ALL SELECT 'by_source', data_source, count(*) FROM keyed WHERE is_duplicate GROUP BY data_source"
+                          " UNION ALL SELECT 'cross_source_groups', NULL, count(*) FROM (SELECT 1 FROM keyed WHERE NOT is_duplicate GROUP BY measure_fingerprint HAVING count(*) > 1)"),
     "duplicate_counts": k("SELECT count(fingerprint) - count(DISTINCT fingerprint) AS within_source, count(measure_fingerprint) - count(DISTINCT measure_fingerprint) AS cross_source, count(content_hash) - count(DISTINCT content_hash) AS content FROM keyed WHERE NOT is_duplicate"),
     "duplicate_lineage": k("SELECT d.id, d.master_id, d.duplicate_type, d.data_source AS source, x.data_source AS master_source FROM deduped d LEFT JOIN deduped x ON x.id = d.master_id WHERE d.master_id IS NOT NULL", DEDUPED),
     "mark_duplicate": m("SELECT id, CASE id WHEN 11 THEN false WHEN 5 THEN true ELSE is_duplicate END AS is_duplicate, CASE id WHEN 11 THEN NULL WHEN 5 THEN 'content' ELSE duplicate_type END AS duplicate_type, CAST(CASE id WHEN 5 THEN 3 END AS BIGINT) AS master_id FROM measures"),
@@ -176,9 +185,8 @@ ORACLES: dict[str, str] = {
     "upsert_result": b("""SELECT e.id, coalesce(s.title, e.title) AS title, coalesce(s.yes_votes, e.yes_votes) AS yes_votes, CAST(CASE WHEN s.id IS NULL THEN 0 ELSE 1 END AS INTEGER) AS update_count, e.is_duplicate, e.duplicate_type, CAST(NULL AS BIGINT) AS master_id
  FROM existing e LEFT JOIN (SELECT * FROM sorted_in WHERE match_type = 'exact') s ON s.matched_id = e.id
  UNION ALL SELECT id, title, yes_votes, CAST(0 AS INTEGER), kind IS NOT NULL, kind, mid FROM kinds""", UPSERTED),
-    "upsert_counts": b(f"SELECT {N_IF('match_type <> ' + repr('exact'))} AS inserted, {N_IF('match_type = ' + repr('exact'))} AS updated, {N_IF('match_type IN ' + repr(('content', 'cross_source')))} AS duplicates, (SELECT count(*) FROM incoming) - count(*) AS repeated FROM sorted_in", UPSERTED),
-    "change_audit": b("SELECT oid AS measure_id, 'description' AS field_name, o_description AS old_value, n_description AS new_value, n_data_source AS update_source FROM pairs WHERE n_description IS NOT NULL AND o_description IS DISTINCT FROM n_description"
-                      + "".join(f" UNION ALL SELECT oid, '{c}', CAST(o_{c} AS VARCHAR), CAST(n_{c} AS VARCHAR), n_data_source FROM pairs WHERE n_{c} IS NOT NULL AND o_{c} IS DISTINCT FROM n_{c}" for c in ("yes_votes", "has_summary")), PAIRS),
+    "upsert_counts": b(f"SELECT (SELECT count(*) FROM kinds WHERE kind IS NULL) AS inserted, {N_IF('match_type = ' + repr('exact'))} AS updated, (SELECT count(*) FROM kinds WHERE kind IS NOT NULL) AS duplicates, (SELECT count(*) FROM incoming) - count(*) AS repeated FROM sorted_in", UPSERTED),
+    "change_audit": b(" UNION ALL ".join(f"SELECT oid AS measure_id, '{c}' AS field_name, CAST(o_{c} AS VARCHAR) AS old_value, CAST(n_{c} AS VARCHAR) AS new_value, n_data_source AS update_source FROM pairs WHERE n_{c} IS NOT NULL AND o_{c} IS DISTINCT FROM n_{c}" for c in WATCHED), PAIRS),
     "known_summary_join": k(f"SELECT * FROM (SELECT id, {key_of(NAMING)} AS measure_key, CASE {key_of(NAMING)} WHEN 'ACA 13' THEN 'Protect and Retain the Majority Vote Act' WHEN 'SCA 1' THEN 'Recall Process Reform' END AS summary_title FROM need WHERE {NEED}) WHERE summary_title IS NOT NULL", NEED_TABLE),
     "add_known_summary": m(f"SELECT id, has_summary OR t IS NOT NULL AS has_summary, t AS summary_title FROM (SELECT id, has_summary, CASE WHEN {ACTIVE} AND NOT has_summary THEN CASE {key_of(NAMING)} WHEN 'ACA 13' THEN 'Protect and Retain the Majority Vote Act' WHEN 'SCA 1' THEN 'Recall Process Reform' WHEN 'ACA 7' THEN 'Seven' END END AS t FROM measures)"),
     "summary_keys": m(f"SELECT id, {key_of(NAMING)} AS measure_key FROM measures"),
@@ -194,7 +202,7 @@ ORACLES: dict[str, str] = {
     "url_join": m(f"SELECT id, {absolute('href')} AS url FROM (SELECT id, CASE id % 4 WHEN 0 THEN 'https://a.example/' || id WHEN 1 THEN '//b.example/' || id WHEN 2 THEN '/c/' || id ELSE 'd/' || id END AS href FROM measures)"),
     "union_by_name": m("SELECT id, title, NULL AS county FROM measures WHERE year = 1996 UNION ALL SELECT id, NULL, county FROM measures WHERE year = 1997 UNION ALL SELECT id, title, county FROM measures WHERE id < 5"),
     "union_by_name_all": m("SELECT id, CASE WHEN coalesce(year, 0) % 3 <> 1 THEN title END AS title, CASE WHEN coalesce(year, 0) % 3 <> 0 THEN county END AS county FROM measures"),
-    "numeric_coerce": m("SELECT id, CAST(CASE id % 4 WHEN 0 THEN 1234 WHEN 2 THEN id + CAST(0.5 AS DOUBLE) END AS DOUBLE) AS number, CASE id % 3 WHEN 0 THEN year END AS year FROM measures"),
+    "numeric_coerce": m("SELECT id, CASE id % 4 WHEN 2 THEN id + CAST(0.5 AS DOUBLE) END AS number, CASE id % 4 WHEN 0 THEN CAST(1234 AS DOUBLE) WHEN 2 THEN id + CAST(0.5 AS DOUBLE) END AS stripped, CASE id % 3 WHEN 0 THEN year END AS year FROM measures"),
     "icpsr_standard": m(f"SELECT id, year, measure_id, title, y AS yes_votes, CASE WHEN y + n > 0 THEN y + n END AS total_votes, p AS percent_yes, passed, CASE passed WHEN 1 THEN 'Pass' WHEN 0 THEN 'Fail' END AS pass_fail FROM (SELECT *, CASE WHEN y + n > 0 THEN CAST(p > 50 AS INTEGER) WHEN id % 5 = 0 THEN 1 WHEN id % 5 = 1 THEN 0 END AS passed FROM (SELECT *, {percent('y', '(y + n)', 100)} AS p FROM (SELECT id, year, measure_id, title, CASE WHEN id % 3 = 0 THEN yes_votes END AS y, CASE WHEN id % 3 = 0 THEN no_votes END AS n FROM measures WHERE id % 10 <> 9)))"),
     "ncsl_standard": m("SELECT id, year, title, description, topic_primary, passed, CASE passed WHEN 1 THEN 'Pass' WHEN 0 THEN 'Fail' END AS pass_fail FROM (SELECT id, CAST(year + 20 AS INTEGER) AS year, title, CASE WHEN id % 2 <> 0 THEN description END AS description, topic_primary, CASE WHEN id % 4 = 0 THEN 0 WHEN percent_yes IS NOT NULL THEN CAST(percent_yes > 50 AS INTEGER) END AS passed FROM measures WHERE id % 10 <> 9 AND year + 20 BETWEEN 2014 AND 2030)"),
     "ceda_standard": m(f"SELECT id, year, title, CAST(t AS BIGINT) AS total_votes, {percent('yes_votes', 't', 100)} AS percent_yes, passed FROM (SELECT id, year, coalesce(county || ' Measure ' || measure_letter, substr(ballot_question, 1, 100)) AS title, yes_votes, CASE WHEN id % 3 = 1 THEN total_votes ELSE coalesce(yes_votes, 0) + coalesce(no_votes, 0) END AS t, CASE id % 4 WHEN 0 THEN 1 WHEN 1 THEN 0 END AS passed FROM measures WHERE ballot_question IS NOT NULL OR measure_letter IS NOT NULL)"),
