@@ -7,14 +7,14 @@ likeness. It is evaluated by its features: a string's subsequences with their we
 A text's units are its words, with ASCII letters in lower case and a space before and after. Marks within a word are left
 out (`id-iot`), and the pieces between them are units too; words of one character in a row make one unit (`i d i o t`). Words
 longer than LONG are covered by overlapping parts. A sentence's coordinate for a landmark is the greatest likeness of its
-units (and of their beginnings, where a landmark is a beginning), each of which is compared with each landmark that it is near: it shares three stretches of three characters with it,
+units (and of their beginnings, where a landmark is a beginning), each of which is compared with each landmark that it is near: it shares two stretches of three characters with it,
 with at most one other character between two of a stretch (a unit that doesn't counts 0). The coordinates are turned by the inverse root of the landmarks' own
 kernel matrix. A linear machine with hinge loss is trained on sentences: all those of texts labelled clean, and of each toxic
 text, of which only some sentence is known to be toxic, the one with the highest margin, chosen anew in ROUNDS (and a second time, EASED). A text's
 margin is its highest; it is calibrated on texts that were set aside.
 
 Landmarks are at most LANDMARKS strings of SHORTEST to LONGEST characters that tell the toxic texts of a bounded sample of
-labelled rows (models.SAMPLE_ROWS of each class, of texts up to SAMPLE_BYTES) from the others: words and their beginnings.
+labelled rows (models.SAMPLE_ROWS of each class, of any length) from the others: words and their beginnings.
 Insults that under one in forty sampled toxic texts has, or too few to rule out chance, are not learned.
 
 Held-out labels are never looked at. Without labels of both classes, or without telling strings, the score is the share
@@ -40,7 +40,7 @@ from tallymark.llm.common import pick, slices
 from tallymark.llm.simhash import fingerprints
 from tallymark.llm.spans import SPACE, Words, layout
 
-STEP_BYTES, SAMPLE_BYTES = 1 << 20, 64 << 10
+STEP_BYTES = 1 << 20
 #: Distinct units that a worker remembers before it starts anew.
 MEMO = 60_000
 LANDMARKS, LENGTH, DECAY = 48, 3, 0.8
@@ -140,14 +140,13 @@ class Machine:
     def near(self, strings: np.ndarray) -> np.ndarray:
         """Of strings of one length: the landmarks (as bits) that each is near."""
         own, n = self.letter[strings], strings.shape[1]
-        once, twice, thrice = (np.zeros(len(own), "u8") for _ in range(3))
+        once, twice = np.zeros(len(own), "u8"), np.zeros(len(own), "u8")
         for a, b in STRETCHES:
             for j in range(n - b):
                 met = self.stretches[(own[:, j] << 12) | (own[:, j + a] << 6) | own[:, j + b]]
-                thrice |= twice & met
                 twice |= once & met
                 once |= met
-        return thrice
+        return twice
 
     def likeness(self, units: list[bytes], everywhere: bool = False) -> np.ndarray:
         """The normalised kernel of each unit and each landmark that it is near (or every landmark), else 0."""
@@ -379,7 +378,7 @@ def train(rows: list[tuple[bytes, int]], prior: float) -> Machine:
 
 
 def fit(docs: DataFrame, labels: DataFrame) -> Machine:
-    rows = models.labelled(docs, labels, "toxic", longest=SAMPLE_BYTES)
+    rows = models.labelled(docs, labels, "toxic")
     order = np.random.default_rng(1).permutation(len(rows))
     return train([rows[i] for i in order], models.share_of_ones(labels, "toxic"))
 
