@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallymark.functions.values import rounded
+from tallymark.operators import match
 from tallymark.operators.filters import active, like, select
 
 K1, B = 1.2, 0.75
@@ -84,3 +85,15 @@ def quick_search(df: DataFrame, query: str, limit: int = 10) -> DataFrame:
     if query_terms(query):
         return search(df, SearchRequest(query, limit=limit))
     return like(df, query).orderBy(F.desc_nulls_last("year"), "id").limit(limit)
+
+
+def search_measures(df: DataFrame, query: str, limit: int = 100) -> DataFrame:
+    """Active measures that satisfy a search expression (see match), best first; where the query is none, what the plain
+    substring search finds, the latest first."""
+    fields = [c for c in TEXT_FIELDS if c in df.columns]
+    own = active(df)
+    try:
+        hits = match.matching(own, "id", fields, query)
+    except match.Malformed:
+        return like(df, query).orderBy(F.desc_nulls_last("year"), "id").limit(limit)
+    return own.join(hits.withColumnRenamed("doc", "id"), "id").orderBy(F.desc("score"), "id").limit(limit)

@@ -10,10 +10,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallymark.functions import keys, values
-from tallymark.operators import dedup, enrich, filters, project, search, stats, upsert
+from tallymark.operators import dedup, enrich, filters, match, project, search, stats, textindex, upsert
 from tallymark.plans import sql
 from tallymark.schema import add_missing, conform, missing_columns
-from tallymark.sources import facade, pages, sinks, tables
+from tallymark.sources import facade, files, pages, sinks, tables
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -162,6 +162,74 @@ def fts_bm25(spark: SparkSession, d: str) -> DataFrame:
     return search.bm25(facade.read(spark, d, "documents"), "doc_id", F.col("text"), "the and")
 
 
+TEXTS = ["title", "description", "ballot_question", "summary_text", "county"]
+
+
+def indexed(spark: SparkSession, d: str, search_for: str) -> DataFrame:
+    """What a stored index of the measures finds."""
+
+    def find(folder: str) -> DataFrame:
+        index = textindex.TextIndex(spark, folder, TEXTS)
+        index.add(facade.measures(spark, d))
+        return index.search(search_for).withColumnRenamed("doc", "id")
+
+    return files.through_folder(spark, find)
+
+
+@query
+def fts_stored(spark: SparkSession, d: str) -> DataFrame:
+    """An index after a second batch, which replaces some measures, after deletions and after its segments are merged, in another
+    session's eyes."""
+    m = facade.measures(spark, d)
+
+    def find(folder: str) -> DataFrame:
+        index = textindex.TextIndex(spark, folder, TEXTS)
+        index.add(m.where("id % 3 <> 0"))
+        index.add(m.where("id % 3 = 0").unionByName(m.where("id % 15 = 1").withColumn("title", F.lit("Measure B again"))))
+        index.merge()
+        index.delete(m.where("id % 7 = 0").select(F.col("id").alias("doc")))
+        return textindex.TextIndex(spark, folder, TEXTS).search("measure b").withColumnRenamed("doc", "id")
+
+    return files.through_folder(spark, find)
+
+
+@query
+def fts_phrase(spark: SparkSession, d: str) -> DataFrame:
+    return indexed(spark, d, '"measure b" OR "local question 1"')
+
+
+@query
+def fts_prefix(spark: SparkSession, d: str) -> DataFrame:
+    return indexed(spark, d, "propos* NOT build*")
+
+
+@query
+def fts_not(spark: SparkSession, d: str) -> DataFrame:
+    return indexed(spark, d, "(measure OR question) NOT (furniture OR building)")
+
+
+@query
+def fts_column(spark: SparkSession, d: str) -> DataFrame:
+    return indexed(spark, d, '{title description} : (measure OR bonds) AND county : ^"nation 3"')
+
+
+@query
+def fts_near(spark: SparkSession, d: str) -> DataFrame:
+    return indexed(spark, d, "NEAR(shall adopt, 2) OR NEAR(question local, 0)")
+
+
+@query
+def fts_fallback(spark: SparkSession, d: str) -> DataFrame:
+    """A query that is no expression: the substring search, the latest first."""
+    return search.search_measures(facade.measures(spark, d), "(relates", limit=40).select("id", "year").unionByName(search.search_measures(facade.measures(spark, d), "question AND local", limit=40).select("id", "year"))
+
+
+@query
+def fts_folded(spark: SparkSession, d: str) -> DataFrame:
+    """Words of the documents with and without diacritics, in either case."""
+    return match.matching(facade.read(spark, d, "documents"), "doc_id", ["text"], "CAFE* OR \u00e9t* OR ni\u00f1o")
+
+
 @query
 def api_search(spark: SparkSession, d: str) -> DataFrame:
     request = search.SearchRequest("measure b", {"year_min": 1996, "has_votes": True}, limit=50, offset=5)

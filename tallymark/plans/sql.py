@@ -81,6 +81,33 @@ def bm25(docs: str, words: list[str]) -> str:
 hits AS (SELECT doc, floor(({part}) * 1000000.0 + 0.5) / 1000000.0 AS score FROM counted, totals WHERE {' AND '.join(f'tf{i} > 0' for i in range(len(words)))})"""
 
 
+FOLDED = r"list_filter(regexp_split_to_array(strip_accents(lower(coalesce({}, ''))), '[^\p{{L}}\p{{N}}]+'), lambda x: x <> '')".format
+TEXTS = ["title", "description", "ballot_question", "summary_text", "county"]
+
+
+def phrase(terms: str, columns: list[int] | None = None, first: bool = False) -> str:
+    """How often words in a row (the last with * for a prefix) stand in columns t0, t1, ..."""
+    said = terms.split()
+    where = " AND ".join(f"starts_with(t{{0}}[i + {j}], '{w[:-1]}')" if w.endswith("*") else f"t{{0}}[i + {j}] = '{w}'" for j, w in enumerate(said))
+    return " + ".join(f"len(list_filter(range(1, len(t{c}) - {len(said) - 1} + 1), lambda i: {where.format(c)}{' AND i = 1' if first else ''}))" for c in (range(len(TEXTS)) if columns is None else columns))
+
+
+def matched(source: str, columns: list[str], phrases: list[str], condition: str, doc: str = "id", more: str = "") -> str:
+    """(id, score) of rows of `source` that satisfy a condition over p0, p1, ... (more: columns besides)."""
+    n = range(len(phrases))
+    part = " + ".join(f"ln((n - df{i} + 0.5) / (df{i} + 0.5) + CAST(1 AS DOUBLE)) * (p{i} * CAST(2.2 AS DOUBLE)) / (p{i} + CAST(1.2 AS DOUBLE) * (CAST(0.25 AS DOUBLE) + CAST(0.75 AS DOUBLE) * dl / (CAST(total AS DOUBLE) / n)))" for i in n)
+    return f"""split_up AS (SELECT {doc} AS id, {', '.join(f'{FOLDED(c)} AS t{i}' for i, c in enumerate(columns))} FROM {source}),
+found AS (SELECT id, {' + '.join(f'len(t{i})' for i in range(len(columns)))} AS dl, {', '.join(f'{p} AS p{i}' for i, p in enumerate(phrases))}{more} FROM split_up),
+sums AS (SELECT CAST(count(*) AS DOUBLE) AS n, sum(dl) AS total, {', '.join(f'count(*) FILTER (WHERE p{i} > 0) AS df{i}' for i in n)} FROM found)
+SELECT id, floor(({part}) * 1000000.0 + 0.5) / 1000000.0 AS score FROM found, sums WHERE {condition}"""
+
+
+NEAR_SQL = ", ".join(
+    "(" + " OR ".join(f"len(list_filter(range(1, len(t{c}) + 1), lambda i: t{c}[i] = '{a}' AND len(list_filter(range(1, len(t{c}) + 1), lambda j: t{c}[j] = '{b}' AND abs(i - j) - 1 <= {w})) > 0)) > 0" for c in range(len(TEXTS))) + f") AS {a}_{b}"
+    for a, b, w in (("shall", "adopt", 2), ("question", "local", 0))
+)
+
+
 def key_of(text: str) -> str:
     pats = [r"(?i)\b(ACA\s+\d+)\b", r"(?i)\b(SCA\s+\d+)\b", r"(?i)\b(AB\s+\d+)\b", r"(?i)\b(SB\s+\d+)\b", r"(?i)\b(Prop(?:osition)?\s+\d+[A-Z]?)\b"]
     return "CASE " + " ".join(f"WHEN regexp_matches({text}, '{p}') THEN replace(upper(regexp_extract({text}, '{p}', 1)), 'PROPOSITION', 'Prop')" for p in pats) + " END"
@@ -193,6 +220,14 @@ ORACLES: dict[str, str] = {
     "fts_postings": f"SELECT doc, term, count(*) AS tf FROM (SELECT doc_id AS doc, unnest({TERMS('text')}) AS term FROM documents) GROUP BY 1, 2",
     "fts_bm25": "WITH " + bm25(f"SELECT doc_id AS doc, {TERMS('coalesce(text, ' + chr(39) * 2 + ')')} AS terms FROM documents", ["and", "the"]) + " SELECT doc, score FROM hits",
     "api_search": m("SELECT 1").replace("\nSELECT 1", ",\n" + bm25(f"SELECT id AS doc, {TERMS('concat_ws(' + repr(' ') + ', title, description, ballot_question, summary_text, county)')} AS terms FROM measures WHERE {ACTIVE}", ["b", "measure"]) + f"\nSELECT id, score FROM measures JOIN hits ON doc = id WHERE {ACTIVE} AND year >= 1996 AND yes_votes IS NOT NULL ORDER BY score DESC, id LIMIT 50 OFFSET 5"),
+    "fts_stored": on(matched("stored", TEXTS, [phrase("measure"), phrase("b")], "p0 > 0 AND p1 > 0"), "stored AS (SELECT * REPLACE (CASE WHEN id % 15 = 1 THEN 'Measure B again' ELSE title END AS title) FROM measures WHERE id % 7 <> 0)").replace("\nsplit_up", ",\nsplit_up", 1),
+    "fts_phrase": on(matched("measures", TEXTS, [phrase("measure b"), phrase("local question 1")], "p0 > 0 OR p1 > 0")).replace("\nsplit_up", ",\nsplit_up", 1),
+    "fts_prefix": on(matched("measures", TEXTS, [phrase("propos*"), phrase("build*")], "p0 > 0 AND NOT p1 > 0")).replace("\nsplit_up", ",\nsplit_up", 1),
+    "fts_not": on(matched("measures", TEXTS, [phrase("measure"), phrase("question"), phrase("furniture"), phrase("building")], "(p0 > 0 OR p1 > 0) AND NOT (p2 > 0 OR p3 > 0)")).replace("\nsplit_up", ",\nsplit_up", 1),
+    "fts_column": on(matched("measures", TEXTS, [phrase("measure", [0, 1]), phrase("bonds", [0, 1]), phrase("nation 3", [4], first=True)], "(p0 > 0 OR p1 > 0) AND p2 > 0")).replace("\nsplit_up", ",\nsplit_up", 1),
+    "fts_near": on(matched("measures", TEXTS, [phrase("shall"), phrase("adopt"), phrase("question"), phrase("local")], "(shall_adopt OR question_local) AND true", more=", " + NEAR_SQL)).replace("\nsplit_up", ",\nsplit_up", 1),
+    "fts_fallback": on(f"SELECT * FROM (SELECT id, year FROM measures WHERE {ACTIVE} AND (contains(lower(coalesce(title, '')), '(relates') OR contains(lower(coalesce(description, '')), '(relates') OR contains(lower(coalesce(ballot_question, '')), '(relates')) ORDER BY year DESC, id LIMIT 40) UNION ALL SELECT id, year FROM (SELECT a.id, a.year FROM (" + "WITH " + matched("live", TEXTS, [phrase("question"), phrase("local")], "p0 > 0 AND p1 > 0") + ") h JOIN measures a ON a.id = h.id ORDER BY h.score DESC, a.id LIMIT 40)", f"live AS (SELECT * FROM measures WHERE {ACTIVE})"),
+    "fts_folded": "WITH " + matched("documents", ["text"], [phrase("cafe*", [0]), phrase("et*", [0]), phrase("nino", [0])], "p0 > 0 OR p1 > 0 OR p2 > 0", doc="doc_id").replace("SELECT id, floor", "SELECT id AS doc, floor"),
     "documents_like": "SELECT doc_id FROM documents WHERE text ILIKE '%license%'",
     "link_extraction": "WITH " + elements("[23]") + f" SELECT page, pos, href, {NON_TEXT('inner_html', ' ')} AS text FROM elements WHERE tag = 'a' AND href IS NOT NULL",
     "header_forward_fill": "WITH " + elements("[1-3]") + f", filled AS (SELECT *, last_value(CASE WHEN tag <> 'a' THEN nullif({NON_TEXT('inner_html', '')}, '') END IGNORE NULLS) OVER (PARTITION BY page ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS header FROM elements) SELECT page, pos, href, header FROM filled WHERE tag = 'a'",
