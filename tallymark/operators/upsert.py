@@ -7,23 +7,13 @@ from pyspark.sql import functions as F
 
 from tallymark.operators.dedup import first_wins
 from tallymark.operators.filters import has_new_data, would_update
+from tallymark.sources.files import settled
 
 #: Fields whose new values make an update.
 WATCHED = ["summary_text", "yes_votes", "no_votes", "percent_yes", "passed", "pdf_url", "description"]
 KEYS = {"exact": "fingerprint", "content": "content_hash", "cross_source": "measure_fingerprint"}
 
 
-def settled(df: DataFrame) -> DataFrame:
-    """What several joins read, written once where the session names a folder for checkpoints; else as it is."""
-    context = df.sparkSession.sparkContext
-    named = context.getConf().get("spark.checkpoint.dir")
-    if not context.getCheckpointDir():
-        if not named:
-            return df
-        context.setCheckpointDir(named)
-    return df.checkpoint(eager=True)
-
-
 def _key_map(df: DataFrame, key: str, name: str) -> DataFrame:
     """One row a key, so no join multiplies rows: the smallest id that has it. Empty keys match nothing."""
     return df.where(F.coalesce(F.col(key), F.lit("")) != "").groupBy(F.col(key).alias(f"_{name}")).agg(F.min("id").alias(name))

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 from datetime import datetime
 
@@ -13,7 +12,7 @@ from tallymark.functions import keys, values
 from tallymark.operators import dedup, enrich, filters, match, project, search, stats, textindex, upsert
 from tallymark.plans import sql
 from tallymark.schema import add_missing, conform, missing_columns
-from tallymark.sources import facade, files, pages, sinks, tables
+from tallymark.sources import facade, files, pages, sinks, tables, workbook
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -353,84 +352,116 @@ def run_summary(spark: SparkSession, d: str) -> DataFrame:
     return e.groupBy(F.col("event_type").alias("status"), F.hour("ts").cast("int").alias("hour")).agg(F.count("*").alias("runs"), F.countDistinct("user_id").alias("sources"))
 
 
-def folder_of(spark: SparkSession) -> str:
-    """A new folder for files that a query writes and reads again."""
-    named = spark.sparkContext.getConf().get("spark.checkpoint.dir") or "/tmp/checkpoints"
-    return f"{named.rstrip('/')}/files-{uuid.uuid4().hex}"
+def ceda_sheets(m: DataFrame) -> dict[str, DataFrame]:
+    """Sheets of two layouts and one of candidates, which together hold every measure."""
+    return {
+        "2016": m.where("id % 3 = 0").selectExpr("id AS MeasID", "ballot_question AS BALQUEST", "measure_letter AS LTR", "yes_votes AS YES", "no_votes AS NO", "total_votes + 1 AS TOTAL", "county AS CNTYNAME", "'Pass' AS PASSFAIL"),
+        "2018": m.where("id % 3 = 1").selectExpr("'FAIL' AS PASSFAIL", "concat(county, ' \u00e9') AS CNTYNAME", "no_votes AS NO", "yes_votes AS YES", "measure_letter AS LTR", "ballot_question AS BALQUEST", "id AS MeasID"),
+        "2019": m.where("id % 3 = 2").selectExpr("title AS CAND_NAME", "'x' AS Party", "yes_votes AS YES", "no_votes AS NO"),
+    }
 
 
-def saved_as(df: DataFrame, path: str, encoding: str = "UTF-8") -> None:
-    """The frame, in the order of its column row_id, which is left out, as one delimited file of that name."""
-    parts = f"{path}.parts"
-    df.coalesce(1).sortWithinPartitions("row_id").drop("row_id").write.csv(parts, header=True, escape='"', encoding=encoding)
-    jvm = df.sparkSession._jvm
-    files = jvm.org.apache.hadoop.fs.Path(parts).getFileSystem(df.sparkSession._jsc.hadoopConfiguration())
-    part = files.globStatus(jvm.org.apache.hadoop.fs.Path(f"{parts}/part-*"))[0].getPath()
-    files.rename(part, jvm.org.apache.hadoop.fs.Path(path))
-    files.delete(jvm.org.apache.hadoop.fs.Path(parts), True)
+def files_for(df: DataFrame) -> int:
+    """Four files, and one more for each 50,000 rows."""
+    return 4 + df.count() // 50_000
 
 
 @query
 def ceda_files(spark: SparkSession, d: str) -> DataFrame:
-    """Files of two layouts and one of candidates, written and read as one source."""
-    m, folder = facade.measures(spark, d), folder_of(spark)
-    saved_as(m.where("id % 3 = 0").selectExpr("id AS row_id", "id AS MeasID", "ballot_question AS BALQUEST", "measure_letter AS LTR", "yes_votes AS YES", "no_votes AS NO", "total_votes + 1 AS TOTAL", "county AS CNTYNAME", "'Pass' AS PASSFAIL"), f"{folder}/ceda_data_2016.csv")
-    saved_as(m.where("id % 3 = 1").selectExpr("id AS row_id", "'FAIL' AS PASSFAIL", "concat(county, ' \u00e9') AS CNTYNAME", "no_votes AS NO", "yes_votes AS YES", "measure_letter AS LTR", "ballot_question AS BALQUEST", "id AS MeasID"), f"{folder}/ceda_data_2018.csv", "ISO-8859-1")
-    saved_as(m.where("id < 50").selectExpr("id AS row_id", "title AS CAND_NAME", "'x' AS Party", "yes_votes AS YES", "no_votes AS NO"), f"{folder}/ceda_data_2019.csv")
-    return tables.reader("ceda")(spark, f"{folder}/ceda_data_*.csv").select("measure_id", "year", "county", "title", "total_votes", "passed", "fingerprint")
+    """Files of two layouts and encodings and some of candidates, several of each year, written in parallel and read as one
+    source: a scan for each layout and encoding."""
+    m = facade.measures(spark, d)
+
+    def go(folder: str) -> DataFrame:
+        for year, sheet in ceda_sheets(m).items():
+            sinks.text_files(sheet, lambda i, y=year: f"{folder}/{y}_part{i:05d}_{y}.csv", files_for(sheet), sheet.columns[0] if year == "2016" else sheet.columns[-1], "ISO-8859-1" if year == "2018" else "UTF-8")
+        return tables.reader("ceda")(spark, f"{folder}/*.csv").select("measure_id", "year", "county", "title", "total_votes", "passed", "fingerprint")
+
+    return files.through_folder(spark, go)
+
+
+@query
+def ceda_workbooks(spark: SparkSession, d: str) -> DataFrame:
+    """The same sheets in workbooks, several of each year, behind sheets of notes; made and read in parallel."""
+    m, books = facade.measures(spark, d), None
+    for year, sheet in ceda_sheets(m).items():
+        path = F.concat(F.lit(f"/{year}_part"), F.lpad(F.col("part").cast("string"), 5, "0"), F.lit(f"_{year}.xlsx"))
+        name = {"2016": "Measures 2016", "2018": "All Measures", "2019": "measures2019"}[year]
+        made = workbook.as_workbooks(sheet, files_for(sheet), sheet.columns[0] if year == "2016" else sheet.columns[-1], name, path, {"Notes": [["about", None, 1, True]]})
+        books = made if books is None else books.unionByName(made)
+    return tables.ceda_workbooks(books).select("measure_id", "year", "county", "title", "total_votes", "passed", "fingerprint")
 
 
 @query
 def icpsr_files(spark: SparkSession, d: str) -> DataFrame:
-    """Two files in different encodings and orders of columns."""
-    m, folder = as_icpsr(facade.measures(spark, d)).withColumn("title", F.concat("title", F.lit(" \u00e9"))), folder_of(spark)
-    saved_as(m.where("row_id % 2 = 0").withColumn("topic", F.col("row_id")), f"{folder}/a.csv", "ISO-8859-1")
-    saved_as(m.where("row_id % 2 = 1").select("Title", "Year", "State", F.col("row_id").alias("topic"), "row_id", "MeasureID"), f"{folder}/b.csv")
-    got = tables.reader("icpsr")(spark, f"{folder}/*.csv")
-    return got.select(F.col("topic_primary").cast("long").alias("id"), "year", "measure_id", "title", "yes_votes")
+    """Files in different encodings and orders of columns, several of each."""
+    m = as_icpsr(facade.measures(spark, d)).withColumn("title", F.concat("title", F.lit(" \u00e9")))
+
+    def go(folder: str) -> DataFrame:
+        sinks.text_files(m.where("row_id % 2 = 0").withColumnRenamed("row_id", "topic"), lambda i: f"{folder}/a{i}.csv", files_for(m), "topic", "ISO-8859-1")
+        sinks.text_files(m.where("row_id % 2 = 1").select("Title", "Year", "State", F.col("row_id").alias("topic"), "MeasureID"), lambda i: f"{folder}/b{i}.csv", files_for(m), "topic")
+        got = tables.reader("icpsr")(spark, f"{folder}/*.csv")
+        return got.select(F.col("topic_primary").cast("long").alias("id"), "year", "measure_id", "title", "yes_votes")
+
+    return files.through_folder(spark, go)
 
 
 @query
 def csv_sink(spark: SparkSession, d: str) -> DataFrame:
-    folder = folder_of(spark)
-    sinks.csv(facade.measures(spark, d).select("id", "year", "title", F.array("year", "id").alias("pair")), folder)
-    return tables.read_text_table(spark, folder).selectExpr("cast(id AS long) AS id", "cast(year AS int) AS year", "title", "pair")
+    def go(folder: str) -> DataFrame:
+        sinks.csv(facade.measures(spark, d).select("id", "year", "title", F.array("year", "id").alias("pair")), folder)
+        return tables.read_text_table(spark, folder).selectExpr("cast(id AS long) AS id", "cast(year AS int) AS year", "title", "pair")
+
+    return files.through_folder(spark, go)
 
 
 @query
 def json_sink(spark: SparkSession, d: str) -> DataFrame:
     """Measures and their summary, written and read again."""
-    m, folder = facade.measures(spark, d), folder_of(spark)
-    sinks.json_with_summary(m.select("id", "title", "county"), stats.parse_summary(m), folder)
-    total = spark.read.json(f"{folder}/summary").select("total_measures", "measures_with_text")
-    return spark.read.schema("id long, title string, county string").json(f"{folder}/measures").crossJoin(F.broadcast(total))  # one row
+    m = facade.measures(spark, d)
+
+    def go(folder: str) -> DataFrame:
+        sinks.json_with_summary(m.select("id", "title", "county"), stats.parse_summary(m), folder)
+        total = spark.read.json(f"{folder}/summary").select("total_measures", "measures_with_text")
+        return spark.read.schema("id long, title string, county string").json(f"{folder}/measures").crossJoin(F.broadcast(total))  # one row
+
+    return files.through_folder(spark, go)
 
 
 @query
 def backup_copy(spark: SparkSession, d: str) -> DataFrame:
-    folder = folder_of(spark)
-    path = sinks.backup(facade.measures(spark, d), folder, datetime(2024, 2, 3, 4, 5, 6))
-    return spark.read.parquet(path).select("id", "title", "percent_yes", F.lit(path.removeprefix(folder)).alias("name"))
+    def go(folder: str) -> DataFrame:
+        path = sinks.backup(facade.measures(spark, d), folder, datetime(2024, 2, 3, 4, 5, 6))
+        return spark.read.parquet(path).select("id", "title", "percent_yes", F.lit(path.removeprefix(folder)).alias("name"))
+
+    return files.through_folder(spark, go)
 
 
 @query
 def run_log(spark: SparkSession, d: str) -> DataFrame:
     """Three runs: one that ended well, one with errors, one that goes on."""
-    folder, at = folder_of(spark), datetime(2024, 1, 1, 12)
-    for run in ("a", "b", "c"):
-        sinks.log_run(spark, folder, run, "update", at)
-    sinks.log_run(spark, folder, "a", "update", at, "success", datetime(2024, 1, 1, 13), measures_checked=facade.measures(spark, d).count(), new_measures=2)
-    sinks.log_run(spark, folder, "b", "update", at, "completed_with_errors", datetime(2024, 1, 1, 13), "3 rows failed", duplicates_found=3)
-    log = spark.read.parquet(folder)
-    return sinks.last_state(log).select("run_id", "run_type", "status", values.iso(F.col("completed_at")).alias("completed_at"), "error_message", "measures_checked", "new_measures", "duplicates_found")
+    at = datetime(2024, 1, 1, 12)
+
+    def go(folder: str) -> DataFrame:
+        for run in ("a", "b", "c"):
+            sinks.log_run(spark, folder, run, "update", at)
+        sinks.log_run(spark, folder, "a", "update", at, "success", datetime(2024, 1, 1, 13), measures_checked=facade.measures(spark, d).count(), new_measures=2)
+        sinks.log_run(spark, folder, "b", "update", at, "completed_with_errors", datetime(2024, 1, 1, 13), "3 rows failed", duplicates_found=3)
+        log = spark.read.parquet(folder)
+        return sinks.last_state(log).select("run_id", "run_type", "status", values.iso(F.col("completed_at")).alias("completed_at"), "error_message", "measures_checked", "new_measures", "duplicates_found")
+
+    return files.through_folder(spark, go)
 
 
 @query
 def export_latest(spark: SparkSession, d: str) -> DataFrame:
     """The export's own cap: the latest measures alone."""
-    folder = folder_of(spark)
-    sinks.export(facade.measures(spark, d).select("id", "year", "title"), folder, "json", limit=200)
-    return spark.read.schema("id long, year int, title string").json(folder)
+
+    def go(folder: str) -> DataFrame:
+        sinks.export(facade.measures(spark, d).select("id", "year", "title"), folder, "json")
+        return spark.read.schema("id long, year int, title string").json(folder)
+
+    return files.through_folder(spark, go)
 
 
 @query
@@ -441,10 +472,8 @@ def first_path(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def metadata_sample(spark: SparkSession, d: str) -> DataFrame:
-    """Every row is in the sample, so that which rows are taken doesn't matter."""
-    m = as_icpsr(facade.measures(spark, d))
-    got = tables.metadata(m, "State", sample=10_000_000)
-    return spark.createDataFrame([(",".join(got["columns"]), got["sampled"], got["california"])], "columns string, sampled long, california long")
+    """A look at a source's first rows, by its own order."""
+    return tables.metadata(as_icpsr(facade.measures(spark, d)), "State", order="row_id")
 
 
 @query
@@ -520,8 +549,8 @@ def update_by_id(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def repository_context(spark: SparkSession, d: str) -> DataFrame:
-    """Links whose number and year stand beside them in their block, not in them."""
-    html = F.expr("concat('<ul><li>Proposition 9 (1911)</li><li>Proposition ', id, ' <a href=\"/ca_ballot_props/a/b/', id, '\"><b>', coalesce(title, 'None'), '</b></a> (', year, ')</li><li><a href=\"/ca_ballot_props/a/c/', id, '\">Other</a></li></ul>')")
+    """Links whose number and year stand beside them, in an item, an inline element or on the page itself; one holds a block."""
+    html = F.expr("concat('<ul><li>Proposition 9 (1911)</li><li>Proposition ', id, ' <a href=\"/ca_ballot_props/a/b/', id, '\"><b>', coalesce(title, 'None'), '</b></a> (', year, ')</li><li><a href=\"/ca_ballot_props/a/c/', id, '\">Other</a></li></ul><p>Proposition 77 (1900) <b>(', year + 1, ') <a href=\"/ca_ballot_props/a/d/', id, '\">Inner</a></b></p><a href=\"/ca_ballot_props/a/e/', id, '\"><div>Big <i>d</i></div></a>')")
     got = pages.repository_measures(facade.measures(spark, d).select("id", html.alias("html")), BASE, page="id")
     return got.select("page", F.col("nth").cast("int").alias("nth"), "measure_text", "year", "pdf_url")
 

@@ -255,9 +255,9 @@ measures AS (SELECT id, CAST(id AS VARCHAR) AS measure_id, measure_letter, CAST(
     "json_sink": m("SELECT id, title, county, (SELECT count(*) FROM measures) AS total_measures, (SELECT count(*) FROM measures WHERE ballot_question <> '') AS measures_with_text FROM measures"),
     "backup_copy": m("SELECT id, title, percent_yes, '/backup_20240203_040506' AS name FROM measures"),
     "run_log": m("SELECT 'a' AS run_id, 'update' AS run_type, 'success' AS status, '2024-01-01T13:00:00' AS completed_at, CAST(NULL AS VARCHAR) AS error_message, count(*) AS measures_checked, CAST(2 AS BIGINT) AS new_measures, CAST(0 AS BIGINT) AS duplicates_found FROM measures UNION ALL SELECT 'b', 'update', 'completed_with_errors', NULL, '3 rows failed', 0, 0, 3 UNION ALL SELECT 'c', 'update', 'running', NULL, NULL, 0, 0, 0"),
-    "export_latest": m("SELECT id, year, title FROM measures ORDER BY year DESC NULLS LAST, id LIMIT 200"),
+    "export_latest": m("SELECT id, year, title FROM measures ORDER BY year DESC NULLS LAST, id LIMIT 10000"),
     "first_path": "SELECT count(*) AS n FROM orders",
-    "metadata_sample": m("SELECT 'State,Year,MeasureID,Title,summary,Result,YES,NO,row_id' AS columns, count(*) AS sampled, count(*) FILTER (WHERE id % 10 <> 9) AS california FROM measures"),
+    "metadata_sample": m("SELECT 'State,Year,MeasureID,Title,summary,Result,YES,NO,row_id' AS columns, count(*) AS sampled, count(*) FILTER (WHERE id % 10 <> 9) AS california FROM (SELECT id FROM measures ORDER BY id LIMIT 100)"),
     "parse_summary": m("SELECT count(*) AS total_measures, string_agg(DISTINCT CAST(year AS VARCHAR), ',' ORDER BY CAST(year AS VARCHAR)) AS years_covered, string_agg(DISTINCT county, ',' ORDER BY county) AS counties, count(yes_votes) AS measures_with_votes, count(*) FILTER (WHERE ballot_question <> '') AS measures_with_text FROM measures"),
     "time_text": m("SELECT id, strftime(CAST(updated_at AS TIMESTAMP), '%Y-%m-%dT%H:%M:%S') || CASE WHEN id % 5 = 0 THEN ' x' ELSE '' END AS text, CASE WHEN id % 5 <> 0 THEN strftime(CAST(updated_at AS TIMESTAMP), '%Y-%m-%d') END AS back, format('{:,}', id * 1000) AS commas, substr(county, 1, 4) AS short FROM measures"),
     "sample_rows": m("SELECT id, title FROM measures ORDER BY id LIMIT 5"),
@@ -269,6 +269,7 @@ measures AS (SELECT id, CAST(id AS VARCHAR) AS measure_id, measure_letter, CAST(
     "insert_conflicts": b("SELECT i.id, i.fingerprint, coalesce(a, f) AS kept_id, 'Measure already exists: ' || i.fingerprint AS message FROM incoming i LEFT JOIN by_print USING (fingerprint) JOIN (SELECT fingerprint, min(id) AS f FROM incoming GROUP BY 1) USING (fingerprint) WHERE a IS NOT NULL OR i.id <> f"),
     "insert_result": b("SELECT id, title FROM existing UNION ALL SELECT id, title FROM (SELECT * FROM incoming QUALIFY row_number() OVER (PARTITION BY fingerprint ORDER BY id) = 1) WHERE fingerprint NOT IN (SELECT fingerprint FROM existing)"),
     "update_by_id": m("SELECT id, CASE WHEN id % 6 = 0 THEN 'New' ELSE title END AS title, CASE WHEN id % 6 <> 0 THEN description END AS description, CAST(1 + (id % 6 = 0)::INTEGER AS INTEGER) AS update_count, CASE WHEN id % 6 = 0 THEN '2001-12-31' ELSE CAST(CAST(updated_at AS DATE) AS VARCHAR) END AS updated_at FROM measures"),
-    "repository_context": m("SELECT id AS page, CAST(1 AS INTEGER) AS nth, 'Proposition ' || id || ': ' || coalesce(title, 'None') AS measure_text, CAST(year AS VARCHAR) AS year, 'https://www.example.org/ca_ballot_props/a/b/' || id AS pdf_url FROM measures UNION ALL SELECT id, 2, 'Other', 'Unknown', 'https://www.example.org/ca_ballot_props/a/c/' || id FROM measures"),
+    "repository_context": m("SELECT id AS page, CAST(1 AS INTEGER) AS nth, 'Proposition ' || id || ': ' || coalesce(title, 'None') AS measure_text, CAST(year AS VARCHAR) AS year, 'https://www.example.org/ca_ballot_props/a/b/' || id AS pdf_url FROM measures UNION ALL SELECT id, 2, 'Other', 'Unknown', 'https://www.example.org/ca_ballot_props/a/c/' || id FROM measures UNION ALL SELECT id, 3, 'Inner', CAST(year + 1 AS VARCHAR), 'https://www.example.org/ca_ballot_props/a/d/' || id FROM measures UNION ALL SELECT id, 4, 'Proposition 9: Bigd', '1911', 'https://www.example.org/ca_ballot_props/a/e/' || id FROM measures"),
 }
 ORACLES["quick_search"] = ORACLES["api_search"].replace(" AND year >= 1996 AND yes_votes IS NOT NULL ORDER BY score DESC, id LIMIT 50 OFFSET 5", " ORDER BY score DESC, id LIMIT 30")
+ORACLES["ceda_workbooks"] = ORACLES["ceda_files"]

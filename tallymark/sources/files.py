@@ -29,6 +29,14 @@ def remove(spark: SparkSession, path: str) -> None:
     fs.delete(where, True)
 
 
+def rename(spark: SparkSession, path: str, to: str) -> None:
+    fs, where = _at(spark, path)
+    _, there = _at(spark, to)
+    fs.mkdirs(there.getParent())
+    if not fs.exists(where) or not fs.rename(where, there):
+        raise OSError(f"{path} can't become {to}")
+
+
 def read_text(spark: SparkSession, path: str) -> str:
     fs, where = _at(spark, path)
     stream = fs.open(where)
@@ -39,7 +47,8 @@ def read_text(spark: SparkSession, path: str) -> str:
 
 
 def write_once(spark: SparkSession, path: str, text: str) -> bool:
-    """A new small file, whole or not at all; False if it is there already."""
+    """A new small file, whole or not at all; False if it is there already. Of two writers at once one fails where renaming never
+    replaces a file, as in HDFS."""
     fs, where = _at(spark, path)
     _, part = _at(spark, f"{path}.{uuid.uuid4().hex}.part")
     stream = fs.create(part, False)
@@ -71,3 +80,14 @@ def through_folder(spark: SparkSession, make: Callable[[str], DataFrame]) -> Dat
         return make(folder).checkpoint(eager=True)
     finally:
         remove(spark, folder)
+
+
+def settled(df: DataFrame) -> DataFrame:
+    """What several joins read, written once where the session names a folder for checkpoints; else as it is."""
+    context = df.sparkSession.sparkContext
+    named = context.getConf().get("spark.checkpoint.dir")
+    if not context.getCheckpointDir():
+        if not named:
+            return df
+        context.setCheckpointDir(named)
+    return df.checkpoint(eager=True)

@@ -1,37 +1,33 @@
-"""Links and headers of HTML pages, in document order, with built-in functions only. Fetching is not part of it: the input
-is a table of pages."""
+"""Links and headers of HTML pages, in document order. Fetching is not part of it: the input is a table of pages. Headers and
+links are found with built-in functions; which element a link stands in needs the page's nesting (nesting.py)."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallymark.functions.keys import filled
-from tallymark.functions.values import absolute_url, election_date_text, election_type, scraped_year, slashes, tag_text, without_pdf_note
+from tallymark.functions.values import absolute_url, election_date_text, election_type, scraped_year, tag_text, without_pdf_note
+from tallymark.sources.nesting import repository_links
 
 REPOSITORY_PATH = "/ca_ballot_props/"
 MOST_LINKS = 50
 
 
-#: Where a block of text begins or ends: what lies between two of these is what a link stands in.
-BLOCK = r"(?is)</?(?:li|p|td|th|tr|div|dd|dt|dl|ul|ol|table|section|article|body)\b[^>]*>"
-
-
 def elements(pages: DataFrame, page: str = "page_id", html: str = "html", headers: str = "[23]") -> DataFrame:
-    """(page, pos, tag, href, inner, block) of header and anchor elements. `headers`: a character class of header levels.
-    block: the HTML of the block that the element stands in; null on pages whose elements hold blocks themselves."""
-    pattern = F.lit(rf"(?is)<a\b[^>]*>.*?</a>|<h{headers}\b[^>]*>.*?</h{headers}>")
-    found = F.regexp_extract_all(F.col(html), pattern, F.lit(0))
-    around = F.flatten(F.transform(F.split(F.col(html), BLOCK), lambda s: F.transform(F.regexp_extract_all(s, pattern, F.lit(0)), lambda _: s)))
-    both = F.when(F.size(around) == F.size(found), F.arrays_zip(found.alias("e"), around.alias("b"))).otherwise(F.transform(found, lambda e: F.struct(e.alias("e"), F.lit(None).cast("string").alias("b"))))
-    own = pages.select(F.col(page).alias("page"), F.posexplode(both).alias("pos", "x")).select("page", "pos", F.col("x.e").alias("element"), F.col("x.b").alias("block"))
+    """(page, pos, tag, href, inner) of header and anchor elements. `headers`: a character class of header levels."""
+    found = F.regexp_extract_all(F.col(html), F.lit(rf"(?is)<a\b[^>]*>.*?</a>|<h{headers}\b[^>]*>.*?</h{headers}>"), F.lit(0))
+    own = pages.select(F.col(page).alias("page"), F.posexplode(found).alias("pos", "element"))
     tag = F.lower(F.regexp_extract("element", r"^<(\w+)", 1))
     href = F.coalesce(filled(F.regexp_extract("element", r"(?is)^<a\b[^>]*\bhref\s*=\s*\"([^\"]*)\"", 1)), filled(F.regexp_extract("element", r"(?is)^<a\b[^>]*\bhref\s*=\s*'([^']*)'", 1)))
-    return own.select("page", "pos", tag.alias("tag"), href.alias("href"), F.regexp_extract("element", r"(?is)^<[^>]*>(.*)</\w+>$", 1).alias("inner"), "block")
+    return own.select("page", "pos", tag.alias("tag"), href.alias("href"), F.regexp_extract("element", r"(?is)^<[^>]*>(.*)</\w+>$", 1).alias("inner"))
 
 
 def links(pages: DataFrame, page: str = "page_id", html: str = "html") -> DataFrame:
-    return elements(pages, page, html).where("tag = 'a' AND href IS NOT NULL").select("page", "pos", "href", tag_text(F.col("inner")).alias("text"), "block")
+    return elements(pages, page, html).where("tag = 'a' AND href IS NOT NULL").select("page", "pos", "href", tag_text(F.col("inner")).alias("text"))
 
 
 def with_last_header(found: DataFrame) -> DataFrame:
@@ -49,17 +45,20 @@ def election_measures(pages: DataFrame, base: str, page: str = "page_id", html:
     return own.where("measure_text <> ''").withColumn("year", scraped_year(F.col("election_date"), F.col("measure_text")))
 
 
-def historical_text(title: Column, context: Column) -> tuple[Column, Column]:
-    """(measure_text, year) of a repository link, from its title and what stands around it."""
-    number = filled(F.regexp_extract(context, r"Proposition\s+(\d+)", 1))
-    year = F.coalesce(filled(F.regexp_extract(context, r"\((\d{4})\)", 1)), F.lit("Unknown"))
-    return F.coalesce(F.concat(F.lit("Proposition "), number, F.lit(": "), title), title), year
-
-
 def repository_measures(pages: DataFrame, base: str, page: str = "page_id", html: str = "html", path: str = REPOSITORY_PATH, least_slashes: int = 4, most: int = MOST_LINKS) -> DataFrame:
     """Repository links of each page as raw measures, the first `most` of a page. Year and number come from the text of the
-    block that a link stands in."""
-    own = links(pages, page, html).where(F.col("href").contains(path) & (slashes(F.col("href")) >= least_slashes) & (F.col("text") != ""))
-    own = own.withColumn("nth", F.row_number().over(Window.partitionBy("page").orderBy("pos"))).where(F.col("nth") <= most)
-    text, year = historical_text(F.col("text"), F.coalesce(tag_text(F.col("block"), ""), F.col("text")))
-    return own.select("page", "pos", "nth", F.col("text").alias("title"), text.alias("measure_text"), year.alias("year"), absolute_url(F.col("href"), base).alias("pdf_url"))
+    element that a link stands in directly. A page is read once, from front to back; only links leave it."""
+    kind = pages.schema[page].dataType.simpleString()
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                text = batch.column("html")[i].as_py()
+                if text and (found := repository_links(text, path, least_slashes, most)):
+                    columns = list(zip(*found))
+                    names = batch.column("page").take(pa.array([i] * len(found)))
+                    yield pa.RecordBatch.from_arrays([names, pa.array(columns[0], pa.int32()), pa.array(columns[1], pa.int32()), *[pa.array(c, pa.string()) for c in columns[2:]]], ["page", "pos", "nth", "href", "title", "year", "number"])
+
+    found = pages.select(F.col(page).alias("page"), F.col(html).alias("html")).mapInArrow(scan, f"page {kind}, pos int, nth int, href string, title string, year string, number string")
+    text = F.coalesce(F.concat(F.lit("Proposition "), F.col("number"), F.lit(": "), F.col("title")), F.col("title"))
+    return found.select("page", "pos", "nth", "title", text.alias("measure_text"), F.coalesce("year", F.lit("Unknown")).alias("year"), absolute_url(F.col("href"), base).alias("pdf_url"))

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from datetime import datetime
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tallymark.sources import files
+
 EXPORT_LIMIT = 10_000
 
 
@@ -20,6 +23,19 @@ def csv(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
     flat(df).write.mode(mode).option("header", True).option("escape", '"').csv(path)
 
 
+def text_files(df: DataFrame, path_of: Callable[[int], str], n: int, order: str, encoding: str = "UTF-8") -> list[str]:
+    """At most n delimited files with names of their own, each a range of the rows by `order` and in it; written in parallel,
+    then renamed. No file is written for an empty table."""
+    parts = f"{path_of(0)}.parts"
+    df.repartitionByRange(n, order).sortWithinPartitions(order).write.csv(parts, header=True, escape='"', encoding=encoding)
+    spark, done = df.sparkSession, []
+    for i, name in enumerate(sorted(x for x in files.listed(spark, parts) if x.startswith("part-"))):
+        files.rename(spark, f"{parts}/{name}", path_of(i))
+        done.append(path_of(i))
+    files.remove(spark, parts)
+    return done
+
+
 def json(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
     df.write.mode(mode).json(path)
 

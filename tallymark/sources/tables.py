@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -10,6 +12,8 @@ from pyspark.sql import functions as F
 from tallymark.functions.keys import filled, identifier_in, strip, with_keys
 from tallymark.functions.values import clean, first_number, number, outcome_of_share, outcome_of_status, pass_fail, percent, year_within
 from tallymark.operators.filters import first_per
+from tallymark.sources.files import settled
+from tallymark.sources.workbook import by_layout, sheet_rows
 
 #: Names that a CEDA column goes by, in the order of preference.
 CEDA_COLUMNS = {
@@ -99,11 +103,6 @@ def read_text_table(spark: SparkSession, path: str, encoding: str | None = None)
     return spark.read.csv(path, header=True, multiLine=True, escape='"', encoding=encoding, ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
 
 
-def with_file_year(df: DataFrame) -> DataFrame:
-    """file_year: what follows the last underscore of the file's name."""
-    return df.withColumns({"file_name": F.col("_metadata.file_name"), "file_year": F.regexp_extract("_metadata.file_name", r"_([^_.]+)\.", 1)})
-
-
 def ceda(df: DataFrame, file: str | None = None, file_year: str | None = None, row: str | None = None) -> DataFrame:
     """CEDA rows as measures. Votes, where a file has no total at all, add up; likewise its shares. `file`, `file_year` and
     `row` are no columns of the sheet; a row number goes along as _row."""
@@ -152,28 +151,75 @@ def icpsr(df: DataFrame) -> DataFrame:
     return own.withColumns({"total_votes": F.when(total > 0, total), "percent_yes": share, "percent_no": percent(F.col("no_votes"), total), "passed": passed, "pass_fail": pass_fail(passed), "data_source": F.lit("ICPSR")})
 
 
-def files_of(spark: SparkSession, path: str) -> list[str]:
-    """The data files that a path, folder or glob stands for, by name."""
-    return sorted(r.path for r in spark.read.format("binaryFile").load(path).select("path").collect())
+@dataclass(frozen=True)
+class Layout:
+    """What files have in common that one scan can read: header line, encoding, and whether some have line breaks in quotes."""
+
+    header: str
+    encoding: str
+    multiline: bool
+
+
+def layouts(spark: SparkSession, path: str) -> dict[Layout, list[str]]:
+    """The files of a path, folder or glob by their layout, from one distributed pass over their lines: a file is Latin-1 if some
+    of its bytes aren't UTF-8, and has line breaks in quotes if a line has an odd number of quotes. What comes back to the
+    driver is a row for each file."""
+    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("nth"), "value")
+    quotes = F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))
+    found = lines.groupBy("file").agg(F.min_by("value", F.struct("start", "nth")).alias("header"), F.bool_and(F.is_valid_utf8("value")).alias("utf8"), F.bool_or(quotes % 2 == 1).alias("multiline"))
+    # names in Latin-1 are told apart by their bytes
+    clean = F.when(F.col("utf8"), F.regexp_replace("header", "^\ufeff|\r$", "")).otherwise(F.hex(F.col("header").cast("binary")))
+    out: dict[Layout, list[str]] = {}
+    for r in sorted(found.select("file", clean.alias("header"), "utf8", "multiline").collect()):
+        out.setdefault(Layout(r.header, "UTF-8" if r.utf8 else "ISO-8859-1", r.multiline), []).append(r.file)
+    return out
+
+
+def read_layout(spark: SparkSession, layout: Layout, paths: list[str]) -> DataFrame:
+    """All files of a layout in one scan: its columns as text, file_path, file_year (what follows the last underscore of the file's
+    name) and _row, the order of the rows of a file. Files without line breaks in quotes are split like any text."""
+    raw = spark.read.csv(paths, header=True, multiLine=layout.multiline, escape='"', encoding=layout.encoding, ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
+    return raw.withColumns({
+        "file_path": F.col("_metadata.file_path"), "file_year": F.regexp_extract("_metadata.file_name", r"_([^_.]+)\.", 1), "_row": F.struct(F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("nth")),
+    })
 
 
 def read_ceda(spark: SparkSession, path: str) -> DataFrame:
-    """All files of a glob (workbook sheets saved as delimited text), each read by its own header; sheets of candidates are
-    left out. The first row of each fingerprint by file and place stays."""
-    sources = []
-    for nth, file in enumerate(files_of(spark, path)):
-        raw = read_text_table(spark, file)
-        if not is_candidate_sheet(raw.columns):
-            sources.append(ceda(with_file_year(raw).withColumn("_row", F.monotonically_increasing_id()), "file_name", "file_year", "_row").withColumn("_file", F.lit(nth)))
-    if not sources:
+    """All files of a glob (delimited text), each by its own header, in as many scans as there are layouts; sheets of candidates
+    are left out. The first row of each fingerprint by file and place stays."""
+    return first_of_each([(raw, *FILE) for layout, paths in layouts(spark, path).items() if not is_candidate_sheet((raw := read_layout(spark, layout, paths)).columns[:-3])], spark)
+
+
+#: Columns of a source that aren't the sheet's: its file, the file's year, the place of the row.
+FILE = ("file_path", "file_year", "_row")
+
+
+def first_of_each(sheets: list[tuple[DataFrame, str, str, str]], spark: SparkSession) -> DataFrame:
+    """CEDA sheets as one table of measures with keys."""
+    if not sheets:
         columns = ", ".join(f"`{c}` string" for c in CEDA_COLUMNS["measure_text"])
-        sources = [ceda(spark.createDataFrame([], columns + ", file_name string, file_year string, _row long"), "file_name", "file_year", "_row").withColumn("_file", F.lit(0))]
-    return first_per(with_keys(total_of(*sources)), ["fingerprint"], ["_file", "_row"]).drop("_file", "_row")
+        sheets = [(spark.createDataFrame([], columns + ", file_path string, file_year string, _row struct<start: long, nth: long>"), *FILE)]
+    return first_per(with_keys(total_of(*[ceda(*x) for x in sheets])), ["fingerprint"], ["input_file", "_row"]).drop("_row")
+
+
+def ceda_workbooks(books: DataFrame) -> DataFrame:
+    """CEDA workbooks (file_path, content) as measures: of each the sheet that choose_sheet() takes for the year in the file's name."""
+    rows = settled(sheet_rows(books, lambda names, path: choose_sheet(names, (re.findall(r"_([^_./]+)\.[^/]*$", path) or [""])[0])))
+    sheets = []
+    for names, raw in by_layout(rows):
+        if not is_candidate_sheet(names):
+            year, place = F.regexp_extract("file_path", r"_([^_./]+)\.[^/]*$", 1), F.struct(F.lit(0).cast("long").alias("start"), F.col("row").alias("nth"))
+            sheets.append((raw.withColumns({"file_year": year, "_row": place}).drop("row"), *FILE))
+    return first_of_each(sheets, books.sparkSession)
+
+
+def read_workbooks(spark: SparkSession, path: str) -> DataFrame:
+    return ceda_workbooks(spark.read.format("binaryFile").load(path).select(F.col("path").alias("file_path"), "content"))
 
 
 def read_each(spark: SparkSession, path: str, standard: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """All files of a glob, each read with its own header and encoding."""
-    return total_of(*[standard(read_text_table(spark, file)) for file in files_of(spark, path)])
+    """All files of a glob, each with its own header and encoding, in as many scans as there are layouts."""
+    return total_of(*[standard(read_layout(spark, layout, paths).drop(*FILE)) for layout, paths in layouts(spark, path).items()])
 
 
 def read_ncsl(spark: SparkSession, path: str) -> DataFrame:
@@ -223,10 +269,11 @@ def first_existing(spark: SparkSession, paths: list[str]) -> str | None:
     return None
 
 
-def metadata(df: DataFrame, state: str | None = None, sample: int = 100) -> dict:
-    """A look at a source: columns, rows of a sample, those of California among them."""
-    got = df.limit(sample)
-    return {"columns": df.columns[:20], "sampled": got.count(), "california": got.where(F.upper(state) == "CALIFORNIA").count() if state else None}
+def metadata(df: DataFrame, state: str | None = None, sample: int = 100, order: str | None = None) -> DataFrame:
+    """A look at a source, in one row: columns (of twenty at most, with commas between), rows of a sample, those of California among
+    them (null: not asked). The sample is the first rows by `order`, any rows without it."""
+    got = (df if order is None else df.orderBy(order)).limit(sample)
+    return got.agg(F.lit(",".join(df.columns[:20])).alias("columns"), F.count("*").alias("sampled"), (F.count_if(F.upper(state) == "CALIFORNIA") if state else F.lit(None).cast("long")).alias("california"))
 
 
 def total_of(*sources: DataFrame) -> DataFrame:

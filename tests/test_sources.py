@@ -14,7 +14,8 @@ def test_ceda_files(spark, tmp_path):
     (tmp_path / "ceda_data_2018.csv").write_text("MeasID,BALQUEST,LTR,YES,NO,CNTYNAME,PASSFAIL\n4,Q,B,n/a,30,KERN,FAIL\n5,Q,B,1,1,KERN,Fail\n")
     rows = {r.measure_id: r for r in tables.read_ceda(spark, str(tmp_path / "ceda_data_2016.csv")).collect()}
     assert set(rows) == {"1", "3"}
-    assert (rows["1"].title, rows["1"].year, rows["1"].yes_votes, rows["1"].percent_yes, rows["1"].passed) == ("KERN Measure A", 2016, 1200, 60.0, 1)
+    assert (rows["1"].title, rows["1"].year, rows["1"].yes_votes, rows["1"].percent_yes, rows["1"].passed) == ("KERN Measure A", 2016, None, None, 1)
+    assert (rows["3"].yes_votes, rows["3"].percent_yes) == (10, 25.0)
     assert rows["1"].ballot_question == "Shall\nwe?"
     assert (rows["3"].title, rows["3"].passed) == ("Long text", None)
     later = tables.read_ceda(spark, str(tmp_path / "ceda_data_2018.csv")).collect()
@@ -66,13 +67,51 @@ def test_pages(spark):
     html = "".join(f'<li><a href="/repo/ca_ballot_props/{i}">Proposition {i} ({1990 + i})</a></li>' for i in range(4)) + '<a href="/ca_ballot_props/9">x</a>'
     got = pages.repository_measures(spark.createDataFrame([(1, html)], "page_id long, html string"), "https://h.org", least_slashes=3, most=3).orderBy("nth").collect()
     assert [(r.year, r.measure_text) for r in got] == [(str(1990 + i), f"Proposition {i}: Proposition {i} ({1990 + i})") for i in range(3)]
-    # what stands around a link says its year and number, the first of them for all links of a block
+    # what a link stands in directly says its year and number, the first of them for all links in it
     html = '<p>Proposition 7 <a href="/repo/ca_ballot_props/a">Rent</a> (1978) <a href="/repo/ca_ballot_props/b">Tax (1980)</a></p><a href="/repo/ca_ballot_props/c"><b>Gas</b></a>'
-    got = pages.repository_measures(spark.createDataFrame([(1, html)], "page_id long, html string"), "https://h.org", least_slashes=3).orderBy("nth").collect()
-    assert [(r.year, r.measure_text) for r in got] == [("1978", "Proposition 7: Rent"), ("1978", "Proposition 7: Tax (1980)"), ("Unknown", "Gas")]
-    # a link that holds blocks itself has its own text for context
-    html = '<p>(1978) <a href="/repo/ca_ballot_props/a"><div>Rent (1979)</div></a></p>'
-    assert [r.year for r in pages.repository_measures(spark.createDataFrame([(1, html)], "page_id long, html string"), "https://h.org", least_slashes=3).collect()] == ["1979"]
+    assert said(spark, html) == [("1978", "Proposition 7: Rent"), ("1978", "Proposition 7: Tax (1980)"), ("1978", "Proposition 7: Gas")]
+    # an inline parent, and what lies outside it
+    assert said(spark, '<p>(1978) Proposition 1 <b>(1980) <a href="/repo/ca_ballot_props/a">x</a></b></p>') == [("1980", "x")]
+
+
+def said(spark, html, **more):
+    got = pages.repository_measures(spark.createDataFrame([(1, html)], "page_id long, html string"), "https://h.org", least_slashes=3, **more).orderBy("nth").collect()
+    return [(r.year, r.measure_text) for r in got]
+
+
+def test_blocks_inside_links(spark):
+    html = '<li>Proposition 5 (1990) <a href="/repo/ca_ballot_props/a">x</a></li>'
+    other = '<a href="/repo/ca_ballot_props/b"><div>d <i> e</i></div></a>'
+    assert said(spark, html) == [("1990", "Proposition 5: x")]
+    assert said(spark, html + f"<div>{other}</div>") == [("1990", "Proposition 5: x"), ("Unknown", "de")]
+
+
+def test_nesting_as_it_is_written(spark):
+    link = '<a href="/repo/ca_ballot_props/{}">{}</a>'.format
+    # items that are never closed stand in one another; end tags of nothing do nothing; a void element holds nothing
+    html = f"<ul><li>(1990) {link(1, 'a')}<li>(1991)</b> {link(2, 'b')}<br>(1992)</ul>(1993) {link(3, 'c')}<!-- (1994) --><script>(1995)</script>"
+    assert said(spark, html) == [("1990", "a"), ("1991", "b"), ("1990", "c")]
+    # a link within a link, an entity, a text without strings, one without a path
+    html = f'<p>Proposition&nbsp;12&lt;{link(1, "o" + link(2, "i"))}</p>{link(3, " ")}<a href>z</a><a>y</a>'
+    assert said(spark, html) == [("Unknown", "Proposition 12: oi"), ("Unknown", "i")]
+    # a number that goes on in the next element
+    assert said(spark, f"<p><i>Proposition 1{link(4, 'q')}</i>6</p>") == [("Unknown", "Proposition 1: q")] and said(spark, "") == said(spark, "<<a <b") == []
+
+
+def test_a_page_of_many_links(spark):
+    import time
+    import tracemalloc
+
+    from tallymark.sources.nesting import repository_links
+
+    html = "".join(f'<li>Proposition {i} (19{i % 100:02d}) <a href="/repo/ca_ballot_props/{i}">x{i}</a>' for i in range(50_000))
+    tracemalloc.start()
+    start = time.perf_counter()
+    got = repository_links(html, "/ca_ballot_props/", 3, 10**9)
+    peak, took = tracemalloc.get_traced_memory()[1], time.perf_counter() - start
+    tracemalloc.stop()
+    assert len(got) == 50_000 and got[7][3:] == ("x7", "1907", "7") and peak < 30 * len(html) and took < 60
+    assert len(said(spark, html)) == 50
 
 
 def test_each_file_has_its_own_encoding(spark, tmp_path):
