@@ -113,17 +113,26 @@ def upsert(existing: DataFrame, incoming: DataFrame, as_of: str) -> DataFrame:
     Rows of a batch that share a fingerprint count once, the first by id."""
     existing = settled(existing)
     found = settled(sorted_in(existing, incoming))
+    return updated(existing, found, as_of).unionByName(coming_in(existing.columns, found), allowMissingColumns=True)
+
+
+def updated(existing: DataFrame, found: DataFrame, as_of: str) -> DataFrame:
+    """Rows of the table with what a sorted batch has for them."""
     stay = {"id", "fingerprint", "measure_fingerprint", "content_hash", "created_at", "update_count", "is_active", "is_duplicate", "duplicate_type", "master_id"}
-    fields = [c for c in existing.columns if c in incoming.columns and c not in stay]
+    fields = [c for c in existing.columns if c in found.columns and c not in stay]
     news = found.where("fate = 'updated'").select(F.col("matched_id").alias("id"), F.struct(*fields).alias("new"))
     joined = existing.join(news, "id", "left")
     hit = F.col("new").isNotNull()
     values = {c: F.coalesce(F.col(f"new.{c}"), F.col(c)).alias(c) for c in fields}
     if "updated_at" in existing.columns:
         values["updated_at"] = F.when(hit, F.lit(as_of).cast(existing.schema["updated_at"].dataType)).otherwise(F.col("updated_at")).alias("updated_at")
-    updated = joined.select([values.get(c, F.col(c)) if c != "update_count" else (F.col(c) + hit.cast("int")).alias(c) for c in existing.columns])
+    return joined.select([values.get(c, F.col(c)) if c != "update_count" else (F.col(c) + hit.cast("int")).alias(c) for c in existing.columns])
+
+
+def coming_in(columns: list[str], found: DataFrame) -> DataFrame:
+    """The rows of a sorted batch that are new to the table."""
     fresh = found.where("fate <> 'updated'").withColumns({"duplicate_type": F.col("kind"), "master_id": F.col("master"), "is_duplicate": F.col("kind").isNotNull()})
-    return updated.unionByName(fresh.select([c for c in existing.columns if c in fresh.columns]), allowMissingColumns=True)
+    return fresh.select([c for c in columns if c in fresh.columns])
 
 
 def insert(existing: DataFrame, incoming: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -12,7 +12,7 @@ from tallymark.functions import keys, values
 from tallymark.operators import dedup, enrich, filters, match, project, search, stats, textindex, upsert
 from tallymark.plans import sql
 from tallymark.schema import add_missing, conform, missing_columns
-from tallymark.sources import facade, files, pages, sinks, tables, workbook
+from tallymark.sources import facade, files, measuretable, pages, sinks, tables, workbook
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -540,6 +540,50 @@ def insert_result(spark: SparkSession, d: str) -> DataFrame:
     return ids(upsert.insert(*batch(spark, d))[0], "title")
 
 
+def stored(spark: SparkSession, rows: DataFrame, steps: Callable[[measuretable.MeasureTable], DataFrame]) -> DataFrame:
+    """What steps on a stored table of some rows give."""
+    return files.through_folder(spark, lambda folder: steps(measuretable.MeasureTable.create(spark, folder, dedup.first_wins(rows), 16)))
+
+
+@query
+def table_upsert(spark: SparkSession, d: str) -> DataFrame:
+    """The stored table after a batch."""
+    old, new = batch(spark, d)
+
+    def go(table: measuretable.MeasureTable) -> DataFrame:
+        table.upsert(new, AS_OF)
+        return table.read().select("id", "yes_votes", "update_count", "is_duplicate", "duplicate_type", "master_id")
+
+    return stored(spark, old, go)
+
+
+@query
+def table_insert(spark: SparkSession, d: str) -> DataFrame:
+    """The stored table after rows with new fingerprints came in, and how many there were of each version."""
+    old, new = batch(spark, d)
+
+    def go(table: measuretable.MeasureTable) -> DataFrame:
+        table.insert(new)
+        return table.read().select("id", "title", F.lit("after").alias("version")).unionByName(table.read(1).select("id", "title", F.lit("before").alias("version")))
+
+    return stored(spark, old, go)
+
+
+@query
+def table_restore(spark: SparkSession, d: str) -> DataFrame:
+    """A column more, an update by id, another that is taken back."""
+    m = facade.keyed(spark, d).withColumn("update_count", F.lit(1))
+
+    def go(table: measuretable.MeasureTable) -> DataFrame:
+        table.add_column("reviewed", "string", "no")
+        table.update(m.where("id % 6 = 0").select("id", F.lit("New").alias("title"), F.lit("yes").alias("reviewed")), AS_OF)
+        table.update(m.where("id % 4 = 0").select("id", F.lit("Lost").alias("title")), AS_OF)
+        table.restore(3)
+        return table.read().select("id", "title", "reviewed", "update_count")
+
+    return stored(spark, m, go)
+
+
 @query
 def update_by_id(spark: SparkSession, d: str) -> DataFrame:
     m = facade.measures(spark, d).withColumn("update_count", F.lit(1))

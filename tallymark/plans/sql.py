@@ -152,6 +152,7 @@ fc AS (SELECT content_hash, id AS bc FROM rounds WHERE state = 'master'), fm AS
 near AS (SELECT f.*, CASE WHEN bc < id THEN bc END AS ec, CASE WHEN bm < id THEN bm END AS em FROM sorted_in f LEFT JOIN fc USING (content_hash) LEFT JOIN fm USING (measure_fingerprint) WHERE match_type <> 'exact'),
 kinds AS (SELECT *, CASE WHEN match_type = 'content' THEN 'content' WHEN ec IS NOT NULL THEN 'content' WHEN match_type = 'cross_source' THEN 'cross_source' WHEN em IS NOT NULL THEN 'cross_source' END AS kind,
  CASE WHEN match_type = 'content' THEN matched_id WHEN ec IS NOT NULL THEN ec WHEN match_type = 'cross_source' THEN matched_id ELSE em END AS mid FROM near)"""
+ONCE = ("existing AS (SELECT * FROM keyed WHERE id % 3 <> 0)", "existing AS (SELECT * FROM keyed WHERE id % 3 <> 0 QUALIFY row_number() OVER (PARTITION BY fingerprint ORDER BY id) = 1)")
 FILE_STATS = f"SELECT data_source, count(*) AS measures, count(DISTINCT measure_id) AS ids, count(DISTINCT county) AS counties, {N_IF('yes_votes IS NOT NULL')} AS with_votes, {percent(N_IF('passed = 1'), N_IF('passed IS NOT NULL'), 1000)} AS pass_rate FROM measures GROUP BY 1"
 ORACLES: dict[str, str] = {
     "yearly_stats": m(f"SELECT year, count(*) AS total_measures, count(DISTINCT county) AS counties, {N_IF('passed = 1')} AS passed, {N_IF('passed = 0')} AS failed, {N_IF('has_summary')} AS with_summaries, {N_IF('yes_votes IS NOT NULL')} AS with_votes, floor(avg(percent_yes) * 10.0 + 0.5) / 10.0 AS avg_percent_yes FROM measures WHERE {ACTIVE} GROUP BY year"),
@@ -213,6 +214,11 @@ ORACLES: dict[str, str] = {
  FROM existing e LEFT JOIN (SELECT * FROM sorted_in WHERE match_type = 'exact') s ON s.matched_id = e.id
  UNION ALL SELECT id, title, yes_votes, CAST(0 AS INTEGER), kind IS NOT NULL, kind, mid FROM kinds""", UPSERTED),
     "upsert_counts": b(f"SELECT (SELECT count(*) FROM kinds WHERE kind IS NULL) AS inserted, {N_IF('match_type = ' + repr('exact'))} AS updated, (SELECT count(*) FROM kinds WHERE kind IS NOT NULL) AS duplicates, (SELECT count(*) FROM incoming) - count(*) AS repeated FROM sorted_in", UPSERTED),
+    # the stored table holds each fingerprint once, the first
+    "table_upsert": b("""SELECT e.id, coalesce(s.yes_votes, e.yes_votes) AS yes_votes, CAST(CASE WHEN s.id IS NULL THEN 0 ELSE 1 END AS INTEGER) AS update_count, e.is_duplicate, e.duplicate_type, CAST(NULL AS BIGINT) AS master_id
+ FROM existing e LEFT JOIN (SELECT * FROM sorted_in WHERE match_type = 'exact') s ON s.matched_id = e.id UNION ALL SELECT id, yes_votes, CAST(0 AS INTEGER), kind IS NOT NULL, kind, mid FROM kinds""", UPSERTED).replace(*ONCE),
+    "table_insert": b("SELECT id, title, 'before' AS version FROM existing UNION ALL SELECT id, title, 'after' FROM existing UNION ALL SELECT id, title, 'after' FROM (SELECT * FROM incoming QUALIFY row_number() OVER (PARTITION BY fingerprint ORDER BY id) = 1) WHERE fingerprint NOT IN (SELECT fingerprint FROM existing)").replace(*ONCE),
+    "table_restore": k("SELECT id, CASE WHEN id % 6 = 0 THEN 'New' ELSE title END AS title, CASE WHEN id % 6 = 0 THEN 'yes' ELSE 'no' END AS reviewed, CAST(1 + (id % 6 = 0)::INTEGER AS INTEGER) AS update_count FROM keyed QUALIFY row_number() OVER (PARTITION BY fingerprint ORDER BY id) = 1"),
     "change_audit": b(" UNION ALL ".join(f"SELECT oid AS measure_id, '{c}' AS field_name, CAST(o_{c} AS VARCHAR) AS old_value, CAST(n_{c} AS VARCHAR) AS new_value, n_data_source AS update_source FROM pairs WHERE n_{c} IS NOT NULL AND o_{c} IS DISTINCT FROM n_{c}" for c in WATCHED), PAIRS),
     "known_summary_join": k(f"SELECT * FROM (SELECT id, {key_of(NAMING)} AS measure_key, CASE {key_of(NAMING)} WHEN 'ACA 13' THEN 'Protect and Retain the Majority Vote Act' WHEN 'SCA 1' THEN 'Recall Process Reform' END AS summary_title FROM need WHERE {NEED}) WHERE summary_title IS NOT NULL", NEED_TABLE),
     "add_known_summary": m(f"SELECT id, has_summary OR t IS NOT NULL AS has_summary, t AS summary_title FROM (SELECT id, has_summary, CASE WHEN {ACTIVE} AND NOT has_summary THEN CASE {key_of(NAMING)} WHEN 'ACA 13' THEN 'Protect and Retain the Majority Vote Act' WHEN 'SCA 1' THEN 'Recall Process Reform' WHEN 'ACA 7' THEN 'Seven' END END AS t FROM measures)"),
