@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallymark.functions import keys, values
-from tallymark.operators import dedup, enrich, filters, match, project, search, stats, textindex, upsert
+from tallymark.operators import dedup, enrich, filters, kept, likeness, match, project, search, stats, textindex, upsert
 from tallymark.plans import sql
 from tallymark.schema import add_missing, conform, missing_columns
 from tallymark.sources import facade, files, measuretable, pages, sinks, tables, workbook
@@ -99,6 +99,47 @@ QUERIES |= {
 }
 
 
+CONTENT = ("title", "ballot_question", "description")
+
+
+@query
+def content_likeness(spark: SparkSession, d: str) -> DataFrame:
+    """Each measure with words, its class of equal sets of words, and how many other classes share 80 of 100 words with it."""
+    return likeness.alike(facade.measures(spark, d).where("NOT is_duplicate"), "id", F.concat_ws(" ", *CONTENT))
+
+
+@query
+def content_likeness_pairs(spark: SparkSession, d: str) -> DataFrame:
+    _, found = likeness.classes(facade.measures(spark, d).where("NOT is_duplicate"), "id", F.concat_ws(" ", *CONTENT))
+    return likeness.pairs(found).select("a", "b", values.rounded(F.col("likeness"), 6).alias("likeness"))
+
+
+def kept_state(spark: SparkSession, d: str) -> DataFrame:
+    """Statistics of the measures that are there, after a batch: what it changed is taken away and added, nothing is counted anew."""
+    old, new = batch(spark, d)
+    found = files.settled(upsert.sorted_in(old, new))
+    were = old.join(found.where("fate = 'updated'").select(F.col("matched_id").alias("id")), "id", "left_semi")
+    are = upsert.updated(were, found, AS_OF).unionByName(upsert.coming_in(old.columns, found), allowMissingColumns=True)
+    return kept.changed(kept.state_of(old), were, are)
+
+
+@query
+def kept_yearly(spark: SparkSession, d: str) -> DataFrame:
+    return kept.yearly(kept_state(spark, d))
+
+
+@query
+def kept_overall(spark: SparkSession, d: str) -> DataFrame:
+    return kept.overall(kept_state(spark, d))
+
+
+@query
+def kept_counts(spark: SparkSession, d: str) -> DataFrame:
+    state = kept_state(spark, d)
+    every = [kept.count_by(state, c).select(F.lit(c).alias("column"), F.col(c).cast("string").alias("value"), "n") for c in ("year", "county", "data_source", "topic_primary")]
+    return tables.total_of(*every)
+
+
 @query
 def new_measures(spark: SparkSession, d: str) -> DataFrame:
     return ids(upsert.new_measures(*batch(spark, d)))

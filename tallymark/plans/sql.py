@@ -153,6 +153,13 @@ near AS (SELECT f.*, CASE WHEN bc < id THEN bc END AS ec, CASE WHEN bm < id THEN
 kinds AS (SELECT *, CASE WHEN match_type = 'content' THEN 'content' WHEN ec IS NOT NULL THEN 'content' WHEN match_type = 'cross_source' THEN 'cross_source' WHEN em IS NOT NULL THEN 'cross_source' END AS kind,
  CASE WHEN match_type = 'content' THEN matched_id WHEN ec IS NOT NULL THEN ec WHEN match_type = 'cross_source' THEN matched_id ELSE em END AS mid FROM near)"""
 ONCE = ("existing AS (SELECT * FROM keyed WHERE id % 3 <> 0)", "existing AS (SELECT * FROM keyed WHERE id % 3 <> 0 QUALIFY row_number() OVER (PARTITION BY fingerprint ORDER BY id) = 1)")
+WORDY = f"""wordy AS (SELECT id, list_sort(list_distinct({FOLDED("concat_ws(' ', title, ballot_question, description)")})) AS said FROM measures WHERE NOT is_duplicate),
+classes AS (SELECT said, min(id) AS class_id FROM wordy WHERE len(said) > 0 GROUP BY said),
+close_ones AS (SELECT a.class_id AS a, b.class_id AS b, len(list_intersect(a.said, b.said)) AS common, len(a.said) + len(b.said) AS both_sizes FROM classes a JOIN classes b ON a.class_id < b.class_id),
+likes AS (SELECT a, b, CAST(common AS DOUBLE) / (both_sizes - common) AS likeness FROM close_ones WHERE 5 * common >= 4 * (both_sizes - common))"""
+KEPT_FIELDS = ["year", "county", "data_source", "topic_primary", "passed", "has_summary", "yes_votes", "percent_yes"]
+AFTER = f"""after AS (SELECT {', '.join(f'coalesce(s.{c}, e.{c}) AS {c}' for c in KEPT_FIELDS)}, e.is_active, e.is_duplicate FROM existing e LEFT JOIN (SELECT * FROM sorted_in WHERE match_type = 'exact') s ON s.matched_id = e.id
+ UNION ALL SELECT {', '.join(KEPT_FIELDS)}, is_active, kind IS NOT NULL FROM kinds)"""
 FILE_STATS = f"SELECT data_source, count(*) AS measures, count(DISTINCT measure_id) AS ids, count(DISTINCT county) AS counties, {N_IF('yes_votes IS NOT NULL')} AS with_votes, {percent(N_IF('passed = 1'), N_IF('passed IS NOT NULL'), 1000)} AS pass_rate FROM measures GROUP BY 1"
 ORACLES: dict[str, str] = {
     "yearly_stats": m(f"SELECT year, count(*) AS total_measures, count(DISTINCT county) AS counties, {N_IF('passed = 1')} AS passed, {N_IF('passed = 0')} AS failed, {N_IF('has_summary')} AS with_summaries, {N_IF('yes_votes IS NOT NULL')} AS with_votes, floor(avg(percent_yes) * 10.0 + 0.5) / 10.0 AS avg_percent_yes FROM measures WHERE {ACTIVE} GROUP BY year"),
@@ -206,6 +213,11 @@ ORACLES: dict[str, str] = {
     "csv_rows": m("SELECT id, year || ',' || county || ',' || coalesce(title, '') || ',' || coalesce(description, '') AS line FROM measures"),
     "schema_conform": m("SELECT id, year, has_summary, CAST(0 AS INTEGER) AS update_count, state, is_active, true AS no_merge FROM measures"),
     "schema_drift": m("SELECT id, 'CA' AS state, true AS is_active, CAST(22 AS INTEGER) AS n_missing FROM measures"),
+    "content_likeness": on("SELECT id, class_id, CAST((SELECT count(*) FROM likes WHERE a = class_id OR b = class_id) AS BIGINT) AS links FROM wordy JOIN classes USING (said)", WORDY),
+    "content_likeness_pairs": on("SELECT a, b, floor(likeness * 1000000.0 + 0.5) / 1000000.0 AS likeness FROM likes", WORDY),
+    "kept_yearly": b(f"SELECT year, count(*) AS total_measures, count(DISTINCT county) AS counties, {N_IF('passed = 1')} AS passed, {N_IF('passed = 0')} AS failed, {N_IF('has_summary')} AS with_summaries, {N_IF('yes_votes IS NOT NULL')} AS with_votes, floor(CAST(sum(CAST(round(percent_yes * 100) AS BIGINT)) AS DOUBLE) / (count(percent_yes) * 100) * 10.0 + 0.5) / 10.0 AS avg_percent_yes FROM after WHERE {ACTIVE} GROUP BY year", UPSERTED, AFTER),
+    "kept_overall": b(OVERALL.replace("FROM measures", "FROM after"), UPSERTED, AFTER),
+    "kept_counts": b(" UNION ALL ".join(f"SELECT '{c}' AS \"column\", CAST({c} AS VARCHAR) AS value, count(*) AS n FROM after WHERE {ACTIVE} AND {c} IS NOT NULL GROUP BY {c}" for c in ("year", "county", "data_source", "topic_primary")), UPSERTED, AFTER),
     "new_measures": b("SELECT id FROM incoming i WHERE NOT EXISTS (SELECT 1 FROM existing e WHERE e.fingerprint = i.fingerprint) AND NOT EXISTS (SELECT 1 FROM existing e WHERE NOT e.is_duplicate AND e.content_hash = i.content_hash)"),
     "classify_batch": b("SELECT id, match_type, matched_id FROM classified"),
     "potential_updates": b("SELECT * FROM updates", PAIRS, UPDATES),
