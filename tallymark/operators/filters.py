@@ -82,12 +82,13 @@ SORTS = {
     "year-desc": lambda: [F.coalesce(F.col("year"), F.lit(0)).desc()],
     "year-asc": lambda: [F.coalesce(F.col("year"), F.lit(0)).asc()],
     "title": lambda: [F.coalesce(filled("title"), filled("ballot_question"), F.lit("")).asc()],
+    "title-locale": lambda: [F.collate(F.coalesce(filled("title"), filled("ballot_question"), F.lit("")), "en").asc()],
     "votes": lambda: [F.coalesce(F.col("total_votes"), F.lit(0)).desc()],
 }
 
 
 def sort(df: DataFrame, by: str) -> DataFrame:
-    """One of SORTS, missing as 0 or empty; titles by their bytes; ids break ties."""
+    """One of SORTS, missing as 0 or empty; titles by their bytes, or as English orders them (title-locale); ids break ties."""
     return df.orderBy(*SORTS[by](), "id")
 
 

@@ -82,25 +82,25 @@ def new_measures(existing: DataFrame, incoming: DataFrame) -> DataFrame:
     return incoming.join(existing.select("fingerprint"), "fingerprint", "left_anti").join(live.select("content_hash"), "content_hash", "left_anti").select(incoming.columns)
 
 
-def matched(existing: DataFrame, incoming: DataFrame) -> DataFrame:
-    """(old, new) structs of incoming rows with an exact or content match."""
-    found = classify(existing, incoming).where(F.col("match_type").isin("exact", "content"))
+def matched(existing: DataFrame, incoming: DataFrame, found: DataFrame | None = None) -> DataFrame:
+    """(old, new) structs of incoming rows with an exact or content match. found: the classified rows, if they are known."""
+    found = (classify(existing, incoming) if found is None else found).where(F.col("match_type").isin("exact", "content"))
     new = found.select("matched_id", F.struct(*incoming.columns).alias("new"))
     old = existing.select(F.col("id").alias("matched_id"), F.struct(*existing.columns).alias("old"))
     return new.join(old, "matched_id")
 
 
-def potential_updates(existing: DataFrame, incoming: DataFrame, fields: list[str] | None = None) -> DataFrame:
+def potential_updates(existing: DataFrame, incoming: DataFrame, fields: list[str] | None = None, found: DataFrame | None = None) -> DataFrame:
     """new id, old id, whether it has new data, whether it would bring a summary or a document."""
-    pairs = matched(existing, incoming)
+    pairs = matched(existing, incoming, found)
     return pairs.select(F.col("new.id").alias("id"), F.col("matched_id").alias("old_id"), has_new_data("old", "new", fields or WATCHED).alias("has_new_data"), would_update("old", "new").alias("would_update"))
 
 
 def check_updates(existing: DataFrame, incoming: DataFrame) -> DataFrame:
-    """New, updated and unchanged rows of each source and, with a null source, in all."""
-    kinds = classify(existing, incoming).select("id", "data_source", "match_type")
-    flags = potential_updates(existing, incoming).select("id", "has_new_data")
-    got = kinds.join(flags, "id", "left")
+    """New, updated and unchanged rows of each source and, with a null source, in all. The batch is classified once."""
+    found = settled(classify(existing, incoming))
+    flags = potential_updates(existing, incoming, found=found).select("id", "has_new_data")
+    got = found.select("id", "data_source", "match_type").join(flags, "id", "left")
     known = F.col("match_type").isin("exact", "content")
     return got.rollup("data_source").agg(
         F.count_if(~known).alias("new"), F.count_if(known & F.coalesce("has_new_data", F.lit(False))).alias("updates"), F.count_if(known & ~F.coalesce("has_new_data", F.lit(False))).alias("unchanged"),
@@ -139,9 +139,10 @@ def insert(existing: DataFrame, incoming: DataFrame) -> tuple[DataFrame, DataFra
     """(the table with the new rows, the conflicts): a fingerprint is there once. Rows whose fingerprint is there already, or in
     an earlier row of the batch, don't come in; the conflicts name them and the row that was first. Rows without a
     fingerprint conflict with nothing."""
+    incoming = settled(incoming)
     first = _key_map(existing, "fingerprint", "there").unionByName(_key_map(incoming, "fingerprint", "there").withColumn("_new", F.lit(1)), allowMissingColumns=True)
     first = first.groupBy(F.col("_there").alias("_key")).agg(F.min_by("there", F.coalesce("_new", F.lit(0))).alias("kept_id"), F.min(F.coalesce("_new", F.lit(0))).alias("_new"))
-    met = incoming.join(first, incoming["fingerprint"] == first["_key"], "left")
+    met = settled(incoming.join(first, incoming["fingerprint"] == first["_key"], "left"))
     clash = F.coalesce((F.col("_new") == 0) | (F.col("kept_id") != F.col("id")), F.lit(False))
     conflicts = met.where(clash).select("id", "fingerprint", "kept_id", F.concat(F.lit("Measure already exists: "), "fingerprint").alias("message"))
     fresh = met.where(~clash).select([c for c in existing.columns if c in incoming.columns])
@@ -177,11 +178,19 @@ def rejects(df: DataFrame) -> DataFrame:
     return df.where(F.col("year").isNull() | (F.coalesce("data_source", F.lit("")) == ""))
 
 
-def change_audit(existing: DataFrame, incoming: DataFrame, fields: list[str] | None = None, source: Column | None = None) -> DataFrame:
-    """A row for each field that an exact match changes: measure_id, field_name, old_value, new_value, update_source."""
-    fields = fields or WATCHED
-    pairs = matched(existing, incoming)
+def kept(df: DataFrame) -> DataFrame:
+    """The others."""
+    return df.where(F.col("year").isNotNull() & (F.coalesce("data_source", F.lit("")) != ""))
+
+
+def changes_of(pairs: DataFrame, fields: list[str], source: Column) -> DataFrame:
+    """A row for each of the fields that differs in pairs (matched_id, old, new) and has a new value."""
     text = lambda side, f: F.col(f"{side}.{f}").cast("string")
     changes = F.explode(F.array(*[F.struct(F.lit(f).alias("field_name"), text("old", f).alias("old_value"), text("new", f).alias("new_value")) for f in fields]))
-    rows = pairs.select(F.col("matched_id").alias("measure_id"), (source if source is not None else F.col("new.data_source")).alias("update_source"), changes.alias("c"))
+    rows = pairs.select(F.col("matched_id").alias("measure_id"), source.alias("update_source"), changes.alias("c"))
     return rows.select("measure_id", "c.field_name", "c.old_value", "c.new_value", "update_source").where("new_value IS NOT NULL AND NOT (old_value <=> new_value)")
+
+
+def change_audit(existing: DataFrame, incoming: DataFrame, fields: list[str] | None = None, source: Column | None = None) -> DataFrame:
+    """A row for each field that an exact match changes: measure_id, field_name, old_value, new_value, update_source."""
+    return changes_of(matched(existing, incoming), fields or WATCHED, source if source is not None else F.col("new.data_source"))

@@ -74,6 +74,8 @@ QUERIES |= {
     "sort_title": over(lambda m: ids(filters.sort(m, "title").limit(40))),
     "sort_votes_all": over(lambda m: ids(filters.sort(m, "votes"))),
     "sort_title_all": over(lambda m: ids(filters.sort(m, "title"))),
+    "sort_title_locale": over(lambda m: ids(filters.sort(m.withColumn("title", F.when(F.col("id") % 5 == 1, F.lower("title")).when(F.col("id") % 5 == 2, F.replace("title", F.lit("a"), F.lit("\u00e4"))).otherwise(F.col("title"))), "title-locale"))),
+    "site_state": over(lambda m: sinks.site_state(m.where("is_active"), datetime(2001, 7, 1))),
     "featured_split": over(lambda m: ids(filters.featured(filters.active(m)), "featured")),
     "get_measure": over(lambda m: m.where("id = 7").select("id", "title", "year")),
     "measure_identifier": over(lambda m: ids(m, "identifier"), keyed=True),
@@ -610,6 +612,34 @@ def table_insert(spark: SparkSession, d: str) -> DataFrame:
     return stored(spark, old, go)
 
 
+@query
+def table_run(spark: SparkSession, d: str) -> DataFrame:
+    """A batch, some of whose rows lack a source, taken in as a logged run: its entry beside the audit of what it changed."""
+    old, new = batch(spark, d)
+    new = new.withColumn("data_source", F.when(F.col("id") % 10 == 3, "").otherwise(F.col("data_source")))
+
+    def go(folder: str) -> DataFrame:
+        table = measuretable.MeasureTable.create(spark, f"{folder}/table", dedup.first_wins(old), 16)
+        sinks.update_run(table, new, f"{folder}/log", "r", AS_OF, datetime(2024, 1, 1))
+        log = sinks.last_state(spark.read.parquet(f"{folder}/log"))
+        entry = log.select(F.expr("stack(4, 'checked', measures_checked, 'inserted', new_measures, 'updated', updated_measures, 'duplicates', duplicates_found)").alias("part", "n"), "status")
+        audit = table.audit().groupBy(F.concat(F.lit("audit "), "field_name").alias("part")).agg(F.count("*").alias("n")).withColumn("status", F.lit(None).cast("string"))
+        return entry.select("part", "n", "status").unionByName(audit.select("part", "n", "status"))
+
+    return files.through_folder(spark, go)
+
+
+@query
+def raw_scrape(spark: SparkSession, d: str) -> DataFrame:
+    """A raw scrape in a place named by its source and the time, read back."""
+
+    def go(folder: str) -> DataFrame:
+        path = sinks.raw_scrape(facade.measures(spark, d).select("id", "title"), folder, "CA SOS", datetime(2024, 2, 3, 4, 5, 6))
+        return spark.read.schema("id long, title string").json(path).withColumn("name", F.lit(path.removeprefix(folder)))
+
+    return files.through_folder(spark, go)
+
+
 @query
 def table_restore(spark: SparkSession, d: str) -> DataFrame:
     """A column more, an update by id, another that is taken back."""

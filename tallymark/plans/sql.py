@@ -190,6 +190,9 @@ ORACLES: dict[str, str] = {
     "sort_title": m(f"SELECT id FROM measures ORDER BY {NAMING}, id LIMIT 40"),
     "sort_votes_all": m("SELECT id FROM measures ORDER BY coalesce(total_votes, 0) DESC, id"),
     "sort_title_all": m(f"SELECT id FROM measures ORDER BY {NAMING}, id"),
+    "sort_title_locale": m("SELECT id FROM (SELECT id, CASE WHEN id % 5 = 1 THEN lower(title) WHEN id % 5 = 2 THEN replace(title, 'a', '\u00e4') ELSE title END AS title, ballot_question FROM measures) ORDER BY coalesce(nullif(title, ''), nullif(ballot_question, ''), '') COLLATE en, id"),
+    "site_state": m("SELECT strftime(CAST(max(updated_at) AS TIMESTAMP), '%Y-%m-%dT%H:%M:%S') AS data_changed, max(updated_at) > TIMESTAMP '2001-07-01' AS stale FROM measures WHERE is_active"),
+    "raw_scrape": m("SELECT id, title, '/CA_SOS_20240203_040506' AS name FROM measures"),
     "featured_split": m(f"SELECT id, row_number() OVER (ORDER BY year DESC NULLS LAST, id) <= 5 AS featured FROM measures WHERE {ACTIVE}"),
     "get_measure": m("SELECT id, title, year FROM measures WHERE id = 7"),
     "measure_identifier": k("SELECT id, identifier FROM keyed"),
@@ -230,6 +233,8 @@ ORACLES: dict[str, str] = {
     "table_upsert": b("""SELECT e.id, coalesce(s.yes_votes, e.yes_votes) AS yes_votes, CAST(CASE WHEN s.id IS NULL THEN 0 ELSE 1 END AS INTEGER) AS update_count, e.is_duplicate, e.duplicate_type, CAST(NULL AS BIGINT) AS master_id
  FROM existing e LEFT JOIN (SELECT * FROM sorted_in WHERE match_type = 'exact') s ON s.matched_id = e.id UNION ALL SELECT id, yes_votes, CAST(0 AS INTEGER), kind IS NOT NULL, kind, mid FROM kinds""", UPSERTED).replace(*ONCE),
     "table_insert": b("SELECT id, title, 'before' AS version FROM existing UNION ALL SELECT id, title, 'after' FROM existing UNION ALL SELECT id, title, 'after' FROM (SELECT * FROM incoming QUALIFY row_number() OVER (PARTITION BY fingerprint ORDER BY id) = 1) WHERE fingerprint NOT IN (SELECT fingerprint FROM existing)").replace(*ONCE),
+    "table_run": b("SELECT 'checked' AS part, count(*) AS n, 'completed_with_errors' AS status FROM asked UNION ALL SELECT 'inserted', count(*), 'completed_with_errors' FROM kinds WHERE kind IS NULL UNION ALL SELECT 'updated', count(*), 'completed_with_errors' FROM sorted_in WHERE match_type = 'exact' UNION ALL SELECT 'duplicates', count(*), 'completed_with_errors' FROM kinds WHERE kind IS NOT NULL"
+                  + "".join(f" UNION ALL SELECT 'audit {c}', count(*), NULL FROM news WHERE n_{c} IS NOT NULL AND o_{c} IS DISTINCT FROM n_{c} HAVING count(*) > 0" for c in WATCHED), UPSERTED, "news AS (SELECT " + ", ".join(f"n.{c} AS n_{c}, o.{c} AS o_{c}" for c in WATCHED) + " FROM sorted_in n JOIN existing o ON o.id = n.matched_id WHERE match_type = 'exact')").replace(*ONCE).replace("), incoming AS (", "), asked AS (", 1).replace("by_print AS (", "incoming AS (SELECT * FROM asked WHERE id % 10 <> 3), by_print AS (", 1),
     "table_restore": k("SELECT id, CASE WHEN id % 6 = 0 THEN 'New' ELSE title END AS title, CASE WHEN id % 6 = 0 THEN 'yes' ELSE 'no' END AS reviewed, CAST(1 + (id % 6 = 0)::INTEGER AS INTEGER) AS update_count FROM keyed QUALIFY row_number() OVER (PARTITION BY fingerprint ORDER BY id) = 1"),
     "change_audit": b(" UNION ALL ".join(f"SELECT oid AS measure_id, '{c}' AS field_name, CAST(o_{c} AS VARCHAR) AS old_value, CAST(n_{c} AS VARCHAR) AS new_value, n_data_source AS update_source FROM pairs WHERE n_{c} IS NOT NULL AND o_{c} IS DISTINCT FROM n_{c}" for c in WATCHED), PAIRS),
     "known_summary_join": k(f"SELECT * FROM (SELECT id, {key_of(NAMING)} AS measure_key, CASE {key_of(NAMING)} WHEN 'ACA 13' THEN 'Protect and Retain the Majority Vote Act' WHEN 'SCA 1' THEN 'Recall Process Reform' END AS summary_title FROM need WHERE {NEED}) WHERE summary_title IS NOT NULL", NEED_TABLE),

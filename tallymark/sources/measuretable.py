@@ -116,15 +116,29 @@ class MeasureTable:
 
     def upsert(self, incoming: DataFrame, as_of: str) -> DataFrame:
         """Takes in a batch as batches.upsert() does; what became of its rows. The whole table is read for its keys alone; rows
-        are read and written in the buckets of updated rows."""
+        are read and written in the buckets of updated rows. What the updates change is written to the audit in the same step."""
         keys = self.read(columns=["id", "is_duplicate", *batches.KEYS.values()])
         found = settled(batches.sorted_in(keys, incoming))
         hit = self.touched(keys.join(found.where("fate = 'updated'").select(F.col("matched_id").alias("id")), "id", "left_semi"))
         new = batches.coming_in([c[0] for c in self.state["columns"]], found)
-        both = batches.updated(self.read(buckets=hit), found, as_of).unionByName(new, allowMissingColumns=True) if hit else new
-        self.commit("upsert", self.written(both), hit)
+        if not hit:
+            self.commit("upsert", self.written(new), hit)
+            return found
+        old = self.read(buckets=hit)
+        pairs = found.where("fate = 'updated'").select("matched_id", F.struct(*incoming.columns).alias("new")).join(old.select(F.col("id").alias("matched_id"), F.struct(*old.columns).alias("old")), "matched_id")
+        audit = f"audit-{uuid.uuid4().hex}"
+        fields = [f for f in batches.WATCHED if f in old.columns and f in incoming.columns]
+        batches.changes_of(pairs, fields, F.col("new.data_source")).withColumn("updated_at", F.lit(as_of)).write.parquet(f"{self.folder}/{audit}")
+        both = batches.updated(old, found, as_of).unionByName(new, allowMissingColumns=True)
+        self.commit("upsert", self.written(both), hit, audit=[*self.state.get("audit", []), audit])
         return found
 
+    def audit(self) -> DataFrame:
+        """(measure_id, field_name, old_value, new_value, update_source, updated_at) of all updates so far."""
+        paths = [f"{self.folder}/{x}" for x in self.state.get("audit", [])]
+        schema = "measure_id long, field_name string, old_value string, new_value string, update_source string, updated_at string"
+        return self.spark.read.schema(schema).parquet(*paths) if paths else self.spark.createDataFrame([], schema)
+
     def add_column(self, name: str, kind: str, default=None) -> None:
         if name in [c[0] for c in self.state["columns"]]:
             raise ValueError(f"there is a column {name}")

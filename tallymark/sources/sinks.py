@@ -9,7 +9,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tallymark.functions.values import iso
+from tallymark.operators.upsert import kept, rejects
 from tallymark.sources import files
+from tallymark.sources.measuretable import MeasureTable
 
 EXPORT_LIMIT = 10_000
 
@@ -74,12 +77,43 @@ def log_run(spark, path: str, run_id: str, run_type: str, started: datetime, sta
     spark.createDataFrame([row | {c: counters.get(c, 0) for c in RUN_COUNTERS}], RUN).write.mode("append").parquet(path)
 
 
+def update_run(table: MeasureTable, incoming: DataFrame, log: str, run_id: str, as_of: str, now: datetime) -> dict[str, int]:
+    """Takes a batch into a stored table as one logged run: rows without a year or a source are errors and stay out. Inserted,
+    updated, duplicates and errors; a run with errors ends with `completed_with_errors`, one that breaks off with `failed`."""
+    spark = table.spark
+    log_run(spark, log, run_id, "update", now)
+    try:
+        checked, errors = incoming.count(), rejects(incoming).count()
+        fates = {r["fate"]: r["n"] for r in table.upsert(kept(incoming), as_of).groupBy("fate").agg(F.count("*").alias("n")).collect()}
+    except Exception as e:
+        log_run(spark, log, run_id, "update", now, "failed", now, str(e)[:500])
+        raise
+    out = {"inserted": fates.get("inserted", 0), "updated": fates.get("updated", 0), "duplicates": fates.get("duplicate", 0), "errors": errors}
+    status = "completed_with_errors" if errors else "success"
+    log_run(spark, log, run_id, "update", now, status, now, f"{errors} rows failed" if errors else None, measures_checked=checked, new_measures=out["inserted"], updated_measures=out["updated"], duplicates_found=out["duplicates"])
+    return out
+
+
 def last_state(log: DataFrame) -> DataFrame:
     """The last entry of each run: one of a run that goes on no longer, if there is one."""
     order = F.struct((F.col("status") != "running").alias("a"), F.coalesce("completed_at", "started_at").alias("b"))
     return log.groupBy("run_id").agg(F.max_by(F.struct(*[c for c in log.columns if c != "run_id"]), order).alias("r")).select("run_id", "r.*")
 
 
+def raw_scrape(df: DataFrame, folder: str, source: str, now: datetime) -> str:
+    """A raw scrape as JSON lines, in a place named by its source and the time."""
+    path = f"{folder}/{source.replace(' ', '_')}_{now:%Y%m%d_%H%M%S}"
+    json(df, path)
+    return path
+
+
+def site_state(df: DataFrame, built: datetime | None, force: bool = False) -> DataFrame:
+    """(data_changed, stale): the last change of the measures, and whether a site that was built then must be built again."""
+    changed = F.max(F.col("updated_at").cast("timestamp"))
+    stale = F.lit(True) if force or built is None else F.coalesce(changed > F.lit(built).cast("timestamp"), F.lit(False))
+    return df.agg(iso(changed).alias("data_changed"), stale.alias("stale"))
+
+
 def is_stale(data_changed: datetime, site_built: datetime | None, force: bool = False) -> bool:
     """Whether a site must be built again."""
     return force or site_built is None or data_changed > site_built

@@ -1,10 +1,12 @@
 """The stored measures table: what steps touch, what fails whole, and what comes back."""
 
+from datetime import datetime
+
 import pytest
 from pyspark.sql import functions as F
 from test_dedup import in_order, table
 
-from tallymark.sources import measuretable
+from tallymark.sources import measuretable, sinks
 from tallymark.sources.measuretable import Conflict, MeasureTable, NotUnique
 
 
@@ -72,3 +74,20 @@ def test_life(spark, tmp_path):
     assert empty.read().count() == 0
     empty.upsert(table(spark, rows(3)), "2020-01-01")
     assert empty.read().count() == 3
+
+
+def test_a_logged_run_and_its_audit(spark, tmp_path):
+    it, log = made(spark, tmp_path, 20), str(tmp_path / "log")
+    more = lambda df: df.withColumn("year", F.when(F.col("id") != 102, 2000))
+    batch = more(table(spark, [*rows(1, 3, id=103, data_source="CEDA", yes_votes=9, description="d"), *rows(1, 102, data_source="CEDA"), *rows(1, 104), *rows(1, 105, data_source="CEDA"), *rows(1, 106, content_hash="c1", data_source="X")]))
+    it.add_column("year", "int")
+    got = sinks.update_run(it, batch, log, "r", "2020-01-01", datetime(2024, 1, 1))
+    assert got == {"inserted": 1, "updated": 1, "duplicates": 1, "errors": 2}
+    assert sorted((r.measure_id, r.field_name, r.old_value, r.new_value, r.update_source) for r in it.audit().collect()) == [(3, "description", None, "d", "CEDA"), (3, "yes_votes", None, "9", "CEDA")]
+    last = sinks.last_state(spark.read.parquet(log)).first()
+    assert (last.status, last.measures_checked, last.new_measures, last.duplicates_found, last.completed_at) == ("completed_with_errors", 5, 1, 1, None)
+    with pytest.raises(Exception, match="fingerprint"):
+        sinks.update_run(it, batch.drop("fingerprint"), log, "s", "2020-01-01", datetime(2024, 1, 2))
+    assert {r.run_id: r.status for r in sinks.last_state(spark.read.parquet(log)).collect()} == {"r": "completed_with_errors", "s": "failed"}
+    it.upsert(more(table(spark, rows(1, 4, id=204, yes_votes=1, data_source="X"))), "2020-01-02")
+    assert MeasureTable(spark, str(tmp_path / "t")).audit().count() == 3

@@ -5,7 +5,7 @@ import pytest
 from tallymark.plans import catalog
 
 
-@pytest.mark.parametrize("name", ["sort_votes_all", "sort_title_all"])
+@pytest.mark.parametrize("name", ["sort_votes_all", "sort_title_all", "sort_title_locale"])
 def test_sorts_return_every_row_in_order(name, spark, data, duck):
     got = [r.id for r in catalog.queries()[name](spark, data).collect()]
     assert got == [r[0] for r in duck.sql(catalog.oracles()[name]).fetchall()]
