@@ -79,6 +79,10 @@ def labelled(docs: DataFrame, labels: DataFrame, label: str, rows: int = SAMPLE_
     return [(bytes(r["text"]), r["kind"]) for r in sorted(got, key=lambda r: (r["kind"], r["m"]))]
 
 
+#: Rows of a sample that are worked on at a time.
+BLOCK = 250
+
+
 class Rows:
     """Features of a sample's rows: of each row its nonzero columns, one row after the other."""
 
@@ -91,15 +95,27 @@ class Rows:
     def __getitem__(self, which: np.ndarray) -> Rows:
         return Rows([(self.at[self.first[i] : self.first[i + 1]], self.value[self.first[i] : self.first[i + 1]]) for i in which])
 
+    def blocks(self) -> Iterator[tuple[int, int, slice]]:
+        """Some rows at a time, and where their columns lie: what is worked out of all rows holds no copy of them."""
+        for k in range(0, self.n, BLOCK):
+            end = min(k + BLOCK, self.n)
+            yield k, end, slice(int(self.first[k]), int(self.first[end]))
+
     def dot(self, w: np.ndarray) -> np.ndarray:
-        out, some = np.zeros(self.n), np.flatnonzero(np.diff(self.first))
-        if len(some):
-            out[some] = np.add.reduceat(self.value * w.astype("f4")[self.at], self.first[some], dtype="f8")
+        out, own = np.zeros(self.n), w.astype("f4")
+        for k, end, part in self.blocks():
+            first = self.first[k : end + 1] - self.first[k]
+            some = np.flatnonzero(np.diff(first))
+            if len(some):
+                out[k + some] = np.add.reduceat(self.value[part] * own[self.at[part]], first[some], dtype="f8")
         return out
 
     def back(self, d: np.ndarray) -> np.ndarray:
         """The rows' sum with weights d."""
-        return np.bincount(self.at, weights=self.value * np.repeat(d.astype("f4"), np.diff(self.first)), minlength=COLUMNS)
+        out = np.zeros(COLUMNS)
+        for k, end, part in self.blocks():
+            out += np.bincount(self.at[part], weights=self.value[part] * np.repeat(d[k:end].astype("f4"), np.diff(self.first[k : end + 1])), minlength=COLUMNS)
+        return out
 
 
 def sparse(x: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:

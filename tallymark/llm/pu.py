@@ -139,6 +139,7 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = models.SAMPLE_ROWS, unla
     aside = np.arange(every.n) % models.ASIDE == models.ASIDE - 1
     aside[1] |= not aside.any()
     positive, held = every[np.flatnonzero(~aside)], every[np.flatnonzero(aside)]
+    del found, every  # the rows have been copied
     w, b = against(positive, some)
     prior = class_prior(held.dot(w) + b, models.histogram(docs, w, b))
     w, b, counts = minimise(positive, some, lambda w, b: models.softplus(docs, w, b), prior)
