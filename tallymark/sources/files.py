@@ -74,20 +74,15 @@ def shared_folder(spark: SparkSession) -> str:
 def through_folder(spark: SparkSession, make: Callable[[str], DataFrame]) -> DataFrame:
     """The rows of a frame that is made by way of files in a new folder: they are checkpointed, and the folder is removed."""
     folder = f"{shared_folder(spark)}/files-{uuid.uuid4().hex}"
-    if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(shared_folder(spark))
     try:
-        return make(folder).checkpoint(eager=True)
+        return settled(make(folder))
     finally:
         remove(spark, folder)
 
 
 def settled(df: DataFrame) -> DataFrame:
-    """What several joins read, written once where the session names a folder for checkpoints; else as it is."""
+    """What several joins or the next round read, written once to the shared folder."""
     context = df.sparkSession.sparkContext
-    named = context.getConf().get("spark.checkpoint.dir")
     if not context.getCheckpointDir():
-        if not named:
-            return df
-        context.setCheckpointDir(named)
+        context.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint(eager=True)
