@@ -5,6 +5,7 @@ texts' lengths, and the driver sees nonzero features alone. Fitting goes over th
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
@@ -19,7 +20,8 @@ from tallymark.llm.features import COLUMNS, STYLE, Texts
 
 #: Labelled rows of each class that a model is fitted on at most.
 SAMPLE_ROWS = 1000
-STEP_BYTES = 1 << 20
+#: The text of one step: what is worked out of it stays in a core's cache.
+STEP_BYTES = 1 << 18
 #: Rows whose crc32(doc_id as text) leaves this remainder modulo FOLDS are held out of all fitting.
 FOLDS, HELD_OUT = 5, 0
 #: Every so many-th row of a sample is set aside for calibration.
@@ -118,9 +120,17 @@ class Rows:
         return out
 
 
-def sparse(x: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
-    at = [np.flatnonzero(r) for r in x]
-    return [(a.astype("u2"), r[a]) for r, a in zip(x, at)]
+def packed(row: np.ndarray) -> bytes:
+    """A row's nonzero features, compressed: the driver holds all that are drawn at once, several times while it gets them."""
+    at = np.flatnonzero(row)
+    return zlib.compress(row[at].astype("<f4").tobytes() + np.diff(at, prepend=0).astype("<u2").tobytes(), 1)
+
+
+def unpacked(features: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """The columns and values of packed()."""
+    plain = zlib.decompress(features)
+    n = len(plain) // 6
+    return np.cumsum(np.frombuffer(plain, "<u2", n, 4 * n), dtype="u2"), np.frombuffer(plain, "<f4", n)
 
 
 def sample(docs: DataFrame, labels: DataFrame, label: str, rows: int = SAMPLE_ROWS, unlabelled: int = 0) -> dict[int, Rows]:
@@ -130,17 +140,17 @@ def sample(docs: DataFrame, labels: DataFrame, label: str, rows: int = SAMPLE_RO
         for part in slices(batches, "text", STEP_BYTES):
             for i in range(0, len(part), 100):
                 own = part.slice(i, 100)
-                got = sparse(Texts(own.column("text")).matrix())
-                yield pa.RecordBatch.from_arrays([own.column("kind"), own.column("m"), *(pa.array([x[k].tobytes() for x in got], pa.binary()) for k in (0, 1))], ["kind", "m", "at", "value"])
+                got = pa.array([packed(x) for x in Texts(own.column("text")).matrix()], pa.binary())
+                yield pa.RecordBatch.from_arrays([own.column("kind"), own.column("m"), got], ["kind", "m", "features"])
 
     def collected(least: bool) -> list:
-        return drawn(docs, labels, label, rows, unlabelled, least=least).mapInArrow(run, "kind int, m long, at binary, value binary").collect()
+        return drawn(docs, labels, label, rows, unlabelled, least=least).mapInArrow(run, "kind int, m long, features binary").collect()
 
     got = collected(True)
     if sum(r["kind"] == UNLABELLED for r in got) < unlabelled:  # few documents, or many equal rows
         got = collected(False)
     got.sort(key=lambda r: (r["kind"], r["m"]))
-    return {k: Rows([(np.frombuffer(bytes(r["at"]), "u2"), np.frombuffer(bytes(r["value"]), "f4")) for r in got if r["kind"] == k]) for k in (0, 1, UNLABELLED)}
+    return {k: Rows([unpacked(bytes(r["features"])) for r in got if r["kind"] == k]) for k in (0, 1, UNLABELLED)}
 
 
 def summed(docs: DataFrame, of_step: Callable[[Texts], np.ndarray], size: int) -> np.ndarray:

@@ -121,6 +121,31 @@ def test_samples(spark, tables):
     assert models.sample(one, labels, "quality", rows=5, unlabelled=50)[2].n == 1  # equal rows count once
 
 
+def test_the_driver_gets_a_sample_compressed(spark, tables, monkeypatch):
+    docs, labels = tables
+    kind, sizes = type(docs), []
+    collect = kind.collect
+
+    def seen(df):
+        rows = collect(df)
+        sizes.extend(len(v) for r in rows for v in r if isinstance(v, (bytes, bytearray)))
+        return rows
+
+    monkeypatch.setattr(kind, "collect", seen)
+    got = models.sample(docs, labels, "quality", rows=100, unlabelled=200)
+    monkeypatch.undo()
+    assert len(sizes) == sum(x.n for x in got.values()) > 300
+    assert 0 < sum(sizes) < 0.5 * sum(x.at.nbytes + x.value.nbytes for x in got.values())
+    # whole: the same features as of the texts themselves
+    x = Texts(pa.array([t for t, _ in models.labelled(docs, labels, "quality", rows=100)], pa.binary())).matrix()
+    for k in (0, 1):
+        for i in range(got[k].n):
+            own, row = got[k][np.array([i])], np.zeros(COLUMNS, "f4")
+            row[own.at] = own.value
+            assert np.array_equal(row, x[k * got[0].n + i])
+    assert [len(v) for v in models.unpacked(models.packed(np.zeros(COLUMNS, "f4")))] == [0, 0]
+
+
 def test_toxicity(spark, tables):
     docs, labels = tables
     machine = toxicity.fit(docs, labels)
