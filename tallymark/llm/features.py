@@ -13,28 +13,29 @@ from tallymark.llm.spans import BASES, FACTORS, U, Words, layout, powers, scramb
 
 BITS = 12
 FAMILIES = 4
-SYMBOLS = np.zeros(256, bool)
+SYMBOLS, UPPER, DIGIT, LETTER, MARK = (np.zeros(256, bool) for _ in range(5))
 SYMBOLS[list(b"#*$%&|<>")] = True
-UPPER, DIGIT, LETTER, MARK = (np.zeros(256, bool) for _ in range(4))
 UPPER[65:91], DIGIT[48:58], LETTER[65:91], LETTER[97:123] = True, True, True, True
 LETTER[128:] = True
 MARK[list(b".,;:!?'\"-()")] = True
+#: The kinds of bytes that are counted, line feeds last.
+KINDS = np.stack([SYMBOLS, UPPER, DIGIT, LETTER, MARK, np.arange(256) == 10], 1).astype("i8")
 STYLE = 10
 COLUMNS = (FAMILIES << BITS) + STYLE
 REPEAT_WINDOW = 8
 
 
-def sums(x: np.ndarray, first: np.ndarray) -> np.ndarray:
-    """Sums of x between the bounds `first`."""
-    upto = np.zeros(len(x) + 1, "f8")
-    np.cumsum(x, out=upto[1:])
-    return upto[first[1:]] - upto[first[:-1]]
+def sums(x: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Sums of x from each `begin` up to its `end`; the stretches rise and don't overlap."""
+    if not len(begin):
+        return np.zeros(0, x.dtype)
+    got = np.add.reduceat(np.append(x, x.dtype.type(0)), np.stack([begin, np.maximum(begin, end)], 1).ravel())[::2]
+    return np.where(end > begin, got, x.dtype.type(0))
 
 
 def counts(mask: np.ndarray, first: np.ndarray) -> np.ndarray:
-    upto = np.zeros(len(mask) + 1, "i8")
-    np.cumsum(mask, out=upto[1:])
-    return upto[first[1:]] - upto[first[:-1]]
+    """How often mask is set between the bounds `first`."""
+    return sums(mask.astype("i8"), first[:-1], first[1:])
 
 
 class Texts:
@@ -48,12 +49,17 @@ class Texts:
 
     def _repeated(self) -> np.ndarray:
         """Which words stand in a window of eight that the same text has twice or more."""
-        w = self.words
+        w, n = self.words, max(len(self.h) - REPEAT_WINDOW + 1, 0)
         at = w.windows(REPEAT_WINDOW)
-        key = np.zeros(len(at), "u8")
+        key = np.zeros(n, "u8")
         for j in range(REPEAT_WINDOW):
-            key += self.h[at + j] * FACTORS[0][j]
-        key = scramble(key) ^ (w.doc[at].astype("u8") * U(0x9FB21C651E98DF25))
+            key += self.h[j : j + n] * FACTORS[0][j]
+        key = scramble(key[at]) ^ (w.doc[at].astype("u8") * U(0x9FB21C651E98DF25))
+        order = np.sort(key)
+        again = np.zeros(1 << 16, bool)  # the keys found twice, by their last bits: few windows are left to be put in order
+        again[order[1:][order[1:] == order[:-1]] & U(0xFFFF)] = True
+        some = np.flatnonzero(again[key & U(0xFFFF)])
+        at, key = at[some], key[some]
         order = np.argsort(key, kind="stable")
         same = key[order][1:] == key[order][:-1]
         pair = np.flatnonzero(same)
@@ -77,29 +83,37 @@ class Texts:
         """(columns, bounds of each text) of the families."""
         w, shift = self.words, U(64 - BITS)
         upto = np.zeros(len(w.data) + 1, "u8")
-        np.cumsum((w.data.astype("u8") + U(1)) * powers(BASES[0], len(w.data)), out=upto[1:])
+        x = w.data.astype("u8")
+        x += U(1)
+        x *= powers(BASES[0], len(x))
+        np.cumsum(x, out=upto[1:])
         inverse = powers(pow(BASES[0], -1, 1 << 64), len(w.data) + 1)
         for size in (3, 4):
             n = max(len(w.data) - size + 1, 0)
-            h = (upto[size : size + n] - upto[:n]) * inverse[:n]
+            h = upto[size : size + n] - upto[:n]
+            h *= inverse[:n]
             h ^= h >> U(29)
-            col = ((h * U(BASES[1])) >> shift).astype("i4")
+            h *= U(BASES[1])
+            h >>= shift
             # grams that begin in one text and end in the next belong to none
-            yield col, np.minimum(w.at, n), np.minimum(np.maximum(w.at[1:] - size + 1, w.at[:-1]), n)
-        yield ((self.h * U(BASES[1])) >> shift).astype("i4"), w.first, w.first[1:]
+            yield h.view("i8"), np.minimum(w.at, n), np.minimum(np.maximum(w.at[1:] - size + 1, w.at[:-1]), n)
+        yield ((self.h * U(BASES[1])) >> shift).view("i8"), w.first, w.first[1:]
         pair = scramble(self.h[:-1] * FACTORS[1][0] + self.h[1:] * FACTORS[1][1]) if len(self.h) > 1 else self.h[:0]
-        yield (pair >> shift).astype("i4"), np.minimum(w.first, len(pair)), np.minimum(np.maximum(w.first[1:] - 1, w.first[:-1]), len(pair))
+        yield (pair >> shift).view("i8"), np.minimum(w.first, len(pair)), np.minimum(np.maximum(w.first[1:] - 1, w.first[:-1]), len(pair))
 
     def style(self) -> np.ndarray:
         w = self.words
-        size = np.maximum(np.diff(w.at), 1)
-        part = [counts(t[w.data], w.at) / size for t in (SYMBOLS, UPPER, DIGIT, LETTER, MARK)]
+        found = np.zeros((self.n, 256), "i8")
+        for i in np.flatnonzero(np.diff(w.at)).tolist():
+            found[i] = np.bincount(w.data[w.at[i] : w.at[i + 1]], minlength=256)
+        kinds = found @ KINDS
+        part = kinds[:, :-1] / np.maximum(np.diff(w.at), 1)[:, None]
         words = np.maximum(w.n, 1)
         length = np.log1p(w.n)
         again = counts(self.repeated, w.first) / words
-        lines = counts(w.data == 10, w.at) / words
-        wide = sums((w.end - w.begin) ** 2.0, w.first) / words / 50
-        return np.stack([*part, length / 5, again, lines, wide, (w.n < 20).astype("f8")], 1)
+        lines = kinds[:, -1] / words
+        wide = sums((w.end - w.begin) ** 2, w.first[:-1], w.first[1:]) / words / 50
+        return np.column_stack([part, length / 5, again, lines, wide, w.n < 20])
 
     def matrix(self) -> np.ndarray:
         """One row of COLUMNS for each text."""
@@ -116,9 +130,7 @@ class Texts:
         """matrix() @ weights, without the matrix. style, families: these, if they are known."""
         total = (self.style() if style is None else style) @ weights[FAMILIES << BITS :]
         for k, (col, begin, end) in enumerate(self.families() if families is None else families):
-            upto = np.zeros(len(col) + 1, "f8")
-            np.cumsum(weights[k << BITS : k + 1 << BITS][col], out=upto[1:])
-            total += (upto[end] - upto[begin[:-1]]) / np.maximum(end - begin[:-1], 1)
+            total += sums(np.take(weights[k << BITS : k + 1 << BITS], col, mode="clip"), begin[:-1], end) / np.maximum(end - begin[:-1], 1)
         return total
 
     def softplus(self, weights: np.ndarray, bias: float, bins: np.ndarray | None = None) -> np.ndarray:

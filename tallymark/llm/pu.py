@@ -31,7 +31,6 @@ from tallymark.llm.common import pick, position, slices
 from tallymark.llm.features import COLUMNS, Texts
 from tallymark.llm.models import BINS, Linear, Rows, Scale, sigmoid
 
-STEP_BYTES = 1 << 20
 THRESHOLD = 0.3
 #: How weights are fitted: rounds over the rows, steps, and how much they are held back.
 FITTING = {"epochs": 40, "rate": 0.05}
@@ -152,7 +151,7 @@ def with_score(docs: DataFrame, model: Linear, text: str = "text") -> DataFrame:
     own = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(batches, f"c{at}", STEP_BYTES):
+        for part in slices(batches, f"c{at}", models.STEP_BYTES):
             p = sent.value.probability(Texts(part.column(at).cast(pa.binary())))
             yield pa.RecordBatch.from_arrays([*part.columns, pa.array(p)], [*part.schema.names, "score"])
 

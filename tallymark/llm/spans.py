@@ -18,6 +18,8 @@ U = np.uint64
 #: Two odd bases (the first of polynomial hashes over a few bytes), and multipliers of the words of a window.
 BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 FACTORS = [np.array([pow(b, 3 + 2 * i, 1 << 64) | 1 for i in range(64)], "u8") for b in (0xD6E8FEB86659FD93, 0xA0761D6478BD642F)]
+#: Masks of a number's first bytes, by how many.
+LOW = np.array([(1 << 8 * k) - 1 for k in range(9)], "u8")
 _POWERS: dict[int, np.ndarray] = {}
 
 
@@ -87,15 +89,11 @@ class Words:
         long = np.flatnonzero(size > 23)
         digests = [blake2b(self.data[b:e].tobytes(), digest_size=16).digest() for b, e in zip(self.begin[long].tolist(), self.end[long].tolist())]
         data, more = np.concatenate([self.data, np.zeros(24, "u1")]), []
-        a = size.astype("u8") << U(56)
-        for j in range(7):
-            a |= np.where(size > j, data[self.begin + j], 0).astype("u8") << U(8 * j)
+        eight = np.ndarray(len(self.data) + 17, "<u8", data, strides=(1,))  # the eight bytes from each place on
+        a = (size.astype("u8") << U(56)) | (eight[self.begin] & LOW[np.minimum(size, 7)])
         for k, start in ((58, 7), (59, 15)):
             at = np.flatnonzero((size > start) & (size <= 23))
-            x = np.zeros(len(at), "u8")
-            for j in range(8):
-                x |= np.where(size[at] > start + j, data[self.begin[at] + start + j], 0).astype("u8") << U(8 * j)
-            more.append((at, x, k))
+            more.append((at, eight[self.begin[at] + start] & LOW[np.minimum(size[at] - start, 8)], k))
         return a, more, long, np.frombuffer(b"".join(digests) + bytes(16), "<u8").reshape(-1, 2)[: len(long)]
 
     def windows(self, size: int) -> np.ndarray:

@@ -146,6 +146,19 @@ def test_the_driver_gets_a_sample_compressed(spark, tables, monkeypatch):
     assert [len(v) for v in models.unpacked(models.packed(np.zeros(COLUMNS, "f4")))] == [0, 0]
 
 
+def test_only_repeated_windows_are_put_in_order(monkeypatch):
+    """Sorting all windows with their places was a large part of each pass over the documents."""
+    texts, sizes, argsort = [t.encode() for _, t in corpus(200)[0]], [], np.argsort
+    texts[7] += b" " + texts[7]
+    monkeypatch.setattr(np, "argsort", lambda x, **more: sizes.append(len(x)) or argsort(x, **more))
+    got = Texts(pa.array(texts, pa.binary()))
+    monkeypatch.undo()
+    assert sum(sizes) < 0.2 * len(got.h)
+    w = [t.decode().split() for t in texts]
+    assert [int(got.repeated[s:e].sum()) for s, e in zip(got.words.first[:-1], got.words.first[1:])] == [counted(" ".join(x))[4] for x in w]
+    assert got.repeated.sum() > 40
+
+
 def test_toxicity(spark, tables):
     docs, labels = tables
     machine = toxicity.fit(docs, labels)
