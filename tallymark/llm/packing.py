@@ -12,6 +12,7 @@ import os
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import accumulate
 from unicodedata import is_normalized
 
 import numpy as np
@@ -22,9 +23,11 @@ from pyspark.sql import functions as F
 from tallymark.llm.common import cut, pick, slices
 
 #: Distinct chunks and distinct words that a worker remembers before it starts anew, and the text of one step.
-MEMO, BARE, STEP_BYTES = 400_000, 600_000, 4 << 20
+MEMO, BARE, STEP_BYTES = 1_000_000, 1_000_000, 4 << 20
 #: Parts whose sums are taken together.
 TOGETHER = 1024
+#: Words by which a worker finds out whether the vocabulary's merges alone give the ids of plain words.
+PROBES = 2000
 #: Marks that may close a word; a run of them is one word to the vocabulary.
 MARKS = ".,;:!?*$%&#|"
 
@@ -32,7 +35,9 @@ MARKS = ".,;:!?*$%&#|"
 class Ids:
     """Token ids, as little-endian bytes, of texts whose vocabulary drops white space: what stands between two
     white spaces is encoded by itself, the same in each text, so each distinct chunk is encoded once. A chunk of letters
-    and closing marks is put together from its lower-case letters and its marks, as the vocabulary does."""
+    and closing marks is put together from its lower-case letters and its marks, as the vocabulary does. Words of a to z go
+    to the vocabulary's merges at once, if these are found to give the same ids as the whole tokenizer, which has nothing to
+    normalise or to split there."""
 
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -42,12 +47,26 @@ class Ids:
         vocabulary = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
+        probes = [t.removesuffix("</w>") for t in sorted(vocabulary) if t.endswith("</w>") and self.plain(t.removesuffix("</w>"))]
+        probes = probes[:: max(1, len(probes) // PROBES)]
+        added = any(self.plain(t.content) for t in self.tokenizer.get_added_tokens_decoder().values())
+        self.direct = not added and self.merged(probes) == self.encode(probes)
         self.memo: dict[str, bytes] = {}
         self.bare: dict[str, bytes] = {}
 
     def encode(self, chunks: list[str]) -> list[bytes]:
         return [np.array(x.ids, "<u4").tobytes() for x in self.tokenizer.encode_batch_fast(chunks, add_special_tokens=False)]
 
+    @staticmethod
+    def plain(piece: str) -> bool:
+        return piece.isascii() and piece.isalpha() and piece.islower()
+
+    def merged(self, pieces: list[str]) -> list[bytes]:
+        tokenize = self.tokenizer.model.tokenize
+        got = [[t.id for t in tokenize(x)] for x in pieces]
+        every, at = np.array([i for x in got for i in x], "<u4").tobytes(), [0, *accumulate(4 * len(x) for x in got)]
+        return [every[s:e] for s, e in zip(at, at[1:])]
+
     def encode_bare(self, pieces: list[str]) -> list[bytes]:
         """Of pieces that are one word to the vocabulary each: encoded in a line, cut after each word's last token."""
         got = np.array(self.tokenizer.encode_batch_fast([" ".join(pieces)], add_special_tokens=False)[0].ids, "<u4")
@@ -67,6 +86,10 @@ class Ids:
             else:
                 rest.append(x)
         unseen = list({y for x in simple for y in x[1:] if y and y not in bare})
+        if unseen:
+            plain = [x for x in unseen if self.plain(x)] if self.direct else []
+            bare.update(zip(plain, self.merged(plain)))
+            unseen = [x for x in unseen if x not in bare]
         if unseen:
             bare.update(zip(unseen, self.encode_bare(unseen)))
         self.memo.update([(x, bare[stem] + bare[end] if end else bare[stem]) for x, stem, end in simple])

@@ -41,6 +41,27 @@ def test_ids_of_mixtures():
         assert own([t])[0] == np.array(plain.encode(t, add_special_tokens=False).ids, "<u4").tobytes()
 
 
+def test_plain_words_go_to_the_merges_at_once(tmp_path):
+    """The ids are the library's, and words of a to z don't pass through all of its steps."""
+
+    class Seen:
+        model = Tokenizer.from_file(WORDS).model
+
+        def encode_batch_fast(self, chunks, add_special_tokens):
+            seen.extend(chunks)
+            return plain.encode_batch_fast(chunks, add_special_tokens=add_special_tokens)
+
+    rng, seen, plain, own = random.Random(8), [], Tokenizer.from_file(WORDS), packing.Ids(WORDS)
+    own.tokenizer = Seen()
+    made = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randrange(1, 30))) for _ in range(3000)]
+    texts = [" ".join(made), " ".join(x.title() + rng.choice([",", "$$$", ""]) for x in made), "été ÉTÉ, straße"]
+    assert own(texts) == [np.array(plain.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
+    assert not {w for chunk in seen for w in chunk.split()} & set(made)
+    plain.add_tokens(["hello"])
+    plain.save(str(tmp_path / "more.json"))
+    assert own.direct and not packing.Ids(str(tmp_path / "more.json")).direct
+
+
 def test_counts_of_awkward_rows(spark):
     plain = Tokenizer.from_file(BYTES)
     got = tokens.count_tokens(awkward(spark), BYTES, limit=12).collect()
