@@ -664,9 +664,11 @@ def update_by_id(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def repository_context(spark: SparkSession, d: str) -> DataFrame:
-    """Links whose number and year stand beside them, in an item, an inline element or on the page itself; one holds a block."""
+    """Links whose number and year stand beside them, in an item, an inline element or on the page itself; one holds a block.
+    A small row makes a whole page to read, so measures are dealt out evenly first, however few parts they are stored in."""
     html = F.expr("concat('<ul><li>Proposition 9 (1911)</li><li>Proposition ', id, ' <a href=\"/ca_ballot_props/a/b/', id, '\"><b>', coalesce(title, 'None'), '</b></a> (', year, ')</li><li><a href=\"/ca_ballot_props/a/c/', id, '\">Other</a></li></ul><p>Proposition 77 (1900) <b>(', year + 1, ') <a href=\"/ca_ballot_props/a/d/', id, '\">Inner</a></b></p><a href=\"/ca_ballot_props/a/e/', id, '\"><div>Big <i>d</i></div></a>')")
-    got = pages.repository_measures(facade.measures(spark, d).select("id", html.alias("html")), BASE, page="id")
+    dealt = facade.measures(spark, d).select("id", "title", "year").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "id")
+    got = pages.repository_measures(dealt.select("id", html.alias("html")), BASE, page="id")
     return got.select("page", F.col("nth").cast("int").alias("nth"), "measure_text", "year", "pdf_url")
 
 

@@ -15,6 +15,8 @@ from tallymark.sources.nesting import repository_links
 
 REPOSITORY_PATH = "/ca_ballot_props/"
 MOST_LINKS = 50
+#: Links that leave a worker together, besides those of one more page.
+LINKS_AT_ONCE = 10_000
 
 
 def elements(pages: DataFrame, page: str = "page_id", html: str = "html", headers: str = "[23]") -> DataFrame:
@@ -45,19 +47,34 @@ def election_measures(pages: DataFrame, base: str, page: str = "page_id", html:
     return own.where("measure_text <> ''").withColumn("year", scraped_year(F.col("election_date"), F.col("measure_text")))
 
 
+def link_batches(batches: Iterator[pa.RecordBatch], path: str, least_slashes: int, most: int) -> Iterator[pa.RecordBatch]:
+    """The repository links of batches of pages, those of many pages together."""
+
+    def packed(batch: pa.RecordBatch, rows: list[int], links: list[tuple]) -> pa.RecordBatch:
+        names = batch.column("page").take(pa.array(rows, pa.int32()))
+        pos, nth, *texts = zip(*links)
+        return pa.RecordBatch.from_arrays([names, pa.array(pos, pa.int32()), pa.array(nth, pa.int32()), *[pa.array(x, pa.string()) for x in texts]], ["page", "pos", "nth", "href", "title", "year", "number"])
+
+    for batch in batches:
+        rows, links = [], []
+        for i, html in enumerate(batch.column("html")):
+            if (text := html.as_py()) and (found := repository_links(text, path, least_slashes, most)):
+                rows += [i] * len(found)
+                links += found
+                if len(links) >= LINKS_AT_ONCE:
+                    yield packed(batch, rows, links)
+                    rows, links = [], []
+        if links:
+            yield packed(batch, rows, links)
+
+
 def repository_measures(pages: DataFrame, base: str, page: str = "page_id", html: str = "html", path: str = REPOSITORY_PATH, least_slashes: int = 4, most: int = MOST_LINKS) -> DataFrame:
     """Repository links of each page as raw measures, the first `most` of a page. Year and number come from the text of the
     element that a link stands in directly. A page is read once, from front to back; only links leave it."""
     kind = pages.schema[page].dataType.simpleString()
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i in range(batch.num_rows):
-                text = batch.column("html")[i].as_py()
-                if text and (found := repository_links(text, path, least_slashes, most)):
-                    columns = list(zip(*found))
-                    names = batch.column("page").take(pa.array([i] * len(found)))
-                    yield pa.RecordBatch.from_arrays([names, pa.array(columns[0], pa.int32()), pa.array(columns[1], pa.int32()), *[pa.array(c, pa.string()) for c in columns[2:]]], ["page", "pos", "nth", "href", "title", "year", "number"])
+        return link_batches(batches, path, least_slashes, most)
 
     found = pages.select(F.col(page).alias("page"), F.col(html).alias("html")).mapInArrow(scan, f"page {kind}, pos int, nth int, href string, title string, year string, number string")
     text = F.coalesce(F.concat(F.lit("Proposition "), F.col("number"), F.lit(": "), F.col("title")), F.col("title"))
